@@ -1,0 +1 @@
+"""Deliberately empty: every data set handled here is a batch table (see README)."""
