@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from hazardframe.catalog.registry import Tables
@@ -223,6 +225,12 @@ _NEEDS = {
 }
 
 
+def r(expression: str, digits: int = 6) -> str:
+    """Rounded double without a negative zero, as SQL."""
+    value = f"round(CAST({expression} AS DOUBLE), {digits})"
+    return f"CASE WHEN {value} = 0 THEN CAST(0 AS DOUBLE) ELSE {value} END"
+
+
 def sql(views: str, body: str) -> str:
     """``body`` preceded by the definitions of the named views and of what they need."""
     names: list[str] = []
@@ -231,7 +239,7 @@ def sql(views: str, body: str) -> str:
             if name not in names:
                 names.append(name)
     ctes = ",".join(SQL[name] for name in names)
-    body = body.strip()
+    body = re.sub(r"\br6\(([^;]*?);\)", lambda m: r(m.group(1)), body.strip())
     if body[:5].lower() == "with ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

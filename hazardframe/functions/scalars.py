@@ -107,8 +107,8 @@ def strata_key(*columns: Column | str) -> Column:
 
 
 def join_scores(c: Column | str) -> Column:
-    """Array of scores as text with four decimals."""
-    return F.array_join(F.transform(col(c), lambda s: F.format_string("%.4f", s)), ", ")
+    """Array of scores as text with four decimals (halves to even, as Python formats them)."""
+    return F.array_join(F.transform(col(c), lambda s: F.format_string("%.4f", F.bround(s, 4))), ", ")
 
 
 def threshold_label(c: Column | str) -> Column:
