@@ -12,7 +12,9 @@ Where the cut points lie only affects balance, never the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,20 +27,38 @@ ROWS_PER_PIECE = 500_000
 
 def cut_points(df: DataFrame, column: str, pieces: int | None = None) -> list[float]:
     """Approximate quantiles of ``column``: at most ``MAX_PIECES - 1`` numbers, found in one pass."""
+    return cut_points_of(df, [column], pieces)[column].cuts
+
+
+@dataclass(frozen=True)
+class Cuts:
+    """Cut points of a column, and the pieces that hold a single, heavy value."""
+
+    cuts: list[float]
+    isolated: frozenset[int] = frozenset()
+
+
+def cut_points_of(
+    df: DataFrame, columns: Sequence[str], pieces: int | None = None, limit: int = MAX_PIECES, isolate: bool = False
+) -> dict[str, Cuts]:
+    """Cut points of several columns in one pass. With ``isolate`` a value that fills a whole piece by itself gets a
+    piece of its own, so that callers can treat it apart."""
     levels = [i / MAX_PIECES for i in range(1, MAX_PIECES)]
-    value = F.col(column).cast("double")
-    row = (
-        df.where(value.isNotNull() & ~F.isnan(value))
-        .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, levels, 4 * MAX_PIECES).alias("q"))
-        .first()
-    )
-    if not row["n"]:
-        return []
-    if pieces is None:
-        pieces = min(MAX_PIECES, max(MIN_PIECES, row["n"] // ROWS_PER_PIECE))
-    quantiles = row["q"]
-    picked = {quantiles[max(0, round(i * MAX_PIECES / pieces) - 1)] for i in range(1, pieces)}
-    return sorted(v for v in picked if abs(v) != float("inf"))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(columns):
+        value = F.col(c).cast("double")
+        aggs.append(F.percentile_approx(F.when(~F.isnan(value), value), levels, 4 * MAX_PIECES).alias(f"q{i}"))
+    row = df.agg(*aggs).first()
+    wanted = pieces or min(limit, max(MIN_PIECES, row["n"] // ROWS_PER_PIECE))
+    out = {}
+    for i, c in enumerate(columns):
+        quantiles = row[f"q{i}"] or []
+        picked = [quantiles[max(0, round(k * MAX_PIECES / wanted) - 1)] for k in range(1, wanted)] if quantiles else []
+        picked = [v for v in picked if abs(v) != float("inf")]
+        heavy = {v for v in picked if picked.count(v) > 1} if isolate else set()
+        cuts = sorted({*picked, *(math.nextafter(v, math.inf) for v in heavy)})
+        out[c] = Cuts(cuts, frozenset(cuts.index(v) + 1 for v in heavy))
+    return out
 
 
 def with_piece(df: DataFrame, column: str, cuts: Sequence[float], name: str = PIECE) -> DataFrame:
