@@ -1,4 +1,4 @@
 """Registered queries by subject."""
 
-from hazardframe.catalog import clinical, samples, statistics  # noqa: F401
+from hazardframe.catalog import clinical, models, samples, statistics  # noqa: F401
 from hazardframe.catalog.registry import ORACLES, QUERIES, runnable  # noqa: F401
