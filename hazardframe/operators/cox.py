@@ -26,6 +26,7 @@ from hazardframe.operators.ordered import cut_points_of, with_piece
 
 PIECE_LIMIT = 256
 SALTS = 16
+CELLS_PER_TASK = 500_000
 SMOOTHING = 1e-6
 
 
@@ -46,6 +47,9 @@ class Problem:
         value = self.alpha * (lasso + (1 - self.l1_ratio) * 0.5 * beta @ beta)
         return value, self.alpha * (self.l1_ratio * beta / root + (1 - self.l1_ratio) * beta)
 
+    def curvature(self, beta: np.ndarray) -> np.ndarray:
+        return self.alpha * (self.l1_ratio * SMOOTHING / (beta * beta + SMOOTHING) ** 1.5 + 1 - self.l1_ratio)
+
 
 @dataclass
 class Fit:
@@ -64,7 +68,7 @@ class CoxData:
     width: int
     single: frozenset[int]
     event_sums: dict[int, np.ndarray] = field(default_factory=dict)
-    event_counts: dict[int, int] = field(default_factory=dict)
+    metrics: dict[int, np.ndarray] = field(default_factory=dict)
 
     def close(self) -> None:
         self.entries.unpersist()
@@ -89,18 +93,26 @@ def cox_data(
     pieced = with_piece(base, "t", cuts.cuts, "piece")
     single = F.col("piece").isin(*sorted(cuts.isolated)) if cuts.isolated else F.lit(False)
     salted = pieced.withColumn("salt", F.when(single, F.pmod(F.xxhash64("x"), F.lit(SALTS))).otherwise(0).cast("int"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = len(df.select(features).first()[0])
+    tasks = max(1, cuts.rows * width // CELLS_PER_TASK)
+    parts = min(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     entries = (
         salted.repartition(parts, "g", "piece", "salt")
         .sortWithinPartitions("g", "piece", "salt", F.desc("t"))
         .select("g", "piece", "salt", "t", "sign", "e", "x")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    data = CoxData(entries, len(df.select(features).first()[0]), cuts.isolated)
-    for row in entries.mapInArrow(_event_totals, "g int, n bigint, x array<double>").collect():
-        g = row["g"]
-        data.event_sums[g] = data.event_sums.get(g, 0) + np.asarray(row["x"])
-        data.event_counts[g] = data.event_counts.get(g, 0) + row["n"]
+    data = CoxData(entries, width, cuts.isolated)
+    totals: dict[int, list] = {}
+    schema = "g int, n bigint, rows bigint, ex array<double>, x array<double>, xx array<double>"
+    for r in entries.mapInArrow(_totals, schema).collect():  # one row per task and group
+        values = [r["n"], r["rows"], np.asarray(r["ex"]), np.asarray(r["x"]), np.asarray(r["xx"]).reshape(width, width)]
+        known = totals.get(r["g"])
+        totals[r["g"]] = values if known is None else [a + b for a, b in zip(known, values)]
+    for g, (events, rows, ex, x, xx) in totals.items():
+        mean = x / max(rows, 1)
+        data.event_sums[g] = ex
+        data.metrics[g] = events * (xx / max(rows, 1) - np.outer(mean, mean))
     return data
 
 
@@ -117,16 +129,19 @@ def _segments(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], np.
         yield (int(g[lo]), int(piece[lo]), int(salt[lo])), t[lo:hi], sign[lo:hi], e[lo:hi], x[lo:hi]
 
 
-def _event_totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    counts: dict[int, int] = {}
+def _totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per group: events, rows, feature sums of the events, feature sums and cross products of the rows."""
+    sums: dict[int, list] = {}
     for batch in batches:
-        for (g, _, _), _, _, e, x in _segments(batch):
-            sums[g] = sums.get(g, 0) + e @ x
-            counts[g] = counts.get(g, 0) + int(e.sum())
+        for (g, _, _), _, sign, e, x in _segments(batch):
+            rows = x[sign > 0]
+            values = [int(e.sum()), len(rows), e @ x, rows.sum(axis=0), rows.T @ rows]
+            sums[g] = [a + b for a, b in zip(sums[g], values)] if g in sums else values
+    lists = pa.list_(pa.float64())
+    columns = list(zip(*sums.values())) if sums else [[]] * 5
     yield pa.RecordBatch.from_pydict(
-        {"g": pa.array(list(sums), pa.int32()), "n": pa.array([counts[g] for g in sums], pa.int64()),
-         "x": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))}
+        {"g": pa.array(list(sums), pa.int32()), "n": pa.array(columns[0], pa.int64()), "rows": pa.array(columns[1], pa.int64()),
+         **{name: pa.array([v.ravel().tolist() for v in columns[i]], lists) for i, name in ((2, "ex"), (3, "x"), (4, "xx"))}}
     )
 
 
@@ -265,11 +280,17 @@ def partial_likelihood(data: CoxData, betas: dict[int, np.ndarray], clip: float
 
 
 class _Optimiser:
-    """Limited-memory quasi-Newton steps of one model; asks for one evaluation at a time."""
+    """Limited-memory quasi-Newton steps of one model; asks for one evaluation at a time.
+
+    The start metric is the covariance of the features times the number of events (the curvature of the likelihood at
+    zero, were all risk sets alike) plus the curvature of the penalty, which spares most iterations.
+    """
 
-    def __init__(self, problem: Problem, width: int, maxiter: int, ftol: float, gtol: float, memory: int = 10):
+    def __init__(self, problem: Problem, metric: np.ndarray, maxiter: int, ftol: float, gtol: float, memory: int = 10):
         self.problem, self.maxiter, self.ftol, self.gtol = problem, maxiter, ftol, gtol
+        width = len(metric)
         self.used = np.ones(width) if problem.active is None else np.asarray(problem.active, float)
+        self.metric = metric * np.outer(self.used, self.used)
         self.x, self.trial = np.zeros(width), np.zeros(width)
         self.f, self.g = None, None
         self.pairs: deque = deque(maxlen=memory)
@@ -277,25 +298,27 @@ class _Optimiser:
         self.done = self.converged = False
 
     def _direction(self) -> np.ndarray:
+        start = self.metric + np.diag(self.problem.curvature(self.x) + 1e-6 + (1 - self.used))
         q = self.g.copy()
         coefficients = []
         for s, y in reversed(self.pairs):
             a = (s @ q) / (y @ s)
             coefficients.append(a)
             q -= a * y
-        if self.pairs:
+        q = np.linalg.solve(start, q)
+        if self.pairs and not self.problem.l1_ratio:
             s, y = self.pairs[-1]
-            q *= (s @ y) / (y @ y)
+            q *= (s @ y) / (y @ np.linalg.solve(start, y))
         for (s, y), a in zip(self.pairs, reversed(coefficients)):
             q += s * (a - (y @ q) / (y @ s))
-        return -q
+        return -q * self.used
 
     def _start_search(self) -> None:
         self.d = self._direction()
         if self.g @ self.d >= 0:
             self.pairs.clear()
-            self.d = -self.g
-        self.step = 1.0 if self.pairs else min(1.0, 1.0 / max(np.abs(self.g).sum(), 1e-12))
+            self.d = self._direction()
+        self.step = 1.0
         self.tries = 0
         self.trial = self.x + self.step * self.d
 
@@ -311,10 +334,12 @@ class _Optimiser:
             return
         if not np.isfinite(f) or f > self.f + 1e-4 * self.step * (self.g @ self.d):
             self.tries += 1
-            if self.tries > 30:
-                self.done, self.converged = True, abs(f - self.f) <= 1e-6 * max(1.0, abs(self.f))
+            expected = -self.step * (self.g @ self.d)
+            if self.tries > 30 or expected <= self.ftol * max(1.0, abs(self.f)):
+                # Nothing left to gain along this direction beyond the accuracy of the sums.
+                self.done, self.converged = True, self.tries <= 30
                 return
-            self.step *= 0.5 if self.pairs else 0.2
+            self.step *= 0.5
             self.trial = self.x + self.step * self.d
             return
         s, y = self.trial - self.x, g - self.g
@@ -335,7 +360,7 @@ def fit_models(
     data: CoxData, problems: Sequence[Problem], maxiter: int = 400, clip: float = 40.0, ftol: float = 2.2e-9, gtol: float = 1e-5
 ) -> list[Fit]:
     """Fit all problems together; groups without rows of events shrink to zero through their penalty."""
-    states = [_Optimiser(p, data.width, maxiter, ftol, gtol) for p in problems]
+    states = [_Optimiser(p, data.metrics[p.group], maxiter, ftol, gtol) for p in problems]
     while True:
         active = [s for s in states if not s.done]
         if not active:

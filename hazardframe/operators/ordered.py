@@ -36,6 +36,7 @@ class Cuts:
 
     cuts: list[float]
     isolated: frozenset[int] = frozenset()
+    rows: int = 0
 
 
 def cut_points_of(
@@ -43,12 +44,12 @@ def cut_points_of(
 ) -> dict[str, Cuts]:
     """Cut points of several columns in one pass. With ``isolate`` a value that fills a whole piece by itself gets a
     piece of its own, so that callers can treat it apart."""
-    levels = [i / MAX_PIECES for i in range(1, MAX_PIECES)]
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(columns):
-        value = F.col(c).cast("double")
-        aggs.append(F.percentile_approx(F.when(~F.isnan(value), value), levels, 4 * MAX_PIECES).alias(f"q{i}"))
-    row = df.agg(*aggs).first()
+    # Written as text: a column expression would cost one call to the JVM for each level.
+    levels = ", ".join(repr(i / MAX_PIECES) for i in range(1, MAX_PIECES))
+    values = [F.col(c).cast("double") for c in columns]
+    typed = df.select(*[F.when(~F.isnan(v), v).alias(f"v{i}") for i, v in enumerate(values)])
+    quantiles_of = [F.expr(f"percentile_approx(v{i}, array({levels}), {4 * MAX_PIECES})").alias(f"q{i}") for i in range(len(values))]
+    row = typed.agg(F.count(F.lit(1)).alias("n"), *quantiles_of).first()
     wanted = pieces or min(limit, max(MIN_PIECES, row["n"] // ROWS_PER_PIECE))
     out = {}
     for i, c in enumerate(columns):
@@ -57,7 +58,7 @@ def cut_points_of(
         picked = [v for v in picked if abs(v) != float("inf")]
         heavy = {v for v in picked if picked.count(v) > 1} if isolate else set()
         cuts = sorted({*picked, *(math.nextafter(v, math.inf) for v in heavy)})
-        out[c] = Cuts(cuts, frozenset(cuts.index(v) + 1 for v in heavy))
+        out[c] = Cuts(cuts, frozenset(cuts.index(v) + 1 for v in heavy), row["n"])
     return out
 
 

@@ -12,6 +12,7 @@ from hazardframe.functions import scalars as S
 from hazardframe.operators import cox, features, splits
 from hazardframe.operators.clean import prefixed_columns
 from hazardframe.operators.concordance import concordance
+from hazardframe.session import kept
 from hazardframe.schema import (
     ALPHA_GRID, CLINICAL_COVARIATES, CNA, EXPR, FEATURE_BLOCKS, INTERVAL_COVARIATES, L1_GRID,
 )
@@ -78,17 +79,17 @@ def cross_validate(
     Features depend on the fold only and are fitted once per fold; all grid cells of all folds are optimised in step.
     """
     k = splits.fold_count(df, event, folds)
-    folded = splits.stratified_folds(df, id_column, [event], k)
-    layout = features.discover_layout(folded, clinical, expression=expression)
-    spaces = features.fit_spaces(folded, layout, "fold", k, components)
-    problems = [cox.Problem(g, a, r, label=f"{a}|{r}") for a in alphas for r in l1_ratios for g in range(k)]
-    data = cox.cox_data(features.training_rows(folded, layout, spaces), time, event, group="g")
-    try:
-        fits = cox.fit_models(data, problems, maxiter)
-    finally:
-        data.close()
-    held = features.held_out_rows(folded, layout, spaces).select("g", time, event, "features")
-    found = concordance(score_models(held, fits), time, event, "risk", ["model"]).collect()  # one row per model and fold
+    with kept(splits.stratified_folds(df, id_column, [event], k)) as folded:
+        layout = features.discover_layout(folded, clinical, expression=expression)
+        spaces = features.fit_spaces(folded, layout, "fold", k, components)
+        problems = [cox.Problem(g, a, r, label=f"{a}|{r}") for a in alphas for r in l1_ratios for g in range(k)]
+        data = cox.cox_data(features.training_rows(folded, layout, spaces), time, event, group="g")
+        try:
+            fits = cox.fit_models(data, problems, maxiter)
+        finally:
+            data.close()
+        held = features.held_out_rows(folded, layout, spaces).select("g", time, event, "features")
+        found = concordance(score_models(held, fits), time, event, "risk", ["model"]).collect()  # one row per model and fold
     table = _results(fits, {r["model"]: r["c_index"] for r in found}, strict=True)
     summary = _fold_summary(df.sparkSession.createDataFrame(table, _FOLD_SCHEMA), ["alpha", "l1_ratio"])
     return summary.orderBy(F.desc("n_valid_folds"), F.desc_nulls_last("mean_c_index"), "std_c_index", "alpha", "l1_ratio")
@@ -135,22 +136,22 @@ def static_ablation(
     clinical: Sequence[str] = (*CLINICAL_COVARIATES, "IS_FALLBACK"),
 ) -> DataFrame:
     """Seven feature sets under folds stratified by cohort and event; mean and std of the concordance index."""
-    folded = splits.stratified_folds(df, "PATIENT_ID", ["CANCER_TYPE", "OS_EVENT"], folds)
-    layout = features.discover_layout(
-        folded, clinical, ["MUTATION_BURDEN"], prefixed_columns(df, EXPR), prefixed_columns(df, CNA)
-    )
-    return _ablate(folded, layout, folds, maxiter, 50.0, {"stop": "OS_MONTHS", "event": "OS_EVENT"}, False,
-                   "OS_MONTHS", "OS_EVENT", alpha, components)
+    with kept(splits.stratified_folds(df, "PATIENT_ID", ["CANCER_TYPE", "OS_EVENT"], folds)) as folded:
+        layout = features.discover_layout(
+            folded, clinical, ["MUTATION_BURDEN"], prefixed_columns(df, EXPR), prefixed_columns(df, CNA)
+        )
+        return _ablate(folded, layout, folds, maxiter, 50.0, {"stop": "OS_MONTHS", "event": "OS_EVENT"}, False,
+                       "OS_MONTHS", "OS_EVENT", alpha, components)
 
 
 def interval_ablation(intervals: DataFrame, folds: int = 5, maxiter: int = 250, alpha: float = 1.0, components: int = 30) -> DataFrame:
     """The same feature sets on (start, stop] rows; folds are drawn over patients, risk is that of the last interval."""
-    folded = splits.group_folds(intervals, "PATIENT_ID", ["CANCER_TYPE", "OS_EVENT"], folds)
-    layout = features.discover_layout(
-        folded, INTERVAL_COVARIATES, ["MUTATION_BURDEN"], prefixed_columns(intervals, EXPR), prefixed_columns(intervals, CNA)
-    )
     columns = {"stop": "T_STOP", "event": "EVENT", "start": "T_START"}
-    return _ablate(folded, layout, folds, maxiter, 40.0, columns, True, "OS_DAYS", "OS_EVENT", alpha, components)
+    with kept(splits.group_folds(intervals, "PATIENT_ID", ["CANCER_TYPE", "OS_EVENT"], folds)) as folded:
+        layout = features.discover_layout(
+            folded, INTERVAL_COVARIATES, ["MUTATION_BURDEN"], prefixed_columns(intervals, EXPR), prefixed_columns(intervals, CNA)
+        )
+        return _ablate(folded, layout, folds, maxiter, 40.0, columns, True, "OS_DAYS", "OS_EVENT", alpha, components)
 
 
 def compare_runs(old: DataFrame, new: DataFrame, key: str = "experiment") -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that may be changed on a running session.
@@ -51,6 +54,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a table that several jobs read, in memory or on disk, until the block ends."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor does not replay its history."""
     ensure_checkpoint_dir(df.sparkSession)
