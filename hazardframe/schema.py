@@ -70,3 +70,9 @@ MUTATION_SCHEMA = T.StructType(
         for name in ("Tumor_Sample_Barcode", "Hugo_Symbol", "Variant_Classification")
     ]
 )
+
+# Texts that tabular readers treat as missing by default.
+DEFAULT_NA = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+]
