@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -65,6 +66,12 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor does not replay its history."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    What follows starts from files that outlive any executor, reads only the columns it needs, and does not repeat the
+    work behind ``df`` for each of its branches.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/hazardframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
