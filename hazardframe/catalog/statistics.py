@@ -63,11 +63,14 @@ def cramers_v(t: Tables) -> DataFrame:
 def omic_scan_rows(t: Tables) -> DataFrame:
     """Expression values with the follow-up of the patient of the same number; a few values are missing."""
     months = V.endpoint(t).select(F.col("PATIENT_ID").alias("sample_id"), F.col("OS_MONTHS").alias("time"))
-    gap = (F.col("gene") == "G03") & (F.col("sample_id") % 7 == 0)
-    rows = V.expression_long(t).select(
-        "sample_id", F.concat(F.lit("EXPR_"), "gene").alias("feature"), F.when(~gap, F.round("value", 1)).alias("value")
+    # Joined while a sample is one row, before its genes become rows.
+    vectors = t("embeddings").select(F.col("vec_id").alias("sample_id"), "embedding").join(months, "sample_id")
+    long = vectors.select("sample_id", "time", F.posexplode("embedding").alias("pos", "x"))
+    gap = (F.col("pos") == 3) & (F.col("sample_id") % 7 == 0)
+    return long.select(
+        "sample_id", "time", F.format_string("EXPR_G%02d", "pos").alias("feature"),
+        F.when(~gap, F.round(F.abs(F.col("x").cast("double")) * 100, 1)).alias("value"),
     )
-    return rows.join(months, "sample_id")
 
 
 @query(V.sql("endpoint expression_long", """with rows AS (

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from hazardframe.functions.tails import chi_square_p, normal_p, student_p
-from hazardframe.operators.ordered import average_ranks, cut_points, ordered_columns, unpivot_numbers, with_piece
+from hazardframe.operators.ordered import average_ranks, cut_points, cut_points_of, ordered_columns, unpivot_numbers, with_piece
+from hazardframe.session import cut_lineage
 
 MIN_GROUP = 20
 MAX_CATEGORIES = 30
@@ -91,15 +92,14 @@ def chi_square(counts: DataFrame) -> DataFrame:
 
 def spearman(long: DataFrame, time: str = "time") -> DataFrame:
     """Rank correlation of each feature with time; time is ranked within the rows where the feature is known."""
-    known = long.where(F.col("value").isNotNull() & F.col(time).isNotNull())
-    enough = known.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c")).groupBy("feature").agg(
-        F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")
-    ).where((F.col("n") >= MIN_PAIRS) & (F.col("d") >= MIN_DISTINCT)).select("feature")
-    rows = known.join(enough, "feature", "left_semi")
-    x = average_ranks(rows, "value", ["feature"], "rx").select("feature", "value", "rx")
-    y = average_ranks(rows, time, ["feature"], "ry").select("feature", time, "ry")
+    rows = long.where(F.col("value").isNotNull() & F.col(time).isNotNull())
+    cuts = cut_points_of(rows, ["value", time])
+    x = average_ranks(rows, "value", ["feature"], "rx", cuts["value"].cuts).select("feature", "value", "rx")
+    y = average_ranks(rows, time, ["feature"], "ry", cuts[time].cuts).select("feature", time, "ry")
+    distinct = x.groupBy("feature").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= MIN_DISTINCT)
     ranked = rows.join(x, ["feature", "value"]).join(y, ["feature", time])
     found = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("spearman_rho"))
+    found = found.where(F.col("n") >= MIN_PAIRS).join(distinct, "feature", "left_semi")
     r, df = F.col("spearman_rho"), (F.col("n") - 2).cast("double")
     t = F.when(F.abs(r) < 1, r * F.sqrt(df / ((1 - r) * (1 + r)))).otherwise(F.lit(float("inf")))
     return found.select("feature", "n", "spearman_rho", student_p(t, df).alias("p_value"))
@@ -126,13 +126,14 @@ def univariate_tests(df: DataFrame, numeric: Sequence[str], categorical: Sequenc
     parts = mann_whitney(long)
     if categorical:
         parts = parts.unionByName(chi_square(category_counts(df, categorical, event)))
-    adjusted = adjust_false_discovery(parts)
+    # One row per column from here on; written once because the adjustment reads it several times.
+    adjusted = adjust_false_discovery(cut_lineage(parts))
     return adjusted.withColumn("significant_q_lt_0_05", F.col("q_value_bh") < 0.05).orderBy("q_value_bh", "p_value", "feature")
 
 
 def omics_spearman(long: DataFrame, time: str = "time") -> DataFrame:
     """Spearman scan of omic features (name starts with its layer's prefix) with q-values over all of them."""
-    found = adjust_false_discovery(spearman(long, time))
+    found = adjust_false_discovery(cut_lineage(spearman(long, time)))
     prefix = F.concat(F.substring_index("feature", "_", 1), F.lit("_"))
     return found.withColumn("prefix", prefix).orderBy("q_value_bh", "feature")
 

@@ -23,6 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from hazardframe.operators.ordered import cut_points_of, with_piece
+from hazardframe.session import cut_lineage
 
 PIECE_LIMIT = 256
 SALTS = 16
@@ -76,9 +77,9 @@ class CoxData:
 
 def cox_data(
     df: DataFrame, stop: str = "OS_MONTHS", event: str = "OS_EVENT", features: str = "features",
-    start: str | None = None, group: str | None = None,
+    start: str | None = None, group: str | None = None, width: int | None = None,
 ) -> CoxData:
-    """Prepare rows with an array column of features (no missing values)."""
+    """Prepare rows with an array column of features (no missing values); ``width`` is its length, if known."""
     base = df.select(
         (F.col(group).cast("int") if group else F.lit(0)).alias("g"),
         F.col(stop).cast("double").alias("t"), F.lit(1.0).alias("sign"), (F.col(event) == 1).cast("int").alias("e"),
@@ -93,7 +94,7 @@ def cox_data(
     pieced = with_piece(base, "t", cuts.cuts, "piece")
     single = F.col("piece").isin(*sorted(cuts.isolated)) if cuts.isolated else F.lit(False)
     salted = pieced.withColumn("salt", F.when(single, F.pmod(F.xxhash64("x"), F.lit(SALTS))).otherwise(0).cast("int"))
-    width = len(df.select(features).first()[0])
+    width = width or len(df.select(features).first()[0])
     tasks = max(1, cuts.rows * width // CELLS_PER_TASK)
     parts = min(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     entries = (
@@ -382,7 +383,9 @@ def fit_one(
     df: DataFrame, alpha: float = 1.0, l1_ratio: float = 0.0, maxiter: int = 400, clip: float = 40.0, **columns: str | None
 ) -> Fit:
     """Ridge (l1_ratio 0) or elastic-net model on one data set; pass ``start=`` for (start, stop] rows."""
-    data = cox_data(df, **columns)
+    named = {"stop": "OS_MONTHS", "event": "OS_EVENT", "features": "features", "start": None, **columns}
+    # The design is written once: cut points and entries both read it.
+    data = cox_data(cut_lineage(df.select(*[c for c in named.values() if c])), **named)
     try:
         return fit_models(data, [Problem(0, alpha, l1_ratio)], maxiter, clip)[0]
     finally:

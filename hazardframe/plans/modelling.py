@@ -79,7 +79,7 @@ def train_and_calibrate(
     spaces = features.fit_spaces(train, layout)
     space = spaces[features.ALL]
     with kept(features.with_features(rows, layout, spaces)) as design:
-        data = cox.cox_data(design.where(F.col("split") == "train"))
+        data = cox.cox_data(design.where(F.col("split") == "train"), width=len(space.names))
         try:
             fit = cox.fit_models(data, [cox.Problem(0, *penalty, label="final")], maxiter)[0]
         finally:

@@ -83,7 +83,7 @@ def cross_validate(
         layout = features.discover_layout(folded, clinical, expression=expression)
         spaces = features.fit_spaces(folded, layout, "fold", k, components)
         problems = [cox.Problem(g, a, r, label=f"{a}|{r}") for a in alphas for r in l1_ratios for g in range(k)]
-        data = cox.cox_data(features.training_rows(folded, layout, spaces), time, event, group="g")
+        data = cox.cox_data(features.training_rows(folded, layout, spaces), time, event, group="g", width=len(spaces[0].names))
         try:
             fits = cox.fit_models(data, problems, maxiter)
         finally:
@@ -112,7 +112,7 @@ def _ablate(folded: DataFrame, layout: features.Layout, k: int, maxiter: int, cl
             continue
         active = tuple(b in wanted for b in blocks)
         problems += [cox.Problem(g, alpha, 0.0, active, name) for g in range(k)]
-    data = cox.cox_data(features.training_rows(folded, layout, spaces), group="g", **cox_columns)
+    data = cox.cox_data(features.training_rows(folded, layout, spaces), group="g", width=len(blocks), **cox_columns)
     try:
         fits = cox.fit_models(data, problems, maxiter, clip)
     finally:
