@@ -11,6 +11,7 @@ from hazardframe.catalog.clinical import rounded_all
 from hazardframe.catalog.registry import Tables, query
 from hazardframe.operators import cohort, concordance, cox, intervals, ordered
 from hazardframe.plans import tuning
+from hazardframe.session import cut_lineage
 
 
 @query(V.sql("scored", """
@@ -82,7 +83,7 @@ SELECT r6(sum(eta - ln(s0));) AS loglik, r6(sum(a - sa / s0);) AS g_age, r6(sum(
 FROM w JOIN sets ON tm = u WHERE e = 1"""))
 def cox_loglik_gradient(t: Tables) -> DataFrame:
     """Log partial likelihood and gradient at fixed coefficients."""
-    return _likelihood_row(t, cox.cox_data(_numeric_design(t)))
+    return _likelihood_row(t, cox.cox_data(_numeric_design(t), width=3))
 
 
 def _interval_design(t: Tables) -> DataFrame:
@@ -99,7 +100,8 @@ SELECT r6(sum(eta - ln(s0));) AS loglik, r6(sum(a - sa / s0);) AS g_age, r6(sum(
 FROM w JOIN sets ON t1 = u WHERE e = 1"""))
 def interval_loglik_gradient(t: Tables) -> DataFrame:
     """The same on (start, stop] rows."""
-    return _likelihood_row(t, cox.cox_data(_interval_design(t), "T_STOP", "EVENT", start="T_START"))
+    design = cut_lineage(_interval_design(t).select("T_START", "T_STOP", "EVENT", "features"))
+    return _likelihood_row(t, cox.cox_data(design, "T_STOP", "EVENT", start="T_START", width=3))
 
 
 _NAMES = ["AGE/100", "SEX", "risk"]
@@ -125,8 +127,8 @@ def tv_cox_fit(t: Tables) -> DataFrame:
 
 
 def model_rows(t: Tables) -> DataFrame:
-    """Patients with an endpoint and their omic blocks, for the model queries."""
-    return cohort.survival_endpoint(SM.multiomic_table(t, top_n=20))
+    """Patients with an endpoint and their omic blocks, written once for the model queries."""
+    return cut_lineage(cohort.survival_endpoint(SM.multiomic_table(t, top_n=20)))
 
 
 @query()

@@ -142,8 +142,9 @@ def interval_index(t: Tables) -> DataFrame:
 SELECT "PATIENT_ID", "SAMPLE_DAY", "SAMPLE_ID", "SAMPLE_TYPE_CODE", "IS_PRIMARY", "MUTATION_BURDEN" FROM anchored WHERE "SAMPLE_ID" IS NULL"""))
 def day0_anchor(t: Tables) -> DataFrame:
     patients, samples = interval_inputs(t)
-    rows = intervals.with_day0_anchor(intervals.one_per_day(intervals.samples_or_baseline(patients, samples)))
-    return rows.where(F.col("SAMPLE_ID").isNull()).select(
+    rows = intervals.one_per_day(intervals.samples_or_baseline(patients, samples))
+    without_id = rows.where(F.col("SAMPLE_ID").isNull()).unionByName(intervals.day0_anchors(rows))
+    return without_id.select(
         "PATIENT_ID", "SAMPLE_DAY", "SAMPLE_ID", "SAMPLE_TYPE_CODE", "IS_PRIMARY", "MUTATION_BURDEN"
     )
 

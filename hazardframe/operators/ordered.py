@@ -87,6 +87,7 @@ def ordered_columns(
     sums: Mapping[str, str] | None = None,
     mins: Mapping[str, str] | None = None,
     totals: Mapping[str, str] | None = None,
+    lows: Mapping[str, str] | None = None,
     index: str | None = None,
     size: str | None = None,
     following: Mapping[str, str] | None = None,
@@ -95,11 +96,12 @@ def ordered_columns(
 ) -> DataFrame:
     """Add ordered columns to rows that already carry a piece number.
 
-    ``sums`` and ``mins`` are running values up to and including the row, ``totals`` sums over the whole key,
-    ``index`` the 0-based position, ``size`` the row count of the key, ``following`` the next row's value.
+    ``sums`` and ``mins`` are running values up to and including the row, ``totals`` and ``lows`` sums and
+    minima over the whole key, ``index`` the 0-based position, ``size`` the row count of the key, ``following`` the next row's value.
     """
     keys = list(keys)
     sums, mins, totals, following = dict(sums or {}), dict(mins or {}), dict(totals or {}), dict(following or {})
+    lows = dict(lows or {})
     flip = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     row_order = [flip(c) for c in order]
 
@@ -107,6 +109,7 @@ def ordered_columns(
     aggs += [F.sum(c).alias(f"_s_{o}") for o, c in sums.items()]
     aggs += [F.min(c).alias(f"_m_{o}") for o, c in mins.items()]
     aggs += [F.sum(c).alias(f"_t_{o}") for o, c in totals.items()]
+    aggs += [F.min(c).alias(f"_l_{o}") for o, c in lows.items()]
     first = F.max if descending else F.min
     aggs += [first(F.struct(*order, F.col(c).alias("_v"))).getField("_v").alias(f"_f_{o}") for o, c in following.items()]
     summary = df.groupBy(*keys, piece).agg(*aggs)
@@ -123,6 +126,7 @@ def ordered_columns(
     extra += [F.sum(f"_s_{o}").over(earlier).alias(f"_s0_{o}") for o in sums]
     extra += [F.min(f"_m_{o}").over(earlier).alias(f"_m0_{o}") for o in mins]
     extra += [F.sum(f"_t_{o}").over(whole).alias(o) for o in totals]
+    extra += [F.min(f"_l_{o}").over(whole).alias(o) for o in lows]
     extra += [F.lead(f"_f_{o}").over(by_piece).alias(f"_f0_{o}") for o in following]
     offsets = summary.select(*keys, piece, *extra)
 
@@ -136,7 +140,7 @@ def ordered_columns(
         out.append(F.col(size))
     out += [(F.sum(c).over(running) + F.coalesce(F.col(f"_s0_{o}"), F.lit(0))).alias(o) for o, c in sums.items()]
     out += [F.least(F.min(c).over(running), F.col(f"_m0_{o}")).alias(o) for o, c in mins.items()]
-    out += [F.col(o) for o in totals]
+    out += [F.col(o) for o in [*totals, *lows]]
     out += [
         F.when(F.lead(F.lit(1)).over(local).isNotNull(), F.lead(c).over(local)).otherwise(F.col(f"_f0_{o}")).alias(o)
         for o, c in following.items()

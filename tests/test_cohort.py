@@ -24,7 +24,7 @@ def test_to_number(spark, text, number):
 
 
 @pytest.mark.parametrize(
-    "raw,norm,code", [("tcga-02-0001-01-a", "TCGA-02-0001-01", "01"), ("ab-c", "AB-C", "00"), ("a-b-c-06", "A-B-C-06", "06")]
+    "raw,norm,code", [("st-02-0001-01-a", "ST-02-0001-01", "01"), ("ab-c", "AB-C", "00"), ("a-b-c-06", "A-B-C-06", "06")]
 )
 def test_barcodes(spark, raw, norm, code):
     assert one(spark, S.normalise_barcode("v"), raw) == norm
