@@ -83,12 +83,12 @@ def post_outcome_filter(t: Tables) -> DataFrame:
     return rounded_all(kept.select("SAMPLE_ID", "SAMPLE_DAY", "OS_DAYS"))
 
 
-# Follow-up is cut to 80 % and samples of every third patient are left out, so that samples after the outcome, patients
-# without samples, and patients whose first sample is late all occur.
+# Follow-up is shortened and the samples of two patients in three are moved later, so that samples after the outcome,
+# patients without a usable sample, and patients whose first sample is late all occur.
 _PATIENT_SQL = """patients AS (SELECT "PATIENT_ID", "CANCER_TYPE", "AGE", "SEX", "OS_DAYS" * CAST(0.8 AS DOUBLE) AS "OS_DAYS", "OS_EVENT" FROM endpoint),
 samples AS (SELECT s."PATIENT_ID", s."CANCER_TYPE", s.o_orderkey, s."SAMPLE_ID", s."SAMPLE_ID_NORM", s."SAMPLE_TYPE_CODE", s."IS_PRIMARY",
-                   s."SAMPLE_DAY" + 40 * (s."PATIENT_ID" % 2) AS "SAMPLE_DAY"
-            FROM sample_metadata s WHERE s."PATIENT_ID" % 3 <> 0),
+                   s."SAMPLE_DAY" + 400 * (s."PATIENT_ID" % 3) AS "SAMPLE_DAY"
+            FROM sample_metadata s),
 burden AS (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY 1),
 kept AS (SELECT s.*, coalesce(b.c, 0) AS "MUTATION_BURDEN" FROM samples s JOIN patients p ON s."PATIENT_ID" = p."PATIENT_ID"
          LEFT JOIN burden b ON b.l_orderkey = s.o_orderkey WHERE "SAMPLE_DAY" <= "OS_DAYS" + 1e-6),
@@ -111,8 +111,7 @@ def interval_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
         "PATIENT_ID", "CANCER_TYPE", "AGE", "SEX", (F.col("OS_DAYS") * 0.8).alias("OS_DAYS"), "OS_EVENT"
     )
     burden = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("MUTATION_BURDEN"))
-    samples = V.sample_metadata(t).where(F.col("PATIENT_ID") % 3 != 0)
-    samples = samples.withColumn("SAMPLE_DAY", F.col("SAMPLE_DAY") + 40 * (F.col("PATIENT_ID") % 2))
+    samples = V.sample_metadata(t).withColumn("SAMPLE_DAY", F.col("SAMPLE_DAY") + 400 * (F.col("PATIENT_ID") % 3))
     kept = cohort.drop_post_outcome(samples.join(patients.select("PATIENT_ID", "OS_DAYS"), "PATIENT_ID"))
     kept = kept.join(burden, "o_orderkey", "left").withColumn("MUTATION_BURDEN", F.coalesce("MUTATION_BURDEN", F.lit(0)))
     return patients, kept.drop("OS_DAYS")
@@ -316,7 +315,7 @@ def _calls_by_sample(t: Tables) -> DataFrame:
 def multiomic_table(t: Tables, top_n: int = 5) -> DataFrame:
     clinical = V.patient(t).select("PATIENT_ID", "CANCER_TYPE", "AGE", "SEX", "OS_MONTHS", "OS_EVENT")
     return feature_tables.patient_multiomic(
-        clinical, V.sample_metadata(t), _calls_by_sample(t).where(F.crc32("Tumor_Sample_Barcode") % 4 != 0),
+        clinical, V.sample_metadata(t), _calls_by_sample(t),
         _omics_by_sample(t, V.expression_long(t), "SAMPLE_ID"), _omics_by_sample(t, V.cna_long(t), "SAMPLE_ID"), top_n,
     )
 
