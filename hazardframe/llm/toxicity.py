@@ -23,7 +23,8 @@ from hazardframe.llm import textblocks as tb
 
 MAX_TRAINING_ROWS = 20_000
 MAX_ENTRIES = 5_000
-PREFIX_LENGTHS = (4, 5, 6)
+PREFIX_LENGTHS = (4, 5, 6, 7, 8)
+MIN_PRECISION = 0.5
 
 # Closed word classes of the grammar in English, German, French and Spanish.
 TARGETS = "you your yours u ur du dich dir dein deine ihr euch euer tu te toi ton ta vous votre vos tú ti tus usted ustedes vosotros they them she him her he sie ihn ils elles ellos ellas".split()
@@ -212,7 +213,7 @@ def learn_lexicon(rows: DataFrame, text: str, label: str, max_entries: int = MAX
     """Word forms and word beginnings whose texts are toxic far beyond chance, with their log odds.
 
     Counted as texts per form on Spark. A form stays when its log-likelihood ratio exceeds the logarithm of the number
-    of forms tried by 2 and at least nine in ten of its texts are toxic. At most ``max_entries`` forms, strongest first.
+    of forms tried by 2 and at least MIN_PRECISION of its texts are toxic. At most ``max_entries`` forms, strongest first.
     """
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: F.length(w) > 2))
     begins = F.flatten(F.transform(words, lambda w: F.array(*[
@@ -231,7 +232,7 @@ def learn_lexicon(rows: DataFrame, text: str, label: str, max_entries: int = MAX
     ratio = F.col("pos") * F.log(F.col("pos") / (F.col("n") * rate)) + F.when(neg > 0, neg * F.log(neg / (F.col("n") * (1 - rate)))).otherwise(0.0)
     odds = F.log((F.col("pos") + 0.5) / (positives + 1)) - F.log((neg + 0.5) / (all_rows - positives + 1))
     found = (
-        counts.where((F.col("pos") > 1) & (F.col("pos") >= 0.9 * F.col("n"))).withColumn("llr", ratio).withColumn("odds", odds)
+        counts.where((F.col("pos") > 1) & (F.col("pos") >= MIN_PRECISION * F.col("n"))).withColumn("llr", ratio).withColumn("odds", odds)
         .where(F.col("llr") > math.log(max(tried, 2)) + 2).orderBy(F.col("llr").desc(), "form").limit(max_entries).collect()
     )
     entries = {r["form"]: float(r["odds"]) for r in found}
