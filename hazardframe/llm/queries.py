@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import mixing, quality, toxicity
+from hazardframe.llm import mixing, quality, storage, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +98,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        ({quality.verdict_sql(quality.BASE_RULES)}) AND ({quality.verdict_sql(quality.RULES)}) AS kept
 FROM figures
 """
+
+
+@query
+def op2_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids, written in the packed format in order of doc_id and read back."""
+    path = storage.shared_folder(spark, "token-ids")
+    encoded = tokenfile.encode_texts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    tokenfile.write_ids(encoded, path, vocabulary=50_257)
+    return tokenfile.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a WARC record, repeated payloads as revisits, read back from the archives."""
+    path = storage.shared_folder(spark, "warc")
+    warc.write_warc(warc.with_revisits(table(spark, folder, "pages")), path)
+    records = warc.read_warc(spark, path)
+    stored = F.col("record_type") == "response"
+    return records.select(
+        warc.page_number(F.col("record_id")).alias("page_id"),
+        F.when(stored, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(stored, F.sha1("payload")).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
+        "record_type",
+        warc.page_number(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+ORACLES["op3_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+d AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS keeper FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM d
+"""
