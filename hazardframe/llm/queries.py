@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import mixing, quality, storage, tokenfile, toxicity, warc
+from hazardframe.llm import mixing, pii, quality, storage, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,11 @@ SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
        CASE WHEN keeper <> page_id THEN keeper END AS refers_to
 FROM d
 """
+
+
+@query
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: the base patterns and what the field adds."""
+    documents = table(spark, folder, "documents")
+    found = pii.personal_data(documents, pii.fit_field(documents))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
