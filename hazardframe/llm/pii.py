@@ -264,7 +264,8 @@ def fit_field(df: DataFrame, text: str = "text") -> FieldModel:
             chain[a, b] += n
         else:
             skip[a] += n
-    prior = (shapes.sum(axis=0) + 1) / (shapes.sum() + m)
+    # A shape that no base span has shown is most likely no personal data.
+    prior = np.append(0.96, np.full(m - 1, 0.04 / (m - 1)))
     unary = np.log((shapes + prior) / (shapes.sum(axis=1, keepdims=True) + 1))
     pairs = (chain + 1) / (chain.sum() + m * m)
     ratio = np.log(pairs / (pairs.sum(axis=1, keepdims=True) * pairs.sum(axis=0, keepdims=True)))
