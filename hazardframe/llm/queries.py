@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import mixing, pii, quality, storage, tokenfile, toxicity, warc
+from hazardframe.llm import decontaminate, mixing, ordermin, pii, quality, storage, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,15 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     found = pii.personal_data(documents, pii.fit_field(documents))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+@query
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, literally or edited, with the alignment's score and place."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return ordermin.near_duplicate_classes(table(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "class_id")
