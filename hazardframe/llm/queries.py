@@ -65,7 +65,7 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     labels = table(spark, folder, "labels").where(~held_out).select("doc_id", "toxic")
-    model = toxicity.fit_toxicity(documents.join(labels, "doc_id"))
+    model = toxicity.fit_toxicity(documents, labels)
     scored = toxicity.score_toxicity(documents, model, keep=["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 

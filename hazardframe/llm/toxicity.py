@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from hazardframe.llm import textblocks as tb
+from hazardframe.llm.storage import delete_table, write_table
 
 MAX_TRAINING_ROWS = 20_000
 MAX_ENTRIES = 5_000
@@ -204,29 +205,35 @@ def squash(features: np.ndarray) -> np.ndarray:
     return np.log1p(features)
 
 
-def training_rows(df: DataFrame, id_column: str, label: str, limit: int) -> DataFrame:
-    """The labelled rows in hash order, at most ``limit`` of them (a documented bound of the model, not of the scoring)."""
-    return df.where(F.col(label).isNotNull()).orderBy(F.xxhash64(F.col(id_column).cast("string")), id_column).limit(limit)
+def training_rows(documents: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, limit: int) -> DataFrame:
+    """Texts (t) and labels (y) of at most ``limit`` labelled ids, the first in hash order: a documented bound of the
+    model, not of the scoring. The chosen ids are few by that bound, so they are sent to the scan of the texts. Of several labels
+    for an id the largest counts."""
+    known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
+    known = known.groupBy(F.col(id_column).alias("_t_id")).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("y"))
+    chosen = known.orderBy(F.xxhash64(F.col("_t_id").cast("string")), "_t_id").limit(limit)
+    texts = documents.select(F.col(id_column).alias("_t_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return texts.join(F.broadcast(chosen), "_t_id").select("t", "y")
 
 
-def learn_lexicon(rows: DataFrame, text: str, label: str, max_entries: int = MAX_ENTRIES) -> tuple[dict[str, float], dict[str, float]]:
+def learn_lexicon(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> tuple[dict[str, float], dict[str, float]]:
     """Word forms and word beginnings whose texts are toxic far beyond chance, with their log odds.
 
     Counted as texts per form on Spark. A form stays when its log-likelihood ratio exceeds the logarithm of the number
     of forms tried by 2 and at least MIN_PRECISION of its texts are toxic. At most ``max_entries`` forms, strongest first.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: F.length(w) > 2))
+    words = F.array_distinct(F.filter(F.split(F.lower("t"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: F.length(w) > 2))
     begins = F.flatten(F.transform(words, lambda w: F.array(*[
         F.when(F.length(w) >= n, F.concat(F.substring(w, 1, n), F.lit("*"))) for n in PREFIX_LENGTHS
     ])))
     forms = F.explode(F.array_distinct(F.array_compact(F.concat(words, begins))))
-    toxic = F.when(F.col(label) > 0, 1).otherwise(0)
-    counts = rows.select(toxic.alias("t"), forms.alias("form")).groupBy("form").agg(F.sum("t").alias("pos"), F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.sum(toxic).alias("pos"), F.count(F.lit(1)).alias("n")).first()
+    counts = rows.select("y", forms.alias("form")).groupBy("form").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts, path = write_table(counts, "forms")
+    total = rows.agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).first()
     positives, all_rows = total["pos"] or 0, total["n"]
     if not positives or positives == all_rows:
         return {}, {}
-    tried = counts.where("n > 1").agg(F.count(F.lit(1))).first()[0]
+    tried = counts.count()
     rate = positives / all_rows
     neg = F.col("n") - F.col("pos")
     ratio = F.col("pos") * F.log(F.col("pos") / (F.col("n") * rate)) + F.when(neg > 0, neg * F.log(neg / (F.col("n") * (1 - rate)))).otherwise(0.0)
@@ -235,6 +242,7 @@ def learn_lexicon(rows: DataFrame, text: str, label: str, max_entries: int = MAX
         counts.where((F.col("pos") > 1) & (F.col("pos") >= MIN_PRECISION * F.col("n"))).withColumn("llr", ratio).withColumn("odds", odds)
         .where(F.col("llr") > math.log(max(tried, 2)) + 2).orderBy(F.col("llr").desc(), "form").limit(max_entries).collect()
     )
+    delete_table(rows.sparkSession, path)
     entries = {r["form"]: float(r["odds"]) for r in found}
     return {f: v for f, v in entries.items() if not f.endswith("*")}, {f[:-1]: v for f, v in entries.items() if f.endswith("*")}
 
@@ -256,10 +264,12 @@ def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndar
     return beta[:-1], float(beta[-1])
 
 
-def fit_toxicity(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_TRAINING_ROWS) -> ToxicityModel:
-    """Learn the vocabulary and the weights of the uses. Only texts and labels are read; the id orders the sample."""
-    rows = training_rows(labelled.select(id_column, text, label), id_column, label, max_rows)
-    words, prefixes = learn_lexicon(rows, text, label)
+def fit_toxicity(
+    documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_TRAINING_ROWS
+) -> ToxicityModel:
+    """Learn the vocabulary and the weights of the uses. Only ids, texts and labels are read; ids only find the texts."""
+    rows, path = write_table(training_rows(documents, labels, id_column, text, label, max_rows), "training")
+    words, prefixes = learn_lexicon(rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(words, prefixes)
@@ -269,7 +279,8 @@ def fit_toxicity(labelled: DataFrame, id_column: str = "doc_id", text: str = "te
 
     schema = "y double, " + ", ".join(f"{u} double" for u in USES)
     # At most max_rows rows of a few numbers.
-    got = rows.select(text, F.when(F.col(label) > 0, 1.0).otherwise(0.0).alias("y")).mapInArrow(measure, schema).toPandas()
+    got = rows.select("t", F.col("y").cast("double")).limit(max_rows).mapInArrow(measure, schema).toPandas()
+    delete_table(rows.sparkSession, path)
     if got.empty:
         return ToxicityModel(words, prefixes, PRIOR.copy(), -3.0)
     weights, bias = fit_weights(got[list(USES)].to_numpy(float), got["y"].to_numpy(float))
