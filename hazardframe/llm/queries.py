@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import decontaminate, mixing, ordermin, pii, quality, storage, tokenfile, toxicity, warc
+from hazardframe.llm import backoff, decontaminate, mixing, ordermin, pii, quality, storage, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,10 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return ordermin.near_duplicate_classes(table(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "class_id")
+
+
+@query
+def op7_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Stupid-backoff score of every document under all other documents."""
+    scores = backoff.backoff_scores(table(spark, folder, "documents"))
+    return scores.select(F.col("id").alias("doc_id"), "n_words", "log_score", "mean_log_score")
