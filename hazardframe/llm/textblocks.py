@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 # White space of the word patterns: tab to carriage return, and the blank.
 WHITE = np.zeros(256, bool)

@@ -13,6 +13,7 @@ import json
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,10 +36,8 @@ READ_IDS = 1 << 21
 
 # --- encoding -------------------------------------------------------------------------------------------------------
 
-_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 MAX_PIECE = 64
-MAX_CACHED = 300_000
+MAX_CACHED = 120_000  # pieces remembered in each of two generations
 
 
 def _byte_characters() -> dict[int, str]:
@@ -68,12 +67,14 @@ class Encoder:
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in kind["added_tokens"])
         )
         self.characters = _byte_characters()
-        self.known: dict[int, bytes] = {}
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+        self.stop_ids = [b"", *(array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ",.")]
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text. NULL is an empty text."""
         parts, counts = [], []
-        for lo, hi in tb.slices(texts):
+        for lo, hi in tb.slices(texts, 2 << 20):
             ids, n = self._cut(texts.slice(lo, hi - lo)) if self.cuttable else self._whole(texts.slice(lo, hi - lo))
             if end_id is not None:
                 at = np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)
@@ -96,48 +97,59 @@ class Encoder:
         ends = np.append(starts[1:], len(data))
         key = tb.range_hash(tb.prefix_hash(data), starts, np.minimum(ends, starts + MAX_PIECE))
         long = np.flatnonzero(ends - starts > MAX_PIECE)
-        key[long] = np.arange(1, len(long) + 1, dtype=np.uint64)  # never taken for another piece
+        key[long] = np.arange(len(long), dtype=np.uint64)  # never taken for another piece, and never remembered
         keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        if len(self.known) + len(keys) > MAX_CACHED:
-            self.known.clear()
-        known, found, missing = self.known, [], []
-        for k, (h, i) in enumerate(zip(keys.tolist(), first.tolist())):
-            got = known.get(h) if h > len(long) else None
-            if got is None:
-                got = self._plain(raw[starts[i] : ends[i]])
-                if got is None:
-                    missing.append(k)
-                elif h > len(long):
-                    known[h] = got
-            found.append(got)
-        if missing:
-            pieces = [raw[starts[first[k]] : ends[first[k]]].decode() for k in missing]
-            for k, e in zip(missing, self.tokenizer.encode_batch(pieces, add_special_tokens=False)):
-                found[k] = np.array(e.ids, "<u4").tobytes()
-                if keys[k] > len(long):
-                    known[int(keys[k])] = found[k]
+        raw, ends, begins = data.tobytes(), ends[first], starts[first]
+        found = [self.young.get(h) or self.old.get(h) for h in keys.tolist()] if len(long) == 0 else [
+            None if h < len(long) else self.young.get(h) or self.old.get(h) for h in keys.tolist()
+        ]
+        missing = np.array([k for k, got in enumerate(found) if got is None], np.int64)
+        words, stops, rest = self._plain(data, begins, ends, missing)
+        if len(words):
+            # Blanks and letters in the byte-level alphabet, all at once; the line break only keeps them apart.
+            spelled = b"\n".join([raw[begins[k] : e] for k, e in words]).decode("latin-1").translate(self.characters).split(self.characters[10])
+            tokenize = self.tokenizer.model.tokenize
+            for (k, _), word, stop in zip(words, spelled, stops):
+                found[k] = array("I", [t.id for t in tokenize(word)]).tobytes() + self.stop_ids[stop]
+        if len(rest):
+            pieces = [raw[begins[k] : ends[k]].decode() for k in rest]
+            for k, e in zip(rest, self.tokenizer.encode_batch(pieces, add_special_tokens=False)):
+                found[k] = array("I", e.ids).tobytes()
+        if len(self.young) > MAX_CACHED:
+            self.old, self.young = self.young, {}
+        self.young.update((h, got) for h, got in zip(keys.tolist(), found) if h >= len(long))
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        table = np.frombuffer(b"".join(found), "<u4")
+        table = np.frombuffer(b"".join(found), np.uint32)
         begin = np.cumsum(sizes) - sizes
         n = sizes[inverse]
         ids = table[np.repeat(begin[inverse], n) + tb.segment_arange(n)]
         upto = np.concatenate([[0], np.cumsum(n)])
-        return ids.astype(np.uint32), np.diff(upto[np.searchsorted(starts, offsets)])
-
-    def _plain(self, piece: bytes) -> bytes | None:
-        """A word of letters with at most a full stop or comma behind it is one or two tokens' worth of merges: the
-        model is asked directly."""
-        match = _PLAIN.fullmatch(piece.decode())
-        if not match:
-            return None
-        word, stop = match.groups()
-        tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.characters))
-        if stop:
-            tokens += self.tokenizer.model.tokenize(stop)
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-
-
+        return ids, np.diff(upto[np.searchsorted(starts, offsets)])
+
+    def _plain(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, missing: np.ndarray):
+        """Of the missing pieces, those that are a word of letters (with a blank before it or a full stop or comma behind
+        it): such a word is a single unit of merges, so the model can be asked directly. The words with their ends, the
+        stop behind each, and the other pieces."""
+        letter = _ASCII_LETTER[data]
+        pair = (data[:-1] == 0xC3) & _LETTER_BEHIND_C3[data[1:]]
+        letter[:-1] |= pair
+        letter[1:] |= pair
+        others = np.concatenate([[0], np.cumsum(~letter)])
+        s, e = begins[missing], ends[missing]
+        inner = s + (data[s] == 32)
+        last = data[e - 1]
+        stop = np.where((last == 44) & (e - 1 > inner), 1, np.where((last == 46) & (e - 1 > inner), 2, 0))
+        to = e - (stop > 0)
+        plain = (to > inner) & (others[to] == others[np.minimum(inner, to)])
+        return list(zip(missing[plain].tolist(), to[plain].tolist())), stop[plain].tolist(), missing[~plain].tolist()
+
+
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+# Second bytes of the letters from U+00C0 to U+00FF: all but the multiplication and division signs.
+_LETTER_BEHIND_C3 = np.zeros(256, bool)
+_LETTER_BEHIND_C3[0x80:0xC0] = True
+_LETTER_BEHIND_C3[[0x97, 0xB7]] = False
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[33:127] = True
 # First bytes of characters none of which is white space.
@@ -178,7 +190,7 @@ def encode_texts(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in tb.slices(batch.column(1), 16 << 20):
+            for lo, hi in tb.slices(batch.column(1), 4 << 20):
                 ids, counts = encoder(tokenizer).encode(batch.column(1).slice(lo, hi - lo), end_id)
                 at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * np.int32(4)
                 packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(ids.astype("<u4"))])
