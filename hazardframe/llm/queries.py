@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import backoff, decontaminate, mixing, ordermin, pii, quality, storage, tokenfile, toxicity, warc
+from hazardframe.llm import backoff, bwt, decontaminate, mixing, ordermin, pii, quality, storage, tokenfile, toxicity, warc
 
 ARROW_BATCH_BYTES = 4 << 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,12 @@ def op7_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Stupid-backoff score of every document under all other documents."""
     scores = backoff.backoff_scores(table(spark, folder, "documents"))
     return scores.select(F.col("id").alias("doc_id"), "n_words", "log_score", "mean_log_score")
+
+
+@query
+def op6_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes that 100-byte strings with an earlier copy cover."""
+    cut = bwt.remove_repeats(table(spark, folder, "documents"))
+    return cut.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
