@@ -112,10 +112,14 @@ def first_words(text: Column, words: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), words), "")
 
 
-def emit(mixed: DataFrame, size: str, text: str = "text") -> DataFrame:
-    """The mix itself: a row for each copy, the partial copy cut after its last word taken. Drops the mix columns."""
+def emit(mixed: DataFrame, size: str, row: str, text: str = "text") -> DataFrame:
+    """The mix itself: the fields of the struct column ``row`` once for each copy, the text of the partial copy cut after
+    its last word taken."""
     copies = F.when(F.col("part") > 0, F.col("epochs") + 1).otherwise(F.col("epochs")).cast("int")
-    rows = mixed.where(copies > 0).withColumn("_m_copy", F.explode(F.sequence(F.lit(1), copies)))
+    rows = mixed.where(copies > 0).select(row, size, "epochs", "part", F.explode(F.sequence(F.lit(1), copies)).alias("_m_copy"))
     cut = (F.col("_m_copy") > F.col("epochs")) & (F.col("part") < F.col(size))
-    out = rows.withColumn(text, F.when(cut, first_words(F.col(text), F.col("part").cast("int"))).otherwise(F.col(text)))
-    return out.drop("_m_copy", "source_size", "target", "taken", "epochs", "part")
+    whole = F.col(row)[text]
+    fields = mixed.schema[row].dataType.names
+    return rows.select(*[
+        (F.when(cut, first_words(whole, F.col("part").cast("int"))).otherwise(whole) if c == text else F.col(row)[c]).alias(c) for c in fields
+    ])
