@@ -22,8 +22,8 @@ SEED_WORDS = 3
 MIN_RARITY = 10.0  # summed log(texts / texts with the seed) of a window's seeds
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Seeds up to this number travel with the scan as a sorted array of 16 bytes each; more are joined by a shuffle.
-MAX_CARRIED_SEEDS = 2_000_000
+#: Seeds up to this number travel with the scan as sorted arrays of 28 bytes each; more are joined by a shuffle.
+MAX_CARRIED_SEEDS = 500_000
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +36,8 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """item_id and the item's word hashes (binary, 8 bytes a word), items without words left out."""
+    """item (a key that is never NULL), item_id and the item's word hashes (binary, 8 bytes a word), items without words
+    left out, repeated ones once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,11 +47,12 @@ def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
             )
 
     rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "item_id bigint, words binary").where(F.octet_length("words") > 0).dropDuplicates()
+    found = rows.mapInArrow(run, "item_id bigint, words binary").where(F.octet_length("words") > 0).dropDuplicates()
+    return found.withColumn("item", F.xxhash64("item_id", "words"))
 
 
 def item_seeds(words: DataFrame, n: int = SEED_WORDS) -> DataFrame:
-    """seed, item_id, offset and length of the item: one row per n-gram of each item. Items shorter than n words are one
+    """seed, item, offset and length of the item: one row per n-gram of each item. Items shorter than n words are one
     seed of what they have (``size`` tells how many words the seed spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,13 +69,13 @@ def item_seeds(words: DataFrame, n: int = SEED_WORDS) -> DataFrame:
                 size += [k] * len(g)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(seeds, pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(length, pa.int32()), pa.array(size, pa.int32())],
-                names=["seed", "item_id", "at", "length", "size"],
+                names=["seed", "item", "at", "length", "size"],
             )
 
-    return words.mapInArrow(run, "seed bigint, item_id bigint, at int, length int, size int")
+    return words.select("item", "words").mapInArrow(run, "seed bigint, item bigint, at int, length int, size int")
 
 
-WINDOW_SCHEMA = "row long, item_id bigint, first_word int, words binary, seeds array<bigint>"
+WINDOW_SCHEMA = "row long, item bigint, first_word int, words binary, seeds array<bigint>"
 
 
 def _windows(words: np.ndarray, hits: list[tuple[int, int, int, int, int]]) -> Iterator[tuple[int, int, bytes, list[int]]]:
@@ -94,11 +96,11 @@ def _windows(words: np.ndarray, hits: list[tuple[int, int, int, int, int]]) -> I
 
 def _carried_hits(texts: DataFrame, seeds: DataFrame) -> DataFrame:
     """Windows by a scan that carries the seeds (a checked number) with it. No shuffle of texts."""
-    rows = seeds.orderBy("seed", "item_id", "at").toPandas()
+    rows = seeds.orderBy("seed", "item", "at").toPandas()
     table = rows["seed"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(table, kind="stable")
     table = table[order]
-    item, at, length, size = (rows[c].to_numpy()[order] for c in ("item_id", "at", "length", "size"))
+    item, at, length, size = (rows[c].to_numpy()[order] for c in ("item", "at", "length", "size"))
     sizes = sorted(set(size.tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +123,7 @@ def _carried_hits(texts: DataFrame, seeds: DataFrame) -> DataFrame:
                                 found.setdefault(d, []).append((p - int(first[d]), int(item[j]), int(at[j]), int(length[j]), int(table[j].view(np.int64))))
                 for d, hits in found.items():
                     out += [(lo + d, *w) for w in _windows(words[first[d] : first[d + 1]], hits)]
-            names = ["row", "item_id", "first_word", "words", "seeds"]
+            names = ["row", "item", "first_word", "words", "seeds"]
             types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
             columns = [pa.array([o[i] for o in out], t) for i, t in enumerate(types)]
             columns[0] = batch.column(0).take(columns[0])
@@ -134,6 +136,7 @@ def _joined_hits(texts: DataFrame, seeds: DataFrame) -> DataFrame:
     """Windows where the seeds are too many to carry: the texts' n-grams are joined to them by a shuffle, and the texts
     with a hit are read again for their windows."""
 
+    keyed = texts.withColumn("k", F.xxhash64("row", "text"))  # rows with equal or NULL ids stay apart
     sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,21 +151,21 @@ def _joined_hits(texts: DataFrame, seeds: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([
                         batch.column(0).take(pa.array(d[whole] + lo)), pa.array((p - first[d])[whole].astype(np.int32)),
                         pa.array(np.full(whole.sum(), k, np.int32)), pa.array(g[whole].view(np.int64)),
-                    ], names=["row", "pos", "size", "seed"])
+                    ], names=["k", "pos", "size", "seed"])
 
-    hits = texts.mapInArrow(grams, "row long, pos int, size int, seed bigint").join(seeds, ["seed", "size"])
-    per_text = hits.groupBy("row").agg(F.collect_list(F.struct("pos", "item_id", "at", "length", "seed")).alias("hits"))
+    hits = keyed.select("k", "text").mapInArrow(grams, "k long, pos int, size int, seed bigint").join(seeds, ["seed", "size"])
+    per_text = hits.groupBy("k").agg(F.collect_list(F.struct("pos", "item", "at", "length", "seed")).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row, text, hits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 words, _ = word_hashes(pa.array([text.as_py()], pa.string()))
-                out += [(row, *w) for w in _windows(words, [(h["pos"], h["item_id"], h["at"], h["length"], h["seed"]) for h in hits])]
+                out += [(row, *w) for w in _windows(words, [(h["pos"], h["item"], h["at"], h["length"], h["seed"]) for h in hits])]
             types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=["row", "item_id", "first_word", "words", "seeds"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=["row", "item", "first_word", "words", "seeds"])
 
-    return texts.join(per_text, "row").select("row", "text", "hits").mapInArrow(run, WINDOW_SCHEMA)
+    return keyed.join(per_text, "k").select("row", "text", "hits").mapInArrow(run, WINDOW_SCHEMA)
 
 
 def smith_waterman(window: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
@@ -215,14 +218,14 @@ def contaminated(
     # In how many documents a seed occurs: partial sums before the shuffle, so a seed of every document is no hot key.
     spread = windows.select("row", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
     rarity = F.log(F.lit(float(max(total, 2))) / F.col("df"))
-    lengths = words.select("item_id", (F.octet_length("words") / 8).alias("n_words"))
+    lengths = words.select("item", (F.octet_length("words") / 8).alias("n_words"))
     reach = F.greatest(F.col("n_words") - SEED_WORDS + 1, F.lit(1)) * float(np.log(max(total, 2)))
-    key = F.xxhash64("row", "item_id", "first_word", "words")
+    key = F.xxhash64("row", "item", "first_word", "words")
     keyed = windows.withColumn("w", key)
     weighed = (
-        keyed.select("w", "item_id", F.explode("seeds").alias("seed")).join(spread, "seed")
-        .groupBy("w", "item_id").agg(F.sum(rarity).alias("rarity"), F.count(F.lit(1)).alias("n_seeds"))
-        .join(lengths, "item_id").where(F.col("rarity") >= F.least(F.lit(min_rarity), reach / 2)).select("w", "n_seeds")
+        keyed.select("w", "item", F.explode("seeds").alias("seed")).join(spread, "seed")
+        .groupBy("w", "item").agg(F.sum(rarity).alias("rarity"), F.count(F.lit(1)).alias("n_seeds"))
+        .join(lengths, "item").where(F.col("rarity") >= F.least(F.lit(min_rarity), reach / 2)).select("w", "n_seeds")
     )
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +237,8 @@ def contaminated(
                 pa.array([a + g[2] for a, g in zip(at, got)], pa.int32()), batch.column(5),
             ], names=["doc_id", "item_id", "score", "first_word", "end_word", "n_seeds"])
 
-    chosen = keyed.join(weighed.distinct(), "w").join(words.withColumnRenamed("words", "item"), "item_id")
-    scored = chosen.select("row", "item_id", "first_word", "words", "item", "n_seeds").mapInArrow(
+    chosen = keyed.join(weighed.distinct(), "w").join(words.withColumnRenamed("words", "item_words"), "item")
+    scored = chosen.select("row", "item_id", "first_word", "words", "item_words", "n_seeds").mapInArrow(
         align, "doc_id bigint, item_id bigint, score double, first_word int, end_word int, n_seeds bigint"
     )
     best = F.max(F.struct("score", (-F.col("first_word")).alias("f"), "end_word", "n_seeds")).alias("b")
