@@ -193,16 +193,21 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _links_in_buckets(members: DataFrame) -> DataFrame:
+def _links_in_buckets(members: DataFrame, first_round: bool) -> DataFrame:
     """Candidate pairs (a, b): each member of a bucket with the bucket's pivot and with its next neighbours. A large
-    bucket is dealt out over sub-buckets first; pivots are minima of a hash, so no bucket is gathered anywhere."""
+    bucket is dealt out over sub-buckets first; pivots are minima of a hash, so no bucket is gathered anywhere.
+
+    The first round, before classes are known, orders members alike in all buckets: a group of copies that shares many
+    buckets gives about two pairs for each copy, not two for each copy and bucket. Later rounds see one member of each class and
+    order every bucket in its own way.
+    """
     order = F.xxhash64("rep")
     member = members.withColumn("o", order)
     pivots = member.groupBy("bucket").agg(F.min(F.struct("o", "rep")).alias("p"), F.count(F.lit(1)).alias("n"))
     pivots = pivots.where("n > 1").select("bucket", F.col("p.rep").alias("pivot"), "n")
-    dealt = member.join(pivots, "bucket").withColumn("part", F.pmod(F.xxhash64("rep", "bucket"), F.ceil(F.col("n") / SUB_BUCKET)))
-    local = Window.partitionBy("bucket", "part").orderBy(F.xxhash64("rep", "bucket"), "rep")
-    near = [F.lead("rep", k).over(local).alias(f"r{k}") for k in range(1, NEIGHBOURS + 1)]
+    dealt = member.join(pivots, "bucket").withColumn("part", F.pmod(F.col("o") if first_round else F.xxhash64("rep", "bucket"), F.ceil(F.col("n") / SUB_BUCKET)))
+    local = Window.partitionBy("bucket", "part").orderBy("o" if first_round else F.xxhash64("rep", "bucket"), "rep")
+    near = [F.lead("rep", k).over(local).alias(f"r{k}") for k in range(1, 2 if first_round else NEIGHBOURS + 1)]
     linked = dealt.select("rep", F.array("pivot", *near).alias("others"))
     pairs = linked.select("rep", F.explode("others").alias("other")).where("other IS NOT NULL AND other <> rep")
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
@@ -241,7 +246,7 @@ def near_duplicate_classes(documents: DataFrame, id_column: str = "doc_id", text
             named = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
             named = named.groupBy("bucket", F.coalesce("root", "key").alias("c")).agg(F.min(F.struct(F.xxhash64("key", "bucket").alias("o"), "key")).alias("m"))
             named = named.select("bucket", F.col("m.key").alias("rep"))
-        pairs = _links_in_buckets(named)
+        pairs = _links_in_buckets(named, roots is None)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs, path = write_table(pairs, "pairs")
