@@ -271,7 +271,7 @@ def fit_field(df: DataFrame, text: str = "text") -> FieldModel:
     ratio = np.log(pairs / (pairs.sum(axis=1, keepdims=True) * pairs.sum(axis=0, keepdims=True)))
     # How much more often similar tokens agree than they differ; at least what one agreement in doubt would say.
     agree = float(np.log((skip[1] + 1) / (skip[0] + 1)))
-    return FieldModel(unary, np.clip(ratio, -3, 3), min(max(agree, 1.0), 6.0))
+    return FieldModel(unary, np.clip(ratio, -1, 1), min(max(agree, 1.0), 6.0))
 
 
 def personal_data(df: DataFrame, model: FieldModel | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
