@@ -15,7 +15,6 @@ from hazardframe.llm import decontaminate, mixing, ordermin, storage, tokenfile,
 MAX_TOXICITY = 0.7
 TOKENIZER = "byte_bpe_50k.json"
 VOCABULARY = 50_257
-ARROW_BATCH_BYTES = 4 << 20
 
 # The SQL check cannot state learned scores, alignments or a tokenizer; stages are tested against brute force.
 ORACLE_SQL = None
@@ -61,10 +60,8 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def _bounded(function):
-    """Texts differ in length by orders of magnitude: batches for Python are bounded by bytes."""
-
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+        storage.bound_batches(spark)
         return function(spark, docs, sf_dir)
 
     stage.__name__, stage.__doc__ = function.__name__, function.__doc__

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazardframe.llm import backoff, bwt, decontaminate, mixing, ordermin, pii, quality, storage, tokenfile, toxicity, warc
 
-ARROW_BATCH_BYTES = 4 << 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,8 +19,7 @@ def query(function):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    # Texts differ in length by orders of magnitude: batches for Python are bounded by bytes.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    storage.bound_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

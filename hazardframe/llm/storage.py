@@ -11,6 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from hazardframe.session import ensure_checkpoint_dir
 
 
+ARROW_BATCH_BYTES = 4 << 20
+ARROW_BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts differ in length by orders of magnitude: batches for Python are bounded by bytes, and by rows where Spark
+    bounds rows only."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the folder named by spark.checkpoint.dir."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -31,13 +31,13 @@ MAGIC = b"PKDID001"
 BLOCK_IDS = 1 << 16
 MANIFEST = "manifest.json"
 TAIL = struct.Struct("<IIQQQ8s")  # bits, ids per block, ids, documents, where the index begins, magic
-READ_IDS = 1 << 21
+READ_IDS = 1 << 20
 
 
 # --- encoding -------------------------------------------------------------------------------------------------------
 
 MAX_PIECE = 64
-MAX_CACHED = 120_000  # pieces remembered in each of two generations
+MAX_CACHED = 60_000  # pieces remembered in each of two generations
 
 
 def _byte_characters() -> dict[int, str]:
@@ -74,7 +74,7 @@ class Encoder:
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text. NULL is an empty text."""
         parts, counts = [], []
-        for lo, hi in tb.slices(texts, 2 << 20):
+        for lo, hi in tb.slices(texts):
             ids, n = self._cut(texts.slice(lo, hi - lo)) if self.cuttable else self._whole(texts.slice(lo, hi - lo))
             if end_id is not None:
                 at = np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)
@@ -190,7 +190,7 @@ def encode_texts(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in tb.slices(batch.column(1), 4 << 20):
+            for lo, hi in tb.slices(batch.column(1), 2 << 20):
                 ids, counts = encoder(tokenizer).encode(batch.column(1).slice(lo, hi - lo), end_id)
                 at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * np.int32(4)
                 packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(ids.astype("<u4"))])
@@ -288,16 +288,17 @@ class PackedIdsWriter(DataSourceArrowWriter):
                 offsets.append(offsets[-1] + len(data))
 
             for batch in iterator:
-                ids, counts = _binary_ids(batch.column(1))
                 doc_ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 no_id.append(batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
-                sizes.append(counts)
-                total += len(ids)
-                rest = np.concatenate([rest, ids])
-                whole = len(rest) // BLOCK_IDS * BLOCK_IDS
-                for at in range(0, whole, BLOCK_IDS):
-                    put(rest[at : at + BLOCK_IDS])
-                rest = rest[whole:]
+                for lo, hi in tb.slices(batch.column(1), 4 << 20):
+                    ids, counts = _binary_ids(batch.column(1).slice(lo, hi - lo))
+                    sizes.append(counts)
+                    total += len(ids)
+                    rest = np.concatenate([rest, ids])
+                    whole = len(rest) // BLOCK_IDS * BLOCK_IDS
+                    for at in range(0, whole, BLOCK_IDS):
+                        put(rest[at : at + BLOCK_IDS])
+                    rest = rest[whole:].copy()
             if len(rest):
                 put(rest)
             ends = np.cumsum(np.concatenate(sizes)) if sizes else np.zeros(0)
