@@ -13,9 +13,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hazardframe.operators.ordered import order_statistics
 from hazardframe.session import cut_lineage
 
-ACCURACY = 100_000
+MAX_BINS = 256
 
 
 @dataclass
@@ -41,6 +42,13 @@ class QuantileModel:
         return df.sparkSession.createDataFrame(rows, "tree int, leaf double, value double")
 
 
+def _quantiles(df: DataFrame, quantile: float, keys: list[str]) -> DataFrame:
+    """The smallest value of ``_r`` with at least the share ``quantile`` of its key's values at or below it; exact at any
+    number of rows, and no key is sorted in one task."""
+    position = F.greatest(F.ceil(F.col("_size") * F.lit(float(quantile))) - 1, F.lit(0))
+    return order_statistics(df, "_r", {"q": position}, keys)
+
+
 def _leaf_value(leaf: Column, values: dict[float, float]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in values.items() for x in (float(pair[0]), float(pair[1]))])
     return F.coalesce(F.element_at(table, leaf), F.lit(0.0))
@@ -57,20 +65,18 @@ def fit_quantile(
 ) -> QuantileModel:
     """Boost ``rounds`` trees on the pinball loss at ``quantile``."""
     rows = df.select(array_to_vector(F.col(features)).alias("_v"), F.col(target).cast("double").alias("_y"))
-    start = rows.agg(F.percentile_approx("_y", quantile, ACCURACY)).first()[0]
-    rows = cut_lineage(rows.withColumn("_f", F.lit(float(start))))
+    rows = cut_lineage(rows)
+    start = _quantiles(rows.withColumn("_r", F.col("_y")), quantile, []).first()["q"]
+    rows = rows.withColumn("_f", F.lit(float(start)))
     learner = DecisionTreeRegressor(
-        featuresCol="_v", labelCol="_g", predictionCol="_p", leafCol="_leaf", maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed
+        featuresCol="_v", labelCol="_g", predictionCol="_p", leafCol="_leaf", maxDepth=depth, minInstancesPerNode=min_leaf, maxBins=MAX_BINS, seed=seed
     )
     trees, leaves = [], []
     for i in range(1, rounds + 1):
         residual = F.col("_y") - F.col("_f")
         gradient = F.when(residual > 0, quantile).otherwise(quantile - 1.0)
         tree = learner.fit(rows.withColumn("_g", gradient))
-        # Leaves hold a share of all rows each, so their quantiles come from mergeable sketches.
-        found = (
-            tree.transform(rows).groupBy("_leaf").agg(F.percentile_approx(residual, quantile, ACCURACY).alias("q")).collect()
-        )
+        found = _quantiles(tree.transform(rows).select("_leaf", residual.alias("_r")), quantile, ["_leaf"]).collect()
         values = {float(r["_leaf"]): float(r["q"]) for r in found}
         trees.append(tree)
         leaves.append(values)

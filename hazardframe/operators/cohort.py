@@ -144,7 +144,7 @@ def outcome_by_group(
     df: DataFrame, group: str = "CANCER_TYPE", id_column: str = "PATIENT_ID", time: str = "OS_MONTHS", event: str = "OS_EVENT"
 ) -> DataFrame:
     """Rows, events, event rate and median time of each group."""
-    from hazardframe.operators.ordered import exact_quantiles
+    from hazardframe.operators.ordered import exact_quantiles, join_on
 
     sums = df.groupBy(group).agg(
         F.count(id_column).alias("n"),
@@ -152,4 +152,4 @@ def outcome_by_group(
         F.avg(event).alias("event_rate"),
     )
     medians = exact_quantiles(df, time, {"median_os_months": 0.5}, [group])
-    return sums.join(medians, group, "left").orderBy(F.desc("event_rate"), group)
+    return join_on(sums, medians, [group], "left").orderBy(F.desc("event_rate"), group)

@@ -8,10 +8,11 @@ of [x0, m, x0²] holds every sum that a pairwise-complete correlation needs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -20,7 +21,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hazardframe.functions import scalars as S
 from hazardframe.operators.clean import column_quantiles
 
-FULL_MATRIX_LIMIT = 3000
 TINY = 1e-12
 DROP_SCHEMA = (
     "group string, feature_dropped string, anchor_feature string, abs_correlation double, threshold double, method string"
@@ -78,16 +78,28 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], moments: pd.DataFr
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str], moments: pd.DataFrame | None = None) -> DataFrame:
-    """(i, j, f1, f2, r) for all i < j. At most FULL_MATRIX_LIMIT² / 2 rows."""
-    if len(columns) > FULL_MATRIX_LIMIT:
-        raise ValueError(f"more than {FULL_MATRIX_LIMIT} features; use the incremental filter")
+    """(i, j, f1, f2, r) for all i < j with a defined correlation.
+
+    The driver holds the correlation matrix (8 bytes for each pair of columns) and hands out its rows; the pair table is
+    laid out by tasks, a row of the matrix each.
+    """
     r = correlation_matrix(df, columns, moments)
-    i, j = np.triu_indices(len(columns), k=1)
-    ok = np.isfinite(r[i, j])
-    i, j = i[ok], j[ok]
-    names = np.asarray(columns, dtype=object)
-    table = pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "f1": names[i], "f2": names[j], "r": r[i, j]})
-    return df.sparkSession.createDataFrame(table, "i int, j int, f1 string, f2 string, r double")
+    names = list(columns)
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(r)  # size depends on the number of columns alone
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, labels = shared.value, pa.array(names, pa.string())
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                j = i + 1 + np.flatnonzero(np.isfinite(matrix[i, i + 1 :]))
+                here = pa.array(np.full(len(j), i, np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [here, pa.array(j.astype(np.int32)), labels.take(here), labels.take(pa.array(j)), pa.array(matrix[i, j])],
+                    names=["i", "j", "f1", "f2", "r"],
+                )
+
+    return spark.range(len(names)).mapInArrow(lay_out, "i int, j int, f1 string, f2 string, r double")
 
 
 def strong_pairs(pairs: DataFrame, low: float = 0.5, high: float = 1.0) -> DataFrame:
@@ -163,11 +175,13 @@ def _incremental(df: DataFrame, columns: Sequence[str], threshold: float, group:
 
 def drop_collinear(
     df: DataFrame, columns: Sequence[str], threshold: float, group: str = "expression",
-    method: str = "auto", block: int = 500,
+    method: str = "full", block: int = 500,
 ) -> tuple[list[str], DataFrame, dict]:
     """Collinearity filter with its screens: returns kept columns, drop table and summary.
 
-    Columns with fewer than two values or hardly any spread are not evaluated and stay.
+    ``method`` names the rule and holds at any width: "full" drops a column that correlates with any earlier one (missing
+    values left out pair by pair), "incremental" one that correlates with an earlier column that was kept (missing
+    values filled with medians). The two keep different columns. Columns with fewer than two values or hardly any spread are not evaluated and stay.
     """
     spark = df.sparkSession
     moments = column_moments(df, columns) if columns else None
@@ -183,11 +197,13 @@ def drop_collinear(
     if len(evaluated) < 2:
         rows: list[tuple] = []
         name = "none" if not columns else "insufficient_numeric_features"
-    elif method == "full" or (method == "auto" and len(evaluated) <= FULL_MATRIX_LIMIT):
+    elif method == "full":
         pairs = correlation_pairs(df, evaluated, moments)
         rows = [tuple(r) for r in drop_table(pairs, threshold, group).collect()]  # one row per dropped feature
         pairs_above = pairs.where(F.abs("r") > threshold).count()
         name = "full_correlation_matrix"
+    elif method != "incremental":
+        raise ValueError(f"unknown method {method}")
     else:
         rows = _incremental(df, evaluated, threshold, group, block)
         name = "incremental_against_kept"

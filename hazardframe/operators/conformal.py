@@ -9,7 +9,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardframe.operators import boosting, horizons
-from hazardframe.operators.ordered import exact_quantiles, order_statistics
+from hazardframe.operators.ordered import exact_quantiles, join_on, order_statistics
 from hazardframe.schema import HORIZONS_MONTHS
 from hazardframe.session import cut_lineage
 
@@ -43,7 +43,7 @@ def score_audit(df: DataFrame, score: str = "score", keys: Sequence[str] = ()) -
     basic = df.groupBy(*keys).agg(F.min(score).alias("score_min"), F.max(score).alias("score_max"), F.avg(score).alias("score_mean"))
     spread = exact_quantiles(df, score, {"score_median": 0.5, "score_p90": 0.9}, keys)
     if keys:
-        return basic.join(spread, keys)
+        return join_on(basic, spread, keys)
     quantiles = spread.first()
     return basic.withColumns({c: F.lit(quantiles[c]) for c in ("score_median", "score_p90")})
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hazardframe.operators.ordered import cut_points, ordered_columns, with_piece
+from hazardframe.operators.ordered import cut_points, join_on, ordered_columns, with_piece
 from hazardframe.schema import HORIZONS_MONTHS
 
 GRID = 200  # thresholds 0, 1/200, ..., 1
@@ -40,7 +40,7 @@ def youden_thresholds(df: DataFrame, p: str = "p_event_hat", y: str = "y_true_by
     frame = counts.select(*keys).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(GRID))))
     whole = Window.partitionBy(*keys)  # GRID + 1 rows
     above = whole.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    filled = frame.join(counts, [*keys, "k"], "left").na.fill(0, ["pos", "neg"])
+    filled = join_on(frame, counts, [*keys, "k"], "left").na.fill(0, ["pos", "neg"])
     tables = filled.select(
         *keys, "k", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"),
         F.sum("pos").over(whole).alias("p_all"), F.sum("neg").over(whole).alias("n_all"),
@@ -97,7 +97,7 @@ def classification_report(df: DataFrame, keys: Sequence[str] = ("horizon_months"
     """One row per horizon: event rate, threshold, AUCs, Brier score, confusion counts and their ratios."""
     keys = list(keys)
     base = confusion(df, keys=[*keys, "threshold"])
-    return base.join(ranking_metrics(df, keys=keys), keys).select(
+    return join_on(base, ranking_metrics(df, keys=keys), keys).select(
         *keys, (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n_test_known"),
         F.col("event_rate").alias("event_rate_test_known"), F.col("threshold").alias("threshold_from_calibration"),
         "roc_auc", "pr_auc", "brier", "accuracy", "precision", "recall_sensitivity", "specificity", "f1", "tp", "fp", "tn", "fn",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardframe.functions import scalars as S
 from hazardframe.operators.cohort import first_row
-from hazardframe.operators.ordered import PIECE, ordered_columns
+from hazardframe.operators.ordered import PIECE, join_on, ordered_columns
 from hazardframe.schema import DEFAULT_SAMPLE_CODE
 
 KEYS = ["PATIENT_ID", "CANCER_TYPE"]
@@ -25,7 +25,7 @@ def samples_or_baseline(
     """
     columns = [c for c in SAMPLE_COLUMNS if c in samples.columns] + list(payload)
     own = samples.select(*KEYS, "SAMPLE_DAY", *columns)
-    joined = patients.select(*KEYS, "OS_DAYS", *carried).join(own, KEYS, "left")
+    joined = join_on(patients.select(*KEYS, "OS_DAYS", *carried), own, KEYS, "left")
     defaults = {"SAMPLE_TYPE_CODE": F.lit(DEFAULT_SAMPLE_CODE), "IS_PRIMARY": F.lit(False), "MUTATION_BURDEN": F.lit(0)}
     filled = [F.coalesce(c, defaults[c]).alias(c) if c in defaults else F.col(c) for c in columns]
     return joined.select(*KEYS, "OS_DAYS", *carried, F.coalesce("SAMPLE_DAY", F.lit(0.0)).alias("SAMPLE_DAY"), *filled)

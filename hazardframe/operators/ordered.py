@@ -12,6 +12,7 @@ Where the cut points lie only affects balance, never the result.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
@@ -25,6 +26,14 @@ MAX_PIECES = 1024
 ROWS_PER_PIECE = 500_000
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a missing key meets a missing key; the key columns of ``left`` stay. For inner and left joins."""
+    keys = list(keys)
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def cut_points(df: DataFrame, column: str, pieces: int | None = None) -> list[float]:
     """Approximate quantiles of ``column``: at most ``MAX_PIECES - 1`` numbers, found in one pass."""
     return cut_points_of(df, [column], pieces)[column].cuts
@@ -132,7 +141,7 @@ def ordered_columns(
 
     local = Window.partitionBy(*keys, piece).orderBy(*row_order)
     running = local.rowsBetween(Window.unboundedPreceding, 0)
-    joined = df.join(offsets, [*keys, piece])
+    joined = join_on(df, offsets, [*keys, piece])
     out = [F.col(c) for c in df.columns if c != piece]
     if index:
         out.append((F.row_number().over(local) - 1 + F.col("_c0")).alias(index))

@@ -10,13 +10,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from hazardframe.operators.ordered import PIECE, hex_piece, ordered_columns
+from hazardframe.operators.ordered import PIECE, hex_piece, join_on, ordered_columns
 
 SEED = 42
 
 
 def _numbered(df: DataFrame, id_column: str, strata: Sequence[str], seed: int) -> DataFrame:
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_column).cast("string")))
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))))
     rows = df.withColumn("_digest", digest).withColumn(PIECE, hex_piece(F.col("_digest")))
     return ordered_columns(rows, ["_digest", id_column], strata, index="_pos", size="_n").drop("_digest")
 
@@ -45,7 +45,7 @@ def group_folds(
     """Folds over distinct ids, joined back, so that all rows of an id share a fold."""
     ids = df.groupBy(id_column).agg(*[F.min(c).alias(c) for c in strata])
     folded = stratified_folds(ids, id_column, strata, folds, seed).select(id_column, "fold")
-    return df.join(folded, id_column)
+    return join_on(df, folded, [id_column])
 
 
 def fold_count(df: DataFrame, event: str = "OS_EVENT", wanted: int = 5) -> int:
@@ -71,6 +71,6 @@ def split_report(df: DataFrame, split: str = "split", event: str = "OS_EVENT") -
 
 def require_both_classes(report: DataFrame) -> None:
     """Raise if a split of the report has one class only (the report has one row per split)."""
-    bad = report.where((F.col("events") == 0) | (F.col("censored") == 0)).limit(10).collect()
+    bad = report.where((F.col("events") == 0) | (F.col("censored") == 0)).collect()
     if bad:
         raise ValueError(f"splits with a single class: {sorted(r['split'] for r in bad)}")

@@ -30,47 +30,8 @@ FEATURE_BLOCKS = {
     "All (Clinical + Mutation + Expr + CNA)": ["clinical", "mutation", "expression", "cna"],
     "Omics only (Mutation + Expr + CNA)": ["mutation", "expression", "cna"],
 }
-LOW_VALUE_COLUMNS = [
-    "HISTORY_LGG_DX_OF_BRAIN_TISSUE",
-    "PERFORMANCE_STATUS_TIMING",
-    "PHARMACEUTICAL_TX_ADJUVANT",
-    "FAMILY_HISTORY_OF_CANCER",
-    "HISTORY_HEPATO_CARCINOMA_RISK_FACTORS",
-    "DEFINITIVE_SURGICAL_PROCEDURE",
-    "PRIMARY_MELANOMA_KNOWN_DX",
-    "PRIMARY_MULTIPLE_AT_DX",
-    "SUBMITTED_TUMOR_DX_DAYS_TO",
-    "TUMOR_SITE",
-    "PRIMARY_MELANOMA_SKIN_TYPE",
-]
-LOW_VALUE_SAMPLE_COLUMNS = ["DAYS_TO_SPECIMEN_COLLECTION"]
-
 EXPR, CNA = "EXPR_", "CNA_"
 
-PATIENT_SCHEMA = T.StructType(
-    [
-        T.StructField(name, T.StringType())
-        for name in (
-            "PATIENT_ID", "SEX", "RACE", "ETHNICITY", "AGE", "OS_STATUS", "OS_MONTHS", "DFS_STATUS", "DFS_MONTHS",
-        )
-    ]
-)
-SAMPLE_SCHEMA = T.StructType(
-    [
-        T.StructField(name, T.StringType())
-        for name in (
-            "PATIENT_ID", "SAMPLE_ID", "DAYS_TO_COLLECTION", "DAYS_TO_SPECIMEN_COLLECTION", "SAMPLE_TYPE",
-            "SAMPLE_TYPE_ID",
-        )
-    ]
-)
-MUTATION_SCHEMA = T.StructType(
-    [
-        T.StructField(name, T.StringType())
-        for name in ("Tumor_Sample_Barcode", "Hugo_Symbol", "Variant_Classification")
-    ]
-)
-
 # Texts that tabular readers treat as missing by default.
 DEFAULT_NA = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
