@@ -39,11 +39,16 @@ def iqr_fences(df: DataFrame, columns: Sequence[str], k: float) -> dict[str, tup
 def iqr_outlier_counts(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
     """Values outside the fence of each column."""
     long = unpivot_numbers(df, columns).where(F.col("value").isNotNull())
-    quartiles = exact_quantiles(long, "value", {"q1": 0.25, "q3": 0.75}, ["feature"])
-    iqr = F.col("q3") - F.col("q1")
-    bounds = quartiles.select("feature", (F.col("q1") - k * iqr).alias("lower_bound"), (F.col("q3") + k * iqr).alias("upper_bound"))
+    quartiles = exact_quantiles(long, "value", {"q1": 0.25, "q3": 0.75}, ["feature"]).collect()  # one row per column
+    # The bounds are literals: a join on the few column names would bring all rows of a column together.
+    literal = [x for r in quartiles for x in (F.lit(r["feature"]), F.struct(
+        F.lit(r["q1"] - k * (r["q3"] - r["q1"])).alias("lo"), F.lit(r["q3"] + k * (r["q3"] - r["q1"])).alias("hi")))]
+    if not literal:
+        return long.select("feature", F.lit(0.0).alias("lower_bound"), F.lit(0.0).alias("upper_bound"), F.lit(0).cast("long").alias("n_outliers"))
+    bounds = F.element_at(F.create_map(*literal), F.col("feature"))
+    bounded = long.withColumns({"lower_bound": bounds["lo"], "upper_bound": bounds["hi"]})
     outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
-    return long.join(bounds, "feature").groupBy("feature").agg(
+    return bounded.groupBy("feature").agg(
         F.max("lower_bound").alias("lower_bound"), F.max("upper_bound").alias("upper_bound"),
         F.count_if(outside).alias("n_outliers"),
     )
