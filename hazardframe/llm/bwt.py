@@ -262,11 +262,25 @@ def repeated_rows(batches: DataFrame, length: int, gram: int, hot_rows: int) ->
         value, at, first, last, text = (np.concatenate(c) for c in zip(*parts))
         if not len(value):
             return
+        doc = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+        has = ids.is_valid().to_numpy(zero_copy_only=False).astype("u1")
+        # Rows equal in all their bytes: the batch's earliest stands for them, all others lose all their stretches. So a
+        # passage of very many texts is one row for each batch.
+        age = np.lexsort((at, text, doc[text], has[text]))
+        same = tb.range_hash(tb.prefix_hash(data), first, last + length) + value + (at - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        _, earliest = np.unique(same[age], return_index=True)
+        stays = np.zeros(len(value), bool)
+        stays[age[earliest]] = True
+        if not stays.all():
+            g = ~stays
+            gone = _pack_rows({"text": text[g].astype("<i8"), "low": (first - offsets[text])[g].astype("<i8"), "high": (last - offsets[text])[g].astype("<i8")})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(batch % partitions_of_rows)]), pa.array([batch]), pa.array([-1], pa.int32()), pa.array([gone], pa.binary())], names=["part", "batch", "n", "data"]
+            )
+            value, at, first, last, text = (c[stays] for c in (value, at, first, last, text))
         end = last + length
         span = np.minimum(end - at, length)
         padded = np.concatenate([data, np.zeros(length, np.uint8)])
-        doc = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-        has = ids.is_valid().to_numpy(zero_copy_only=False).astype("u1")
         part = (tb.mixed(value) % np.uint64(partitions_of_rows)).astype(np.int64)
         by = np.argsort(part, kind="stable")
         cuts = np.flatnonzero(np.diff(part[by], prepend=-1, append=partitions_of_rows))
@@ -291,7 +305,11 @@ def repeated_rows(batches: DataFrame, length: int, gram: int, hot_rows: int) ->
     dealt = asked.select("batch", "ids", "texts", "answers").mapInArrow(rows, ROW_SCHEMA)
 
     def index(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("batch")
+        settled = group[group["n"] < 0]  # found inside a batch
+        out = list(zip(settled["batch"], settled["data"]))
+        group = group[group["n"] >= 0].sort_values("batch")
+        if not len(group):
+            return pd.DataFrame(out, columns=["batch", "found"])
         parts = [_unpack_rows(d, n, length, reach) for d, n in zip(group["data"], group["n"])]
         c = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         batch = np.repeat(group["batch"].to_numpy(), group["n"].to_numpy())
@@ -304,7 +322,6 @@ def repeated_rows(batches: DataFrame, length: int, gram: int, hot_rows: int) ->
         _, stop = np.nonzero(edge == -1)
         place = c["place"][r]
         found = pd.DataFrame({"batch": batch[r], "text": c["text"][r], "low": place - (stop - 1), "high": place - begin})
-        out = []
         for b, rows_of_batch in found.groupby("batch"):
             out.append((b, _pack_rows({k: rows_of_batch[k].to_numpy("<i8") for k in ("text", "low", "high")})))
         return pd.DataFrame(out, columns=["batch", "found"])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from hazardframe.llm import textblocks as tb
 from hazardframe.llm.storage import shared_folder
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 PARTITION_BYTES = 24 << 20  # of text for each hash partition
 KEY_BITS = 56
 
