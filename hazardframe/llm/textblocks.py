@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ def powers(count: int, inverse: bool = False) -> np.ndarray:
     have = _powers[inverse]
     if len(have) < count:
         step = _INVERSE if inverse else BASE
-        have = np.concatenate([np.ones(1, np.uint64), np.full(max(count, 2 * len(have)) - 1, step, np.uint64)])
+        have = np.concatenate([np.ones(1, np.uint64), np.full(max(count + count // 8, 2) - 1, step, np.uint64)])
         np.multiply.accumulate(have, out=have)
         _powers[inverse] = have
     return have[:count]
@@ -45,6 +46,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers wait for their next task with what they have."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes; a longer text is a range of its own."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -54,6 +68,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
         yield at, to
         at = to
+    release_memory()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
