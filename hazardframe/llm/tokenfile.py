@@ -393,11 +393,30 @@ class PackedIds(DataSource):
 
 
 def write_ids(encoded: DataFrame, path: str, vocabulary: int) -> None:
-    encoded.sparkSession.dataSource.register(PackedIds)
-    encoded.write.format("packed_ids").option("vocabulary", vocabulary).mode("append").save(path)
+    """Write (doc_id, ids) rows in the order of their partitions. The tasks write and report their files, the driver writes the
+    manifest; the data source does the same for ``df.write``, at the price of Python processes beside the driver."""
+    options = {"path": path, "vocabulary": str(vocabulary)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = PackedIdsWriter(options).write(batches)
+        yield pa.RecordBatch.from_pydict({
+            "partition": pa.array([done.partition], pa.int32()), "name": [done.name], "docs": pa.array([done.n_docs], pa.int64()), "ids": pa.array([done.n_ids], pa.int64()),
+        })
+
+    # One row for each task.
+    rows = encoded.mapInArrow(run, "partition int, name string, docs bigint, ids bigint").collect()
+    PackedIdsWriter(options).commit([FileMessage(*row) for row in rows])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit integers)."""
-    spark.dataSource.register(PackedIds)
-    return spark.read.format("packed_ids").load(path)
+    options = {"path": path}
+    files = [(f["name"], f["before"]) for f in read_manifest(path)["files"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield from PackedIdsReader(options).read(FilePartition(name, before))
+
+    names = spark.createDataFrame(files, "name string, before bigint").repartition(max(1, len(files)))
+    return names.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")

@@ -75,6 +75,14 @@ def test_random_access(spark, odd):
         assert (file.ids(a, b) == whole[a:b]).all()
 
 
+def test_the_data_source_reads_and_writes_the_same(spark, odd):
+    spark.dataSource.register(tokenfile.PackedIds)
+    path = storage.shared_folder(spark, "t")
+    tokenfile.encode_texts(odd, PATH).write.format("packed_ids").option("vocabulary", 50_257).mode("append").save(path)
+    one = sorted(map(str, spark.read.format("packed_ids").load(path).collect()))
+    assert one and one == sorted(map(str, tokenfile.read_ids(spark, path).collect()))
+
+
 def test_empty(spark, empty):
     path = storage.shared_folder(spark, "t")
     tokenfile.write_ids(tokenfile.encode_texts(empty, PATH), path, 50_257)
