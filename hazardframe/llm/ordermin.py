@@ -6,9 +6,11 @@ pair share a bucket. Sharing it gets likelier with the edit similarity of the te
 order matters. Candidates are verified by aligning their k-mer sequences inside a band that holds every alignment of the
 required similarity, and verified pairs are joined to classes.
 
-Work stays linear in a bucket's size: a bucket links its members to one pivot and to their next neighbours only. Links
-that this misses are found in further rounds, in which each class is represented once in each bucket, until a round
-finds nothing new.
+In a first round each bucket compares its members with one pivot, which joins most copies. Where a bucket still holds
+members of several classes, every pair of theirs that could reach the similarity is tested or found to be in one class:
+such a pair shares one of the rarest k-mers of both texts (prefix filter), so the members that share such a k-mer form a
+group, and each group is compared with growing sets of new pivots until all its members have been pivots or are of one
+class. Pairs of one class are not tested; the most typical texts are pivots first, so that a text and its copies join at once.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazardframe.llm import textblocks as tb
 from hazardframe.llm.storage import delete_table, write_table
@@ -26,8 +28,9 @@ from hazardframe.llm.storage import delete_table, write_table
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 16
-SUB_BUCKET = 256
-NEIGHBOURS = 3
+COUNTERS = 1 << 21  # hashed counts of k-mers, which order them from rare to common
+COUNTER_CHUNK = 1 << 15
+MORE_PIVOTS = 4  # growth of the number of pivots of a group from round to round
 
 
 def labelled_kmers(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -193,24 +196,80 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _links_in_buckets(members: DataFrame, first_round: bool) -> DataFrame:
-    """Candidate pairs (a, b): each member of a bucket with the bucket's pivot and with its next neighbours. A large
-    bucket is dealt out over sub-buckets first; pivots are minima of a hash, so no bucket is gathered anywhere.
+def _ordered_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b): each member of a bucket with the bucket's pivot. Pivots are minima of one hash in all
+    buckets, so a group of copies that shares many buckets gives few pairs for each copy, and no bucket is gathered anywhere."""
+    member = members.select("bucket", F.col("key").alias("rep"))
+    pivots = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep")).alias("p")).select("bucket", F.col("p.rep").alias("other"))
+    return _ordered_pairs(member.join(pivots, "bucket").where("rep <> other"))
+
+
+def _counted(kmers: DataFrame) -> np.ndarray:
+    """In how many texts the k-mers of each counter occur (COUNTERS numbers, added up in chunks on the executors)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                np.add.at(total, np.frombuffer(raw.as_py(), "<u4") & np.uint32(COUNTERS - 1), 1)
+        for c in range(COUNTERS // COUNTER_CHUNK):
+            part = total[c * COUNTER_CHUNK : (c + 1) * COUNTER_CHUNK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "counts"])
+
+    def add(rows):
+        total = sum(np.frombuffer(c, np.int64) for c in rows["counts"])
+        return rows[["chunk"]].head(1).assign(counts=[total.tobytes()])
+
+    out = np.zeros(COUNTERS, np.uint32)
+    for c, counts in kmers.select("kmers").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
+        out[c * COUNTER_CHUNK : (c + 1) * COUNTER_CHUNK] = np.minimum(np.frombuffer(counts, np.int64), 0xFFFFFFFF)
+    return out
+
 
-    The first round, before classes are known, orders members alike in all buckets: a group of copies that shares many
-    buckets gives about two pairs for each copy, not two for each copy and bucket. Later rounds see one member of each class and
-    order every bucket in its own way.
+def _shared_tokens(kmers: DataFrame, similarity: float) -> DataFrame:
+    """token, key, n (k-mers of the text) and o (less for a more typical text): the k-mers of each text's prefix.
+
+    Texts of similarity s share at least s of the k-mers of either. Whatever order of all k-mers is used, they then share
+    one of the first n - ceil(s n) + 1 of both texts. Rare ones come first here, so that a common passage is in few
+    prefixes. Counters are upper bounds, and a k-mer whose counter is 1 is shared by nobody.
     """
-    order = F.xxhash64("rep")
-    member = members.withColumn("o", order)
-    pivots = member.groupBy("bucket").agg(F.min(F.struct("o", "rep")).alias("p"), F.count(F.lit(1)).alias("n"))
-    pivots = pivots.where("n > 1").select("bucket", F.col("p.rep").alias("pivot"), "n")
-    dealt = member.join(pivots, "bucket").withColumn("part", F.pmod(F.col("o") if first_round else F.xxhash64("rep", "bucket"), F.ceil(F.col("n") / SUB_BUCKET)))
-    local = Window.partitionBy("bucket", "part").orderBy("o" if first_round else F.xxhash64("rep", "bucket"), "rep")
-    near = [F.lead("rep", k).over(local).alias(f"r{k}") for k in range(1, 2 if first_round else NEIGHBOURS + 1)]
-    linked = dealt.select("rep", F.array("pivot", *near).alias("others"))
-    pairs = linked.select("rep", F.explode("others").alias("other")).where("other IS NOT NULL AND other <> rep")
-    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    counts = _counted(kmers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, tokens, sizes, order = [], [], [], []
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                k = np.frombuffer(raw.as_py(), "<u4")
+                n = counts[k & np.uint32(COUNTERS - 1)]
+                first = np.lexsort((k, n))[: len(k) - int(np.ceil(similarity * len(k) - 1e-9)) + 1]
+                shared = np.unique(k[first][n[first] > 1])
+                keys += [key] * len(shared)
+                tokens.append(shared.astype(np.int64))
+                sizes += [len(k)] * len(shared)
+                order += [-float(np.log(np.maximum(n, 1)).mean())] * len(shared)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])), pa.array(keys, pa.string()), pa.array(sizes, pa.int32()), pa.array(order, pa.float64())],
+                names=["token", "key", "n", "o"],
+            )
+
+    return kmers.select("key", "kmers").mapInArrow(run, "token bigint, key string, n int, o double")
+
+
+def _with_class(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return rows.withColumn("c", F.col("key"))
+    return rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("c", F.coalesce("root", "key")).drop("root")
+
+
+def _undecided(rows: DataFrame, group: str) -> DataFrame:
+    """The rows of the groups with members of several classes."""
+    several = rows.groupBy(group).agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select(group)
+    return rows.join(several, group)
 
 
 def near_duplicate_classes(documents: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -239,27 +298,42 @@ def near_duplicate_classes(documents: DataFrame, id_column: str = "doc_id", text
 
     links, tried, roots = None, None, None
     paths = []
-    while True:
-        named = members.select("bucket", F.col("key").alias("rep"))
-        if roots is not None:
-            # A class is represented once in each bucket, by the member with the smallest hash.
-            named = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
-            named = named.groupBy("bucket", F.coalesce("root", "key").alias("c")).agg(F.min(F.struct(F.xxhash64("key", "bucket").alias("o"), "key")).alias("m"))
-            named = named.select("bucket", F.col("m.key").alias("rep"))
-        pairs = _links_in_buckets(named, roots is None)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        table, path = write_table(df, name)
+        paths.append(path)
+        return table
+
+    def test(pairs: DataFrame) -> None:
+        nonlocal links, tried, roots
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs, path = write_table(pairs, "pairs")
-        paths.append(path)
-        verified, path = write_table(_verify(pairs, kmers, similarity), "links")
-        paths.append(path)
-        new = verified.count()
-        if not new:
-            break
-        links = verified if links is None else links.unionByName(verified)
+        pairs = kept(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        roots, path = write_table(components(links), "roots")
-        paths.append(path)
+        verified = kept(_verify(pairs, kmers, similarity), "links")
+        if not verified.isEmpty():
+            links = verified if links is None else links.unionByName(verified)
+            roots = kept(components(links), "roots")
+
+    test(_pivot_pairs(members))
+    open_keys = _undecided(_with_class(members, roots), "bucket").select("key").distinct()
+    open_kmers = kept(kmers.join(open_keys, "key", "left_semi"), "open")
+    if not open_kmers.isEmpty():
+        group, pivots_of_group = kept(_shared_tokens(open_kmers, similarity), "tokens"), 1
+        while True:
+            group = kept(_undecided(_with_class(group.drop("c"), roots), "token"), "groups")
+            if group.isEmpty():
+                break
+            # One pivot for each share of the group: minima again, whatever the size of the group.
+            share = F.pmod(F.xxhash64("key"), F.lit(pivots_of_group)).alias("share")
+            first = F.min(F.struct("o", F.xxhash64("key").alias("h"), "key", "n", "c")).alias("p")
+            chosen = group.groupBy("token", share).agg(first)
+            chosen = kept(chosen.select("token", F.col("p.key").alias("other"), F.col("p.n").alias("m"), F.col("p.c").alias("d")), "pivots")
+            near = (F.col("c") != F.col("d")) & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - 1e-9)
+            met = group.alias("g").join(chosen.alias("p"), (F.col("g.token") == F.col("p.token")) & near)
+            test(_ordered_pairs(met.select(F.col("key").alias("rep"), "other")))
+            group = group.join(chosen.select("token", F.col("other").alias("key")), ["token", "key"], "left_anti")
+            pivots_of_group *= MORE_PIVOTS
     if roots is None:
         roots = spark.createDataFrame([], "node string, root string")
     classed = sketches.select("id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("id", "key", F.coalesce("root", "key").alias("root"))

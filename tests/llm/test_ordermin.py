@@ -134,3 +134,33 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(f"c{k:03d}", f"c{k + 1:03d}") for k in range(40)] + [("s000", f"s{k:03d}") for k in range(1, 60)] + [("t1", "t1")]
     got = dict(map(tuple, ordermin.components(spark.createDataFrame(links, "a string, b string")).collect()))
     assert len(got) == 101 and set(got.values()) == {"c000", "s000"} and all(r[0] == n[0] for n, r in got.items())
+
+
+def test_edits_of_one_text_that_are_far_from_each_other(spark):
+    """A star: 400 texts near one text only, which is the pivot of few buckets."""
+    r = random.Random(5)
+    base = [f"b{k}" for k in range(204)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 401):
+        copy = list(base)
+        for j, at in enumerate(r.sample(range(10, 194, 10), 3)):
+            copy[at + r.randrange(5)] = f"x{k}_{j}"
+        rows.append((k, " ".join(copy)))
+    assert aligned(shingles(rows[0][1]), shingles(rows[1][1])) >= 0.8
+    far = sum(aligned(shingles(rows[i][1]), shingles(rows[i + 1][1])) < 0.8 for i in range(1, 21))
+    assert far > 15
+    got = classes_of(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert list(map(len, got)) == [401]
+
+
+def test_pairs_among_many_of_a_bucket_without_a_common_centre(spark):
+    """Texts alike in two thirds, all in the same buckets, of which some pairs are near copies."""
+    passage = [f"p{k}" for k in range(104)]
+    rows = []
+    for k in range(60):
+        own = [f"q{k}_{j}" for j in range(50)]
+        rows.append((2 * k, " ".join(passage + own)))
+        own[20] = "changed"
+        rows.append((2 * k + 1, " ".join(passage + own)))
+    got = classes_of(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert Counter(map(len, got)) == {2: 60}
