@@ -1,7 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
 Every text is scanned once for word n-grams of the test items. Hits of one item on about the same diagonal form a
-window; a window is worth aligning when its seeds are rare enough together, rarity being measured on the whole corpus.
+window. Every window is aligned that has enough of the item's words to reach the score, however common its seeds are.
 Smith-Waterman alignment over the words of window and item then gives a score that edits lower gently, so paraphrased
 and edited copies are found as well as literal ones.
 """
@@ -19,7 +19,6 @@ from hazardframe.llm import textblocks as tb
 from hazardframe.llm.storage import write_table
 
 SEED_WORDS = 3
-MIN_RARITY = 10.0  # summed log(texts / texts with the seed) of a window's seeds
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seeds up to this number travel with the scan as sorted arrays of 28 bytes each; more are joined by a shuffle.
@@ -198,13 +197,12 @@ def smith_waterman(window: np.ndarray, item: np.ndarray) -> tuple[float, int, in
 
 def contaminated(
     documents: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    min_score: float = MIN_SCORE, min_rarity: float = MIN_RARITY, max_carried_seeds: int = MAX_CARRIED_SEEDS,
+    min_score: float = MIN_SCORE, max_carried_seeds: int = MAX_CARRIED_SEEDS,
 ) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word (the aligned words), n_seeds: the best alignment of each document with
     each item that reaches ``min_score``.
 
-    A window is aligned when its seeds' rarity adds up to ``min_rarity`` or to half of what the item's seeds could
-    reach in a corpus of this size; the latter lets short items and small corpora through. NULL or empty texts and items without a word match nothing;
+    Every window is aligned unless it has too few of the item's words to reach ``min_score`` in any order. NULL or empty texts and items without a word match nothing;
     a NULL doc_id is reported as NULL. Rows repeated with equal id count as one document. Empty tables give an empty
     result. Only the named columns are read.
     """
@@ -214,34 +212,30 @@ def contaminated(
     n_seeds = seeds.count()
     windows = _carried_hits(rows, seeds) if n_seeds <= max_carried_seeds else _joined_hits(rows, seeds)
     windows, _ = write_table(windows, "windows")
-    total = documents.count()
-    # In how many documents a seed occurs: partial sums before the shuffle, so a seed of every document is no hot key.
-    spread = windows.select("row", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
-    rarity = F.log(F.lit(float(max(total, 2))) / F.col("df"))
-    lengths = words.select("item", (F.octet_length("words") / 8).alias("n_words"))
-    reach = F.greatest(F.col("n_words") - SEED_WORDS + 1, F.lit(1)) * float(np.log(max(total, 2)))
-    key = F.xxhash64("row", "item", "first_word", "words")
-    keyed = windows.withColumn("w", key)
-    weighed = (
-        keyed.select("w", "item", F.explode("seeds").alias("seed")).join(spread, "seed")
-        .groupBy("w", "item").agg(F.sum(rarity).alias("rarity"), F.count(F.lit(1)).alias("n_seeds"))
-        .join(lengths, "item").where(F.col("rarity") >= F.least(F.lit(min_rarity), reach / 2)).select("w", "n_seeds")
-    )
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [smith_waterman(np.frombuffer(w, np.uint64), np.frombuffer(i, np.uint64)) for w, i in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            at = batch.column(2).to_pylist()
+            rows, got = [], []
+            for k, (at, w, i) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                window, item = np.frombuffer(w, np.uint64), np.frombuffer(i, np.uint64)
+                # No alignment scores above the share of the item's words that the window has at all.
+                if np.isin(item, window).sum() < min_score * len(item) - 1e-9:
+                    continue
+                score, lo, hi = smith_waterman(window, item)
+                if score >= min_score:
+                    rows.append(k)
+                    got.append((score, at + lo, at + hi))
+            chosen = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.float64()), pa.array([a + g[1] for a, g in zip(at, got)], pa.int32()),
-                pa.array([a + g[2] for a, g in zip(at, got)], pa.int32()), batch.column(5),
+                batch.column(0).take(chosen), batch.column(1).take(chosen), *(pa.array([g[j] for g in got], t) for j, t in enumerate((pa.float64(), pa.int32(), pa.int32()))),
+                batch.column(5).take(chosen),
             ], names=["doc_id", "item_id", "score", "first_word", "end_word", "n_seeds"])
 
-    chosen = keyed.join(weighed.distinct(), "w").join(words.withColumnRenamed("words", "item_words"), "item")
-    scored = chosen.select("row", "item_id", "first_word", "words", "item_words", "n_seeds").mapInArrow(
+    met = windows.withColumn("n_seeds", F.size("seeds").cast("long")).join(words.withColumnRenamed("words", "item_words"), "item")
+    scored = met.select("row", "item_id", "first_word", "words", "item_words", "n_seeds").mapInArrow(
         align, "doc_id bigint, item_id bigint, score double, first_word int, end_word int, n_seeds bigint"
     )
     best = F.max(F.struct("score", (-F.col("first_word")).alias("f"), "end_word", "n_seeds")).alias("b")
-    return scored.where(F.col("score") >= min_score).groupBy("doc_id", "item_id").agg(best).select(
+    return scored.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "b.score", (-F.col("b.f")).alias("first_word"), "b.end_word", "b.n_seeds"
     )

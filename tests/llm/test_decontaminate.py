@@ -71,3 +71,18 @@ def test_empty(spark, odd, empty):
     items = spark.createDataFrame([(1, "some words of an item")], "item_id bigint, text string")
     assert dc.contaminated(empty, items).count() == 0
     assert dc.contaminated(odd, items.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("carried", [1_000_000, 0])
+def test_copies_in_all_documents_or_in_half_of_them(spark, carried):
+    r = random.Random(11)
+    word = lambda: "v" + str(r.randrange(4000))
+    items = [(k, " ".join(word() for _ in range(15))) for k in range(2)]
+    docs = []
+    for k in range(60):
+        words = [word() for _ in range(60)]
+        words[20:20] = (items[0][1] + (" " + items[1][1] if k % 2 else "")).split()
+        docs.append((k, " ".join(words)))
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in dc.contaminated(d, i, max_carried_seeds=carried).collect()}
+    assert got == {**{(k, 0): 1.0 for k in range(60)}, **{(k, 1): 1.0 for k in range(1, 60, 2)}}
