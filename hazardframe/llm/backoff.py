@@ -30,7 +30,7 @@ def _gram_lanes(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarr
     text_of, at = np.repeat(np.arange(len(counts)), counts), tb.segment_arange(counts)
     if not len(starts):
         return [np.zeros(0, np.uint64)] * order, text_of, at
-    words = tb.range_hash(tb.prefix_hash(data), starts, np.minimum(ends, starts + 512))
+    words = tb.word_hashes(data, starts, ends)
     lanes = []
     for n in range(1, order + 1):
         h = np.zeros(len(words), np.uint64)

@@ -31,7 +31,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = tb.word_bounds(data, offsets, tb.NOT_ALNUM)
     if not len(starts):
         return np.zeros(0, np.uint64), first
-    return tb.range_hash(tb.prefix_hash(data), starts, np.minimum(ends, starts + 512)), first
+    return tb.word_hashes(data, starts, ends), first
 
 
 def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:

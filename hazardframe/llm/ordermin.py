@@ -40,7 +40,7 @@ def labelled_kmers(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.n
     starts, ends, first = tb.word_bounds(data, offsets)
     counts = np.diff(first)
     if len(starts):
-        words = tb.range_hash(tb.prefix_hash(data), starts, np.minimum(ends, starts + 512))
+        words = tb.word_hashes(data, starts, ends)
     else:
         words = np.zeros(0, np.uint64)
     sizes = np.maximum(counts - k + 1, 1)

@@ -101,6 +101,20 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mixed(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+WORD_PIECE = 512
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word over its whole length; words longer than a piece from the hashes of their pieces."""
+    sums = prefix_hash(data)
+    out = range_hash(sums, starts, np.minimum(ends, starts + WORD_PIECE))
+    for i in np.flatnonzero(ends - starts > WORD_PIECE):
+        at = np.arange(starts[i], ends[i], WORD_PIECE)
+        pieces = range_hash(sums, at, np.minimum(at + WORD_PIECE, ends[i]))
+        out[i] = mixed(mixed(pieces + np.arange(1, len(at) + 1, dtype=np.uint64) * np.uint64(BASE)).sum(keepdims=True))[0]
+    return out
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each text the number of its first word (one more entry than texts)."""
     inside = ~separator[data]

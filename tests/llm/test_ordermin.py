@@ -2,8 +2,9 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
-from hazardframe.llm import ordermin
+from hazardframe.llm import backoff, decontaminate, ordermin
 
 
 def shingles(text, k=5):
@@ -164,3 +165,13 @@ def test_pairs_among_many_of_a_bucket_without_a_common_centre(spark):
         rows.append((2 * k + 1, " ".join(passage + own)))
     got = classes_of(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
     assert Counter(map(len, got)) == {2: 60}
+
+
+def test_long_words_differ_behind_their_first_bytes():
+    texts = pa.array(["x" * 512 + "a", "x" * 512 + "b", "x" * 2000 + "a", "x" * 2000 + "b", "pad " + "x" * 2000 + "b"])
+    kmers, begin = ordermin.labelled_kmers(texts)
+    assert len(set(kmers[begin[:-1]].tolist())) == 5
+    lanes, _, _ = backoff._gram_lanes(texts, 1)
+    words, first = decontaminate.word_hashes(texts)
+    for hashes in (lanes[0], words):
+        assert len(set(hashes.tolist())) == 5 and hashes[3] == hashes[5]
