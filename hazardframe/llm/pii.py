@@ -1,7 +1,7 @@
 """Personal data: patterns, and a skip-chain conditional random field over the number-like and address-like tokens.
 
 The base patterns mark e-mail addresses, IP addresses, card numbers and phone numbers. The field then labels the
-remaining tokens that hold a digit or an @: each has unary potentials from its shape, neighbours along the text share a
+remaining tokens and spaced runs that hold digits or an @: each has unary potentials from its shape, neighbours along the text share a
 chain potential, and equal or similar tokens anywhere in the document share a skip potential, so that a number found
 once in full carries its label to its repetitions. Base spans are evidence and keep their labels. Potentials are log odds
 of counts over all documents (base spans give the labels); marginals come from loopy message passing inside each
@@ -26,6 +26,10 @@ LABELS = ("none", *KINDS)
 SHAPES = 4096  # shape features are hashed into so many rows
 ROUNDS = 5
 MIN_MARGINAL = 0.9
+#: What a token is without other evidence; no shape makes a kind less likely than this, however often it stands unlabelled.
+PRIOR = np.array([0.8, 0.05, 0.05, 0.05, 0.05])
+#: Similar base spans that differ in kind, before any are seen, and how many pairs that counts for.
+DISAGREE, DISAGREE_PAIRS = 0.0025, 100
 
 # The base patterns. Possessive runs give the same matches as plain ones in linear time.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -33,6 +37,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_SPACED = re.compile(r"(?<![0-9])[0-9]++(?:[ ().-]++[0-9]++)++")
 _TOKEN = re.compile(r"[^\x09-\x0D ]+")
 _EDGE = ".,;:!?\"'()[]<>"
 
@@ -112,7 +117,8 @@ class Candidate:
 
 
 def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[Candidate]:
-    """Tokens with an @ or at least seven digits, and the base spans themselves, in order of their start."""
+    """Tokens with an @ or at least seven digits, runs of 7 to 19 digits with blanks between shorter tokens, and the base
+    spans themselves, in order of their start."""
     taken = sorted(spans, key=lambda s: s[1])
     out = [Candidate(s, e, text[s:e], LABELS.index(k)) for k, s, e in taken]
     starts = [s for _, s, _ in taken]
@@ -125,6 +131,13 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[Candidate]:
         k = int(np.searchsorted(starts, e)) - 1
         if s < e and not (k >= 0 and stops[k] > s):
             out.append(Candidate(s, e, text[s:e], None))
+    known = {p for c in out for p in (c.start, c.end - 1)}
+    for m in _SPACED.finditer(text):
+        s, e = m.span()
+        if " " in m.group() and e - s <= 60 and 7 <= sum(map(str.isdigit, m.group())) <= 19 and known.isdisjoint(range(s, e)):
+            k = int(np.searchsorted(starts, e)) - 1
+            if not (k >= 0 and stops[k] > s):
+                out.append(Candidate(s, e, text[s:e], None))
     return sorted(out, key=lambda c: c.start)
 
 
@@ -179,6 +192,8 @@ def marginals(found: list[Candidate], model: FieldModel) -> np.ndarray:
         if c.label is not None:  # evidence
             unary[i] = -50.0
             unary[i, c.label] = 0.0
+        elif 13 <= len(digits := re.sub(r"[^0-9]", "", c.text)) <= 19 and not passes_luhn(digits):
+            unary[i, LABELS.index("card")] = -50.0
     groups = similar_groups(found)
     left, right = np.zeros((n, m)), np.zeros((n, m))
     up = [np.zeros((len(g), m)) for g in groups]
@@ -229,7 +244,8 @@ def _worth_reading(column: pa.Array) -> list[bool]:
 
 
 def fit_field(df: DataFrame, text: str = "text") -> FieldModel:
-    """Counts over all documents: shapes by label, labels of neighbours, agreement of similar tokens."""
+    """Rates over all documents: shapes by label, labels of neighbouring base spans, agreement of similar base spans. A
+    token outside the base spans is unlabelled: it only lowers the rate at which its shape shows a kind, down to the prior."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -243,9 +259,11 @@ def fit_field(df: DataFrame, text: str = "text") -> FieldModel:
                     for c, y in zip(found, labels):
                         counts["u", shape(c.text), y] += 1
                     for a, b in zip(labels, labels[1:]):
-                        counts["c", a, b] += 1
+                        if a and b:
+                            counts["c", a, b] += 1
                     for g in similar_groups(found):
-                        for a, b in zip(g, g[1:]):
+                        known = [i for i in g if labels[i]]
+                        for a, b in zip(known, known[1:]):
                             counts["s", int(labels[a] == labels[b]), 0] += 1
         keys = list(counts)
         yield pa.RecordBatch.from_arrays([
@@ -264,13 +282,16 @@ def fit_field(df: DataFrame, text: str = "text") -> FieldModel:
             chain[a, b] += n
         else:
             skip[a] += n
-    # A shape that no base span has shown is most likely no personal data.
-    prior = np.append(0.96, np.full(m - 1, 0.04 / (m - 1)))
-    unary = np.log((shapes + prior) / (shapes.sum(axis=1, keepdims=True) + 1))
-    pairs = (chain + 1) / (chain.sum() + m * m)
-    ratio = np.log(pairs / (pairs.sum(axis=1, keepdims=True) * pairs.sum(axis=0, keepdims=True)))
-    # How much more often similar tokens agree than they differ; at least what one agreement in doubt would say.
-    agree = float(np.log((skip[1] + 1) / (skip[0] + 1)))
+    rates = (shapes + PRIOR) / (shapes.sum(axis=1, keepdims=True) + 1)
+    rates[:, 1:] = np.maximum(rates[:, 1:], PRIOR[1:])
+    unary = np.log(rates / rates.sum(axis=1, keepdims=True))
+    # Neighbours say something about kinds only; next to an unlabelled token nothing is known.
+    pairs = (chain[1:, 1:] + 1) / (chain[1:, 1:].sum() + (m - 1) ** 2)
+    ratio = np.zeros((m, m))
+    ratio[1:, 1:] = np.log(pairs / (pairs.sum(axis=1, keepdims=True) * pairs.sum(axis=0, keepdims=True)))
+    # How much more often similar base spans agree than they differ; at least what one agreement in doubt would say.
+    differ = (skip[0] + DISAGREE * DISAGREE_PAIRS) / (skip.sum() + DISAGREE_PAIRS)
+    agree = float(np.log((1 - differ) / differ)) if differ < 1 else 0.0
     return FieldModel(unary, np.clip(ratio, -1, 1), min(max(agree, 1.0), 6.0))
 
 

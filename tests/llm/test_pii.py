@@ -79,3 +79,16 @@ def test_odd_rows(odd, odd_rows, empty):
     got = pii.personal_data(odd, model, keep=("doc_id", "spans", "n_words")).collect()
     assert sorted(str((r.doc_id, r.base)) for r in got) == sorted(str((r[0], pii.joined(brute(r[1])))) for r in odd_rows)
     assert pii.personal_data(empty, pii.fit_field(empty)).count() == 0
+
+
+@pytest.mark.parametrize("plain", [0, 45, 100_000])
+def test_repeated_phone_among_plain_numbers_of_its_shape(spark, plain):
+    rows = [
+        (1, "call +12125550123 or else 12125550123"), (2, "from abroad +442079460958 and at home 020 7946 0958 please"),
+        (3, "order 2125550199, not 7125550123"), (4, "card 4111111111111111, typed 9111111111111111"),
+    ]
+    rows += [(10 + k, " ".join(str(10**10 + 7919 * k * 50 + j) for j in range(min(50, plain - 50 * k)))) for k in range(-(-plain // 50))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data(df, pii.fit_field(df)).collect()}
+    assert got[1] == "phone:5:17,phone:26:37" and got[2] == "phone:12:25,phone:38:51"
+    assert got[3] == "" and got[4] == "card:5:21" and not any(got[k] for k, _ in rows[4:])
