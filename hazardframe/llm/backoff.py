@@ -17,7 +17,7 @@ from hazardframe.llm import exchange as ex
 from hazardframe.llm import textblocks as tb
 from hazardframe.llm.storage import delete_table, write_table
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 
 

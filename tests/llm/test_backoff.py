@@ -38,3 +38,11 @@ def test_against_brute_force(odd, odd_rows, order):
 
 def test_empty(empty):
     assert backoff.backoff_scores(empty).count() == 0
+
+
+def test_the_default_tells_word_order_apart_by_trigrams(spark):
+    rows = [(k, t) for k, t in enumerate(["a b c", "x b d", "a b c", "x b d", "a b d", "b c d b"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.id: r.log_score for r in backoff.backoff_scores(df).collect()}
+    want = brute([t for _, t in rows], 3)
+    assert all(abs(got[k] - w[1]) < 1e-9 for k, w in enumerate(want)) and want != brute([t for _, t in rows], 2)
