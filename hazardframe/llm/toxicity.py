@@ -208,12 +208,16 @@ def squash(features: np.ndarray) -> np.ndarray:
 def training_rows(documents: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, limit: int) -> DataFrame:
     """Texts (t) and labels (y) of at most ``limit`` labelled ids, the first in hash order: a documented bound of the
     model, not of the scoring. The chosen ids are few by that bound, so they are sent to the scan of the texts. Of several labels
-    for an id the largest counts."""
+    for an id the largest counts; of several texts for an id, the one with the smallest digest."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
     known = known.groupBy(F.col(id_column).alias("_t_id")).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("y"))
     chosen = known.orderBy(F.xxhash64(F.col("_t_id").cast("string")), "_t_id").limit(limit)
     texts = documents.select(F.col(id_column).alias("_t_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return texts.join(F.broadcast(chosen), "_t_id").select("t", "y")
+    found = texts.join(F.broadcast(chosen), "_t_id")
+    one = found.groupBy("_t_id").agg(F.min(F.md5(F.col("t").cast("binary"))).alias("_t_digest"))
+    # Equal texts of an id are one row; the digests are few by the bound, and go along with the ids.
+    same = found.join(F.broadcast(one), "_t_id").where(F.md5(F.col("t").cast("binary")) == F.col("_t_digest"))
+    return same.select("_t_id", "t", "y").dropDuplicates(["_t_id"]).select("t", "y")
 
 
 def learn_lexicon(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> tuple[dict[str, float], dict[str, float]]:
@@ -279,7 +283,7 @@ def fit_toxicity(
 
     schema = "y double, " + ", ".join(f"{u} double" for u in USES)
     # At most max_rows rows of a few numbers.
-    got = rows.select("t", F.col("y").cast("double")).limit(max_rows).mapInArrow(measure, schema).toPandas()
+    got = rows.select("t", F.col("y").cast("double")).mapInArrow(measure, schema).toPandas()
     delete_table(rows.sparkSession, path)
     if got.empty:
         return ToxicityModel(words, prefixes, PRIOR.copy(), -3.0)

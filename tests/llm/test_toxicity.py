@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pyarrow as pa
@@ -57,3 +58,12 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     assert toxicity.score_toxicity(empty, model).count() == 0
     nothing = toxicity.fit_toxicity(empty, labels.where("false"))
     assert toxicity.score_toxicity(odd, nothing).where(F.col("score") >= 0.7).count() == 0
+
+
+def test_one_text_for_each_labelled_id(spark):
+    rows = [(1, f"text {k % 50}") for k in range(500)] + [(2, "other"), (2, "other"), (3, None)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, toxic int")
+    got = sorted(map(tuple, toxicity.training_rows(documents, labels, "doc_id", "text", "toxic", 100).collect()))
+    smallest = min((f"text {k}" for k in range(50)), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert got == [("", 0), ("other", 0), (smallest, 1)]
