@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import backoff, bwt, decontaminate, mixing, ordermin, pii, quality, storage, tokenfile, toxicity, warc
+from hazardframe.llm import backoff, bwt, decontaminate, mixing, ordermin, periods, pii, quality, storage, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,3 +170,60 @@ def op6_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select(
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+def with_repeated_part(documents: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents, by the checksum h of the id, the words from some word on are replaced by
+    repetitions of the first of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    g, n = F.floor(F.col("_h") / 10), F.size("_words")
+    rows = documents.select("doc_id", "text", h.alias("_h"), words.alias("_words"))
+    rows = rows.select("doc_id", "text", "_words", g.alias("_g"), F.when(n > 0, g % n).cast("int").alias("_a"))
+    p = (1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int")
+    rows = rows.select("doc_id", "text", "_words", "_a", p.alias("_p"))
+    times = F.ceil((n - F.col("_a")) / F.col("_p")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("_words", F.col("_a") + 1, F.col("_p")), times)), F.lit(1), n - F.col("_a"))
+    changed = F.concat_ws(" ", F.concat(F.slice("_words", F.lit(1), F.col("_a")), again))
+    return rows.select("doc_id", F.when(F.col("_a").isNull(), F.col("text")).otherwise(changed).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of words of every document, and a digest of its text without their repetitions."""
+    found = periods.periodic_runs(with_repeated_part(table(spark, folder, "documents"))).withColumn("best", periods.longest_run("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+ORACLES["op13_periodic_runs"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         -- CRC-32 bit by bit: a byte is mixed in, then eight steps (-1) shift the register
+         xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+             lambda r, x: CASE WHEN x < 0 THEN xor(r >> 1, 3988292384 * (r & 1)) ELSE xor(r, x) END), 4294967295) AS h
+  FROM documents),
+s AS (SELECT *, len(w)::BIGINT AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+planted AS (SELECT rid, doc_id, n, w, a, 1 + (n - a) // (3 + g % 8) AS p FROM s),
+word AS (SELECT rid, n, i, w[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1] AS word FROM planted, unnest(range(n)) AS u(i)),
+same AS (SELECT x.rid, x.i, y.i - x.i AS q FROM word x JOIN word y ON x.rid = y.rid AND x.word = y.word AND x.i < y.i AND y.i - x.i <= x.n // 2),
+stretch AS (
+  SELECT rid, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM same) GROUP BY rid, q, island
+  HAVING count(*) + q >= greatest(12, 2 * q)),
+run AS (SELECT rid, start::BIGINT AS start, length::BIGINT AS length, min(q)::BIGINT AS period FROM stretch GROUP BY rid, start, length),
+best AS (
+  SELECT rid, count(*) AS n_runs, arg_min({'s': start, 'l': length, 'p': period}, [-length, start, period]) AS b,
+         string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines
+  FROM run GROUP BY rid),
+dropped AS (SELECT DISTINCT rid, i FROM run, unnest(range(start + period, start + length)) AS u(i)),
+rest AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN dropped USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s AS start, b.l AS length, b.p AS period, 1000 * b.l // b.p AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(rest.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (rid) LEFT JOIN rest USING (rid)
+"""
