@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import backoff, bwt, decontaminate, mixing, ordermin, periods, pii, quality, storage, tokenfile, toxicity, warc
+from hazardframe.llm import backoff, bwt, decontaminate, mixing, ordermin, periods, pii, quality, speculate, storage, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,6 +172,16 @@ def op6_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op12_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's token ids, and the text that they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = speculate.decode(speculate.encode(table(spark, folder, "documents"), path), path)
+    return coded.select(
+        F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 def with_repeated_part(documents: DataFrame) -> DataFrame:
     """doc_id and text; in a tenth of the documents, by the checksum h of the id, the words from some word on are replaced by
     repetitions of the first of them."""
