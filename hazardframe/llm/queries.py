@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardframe.llm import backoff, bwt, decontaminate, mixing, ordermin, periods, pii, quality, speculate, storage, tokenfile, toxicity, warc
+from hazardframe.llm import backoff, bwt, decontaminate, mixing, ordermin, periods, pii, quality, rtree, speculate, storage, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,6 +172,39 @@ def op6_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """For every fiftieth row and each of its five best rows of the same label, the three best rows of other labels that score
+    half to 95 per cent of it."""
+    rows = table(spark, folder, "embeddings")
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = rows.where(finite).select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vector"),
+    )
+    found = rtree.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH r AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.rid <> b.rid),
+positive AS (
+  SELECT anchor, rid, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT s.anchor_id, positive_id, row_number() OVER best::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM positive p JOIN scored s ON p.anchor = s.anchor AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW best AS (PARTITION BY p.anchor, p.rid ORDER BY s.score DESC, s.vec_id NULLS LAST)
+QUALIFY row_number() OVER best <= 3
+"""
+
+
 @query
 def op12_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's token ids, and the text that they decode to, as digests."""
