@@ -1,89 +1,465 @@
-"""Gradient boosting of a conditional quantile (pinball loss), which Spark's own boosting does not offer.
+"""Gradient boosting of conditional quantiles (pinball loss), which Spark's own boosting does not offer.
 
-Each round fits a Spark decision tree to the sign of the residuals and then sets every leaf to the quantile of the
-residuals it holds. Predictions are carried along as a column, and the lineage is cut every few rounds.
+Trees grow level by level from histograms. Split points are fixed once: midpoints between neighbouring values at exact
+quantiles of each feature (between all neighbours, where a feature has at most MAX_BINS values), and no row is sampled.
+Rows are then packed in blocks of bin numbers. For a level every task follows the tree so far to the node of each of its
+rows and adds up, for each (node, feature, bin), the rows and those with a positive residual; the histograms meet by
+feature, where the best split is chosen. The pinball gradient takes two values, so these sums are whole numbers and the
+trees do not depend on how rows are dealt out. A leaf is set to the exact quantile of its residuals, found by narrowing
+the interval that holds it with summaries of order statistics. Several quantiles are fitted in the same passes.
+
+Up to LOCAL_ROWS rows are boosted by the same functions inside one task, which spares a job for each level; what is fitted
+is the same either way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import pickle
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hazardframe.operators.ordered import order_statistics
+from hazardframe.operators.ordered import cut_points, ordered_columns, with_piece
 from hazardframe.session import cut_lineage
 
 MAX_BINS = 256
+LOCAL_ROWS = 20_000
+BLOCK_ROWS = 8_192
+SUMMARY = 512  # order statistics that a task sends for each leaf
+TREE_SCHEMA = "tree int, node int, feature int, threshold double, bin int, left int, value double"
+
+
+@dataclass
+class Tree:
+    """Nodes in order of their making; the right child stands behind the left one, a leaf has feature -1."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    bin: np.ndarray
+    left: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def stump() -> Tree:
+        return Tree(np.array([-1]), np.array([np.nan]), np.array([-1]), np.array([-1]), np.zeros(1))
+
+    def split(self, node: int, feature: int, bin_: int, threshold: float) -> None:
+        self.feature[node], self.bin[node], self.threshold[node], self.left[node] = feature, bin_, threshold, len(self.feature)
+        self.feature, self.bin, self.left = (np.append(a, [-1, -1]) for a in (self.feature, self.bin, self.left))
+        self.threshold, self.value = np.append(self.threshold, [np.nan, np.nan]), np.append(self.value, [0.0, 0.0])
+
+    def nodes(self, goes_left) -> np.ndarray:
+        """The leaf of each row; ``goes_left(nodes)`` tells for rows at those nodes which go left."""
+        at = goes_left.start()
+        while (inner := self.feature[at] >= 0).any():
+            at = np.where(inner, self.left[at] + ~goes_left(self, at), at)
+        return at
+
+    def leaves(self) -> np.ndarray:
+        return np.flatnonzero(self.feature < 0)
+
+
+class _Binned:
+    def __init__(self, bins: np.ndarray):
+        self.bins, self.rows = bins, np.arange(len(bins))
+
+    def start(self) -> np.ndarray:
+        return np.zeros(len(self.bins), np.int64)
+
+    def __call__(self, tree: Tree, at: np.ndarray) -> np.ndarray:
+        return self.bins[self.rows, np.maximum(tree.feature[at], 0)] <= tree.bin[at]
+
+
+class _Raw(_Binned):
+    def __call__(self, tree: Tree, at: np.ndarray) -> np.ndarray:
+        return self.bins[self.rows, np.maximum(tree.feature[at], 0)] <= tree.threshold[at]
 
 
 @dataclass
 class QuantileModel:
-    """Start value, trees, and the leaf values of each tree (at most 2^depth per tree)."""
+    """Start value and trees, whose leaf values are scaled by ``rate``."""
 
     quantile: float
     start: float
     rate: float
-    trees: list[DecisionTreeRegressionModel]
-    leaves: list[dict[float, float]]
-
-    def transform(self, df: DataFrame, name: str, features: str = "features", every: int = 20) -> DataFrame:
-        out = df.withColumn("_v", array_to_vector(F.col(features))).withColumn(name, F.lit(self.start))
-        for i, (tree, values) in enumerate(zip(self.trees, self.leaves), start=1):
-            out = _apply_tree(out, tree, values, name, self.rate)
-            if i % every == 0 and i < len(self.trees):
-                out = cut_lineage(out)
-        return out.drop("_v")
-
-    def leaf_table(self, df: DataFrame) -> DataFrame:
-        rows = [(i, float(leaf), float(v)) for i, values in enumerate(self.leaves) for leaf, v in values.items()]
-        return df.sparkSession.createDataFrame(rows, "tree int, leaf double, value double")
-
-
-def _quantiles(df: DataFrame, quantile: float, keys: list[str]) -> DataFrame:
-    """The smallest value of ``_r`` with at least the share ``quantile`` of its key's values at or below it; exact at any
-    number of rows, and no key is sorted in one task."""
-    position = F.greatest(F.ceil(F.col("_size") * F.lit(float(quantile))) - 1, F.lit(0))
-    return order_statistics(df, "_r", {"q": position}, keys)
-
-
-def _leaf_value(leaf: Column, values: dict[float, float]) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in values.items() for x in (float(pair[0]), float(pair[1]))])
-    return F.coalesce(F.element_at(table, leaf), F.lit(0.0))
-
-
-def _apply_tree(df: DataFrame, tree: DecisionTreeRegressionModel, values: dict[float, float], name: str, rate: float) -> DataFrame:
-    leafed = tree.transform(df)
-    return leafed.withColumn(name, F.col(name) + rate * _leaf_value(F.col("_leaf"), values)).drop("_leaf", "_p")
-
-
-def fit_quantile(
-    df: DataFrame, quantile: float, target: str = "OS_MONTHS", features: str = "features", rounds: int = 200, depth: int = 3,
-    rate: float = 0.05, min_leaf: int = 9, seed: int = 42, every: int = 20,
-) -> QuantileModel:
-    """Boost ``rounds`` trees on the pinball loss at ``quantile``."""
-    rows = df.select(array_to_vector(F.col(features)).alias("_v"), F.col(target).cast("double").alias("_y"))
-    rows = cut_lineage(rows)
-    start = _quantiles(rows.withColumn("_r", F.col("_y")), quantile, []).first()["q"]
-    rows = rows.withColumn("_f", F.lit(float(start)))
-    learner = DecisionTreeRegressor(
-        featuresCol="_v", labelCol="_g", predictionCol="_p", leafCol="_leaf", maxDepth=depth, minInstancesPerNode=min_leaf, maxBins=MAX_BINS, seed=seed
+    trees: list[Tree]
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        out, rows = np.full(len(x), self.start), _Raw(x)
+        for tree in self.trees:
+            out += self.rate * tree.value[tree.nodes(rows)]
+        return out
+
+    def transform(self, df: DataFrame, name: str, features: str = "features") -> DataFrame:
+        """Add the prediction; only features that some split uses are sent to Python."""
+        used = sorted({int(f) for t in self.trees for f in t.feature if f >= 0})
+        if not used:
+            return df.withColumn(name, F.lit(self.start + self.rate * sum(float(t.value[0]) for t in self.trees)))
+        place = np.full(used[-1] + 1, -1)
+        place[used] = np.arange(len(used))
+        trees = [Tree(np.where(t.feature >= 0, place[t.feature], -1), t.threshold, t.bin, t.left, t.value) for t in self.trees]
+        model = QuantileModel(self.quantile, self.start, self.rate, trees)
+
+        @F.pandas_udf("double")
+        def predict(*columns: pd.Series) -> pd.Series:
+            return pd.Series(model.predict(np.column_stack([c.to_numpy(dtype=float) for c in columns])))
+
+        return df.withColumn(name, predict(*[F.col(features)[f] for f in used]))
+
+    def tree_rows(self) -> list[tuple]:
+        return [
+            (i, k, int(t.feature[k]), float(t.threshold[k]), int(t.bin[k]), int(t.left[k]), float(t.value[k]))
+            for i, t in enumerate(self.trees) for k in range(len(t.feature))
+        ]
+
+    @staticmethod
+    def from_rows(quantile: float, start: float, rate: float, rows: pd.DataFrame) -> QuantileModel:
+        ordered = rows.sort_values(["tree", "node"])
+        trees = [Tree(*(g[c].to_numpy().copy() for c in ("feature", "threshold", "bin", "left", "value"))) for _, g in ordered.groupby("tree")]
+        return QuantileModel(quantile, start, rate, trees)
+
+
+# --- split points ---------------------------------------------------------------------------------------------------
+
+
+def split_points(rows: DataFrame, features: str = "features", bins: int = MAX_BINS) -> dict[int, np.ndarray]:
+    """Thresholds of each feature: halfway from a value to the next one, at all values or at exact quantiles."""
+    cells = rows.select(F.posexplode(features).alias("feature", "value")).where(~F.isnan("value"))
+    counts = cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    ranked = ordered_columns(
+        with_piece(counts, "value", cut_points(cells, "value")), ["value"], ["feature"], sums={"upto": "n"}, totals={"size": "n", "distinct": "one"},
+        following={"next": "value"},
     )
-    trees, leaves = [], []
-    for i in range(1, rounds + 1):
-        residual = F.col("_y") - F.col("_f")
-        gradient = F.when(residual > 0, quantile).otherwise(quantile - 1.0)
-        tree = learner.fit(rows.withColumn("_g", gradient))
-        found = _quantiles(tree.transform(rows).select("_leaf", residual.alias("_r")), quantile, ["_leaf"]).collect()
-        values = {float(r["_leaf"]): float(r["q"]) for r in found}
-        trees.append(tree)
-        leaves.append(values)
-        rows = _apply_tree(rows, tree, values, "_f", rate)
-        if i % every == 0 and i < rounds:
-            rows = cut_lineage(rows)
-    return QuantileModel(quantile, float(start), rate, trees, leaves)
+    share = lambda n: F.floor(n * F.lit(bins) / F.col("size"))
+    picked = ranked.where(F.col("next").isNotNull() & ((F.col("distinct") <= bins) | (share(F.col("upto")) > share(F.col("upto") - F.col("n")))))
+    out: dict[int, list[float]] = {}
+    for r in picked.orderBy("feature", "value").select("feature", "value", "next").collect():  # fewer than ``bins`` a feature
+        middle = r["value"] + (r["next"] - r["value"]) / 2
+        out.setdefault(r["feature"], []).append(middle if middle < r["next"] else r["value"])
+    return {f: np.array(v) for f, v in out.items()}
+
+
+# --- sums over blocks of rows ---------------------------------------------------------------------------------------
+
+
+@dataclass
+class _Block:
+    """Bins, targets and predictions (a column for each quantile) of some rows."""
+
+    bins: np.ndarray
+    y: np.ndarray
+    fitted: np.ndarray
+
+    def advanced(self, rounds: Sequence[tuple[Sequence[Tree], float]]) -> _Block:
+        """With a round of scaled trees after the other added to the predictions."""
+        fitted, rows = self.fitted.copy(), _Binned(self.bins)
+        for trees, scale in rounds:
+            for m, tree in enumerate(trees):
+                fitted[:, m] += scale * tree.value[tree.nodes(rows)]
+        return _Block(self.bins, self.y, fitted)
+
+    def histogram(self, model: int, tree: Tree, open_: Sequence[int]) -> np.ndarray:
+        """(open node, feature, bin, rows and rows above their prediction)."""
+        at = tree.nodes(_Binned(self.bins))
+        place = np.full(len(tree.feature), -1)
+        place[list(open_)] = np.arange(len(open_))
+        some = place[at] >= 0
+        node, above = place[at][some], (self.y > self.fitted[:, model])[some]
+        p = self.bins.shape[1]
+        out = np.zeros((len(open_), p, MAX_BINS, 2), np.int64)
+        for f in range(p):
+            cell = node * MAX_BINS + self.bins[some, f]
+            out[:, f, :, 0] = np.bincount(cell, minlength=len(open_) * MAX_BINS).reshape(-1, MAX_BINS)
+            out[:, f, :, 1] = np.bincount(cell[above], minlength=len(open_) * MAX_BINS).reshape(-1, MAX_BINS)
+        return out
+
+    def residuals(self, model: int, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+        return tree.nodes(_Binned(self.bins)), self.y - self.fitted[:, model]
+
+
+def best_split(histogram: np.ndarray, quantile: float, min_leaf: int) -> tuple[float, int]:
+    """Gain and bin of the best split of a node on one feature (the first of equal ones); gain 0 if there is none.
+
+    The gain is the fall of the squared error of the gradient, which is ``quantile`` above the prediction and
+    ``quantile - 1`` at or below it.
+    """
+    n, above = histogram[:, 0].cumsum(), histogram[:, 1].cumsum()
+    total, total_above = n[-1], above[-1]
+    if total < 2 * min_leaf or total_above in (0, total):
+        return 0.0, -1
+    sums = above - n * (1.0 - quantile)
+    whole = total_above - total * (1.0 - quantile)
+    ok = (n >= min_leaf) & (total - n >= min_leaf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(ok, sums**2 / n + (whole - sums) ** 2 / (total - n) - whole**2 / total, 0.0)
+    gain = np.where(gain > 1e-12 * total, gain, 0.0)
+    best = int(np.argmax(gain))
+    return (float(gain[best]), best) if gain[best] > 0 else (0.0, -1)
+
+
+@dataclass
+class _Search:
+    """The rank-th smallest of a leaf's residuals lies in (low, high]; a task sends about ``size`` values of it (0: all)."""
+
+    rank: int = 0  # 0: not known yet
+    low: float = -math.inf
+    high: float = math.inf
+    size: int = SUMMARY
+
+
+@dataclass
+class _Summary:
+    """Of some residuals: how many there are, how many are at most ``low``, and values of the interval with the exact
+    number of interval values up to each, and of each."""
+
+    n: int
+    below: int
+    values: np.ndarray
+    upto: np.ndarray
+    times: np.ndarray
+
+    @staticmethod
+    def of(residuals: np.ndarray, search: _Search) -> _Summary:
+        """All distinct values of the interval, or some of them at even ranks, the largest included."""
+        inside = residuals[(residuals > search.low) & (residuals <= search.high)]
+        values, times = np.unique(inside, return_counts=True)
+        upto = np.cumsum(times)
+        if 0 < search.size < len(values):
+            picked = np.unique(np.searchsorted(upto, np.linspace(len(inside) / search.size, len(inside), search.size)))
+            values, upto, times = values[picked], upto[picked], times[picked]
+        return _Summary(len(residuals), int((residuals <= search.low).sum()), values, upto, times)
+
+    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """At least, and at most, so many interval values up to each x; at most so many strictly below it."""
+        counts = np.concatenate([[0], self.upto])
+        less = np.append(self.upto - self.times, self.upto[-1] if len(self.upto) else 0)
+        at, after = np.searchsorted(self.values, x, "left"), np.searchsorted(self.values, x, "right")
+        return counts[after], np.where(after > at, counts[after], less[after]), less[at]
+
+
+def _narrowed(parts: Sequence[_Summary], search: _Search, quantile: float) -> tuple[float | None, _Search]:
+    """The wanted value, if the summaries settle it, else a smaller interval that holds it."""
+    rank = search.rank or max(1, math.ceil(round(sum(p.n for p in parts) * quantile, 9)))
+    left = rank - sum(p.below for p in parts)
+    values = np.unique(np.concatenate([p.values for p in parts]))
+    least, most, less = (sum(c) for c in zip(*(p.bounds(values) for p in parts)))
+    at = int(np.searchsorted(least, left))
+    if less[at] < left:
+        return float(values[at]), search
+    before = int(np.searchsorted(most, left)) - 1  # up to this value there are surely fewer
+    low, high = float(values[before]) if before >= 0 else search.low, float(values[at])
+    return None, _Search(rank, low, high, 2 * search.size)  # ends even where the interval hardly narrows
+
+
+class _InTask:
+    """All rows in one block."""
+
+    def __init__(self, block: _Block):
+        self.block = block
+
+    def splits(self, wanted: list[tuple[int, Tree, list[int]]], quantiles: Sequence[float], min_leaf: int) -> dict[tuple[int, int], tuple[float, int, int]]:
+        out = {}
+        for m, tree, open_ in wanted:
+            for k, by_feature in zip(open_, self.block.histogram(m, tree, open_)):
+                found = [(g, -f, b) for f, h in enumerate(by_feature) for g, b in [best_split(h, quantiles[m], min_leaf)]]
+                gain, f, b = max(found, default=(0.0, 0, -1))
+                out[m, k] = (gain, -f, b)
+        return out
+
+    def leaf_values(self, trees: Sequence[Tree], quantiles: Sequence[float]) -> list[dict[int, float]]:
+        out = []
+        for m, tree in enumerate(trees):
+            at, r = self.block.residuals(m, tree)
+            out.append({int(k): _narrowed([_Summary.of(r[at == k], _Search(size=0))], _Search(), quantiles[m])[0] for k in tree.leaves()})
+        return out
+
+    def advance(self, trees: Sequence[Tree], scale: float) -> None:
+        self.block = self.block.advanced([(trees, scale)])
+
+
+class _OverTasks:
+    """Blocks in a table; every question is a job, and predictions are written anew after ``every`` rounds."""
+
+    def __init__(self, packed: DataFrame, width: int, models: int, every: int):
+        self.packed, self.width, self.models, self.every = packed, width, models, every
+        self.recent: list[tuple[list[Tree], float]] = []
+
+    def _blocks(self):
+        width, models, recent = self.width, self.models, list(self.recent)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield _open(row, width, models).advanced(recent)
+
+        return run
+
+    def splits(self, wanted, quantiles, min_leaf):
+        blocks = self._blocks()
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for block in blocks(batches):
+                for m, tree, open_ in wanted:
+                    total[m] = total.get(m, 0) + block.histogram(m, tree, open_)
+            rows = [(m, k, f, total[m][i, f].tobytes()) for m, _, open_ in wanted if m in total for i, k in enumerate(open_) for f in range(total[m].shape[1])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), pa.int32(), pa.int32(), pa.binary()])], names=["model", "node", "feature", "h"])
+
+        def best(part: pa.Table) -> pa.Table:
+            whole = sum(np.frombuffer(h, np.int64).reshape(MAX_BINS, 2) for h in part["h"].to_pylist())
+            gain, b = best_split(whole, quantiles[part["model"][0].as_py()], min_leaf)
+            return part.slice(0, 1).drop_columns(["h"]).append_column("gain", pa.array([gain])).append_column("bin", pa.array([b], pa.int32()))
+
+        parts = self.packed.mapInArrow(sums, "model int, node int, feature int, h binary").groupBy("model", "node", "feature")
+        found: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for r in parts.applyInArrow(best, "model int, node int, feature int, gain double, bin int").collect():  # one row for each open node and feature
+            key, new = (r["model"], r["node"]), (r["gain"], -r["feature"], r["bin"])
+            found[key] = max(found.get(key, (0.0, -self.width, -1)), new)
+        return {k: (g, -f, b) for k, (g, f, b) in found.items()}
+
+    def leaf_values(self, trees, quantiles):
+        blocks = self._blocks()
+        out: list[dict[int, float]] = [{} for _ in trees]
+        searches = {(m, int(k)): _Search() for m, tree in enumerate(trees) for k in tree.leaves()}
+        while searches:
+            asked = dict(searches)
+
+            def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                held: dict[tuple[int, int], list[np.ndarray]] = {key: [] for key in asked}
+                for block in blocks(batches):
+                    for m, tree in enumerate(trees):
+                        at, r = block.residuals(m, tree)
+                        for key in asked:
+                            if key[0] == m:
+                                held[key].append(r[at == key[1]])
+                rows = [(key, _Summary.of(np.concatenate(v), asked[key])) for key, v in held.items() if v]
+                numbers = [[key[0] for key, _ in rows], [key[1] for key, _ in rows], [x.n for _, x in rows], [x.below for _, x in rows]]
+                packed = [[getattr(x, name).tobytes() for _, x in rows] for name in ("values", "upto", "times")]
+                columns = [*(pa.array(c, pa.int64()) for c in numbers), *(pa.array(c, pa.binary()) for c in packed)]
+                yield pa.RecordBatch.from_arrays(columns, names=["model", "node", "n", "below", "values", "upto", "times"])
+
+            def narrow(part: pa.Table) -> pa.Table:
+                key = (part["model"][0].as_py(), part["node"][0].as_py())
+                whole = lambda raw: np.frombuffer(raw, np.int64)
+                parts = [_Summary(r["n"], r["below"], np.frombuffer(r["values"]), whole(r["upto"]), whole(r["times"])) for r in part.to_pylist()]
+                value, s = _narrowed(parts, asked[key], quantiles[key[0]])
+                return pa.table({"model": [key[0]], "node": [key[1]], "value": pa.array([value], pa.float64()), "rank": [s.rank], "low": [s.low], "high": [s.high], "size": [s.size]})
+
+            kind = "model bigint, node bigint, n bigint, below bigint, values binary, upto binary, times binary"
+            found = self.packed.mapInArrow(summaries, kind).groupBy("model", "node").applyInArrow(
+                narrow, "model bigint, node bigint, value double, rank bigint, low double, high double, size bigint"
+            ).collect()  # one row for each leaf
+            for r in found:
+                key = (r["model"], r["node"])
+                if r["value"] is not None:
+                    out[key[0]][key[1]] = r["value"]
+                    del searches[key]
+                else:
+                    searches[key] = _Search(r["rank"], r["low"], r["high"], r["size"])
+        return out
+
+    def advance(self, trees, scale):
+        self.recent.append((list(trees), scale))
+        if len(self.recent) >= self.every:
+            blocks = self._blocks()
+
+            def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for block in blocks(batches):
+                    yield _pack(block)
+
+            self.packed, self.recent = cut_lineage(self.packed.mapInArrow(written, _PACKED)), []
+
+
+_PACKED = "bins binary, y binary, fitted binary"
+
+
+def _pack(block: _Block) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({n: pa.array([a.tobytes()], pa.binary()) for n, a in (("bins", block.bins), ("y", block.y), ("fitted", block.fitted))})
+
+
+def _open(row: dict, width: int, models: int) -> _Block:
+    y = np.frombuffer(row["y"])
+    return _Block(np.frombuffer(row["bins"], np.uint8).reshape(len(y), width), y, np.frombuffer(row["fitted"]).reshape(len(y), models))
+
+
+def _grow(
+    rows: _InTask | _OverTasks, quantiles: Sequence[float], points: dict[int, np.ndarray], rounds: int, depth: int, rate: float, min_leaf: int
+) -> tuple[list[float], list[list[Tree]]]:
+    """Start values and trees of each quantile."""
+    stumps = [Tree.stump() for _ in quantiles]
+    starts = [v[0] for v in rows.leaf_values(stumps, quantiles)]
+    for tree, start in zip(stumps, starts):
+        tree.value[0] = start
+    rows.advance(stumps, 1.0)
+    grown: list[list[Tree]] = []
+    for _ in range(rounds):
+        trees, open_ = [Tree.stump() for _ in quantiles], [[0] for _ in quantiles]
+        for _ in range(depth):
+            wanted = [(m, tree, nodes) for m, (tree, nodes) in enumerate(zip(trees, open_)) if nodes]
+            if not wanted:
+                break
+            found, open_ = rows.splits(wanted, quantiles, min_leaf), [[] for _ in quantiles]
+            for m, tree, nodes in wanted:
+                for k in nodes:
+                    gain, feature, b = found[m, k]
+                    if gain > 0:
+                        tree.split(k, feature, b, points[feature][b])
+                        open_[m] += [int(tree.left[k]), int(tree.left[k]) + 1]
+        for tree, values in zip(trees, rows.leaf_values(trees, quantiles)):
+            for k, v in values.items():
+                tree.value[k] = v
+        rows.advance(trees, rate)
+        grown.append(trees)
+    return starts, [[round_[m] for round_ in grown] for m in range(len(quantiles))]
+
+
+def fit_quantiles(
+    df: DataFrame, quantiles: Sequence[float], target: str = "OS_MONTHS", features: str = "features", rounds: int = 200, depth: int = 3,
+    rate: float = 0.05, min_leaf: int = 9, every: int = 20, local_rows: int | None = None,
+) -> list[QuantileModel]:
+    """Boost ``rounds`` trees on the pinball loss at each quantile, all in the same passes. Features must be complete."""
+    spark: SparkSession = df.sparkSession
+    rows = cut_lineage(df.select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y")).where("y IS NOT NULL"))
+    shape = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p")).first()
+    if not shape["n"]:
+        raise ValueError("no rows to fit")
+    width, models = shape["p"], len(quantiles)
+    points = split_points(rows, "x")
+    edges = [points.get(f, np.zeros(0)) for f in range(width)]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width)
+                bins = np.column_stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)]) if width else np.zeros((len(x), 0))
+                y = part.column(1).to_numpy()
+                yield _pack(_Block(bins.astype(np.uint8), y, np.zeros((len(y), models))))
+
+    packed = cut_lineage(rows.mapInArrow(pack, _PACKED))
+    arguments = (quantiles, points, rounds, depth, rate, min_leaf)
+    if shape["n"] <= (LOCAL_ROWS if local_rows is None else local_rows):
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks = [_open(row, width, models) for batch in batches for row in batch.to_pylist()]
+            if blocks:  # the one task that holds the rows
+                block = _Block(*(np.concatenate([getattr(b, n) for b in blocks]) for n in ("bins", "y", "fitted")))
+                yield pa.RecordBatch.from_pydict({"fit": pa.array([pickle.dumps(_grow(_InTask(block), *arguments))], pa.binary())})
+
+        starts, trees = pickle.loads(packed.coalesce(1).mapInArrow(whole, "fit binary").first()["fit"])
+    else:
+        starts, trees = _grow(_OverTasks(packed, width, models, every), *arguments)
+    return [QuantileModel(q, float(s), rate, t) for q, s, t in zip(quantiles, starts, trees)]
+
+
+def fit_quantile(df: DataFrame, quantile: float, target: str = "OS_MONTHS", features: str = "features", **options) -> QuantileModel:
+    """``fit_quantiles`` for a single quantile."""
+    return fit_quantiles(df, [quantile], target, features, **options)[0]
 
 
 def interval_columns(names: Sequence[str], lo: str, hi: str, swap: bool = True) -> dict[str, Column]:

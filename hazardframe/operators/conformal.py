@@ -130,7 +130,7 @@ def cqr_interval(
     if counts["cal"] < min_calibration:
         return IntervalResult(_without_bounds(rows), None, f"skipped: only {counts['cal']} calibration events (need >= {min_calibration})", [])
     train = events.where(F.col(split) == "train")
-    models = [boosting.fit_quantile(train, q, time, features, rounds, **tree) for q in (alpha / 2, 1 - alpha / 2)]
+    models = boosting.fit_quantiles(train, [alpha / 2, 1 - alpha / 2], time, features, rounds, **tree)
     predicted = models[1].transform(models[0].transform(rows, "_lo", features), "_hi", features)
     # Written once: the bounds are read for the calibration scores and again for the result.
     predicted = cut_lineage(predicted)

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazardframe.operators import clean, cox
+from hazardframe.operators.boosting import TREE_SCHEMA, QuantileModel
 from hazardframe.sources.readers import path_exists
 
 
@@ -95,28 +96,13 @@ def load_coefficients(spark: SparkSession, path: str) -> dict[tuple[str, int], l
     return out
 
 
-def save_quantile_model(model, spark: SparkSession, path: str) -> None:
-    """A boosted quantile model: its trees as Spark models, its leaf values and constants as tables."""
-    for i, tree in enumerate(model.trees):
-        tree.write().overwrite().save(f"{path}/tree-{i:04d}")
-    leaves = [(i, float(leaf), float(v)) for i, values in enumerate(model.leaves) for leaf, v in values.items()]
-    spark.createDataFrame(leaves, "tree int, leaf double, value double").coalesce(1).write.mode("overwrite").parquet(f"{path}/leaves")
-    head = [(model.quantile, model.start, model.rate, len(model.trees))]
-    spark.createDataFrame(head, "quantile double, start double, rate double, n_trees int").coalesce(1).write.mode("overwrite").parquet(
-        f"{path}/head"
-    )
-
-
-def load_quantile_model(spark: SparkSession, path: str):
-    from pyspark.ml.regression import DecisionTreeRegressionModel
+def save_quantile_model(model: QuantileModel, spark: SparkSession, path: str) -> None:
+    """A boosted quantile model: its trees and its constants as tables."""
+    spark.createDataFrame(model.tree_rows(), TREE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+    head = [(model.quantile, model.start, model.rate)]
+    spark.createDataFrame(head, "quantile double, start double, rate double").coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
 
-    from hazardframe.operators.boosting import QuantileModel
 
+def load_quantile_model(spark: SparkSession, path: str) -> QuantileModel:
     head = spark.read.parquet(f"{path}/head").first()
-    leaves: list[dict[float, float]] = [{} for _ in range(head["n_trees"])]
-    for r in spark.read.parquet(f"{path}/leaves").collect():  # at most 2^depth rows per tree
-        leaves[r["tree"]][r["leaf"]] = r["value"]
-    trees = [DecisionTreeRegressionModel.load(f"{path}/tree-{i:04d}") for i in range(head["n_trees"])]
-    for tree in trees:
-        tree.setLeafCol("_leaf")
-    return QuantileModel(head["quantile"], head["start"], head["rate"], trees, leaves)
+    return QuantileModel.from_rows(head["quantile"], head["start"], head["rate"], spark.read.parquet(f"{path}/trees").toPandas())
