@@ -1,10 +1,13 @@
 """Cox proportional-hazards models by distributed partial likelihood.
 
 Rows become signed entries at a time: +1 at the stop time and, for (start, stop] rows, -1 at the start time, so the
-risk-set sum at t is the sum of sign * exp(eta) over entries at times >= t. Entries are cut into time pieces once and
-kept partitioned and sorted by falling time. Each evaluation makes two passes without any shuffle: the first adds up
-every piece, the second streams through the pieces with the sums of the later pieces as a start value. Ties follow
-Breslow. A time shared by very many rows is a piece of its own and is split over several tasks.
+risk-set sum at t is the sum of sign * exp(eta) over entries at times >= t. Entries are range-partitioned once by falling
+time, with the row number as a tie-breaker, so that a time shared by very many rows is dealt over several partitions, and
+kept sorted. A partition is a stretch of the time axis; there are as many as the rows ask for. Each evaluation makes two passes without
+a shuffle of rows: the first adds up every stretch, which gives each stretch the sum of all later times and, where its last
+time goes on in the next ones, what they hold at that time. The second streams through the stretches. Its results are
+summaries that two neighbouring stretches can be joined by, also in the middle of a tied time; many of them are joined by
+blocks in tasks before the driver joins the blocks. Ties follow Breslow.
 
 Several models are fitted together: ``group`` tells data sets apart (folds), and each group may carry many models
 (penalties, feature subsets), whose coefficients are the columns of one matrix product per batch. The optimisers of all
@@ -13,21 +16,21 @@ models advance in step, so a whole grid costs as many passes as its slowest memb
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from hazardframe.operators.ordered import cut_points_of, with_piece
 from hazardframe.session import cut_lineage
 
-PIECE_LIMIT = 256
-SALTS = 16
-CELLS_PER_TASK = 500_000
+CELLS_PER_TASK = 500_000  # entries times features, up to as many tasks as a shuffle has
+MOST_CELLS_PER_TASK = 8 * CELLS_PER_TASK  # beyond them the number of tasks grows with the rows
+JOINED_BY_DRIVER = 64  # summaries of a group; more are joined in tasks first
 SMOOTHING = 1e-6
 
 
@@ -67,7 +70,7 @@ class CoxData:
 
     entries: DataFrame
     width: int
-    single: frozenset[int]
+    stretches: int
     event_sums: dict[int, np.ndarray] = field(default_factory=dict)
     metrics: dict[int, np.ndarray] = field(default_factory=dict)
 
@@ -77,9 +80,10 @@ class CoxData:
 
 def cox_data(
     df: DataFrame, stop: str = "OS_MONTHS", event: str = "OS_EVENT", features: str = "features",
-    start: str | None = None, group: str | None = None, width: int | None = None,
+    start: str | None = None, group: str | None = None, width: int | None = None, stretches: int | None = None,
 ) -> CoxData:
-    """Prepare rows with an array column of features (no missing values); ``width`` is its length, if known."""
+    """Prepare rows with an array column of features (no missing values); ``width`` is its length, if known. ``stretches``
+    sets the number of partitions, which follows from the size otherwise and never changes what is found."""
     base = df.select(
         (F.col(group).cast("int") if group else F.lit(0)).alias("g"),
         F.col(stop).cast("double").alias("t"), F.lit(1.0).alias("sign"), (F.col(event) == 1).cast("int").alias("e"),
@@ -90,44 +94,63 @@ def cox_data(
             F.struct("t", "sign", "e"), F.struct(F.col("_start").alias("t"), F.lit(-1.0).alias("sign"), F.lit(0).alias("e"))
         )
         base = base.select("g", "x", F.explode(ends).alias("_z")).select("g", "_z.t", "_z.sign", "_z.e", "x")
-    cuts = cut_points_of(base, ["t"], limit=PIECE_LIMIT, isolate=True)["t"]
-    pieced = with_piece(base, "t", cuts.cuts, "piece")
-    single = F.col("piece").isin(*sorted(cuts.isolated)) if cuts.isolated else F.lit(False)
-    salted = pieced.withColumn("salt", F.when(single, F.pmod(F.xxhash64("x"), F.lit(SALTS))).otherwise(0).cast("int"))
     width = width or len(df.select(features).first()[0])
-    tasks = max(1, cuts.rows * width // CELLS_PER_TASK)
-    parts = min(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if stretches is None:
+        cells = base.count() * width
+        usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        stretches = max(1, min(usual, cells // CELLS_PER_TASK), cells // MOST_CELLS_PER_TASK)
     entries = (
-        salted.repartition(parts, "g", "piece", "salt")
-        .sortWithinPartitions("g", "piece", "salt", F.desc("t"))
-        .select("g", "piece", "salt", "t", "sign", "e", "x")
+        base.withColumn("row", F.monotonically_increasing_id())
+        .repartitionByRange(stretches, "g", F.desc("t"), "row")
+        .sortWithinPartitions("g", F.desc("t"))
+        .select("g", "t", "sign", "e", "x")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    data = CoxData(entries, width, cuts.isolated)
+    data = CoxData(entries, width, stretches)
+    schema = "part int, g int, n bigint, rows bigint, ex binary, x binary, xx binary"
+    sums = _by_blocks(entries.mapInArrow(_totals, schema), schema, _added_totals, stretches)
     totals: dict[int, list] = {}
-    schema = "g int, n bigint, rows bigint, ex binary, x binary, xx binary"
-    for r in entries.mapInArrow(_totals, schema).collect():  # one row per task and group
-        values = [r["n"], r["rows"], np.frombuffer(r["ex"]), np.frombuffer(r["x"]), np.frombuffer(r["xx"]).reshape(width, width)]
+    for r in sums.collect():  # one row for each block and group
+        values = _open_totals(r.asDict())
         known = totals.get(r["g"])
         totals[r["g"]] = values if known is None else [a + b for a, b in zip(known, values)]
     for g, (events, rows, ex, x, xx) in totals.items():
+        xx = xx.reshape(width, width)
         mean = x / max(rows, 1)
         data.event_sums[g] = ex
         data.metrics[g] = events * (xx / max(rows, 1) - np.outer(mean, mean))
     return data
 
 
-def _segments(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of one (g, piece, salt) within a batch: key, times, signs, events, feature matrix."""
+def _by_blocks(summaries: DataFrame, schema: str, join, stretches: int) -> DataFrame:
+    """Summaries of neighbouring stretches joined in tasks, where there are many."""
+    if stretches <= JOINED_BY_DRIVER:
+        return summaries
+    size = math.ceil(math.sqrt(stretches))
+    return summaries.withColumn("block", F.floor(F.col("part") / size)).groupBy("g", "block").applyInArrow(lambda rows: join(rows.drop_columns(["block"])), schema)
+
+
+def _open_totals(row: dict) -> list:
+    return [row["n"], row["rows"], *(np.frombuffer(row[c]) for c in ("ex", "x", "xx"))]
+
+
+def _added_totals(rows: pa.Table) -> pa.Table:
+    n, count, ex, x, xx = (sum(c) for c in zip(*map(_open_totals, rows.to_pylist())))
+    first = rows.slice(0, 1).select(["part", "g"])
+    for name, value in (("n", pa.array([n], pa.int64())), ("rows", pa.array([count], pa.int64())), ("ex", _packed([ex])), ("x", _packed([x])), ("xx", _packed([xx]))):
+        first = first.append_column(name, value)
+    return first
+
+
+def _segments(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of one group within a batch: group, times, signs, events, feature matrix."""
     if batch.num_rows == 0:
         return
-    g, piece, salt = (batch.column(i).to_numpy() for i in range(3))
-    t, sign, e = (batch.column(i).to_numpy() for i in range(3, 6))
-    x = batch.column(6).flatten().to_numpy().reshape(batch.num_rows, -1)
-    change = np.flatnonzero((np.diff(g) != 0) | (np.diff(piece) != 0) | (np.diff(salt) != 0)) + 1
-    edges = [0, *change.tolist(), batch.num_rows]
+    g, t, sign, e = (batch.column(i).to_numpy() for i in range(4))
+    x = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, -1)
+    edges = [0, *(np.flatnonzero(np.diff(g) != 0) + 1).tolist(), batch.num_rows]
     for lo, hi in zip(edges, edges[1:]):
-        yield (int(g[lo]), int(piece[lo]), int(salt[lo])), t[lo:hi], sign[lo:hi], e[lo:hi], x[lo:hi]
+        yield int(g[lo]), t[lo:hi], sign[lo:hi], e[lo:hi], x[lo:hi]
 
 
 def _packed(arrays: Iterable[np.ndarray]) -> pa.Array:
@@ -139,63 +162,79 @@ def _totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per group: events, rows, feature sums of the events, feature sums and cross products of the rows."""
     sums: dict[int, list] = {}
     for batch in batches:
-        for (g, _, _), _, sign, e, x in _segments(batch):
+        for g, _, sign, e, x in _segments(batch):
             rows = x[sign > 0]
             values = [int(e.sum()), len(rows), e @ x, rows.sum(axis=0), rows.T @ rows]
             sums[g] = [a + b for a, b in zip(sums[g], values)] if g in sums else values
     columns = list(zip(*sums.values())) if sums else [[]] * 5
     yield pa.RecordBatch.from_pydict(
-        {"g": pa.array(list(sums), pa.int32()), "n": pa.array(columns[0], pa.int64()), "rows": pa.array(columns[1], pa.int64()),
+        {"part": _part(len(sums)), "g": pa.array(list(sums), pa.int32()), "n": pa.array(columns[0], pa.int64()), "rows": pa.array(columns[1], pa.int64()),
          **{name: _packed(columns[i]) for i, name in ((2, "ex"), (3, "x"), (4, "xx"))}}
     )
 
 
+def _part(count: int) -> pa.Array:
+    """The number of the stretch at work: partitions of the range partitioning in order."""
+    return pa.array([TaskContext.get().partitionId()] * count, pa.int32())
+
+
 def _weights(x: np.ndarray, sign: np.ndarray, beta: np.ndarray, clip: float) -> tuple[np.ndarray, np.ndarray]:
     eta = np.clip(x @ beta, -clip, clip)
     return eta, sign[:, None] * np.exp(eta)
 
 
-def _piece_sums(betas: dict[int, np.ndarray], clip: float):
+def _stretch_sums(betas: dict[int, np.ndarray], clip: float):
+    """Of each stretch: its weight, its first and last time, and the weight at the first."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        found: dict[int, list] = {}
         for batch in batches:
-            for (g, piece, _), _, sign, _, x in _segments(batch):
-                if g in betas:
-                    sums[g, piece] = sums.get((g, piece), 0) + _weights(x, sign, betas[g], clip)[1].sum(axis=0)
+            for g, t, sign, _, x in _segments(batch):
+                if g not in betas:
+                    continue
+                w = _weights(x, sign, betas[g], clip)[1]
+                s = found.setdefault(g, [0.0, t[0], 0.0, t[-1]])
+                s[0], s[2], s[3] = s[0] + w.sum(axis=0), s[2] + w[t == s[1]].sum(axis=0), t[-1]
         yield pa.RecordBatch.from_pydict(
-            {"g": pa.array([k[0] for k in sums], pa.int32()), "piece": pa.array([k[1] for k in sums], pa.int32()),
-             "w": _packed(sums.values())}
+            {"part": _part(len(found)), "g": pa.array(list(found), pa.int32()), "first": pa.array([s[1] for s in found.values()], pa.float64()),
+             "last": pa.array([s[3] for s in found.values()], pa.float64()), **{n: _packed(s[i] for s in found.values()) for n, i in (("w", 0), ("at_first", 2))}}
         )
 
     return run
 
 
 class _Stream:
-    """Sums of one (g, piece, salt) while its rows arrive by falling time."""
+    """Sums of one stretch while its rows arrive by falling time. ``later``: weight of all later times; ``beyond``: what the
+    next stretches hold at this one's last time."""
 
-    def __init__(self, later: np.ndarray, single: bool, width: int):
+    def __init__(self, later: np.ndarray, beyond: np.ndarray, width: int):
         k = len(later)
-        self.s0 = later.copy()
-        self.single = single
-        self.time, self.pending = None, 0
+        self.s0, self.beyond = later.copy(), beyond
+        self.first, self.time, self.pending = None, None, 0
         self.seen = np.zeros(k)  # sum of d / S0 over closed event times
-        self.loglik = np.zeros(k)
-        self.xw, self.xwg = np.zeros((width, k)), np.zeros((width, k))
-
-    def close_time(self) -> None:
-        if self.pending:
-            ok = self.s0 > 0
-            safe = np.where(ok, self.s0, 1.0)
-            self.seen += np.where(ok, self.pending / safe, 0.0)
-            self.loglik -= np.where(ok, self.pending * np.log(safe), 0.0)
+        self.loglik, self.share = np.zeros(k), np.zeros(k)
+        self.xw, self.xwg, self.xw_first = (np.zeros((width, k)) for _ in range(3))
+
+    def _shares(self, d: np.ndarray, s0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """d / S0 and d log S0; NaN where an event time has no weight at risk."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            fine = np.where(s0 > 0, s0, np.nan)
+            return np.where(d > 0, d / fine, 0.0), np.where(d > 0, d * np.log(fine), 0.0)
+
+    def close_time(self, beyond: np.ndarray | float = 0.0) -> None:
+        self.share, logs = self._shares(np.float64(self.pending), self.s0 + beyond)
+        self.seen = self.seen + self.share
+        self.loglik -= logs
         self.pending = 0
 
     def add(self, t: np.ndarray, e: np.ndarray, x: np.ndarray, eta: np.ndarray, w: np.ndarray) -> None:
         self.loglik += e @ eta
         self.xw += x.T @ w
-        if self.single:  # all rows share one time and S0 already holds the whole piece
-            self.pending += int(e.sum())
-            return
+        if self.first is None:
+            self.first = t[0]
+        if t[0] == self.first:
+            same = t == self.first
+            self.xw_first += x[same].T @ w[same]
         if self.time is not None and t[0] != self.time:
             self.close_time()
         first = np.flatnonzero(np.concatenate([[True], np.diff(t) != 0]))
@@ -203,81 +242,136 @@ class _Stream:
         s0 = self.s0 + np.cumsum(w, axis=0)[last]
         d = np.add.reduceat(e, first).astype(float)
         d[0] += self.pending
-        ok = (s0 > 0) & (d[:, None] > 0)
-        share = np.where(ok, d[:, None] / np.where(ok, s0, 1.0), 0.0)
+        share, logs = self._shares(d[:, None], s0)
         before = self.seen + np.concatenate([np.zeros((1, s0.shape[1])), np.cumsum(share, axis=0)[:-1]])
         group = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(t)]])))
         self.xwg += x.T @ (w * before[group])
         # All times but the last are complete; the last may go on in the next batch.
         if len(first) > 1:
             self.seen = before[-1].copy()
-            logs = np.where(ok, d[:, None] * np.log(np.where(ok, s0, 1.0)), 0.0)
             self.loglik -= logs[:-1].sum(axis=0)
         self.s0, self.pending, self.time = s0[-1], int(d[-1]), t[-1]
 
 
-def _piece_gradients(betas: dict[int, np.ndarray], later: dict[tuple[int, int], np.ndarray], single: frozenset[int], clip: float):
+_SUMMARY = ("h", "loglik", "share", "xw", "xwg", "xw_first")
+_SUMMARY_SCHEMA = "part int, g int, first double, last double, " + ", ".join(f"{c} binary" for c in _SUMMARY)
+
+
+@dataclass
+class _Stretch:
+    """What a stretch adds to likelihood and gradient.
+
+    h: sum of d / S0 over its event times; share: that of its last time; xw: sums of x * w. With H the sum of d / S0 up to
+    the stretch's end and over earlier times, its rows take H * xw - xwg off the gradient. xw_first: xw at its first time.
+    """
+
+    first: float
+    last: float
+    h: np.ndarray
+    loglik: np.ndarray
+    share: np.ndarray
+    xw: np.ndarray
+    xwg: np.ndarray
+    xw_first: np.ndarray
+
+    def then(self, next_: _Stretch) -> _Stretch:
+        """This stretch and the next one, of earlier times, as one. Where a time goes over both, rows behind the seam
+        also count the events before it."""
+        tied = self.last == next_.first
+        xwg = self.xwg + next_.xwg + self.h * next_.xw
+        return _Stretch(
+            self.first, next_.last, self.h + next_.h, self.loglik + next_.loglik,
+            next_.share + (self.share if tied and next_.first == next_.last else 0.0), self.xw + next_.xw,
+            xwg - self.share * next_.xw_first if tied else xwg, self.xw_first + (next_.xw_first if tied and self.first == self.last else 0.0),
+        )
+
+
+def _open_stretch(row: dict) -> _Stretch:
+    values = {c: np.frombuffer(row[c]) for c in _SUMMARY}
+    k = len(values["h"])
+    return _Stretch(row["first"], row["last"], **{c: v.reshape(-1, k) if c.startswith("xw") else v for c, v in values.items()})
+
+
+def _joined(rows: Iterable[dict]) -> _Stretch:
+    whole = None
+    for row in sorted(rows, key=lambda r: r["part"]):
+        whole = _open_stretch(row) if whole is None else whole.then(_open_stretch(row))
+    return whole
+
+
+def _stretch_columns(found: list[tuple[int, int, _Stretch]]) -> dict:
+    return {
+        "part": pa.array([p for p, _, _ in found], pa.int32()), "g": pa.array([g for _, g, _ in found], pa.int32()),
+        "first": pa.array([s.first for *_, s in found], pa.float64()), "last": pa.array([s.last for *_, s in found], pa.float64()),
+        **{c: _packed(getattr(s, c) for *_, s in found) for c in _SUMMARY},
+    }
+
+
+def _joined_table(rows: pa.Table) -> pa.Table:
+    listed = rows.to_pylist()
+    return pa.table(_stretch_columns([(min(r["part"] for r in listed), listed[0]["g"], _joined(listed))]))
+
+
+def _stretch_gradients(betas: dict[int, np.ndarray], starts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], clip: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple[int, int, _Stream]] = []
-        key, stream = None, None
+        part = TaskContext.get().partitionId()
+        streams: dict[int, _Stream] = {}
         for batch in batches:
-            for now, t, sign, e, x in _segments(batch):
-                g, piece, _ = now
-                if g not in betas:
-                    continue
-                if now != key:
-                    if stream is not None:
-                        stream.close_time()
-                    key, stream = now, _Stream(later[g, piece], piece in single, x.shape[1])
-                    done.append((g, piece, stream))
-                stream.add(t, e, x, *_weights(x, sign, betas[g], clip))
-        if stream is not None:
-            stream.close_time()
-        yield pa.RecordBatch.from_pydict(
-            {"g": pa.array([d[0] for d in done], pa.int32()), "piece": pa.array([d[1] for d in done], pa.int32()),
-             "h": _packed(d[2].seen for d in done), "loglik": _packed(d[2].loglik for d in done),
-             "xw": _packed(d[2].xw for d in done), "xwg": _packed(d[2].xwg for d in done)}
-        )
+            for g, t, sign, e, x in _segments(batch):
+                if g in betas:
+                    stream = streams.setdefault(g, _Stream(*starts[part, g], x.shape[1]))
+                    stream.add(t, e, x, *_weights(x, sign, betas[g], clip))
+        found = []
+        for g, s in streams.items():
+            s.close_time(s.beyond)
+            found.append((part, g, _Stretch(s.first, s.time, s.seen, s.loglik, s.share, s.xw, s.xwg, s.xw_first)))
+        yield pa.RecordBatch.from_pydict(_stretch_columns(found))
 
     return run
 
 
-def partial_likelihood(data: CoxData, betas: dict[int, np.ndarray], clip: float = 40.0) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def partial_likelihood(
+    data: CoxData, betas: dict[int, np.ndarray], clip: float = 40.0, strict: bool = True
+) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Log partial likelihood and gradient at given coefficients.
 
     ``betas`` maps a group to a (features x models) matrix; the result maps it to (values, features x models gradients).
-    The driver sees one row per group, piece and salt, never rows of data.
+    The driver sees a few numbers for each stretch and model, and matrices for each block of stretches. An event time
+    whose risk set has no weight left (rows that end before they start, or sums lost to rounding at extreme coefficients)
+    is an error; without ``strict`` the value is NaN.
     """
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    rows = data.entries.mapInArrow(_piece_sums(betas, clip), "g int, piece int, w binary").collect()
-    for r in rows:
-        sums[r["g"], r["piece"]] = sums.get((r["g"], r["piece"]), 0) + np.frombuffer(r["w"])
-    later: dict[tuple[int, int], np.ndarray] = {}
-    for g, beta in betas.items():
-        total = np.zeros(beta.shape[1])
-        for piece in sorted((p for h, p in sums if h == g), reverse=True):
-            after = total + sums[g, piece]
-            later[g, piece] = after if piece in data.single else total
-            total = after
-
-    schema = "g int, piece int, h binary, loglik binary, xw binary, xwg binary"
-    found = data.entries.mapInArrow(_piece_gradients(betas, later, data.single, clip), schema).collect()
-    parts: dict[int, dict[int, list]] = {}
-    for r in found:
-        p, k = betas[r["g"]].shape
-        values = [np.frombuffer(r["h"]), np.frombuffer(r["loglik"]), np.frombuffer(r["xw"]).reshape(p, k), np.frombuffer(r["xwg"]).reshape(p, k)]
-        slot = parts.setdefault(r["g"], {}).get(r["piece"])
-        parts[r["g"]][r["piece"]] = values if slot is None else [a + b for a, b in zip(slot, values)]
+    schema = "part int, g int, first double, last double, w binary, at_first binary"
+    stretches: dict[int, list] = {}
+    for r in data.entries.mapInArrow(_stretch_sums(betas, clip), schema).collect():
+        stretches.setdefault(r["g"], []).append((r["part"], r["first"], r["last"], np.frombuffer(r["w"]), np.frombuffer(r["at_first"])))
+    starts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for g, found in stretches.items():
+        found.sort(key=lambda s: s[0])
+        later, beyond = [], []
+        total = np.zeros(betas[g].shape[1])
+        for s in found:
+            later.append(total)
+            total = total + s[3]
+        go_on = np.zeros_like(total)
+        for s, after in zip(reversed(found), [None, *reversed(found[1:])]):
+            if after is None or after[1] != s[2]:
+                go_on = np.zeros_like(total)
+            else:
+                go_on = after[4] + (go_on if after[1] == after[2] else 0.0)
+            beyond.append(go_on)
+        starts |= {(s[0], g): pair for s, pair in zip(found, zip(later, reversed(beyond)))}
+    summaries = data.entries.mapInArrow(_stretch_gradients(betas, starts, clip), _SUMMARY_SCHEMA)
+    rows: dict[int, list[dict]] = {}
+    for r in _by_blocks(summaries, _SUMMARY_SCHEMA, _joined_table, data.stretches).collect():
+        rows.setdefault(r["g"], []).append(r.asDict())
     out = {}
     for g, beta in betas.items():
-        loglik = np.zeros(beta.shape[1])
-        gradient = np.repeat(np.asarray(data.event_sums[g], float).reshape(-1, 1), beta.shape[1], axis=1)
-        hazard = np.zeros(beta.shape[1])  # sum of d / S0 over the event times up to the piece
-        for piece in sorted(parts.get(g, {})):
-            h, ll, xw, xwg = parts[g][piece]
-            hazard = hazard + h
-            loglik += ll
-            gradient -= hazard * xw - xwg
+        loglik, gradient = np.zeros(beta.shape[1]), np.repeat(np.asarray(data.event_sums[g], float).reshape(-1, 1), beta.shape[1], axis=1)
+        if g in rows:
+            whole = _joined(rows[g])
+            loglik, gradient = whole.loglik, gradient - (whole.h * whole.xw - whole.xwg)
+        if strict and np.isnan(loglik).any():
+            raise ValueError("an event time has no weight at risk")
         out[g] = (loglik, gradient)
     return out
 
@@ -372,7 +466,7 @@ def fit_models(
         for s in active:
             by_group.setdefault(s.problem.group, []).append(s)
         betas = {g: np.column_stack([s.trial for s in members]) for g, members in by_group.items()}
-        found = partial_likelihood(data, betas, clip)
+        found = partial_likelihood(data, betas, clip, strict=any(s.f is None for s in active))
         for g, members in by_group.items():
             for k, s in enumerate(members):
                 s.tell(float(found[g][0][k]), found[g][1][:, k])

@@ -36,9 +36,10 @@ def likelihood(x, t, e, beta, start=None):
 
 
 @pytest.mark.parametrize("start", [None, "st"])
-def test_partial_likelihood_matches_brute_force(spark, start):
+@pytest.mark.parametrize("stretches", [None, 5, 90])  # 90: a third of the rows share a time that goes over thirty stretches
+def test_partial_likelihood_matches_brute_force(spark, start, stretches):
     x, t, e, st = survival_rows()
-    data = cox.cox_data(frame(spark, x, t, e, st), start=start)
+    data = cox.cox_data(frame(spark, x, t, e, st), start=start, stretches=stretches)
     try:
         betas = np.column_stack([np.zeros(3), [0.3, -0.2, 0.1], [1.0, 0.5, -1.0]])
         values, gradients = cox.partial_likelihood(data, {0: betas})[0]
@@ -69,6 +70,37 @@ def test_fits_reach_their_optimum_together(spark):
     assert fits[2].coef[1] == 0.0
 
 
+def test_stretches_join_in_any_order():
+    """Joining neighbours is associative, also where one time goes over all of them."""
+    rng = np.random.default_rng(4)
+    times = [(9.0, 9.0), (9.0, 7.0), (7.0, 7.0), (7.0, 7.0), (7.0, 2.0), (1.0, 1.0)]
+    some = [cox._Stretch(a, b, *(rng.random(2) for _ in range(3)), *(rng.random((3, 2)) for _ in range(3))) for a, b in times]
+    left = some[0]
+    for s in some[1:]:
+        left = left.then(s)
+    for cut in range(1, 6):
+        a, b = some[0], some[cut]
+        for s in some[1:cut]:
+            a = a.then(s)
+        for s in some[cut + 1 :]:
+            b = b.then(s)
+        for name in ("h", "loglik", "share", "xw", "xwg", "xw_first"):
+            assert getattr(a.then(b), name) == pytest.approx(getattr(left, name))
+
+
+def test_an_event_without_weight_at_risk_is_an_error(spark):
+    df = spark.createDataFrame([(5.0, 1, 7.0, [0.1]), (6.0, 0, 1.0, [0.2])], "OS_MONTHS double, OS_EVENT int, st double, features array<double>")
+    data = cox.cox_data(df.where("OS_EVENT = 1"), start="st")
+    try:
+        with pytest.raises(ValueError, match="at risk"):
+            cox.partial_likelihood(data, {0: np.zeros((1, 1))})
+        assert np.isnan(cox.partial_likelihood(data, {0: np.zeros((1, 1))}, strict=False)[0][0]).all()
+        with pytest.raises(ValueError, match="at risk"):
+            cox.fit_models(data, [cox.Problem()])
+    finally:
+        data.close()
+
+
 def test_no_events_shrinks_to_zero(spark):
     x, t, _, st = survival_rows(60)
     fit = cox.fit_one(frame(spark, x, t, np.zeros(60, int), st))
