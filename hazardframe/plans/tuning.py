@@ -2,44 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from hazardframe.functions import scalars as S
 from hazardframe.operators import cox, features, splits
 from hazardframe.operators.clean import prefixed_columns
-from hazardframe.operators.concordance import concordance
+from hazardframe.operators.concordance import concordances
 from hazardframe.session import kept
 from hazardframe.schema import (
     ALPHA_GRID, CLINICAL_COVARIATES, CNA, EXPR, FEATURE_BLOCKS, INTERVAL_COVARIATES, L1_GRID,
 )
 
 
-def score_models(df: DataFrame, fits: Sequence[cox.Fit], group: str = "g") -> DataFrame:
-    """One row per row and model of its group: adds ``model`` (position in ``fits``) and ``risk``."""
-    by_group: dict[int, tuple[list[int], np.ndarray]] = {}
-    for g in {f.problem.group for f in fits}:
-        at = [i for i, f in enumerate(fits) if f.problem.group == g]
-        by_group[g] = (at, np.column_stack([fits[i].coef for i in at]))
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("model", T.IntegerType()), T.StructField("risk", T.DoubleType())])))
-    def risks(g: pd.Series, x: pd.Series) -> pd.Series:
-        out = []
-        matrix, which = np.stack(x.to_numpy()), g.to_numpy()
-        scores = {int(k): matrix[which == k] @ by_group[int(k)][1] for k in np.unique(which)}
-        used = dict.fromkeys(scores, 0)
-        for k in which:
-            k = int(k)
-            row = scores[k][used[k]]
-            used[k] += 1
-            out.append([{"model": m, "risk": float(v)} for m, v in zip(by_group[k][0], row)])
-        return pd.Series(out)
-
-    scored = df.withColumn("_r", F.explode(risks(F.col(group), F.col("features"))))
-    return scored.select(*[c for c in df.columns if c != "features"], "_r.model", "_r.risk")
+def score_models(df: DataFrame, fits: Sequence[cox.Fit], group: str = "g") -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """Each row with ``risks``, the scores by all models of its group, in place of its features; and for each (group,
+    position in risks) the model's place in ``fits``."""
+    by_group: dict[int, list[int]] = {}
+    for i, f in enumerate(fits):
+        by_group.setdefault(f.problem.group, []).append(i)
+    weights = {g: np.column_stack([fits[i].coef for i in at]) for g, at in by_group.items()}
+    out = df.select(*[c for c in df.columns if c != "features"], F.lit(None).cast("array<double>").alias("risks")).schema
+    at_group, at_features = df.columns.index(group), df.columns.index("features")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = batch.column(at_group).to_numpy()
+            x = batch.column(at_features).flatten().to_numpy().reshape(batch.num_rows, -1)
+            sizes = np.array([weights[k].shape[1] if k in weights else 0 for k in g.tolist()], np.int64)
+            begin = np.concatenate([[0], np.cumsum(sizes)])
+            scores = np.empty(begin[-1])
+            for k, w in weights.items():
+                own = np.flatnonzero(g == k)
+                scores[begin[own][:, None] + np.arange(w.shape[1])] = x[own] @ w
+            columns = [c for i, c in enumerate(batch.columns) if i != at_features]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(scores))], names=out.names)
+
+    return df.mapInArrow(run, out), {(g, k): i for g, at in by_group.items() for k, i in enumerate(at)}
 
 
 def _results(fits: Sequence[cox.Fit], indices: dict[int, float | None], strict: bool) -> pd.DataFrame:
@@ -89,8 +92,9 @@ def cross_validate(
         finally:
             data.close()
         held = features.held_out_rows(folded, layout, spaces).select("g", time, event, "features")
-        found = concordance(score_models(held, fits), time, event, "risk", ["model"]).collect()  # one row per model and fold
-    table = _results(fits, {r["model"]: r["c_index"] for r in found}, strict=True)
+        scored, places = score_models(held, fits)
+        found = concordances(scored, "risks", time, event, ["g"]).collect()  # one row per model and fold
+    table = _results(fits, {places[r["g"], r["model"]]: r["c_index"] for r in found}, strict=True)
     summary = _fold_summary(df.sparkSession.createDataFrame(table, _FOLD_SCHEMA), ["alpha", "l1_ratio"])
     return summary.orderBy(F.desc("n_valid_folds"), F.desc_nulls_last("mean_c_index"), "std_c_index", "alpha", "l1_ratio")
 
@@ -118,13 +122,13 @@ def _ablate(folded: DataFrame, layout: features.Layout, k: int, maxiter: int, cl
     finally:
         data.close()
     wanted = list(dict.fromkeys(["PATIENT_ID", "g", *(["T_STOP"] if patient_level else []), time, event, "features"]))
-    scored = score_models(features.held_out_rows(folded, layout, spaces).select(*wanted), fits)
+    scored, places = score_models(features.held_out_rows(folded, layout, spaces).select(*wanted), fits)
     if patient_level:
-        scored = scored.groupBy("PATIENT_ID", "model").agg(
-            F.max_by("risk", "T_STOP").alias("risk"), F.max(time).alias(time), F.max(event).alias(event)
+        scored = scored.groupBy("PATIENT_ID", "g").agg(
+            F.max_by("risks", "T_STOP").alias("risks"), F.max(time).alias(time), F.max(event).alias(event)
         )
-    found = concordance(scored, time, event, "risk", ["model"]).collect()  # one row per experiment and fold
-    table = _results(fits, {r["model"]: r["c_index"] for r in found}, strict=False)
+    found = concordances(scored, "risks", time, event, ["g"]).collect()  # one row per experiment and fold
+    table = _results(fits, {places[r["g"], r["model"]]: r["c_index"] for r in found}, strict=False)
     summary = _fold_summary(folded.sparkSession.createDataFrame(table, _FOLD_SCHEMA), ["label"])
     return summary.select(
         F.col("label").alias("experiment"), "mean_c_index", "std_c_index", "fold_scores"

@@ -112,15 +112,15 @@ def pairs(t, e, s):
     return comparable.sum(), ((s[:, None] > s[None, :]) & comparable).sum(), ((s[:, None] == s[None, :]) & comparable).sum()
 
 
-@pytest.mark.parametrize("pieces", [1, 8, 64])
-def test_concordance_counts_all_pairs(spark, pieces):
+@pytest.mark.parametrize("pieces, rows", [(8, None), (4, 200), (16, 60), (3, 25)])  # the last: groups are cut several times
+def test_concordance_counts_all_pairs(spark, pieces, rows):
     x, t, e, _ = survival_rows(500)
     s = np.round(x[:, 0], 1)
     s[100:250] = 0.0
     df = spark.createDataFrame(pd.DataFrame({"OS_MONTHS": t, "OS_EVENT": e, "risk": s, "k": np.arange(500) % 2}))
-    r = concordance.concordance(df, pieces=pieces).first()
+    r = concordance.concordance(df, pieces=pieces, group_rows=rows).first()
     assert (r["comparable"], r["concordant"], r["tied"]) == pairs(t, e, s)
-    for r in concordance.concordance(df, keys=["k"], pieces=pieces).collect():
+    for r in concordance.concordance(df, keys=["k"], pieces=pieces, group_rows=rows).collect():
         m = np.arange(500) % 2 == r["k"]
         assert (r["comparable"], r["concordant"], r["tied"]) == pairs(t[m], e[m], s[m])
     back = concordance.concordance(df.withColumn("risk", -F.col("risk"))).first()["c_index"]
@@ -129,6 +129,23 @@ def test_concordance_counts_all_pairs(spark, pieces):
     assert concordance.concordance(df.withColumn("OS_EVENT", F.lit(0))).first()["c_index"] is None
 
 
+def test_many_models_count_like_single_ones(spark):
+    """25 risk columns in one pass, some values missing, a NULL key, groups that are cut and ones that are not."""
+    x, t, e, _ = survival_rows(420)
+    rng = np.random.default_rng(3)
+    s = np.round(x[:, :1] + rng.normal(size=(420, 25)), 1)
+    s[:, 7] = 1.0
+    s[::9, 3] = np.nan
+    rows = [(float(a), int(b), [None if np.isnan(v) else float(v) for v in r], None if k < 90 else f"k{k % 2}") for k, (a, b, r) in enumerate(zip(t, e, s))]
+    df = spark.createDataFrame(rows, "OS_MONTHS double, OS_EVENT int, risks array<double>, k string").repartition(4)
+    found = {(r["k"], r["model"]): r for r in concordance.concordances(df, "risks", keys=["k"], pieces=5, group_rows=100).collect()}
+    assert len(found) == 75
+    key = np.array([r[3] or "" for r in rows])
+    for (k, m), r in found.items():
+        own = (key == (k or "")) & ~np.isnan(s[:, m])
+        assert (r["comparable"], r["concordant"], r["tied"]) == pairs(t[own], e[own], s[own, m])
+
+
 def test_tails_against_known_values():
     assert tails.normal_two_sided(1.959963984540054) == pytest.approx(0.05)
     assert tails.upper_gamma(0.5, 3.841458820694124 / 2) == pytest.approx(0.05)
