@@ -166,9 +166,21 @@ def collinear_sweep(t: Tables) -> DataFrame:
     return collinearity.sweep(collinearity.correlation_pairs(frame, columns), _LEVELS, len(columns))
 
 
-@query()
+@query(V.sql("expression_long", """with known AS (SELECT sample_id, gene AS f, value FROM expression_long WHERE NOT (gene = 'G03' AND sample_id % 7 = 0)),
+filled AS (SELECT * FROM known UNION ALL SELECT sample_id, gene, (SELECT quantile_cont(value, 0.5) FROM known WHERE f = 'G03') FROM expression_long WHERE gene = 'G03' AND sample_id % 7 = 0
+UNION ALL SELECT sample_id, 'H0', 2 * value + 1 FROM expression_long WHERE gene = 'G00'
+UNION ALL SELECT a.sample_id, 'H1', a.value + CAST(0.1 AS DOUBLE) * b.value FROM expression_long a JOIN expression_long b ON a.sample_id = b.sample_id AND b.gene = 'G01' WHERE a.gene = 'G00'),
+numbered AS (SELECT f, row_number() OVER (ORDER BY f) AS k FROM (SELECT DISTINCT f FROM filled) z),
+cells AS (SELECT n.k, x.sample_id, x.f, x.value FROM filled x JOIN numbered n ON x.f = n.f),
+pairs AS (SELECT a.k AS i, b.k AS j, any_value(a.f) AS f1, any_value(b.f) AS f2, abs(corr(a.value, b.value)) AS r FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.k < b.k GROUP BY 1, 2),
+lines AS (SELECT j, list(r ORDER BY i) AS r FROM pairs GROUP BY 1),
+turns AS (SELECT CAST(1 AS BIGINT) AS k, [CAST(1 AS BIGINT)] AS kept
+  UNION ALL SELECT t.k + 1, CASE WHEN len(list_filter(t.kept, lambda x: l.r[x] > 0.1)) > 0 THEN t.kept ELSE list_append(t.kept, t.k + 1) END FROM turns t JOIN lines l ON l.j = t.k + 1),
+final AS (SELECT kept FROM turns ORDER BY k DESC LIMIT 1),
+best AS (SELECT p.*, row_number() OVER (PARTITION BY j ORDER BY round(r, 12) DESC, i) AS rn FROM pairs p, final WHERE NOT list_contains(kept, j) AND list_contains(kept, i))
+SELECT 'expression' AS "group", f2 AS feature_dropped, f1 AS anchor_feature, r6(r;) AS abs_correlation, CAST(0.1 AS DOUBLE) AS threshold,
+       'incremental_against_kept' AS method FROM best WHERE rn = 1""").replace("WITH", "WITH RECURSIVE", 1))
 def collinear_greedy(t: Tables) -> DataFrame:
-    """Greedy filter against kept features, in blocks."""
-    _, table, _ = collinearity.drop_collinear(*feature_matrix(t), 0.1, method="incremental", block=24)
+    """Greedy filter against kept features, by tiles of 24 columns."""
+    _, table, _ = collinearity.drop_collinear(*feature_matrix(t), 0.1, method="incremental", tile=24)
     return rounded_all(table)
-

@@ -1,13 +1,15 @@
-"""Pairwise correlations from one pass of Gram sums, and collinearity filters on them.
+"""Pairwise correlations by tiles of the Gram matrix, and collinearity filters on the graph of strong pairs.
 
-Emitting all feature pairs of every row would cost rows x features². Instead each task adds up a features x features
-matrix in the JVM and the matrices are merged tree-wise; the driver gets one such matrix, whose size depends on the
-number of features only. Missing values are handled by their masks: with x0 = x or 0 and m = 1 or 0, the Gram matrix
-of [x0, m, x0²] holds every sum that a pairwise-complete correlation needs.
+Emitting all feature pairs of every row would cost rows x features². Instead the columns are cut into blocks of TILE, and
+each task multiplies chunks of its rows block by block: a tile holds the sums of TILE x TILE pairs. Tiles are added up by
+(block, block), turned into correlations where they are added, and laid out as a table of pairs; no task and no driver
+holds features x features numbers. Missing values are handled by their masks: with x0 = x or 0 and m = 1 or 0, the products of
+x0, x0² and m hold every sum that a pairwise-complete correlation needs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,7 +22,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardframe.functions import scalars as S
 from hazardframe.operators.clean import column_quantiles
+from hazardframe.session import cut_lineage
 
+TILE = 256
+CHUNK_CELLS = 4_000_000  # rows times columns that a task multiplies at once
+CHUNKS_PER_TASK = 64  # tiles of so many chunks are added up in one task
+LOCAL_EDGES = 1_000_000
 TINY = 1e-12
 DROP_SCHEMA = (
     "group string, feature_dropped string, anchor_feature string, abs_correlation double, threshold double, method string"
@@ -50,56 +57,83 @@ def column_moments(df: DataFrame, columns: Sequence[str]) -> pd.DataFrame:
     return out
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str], moments: pd.DataFrame | None = None) -> np.ndarray:
-    """Pairwise-complete Pearson correlations (NaN where undefined)."""
-    moments = column_moments(df, columns) if moments is None else moments
-    p = len(columns)
-    # Correlation does not change with a shift; centred values keep the sums accurate.
-    centred = [S.to_number(c) - F.lit(float(np.nan_to_num(moments.loc[c, "mean"]))) for c in columns]
-    complete = bool((moments.loc[list(columns), "n"] == moments.attrs["rows"]).all())
+def _tile_sums(x: np.ndarray, i: slice, j: slice, complete: bool) -> list[np.ndarray]:
+    """n, sums of x and y, of their squares, and of their products, over the rows where both are known."""
+    if complete:
+        a, b = x[:, i], x[:, j]
+        return [np.full((1, 1), float(len(x))), a.sum(axis=0)[:, None], b.sum(axis=0)[None, :], (a * a).sum(axis=0)[:, None], (b * b).sum(axis=0)[None, :], a.T @ b]
+    known = ~np.isnan(x)
+    m, n = known[:, i].astype(float), known[:, j].astype(float)
+    a, b = np.where(known[:, i], x[:, i], 0.0), np.where(known[:, j], x[:, j], 0.0)
+    return [m.T @ n, a.T @ n, m.T @ b, (a * a).T @ n, m.T @ (b * b), a.T @ b]
+
+
+def _correlations(sums: Sequence[np.ndarray]) -> np.ndarray:
+    n, x, y, xx, yy, xy = sums
     with np.errstate(invalid="ignore", divide="ignore"):
-        if complete:
-            g = gram_matrix(df, [F.lit(1.0), *centred])
-            n, sx, sxy = g[0, 0], g[0, 1:], g[1:, 1:]
-            cov = sxy - np.outer(sx, sx) / n
-            spread = np.sqrt(np.diag(cov))
-            r = cov / np.outer(spread, spread)
-        else:
-            known = [F.coalesce(x, F.lit(0.0)) for x in centred]
-            mask = [F.when(x.isNull(), 0.0).otherwise(1.0) for x in centred]
-            g = gram_matrix(df, [*known, *mask, *[x * x for x in known]])
-            n, sxy = g[p : 2 * p, p : 2 * p], g[:p, :p]
-            sx, sxx = g[:p, p : 2 * p], g[2 * p :, p : 2 * p]
-            cov = sxy - sx * sx.T / n
-            spread = np.sqrt(np.clip(sxx - sx * sx / n, 0, None))
-            r = cov / (spread * spread.T)
-            r[n < 2] = np.nan
-    return np.clip(np.where(np.isfinite(r), r, np.nan), -1.0, 1.0)
-
-
-def correlation_pairs(df: DataFrame, columns: Sequence[str], moments: pd.DataFrame | None = None) -> DataFrame:
-    """(i, j, f1, f2, r) for all i < j with a defined correlation.
-
-    The driver holds the correlation matrix (8 bytes for each pair of columns) and hands out its rows; the pair table is
-    laid out by tasks, a row of the matrix each.
-    """
-    r = correlation_matrix(df, columns, moments)
-    names = list(columns)
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(r)  # size depends on the number of columns alone
+        r = (xy - x * y / n) / (np.sqrt(np.clip(xx - x * x / n, 0, None)) * np.sqrt(np.clip(yy - y * y / n, 0, None)))
+    return np.clip(np.where((n >= 2) & np.isfinite(r), r, np.nan), -1.0, 1.0)
 
-    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, labels = shared.value, pa.array(names, pa.string())
-        for batch in batches:
-            for i in batch.column(0).to_pylist():
-                j = i + 1 + np.flatnonzero(np.isfinite(matrix[i, i + 1 :]))
-                here = pa.array(np.full(len(j), i, np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [here, pa.array(j.astype(np.int32)), labels.take(here), labels.take(pa.array(j)), pa.array(matrix[i, j])],
-                    names=["i", "j", "f1", "f2", "r"],
-                )
 
-    return spark.range(len(names)).mapInArrow(lay_out, "i int, j int, f1 string, f2 string, r double")
+def correlation_pairs(df: DataFrame, columns: Sequence[str], moments: pd.DataFrame | None = None, tile: int = TILE) -> DataFrame:
+    """(i, j, f1, f2, r) for all i < j with a defined, pairwise-complete Pearson correlation."""
+    moments = column_moments(df, columns) if moments is None else moments
+    names, p = list(columns), len(columns)
+    complete = bool((moments.loc[names, "n"] == moments.attrs["rows"]).all())
+    # Correlation does not change with a shift; centred values keep the sums accurate.
+    centred = [S.to_number(c) - F.lit(float(np.nan_to_num(moments.loc[c, "mean"]))) for c in names]
+    blocks = [slice(at, min(p, at + tile)) for at in range(0, p, tile)]
+    chunk = max(1, CHUNK_CELLS // max(1, p))
+    chunks = math.ceil(moments.attrs["rows"] / chunk)
+    salts = 1 if chunks <= CHUNKS_PER_TASK else math.ceil(math.sqrt(chunks))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, number = [], 0, 0
+        for batch in [*batches, None] if p else []:
+            if batch is not None:
+                held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, p))
+                count += batch.num_rows
+            if count and (batch is None or count >= chunk):
+                x = np.concatenate(held)
+                held, count, number = [], 0, number + 1
+                for k, i in enumerate(blocks):
+                    for n, j in enumerate(blocks[k:], start=k):
+                        raw = b"".join(v.tobytes() for v in _tile_sums(x, i, j, complete))
+                        yield pa.RecordBatch.from_pydict({"bi": pa.array([k], pa.int32()), "bj": pa.array([n], pa.int32()), "sums": pa.array([raw], pa.binary())})
+
+    def opened(bi: int, bj: int, raw: np.ndarray) -> list[np.ndarray]:
+        m, n = (blocks[b].stop - blocks[b].start for b in (bi, bj))
+        shapes = [(1, 1), (m, 1), (1, n), (m, 1), (1, n), (m, n)] if complete else [(m, n)] * 6
+        ends = np.cumsum([a * b for a, b in shapes])
+        return [part.reshape(shape) for part, shape in zip(np.split(raw, ends[:-1]), shapes)]
+
+    def added(tiles: pa.Table) -> np.ndarray:
+        total = 0.0
+        for raw in tiles["sums"]:
+            total = total + np.frombuffer(raw.as_buffer())
+        return total
+
+    def add(tiles: pa.Table) -> pa.Table:
+        return pa.table({"bi": tiles["bi"].slice(0, 1), "bj": tiles["bj"].slice(0, 1), "sums": pa.array([added(tiles).tobytes()], pa.binary())})
+
+    def lay_out(tiles: pa.Table) -> pa.Table:
+        bi, bj = tiles["bi"][0].as_py(), tiles["bj"][0].as_py()
+        r = _correlations(opened(bi, bj, added(tiles)))
+        i, j = np.nonzero(np.isfinite(r))
+        value = r[i, j]
+        i, j = i + blocks[bi].start, j + blocks[bj].start
+        ordered = i < j
+        i, j, value = i[ordered], j[ordered], value[ordered]
+        labels = pa.array(names, pa.string())
+        return pa.table({"i": pa.array(i.astype(np.int32)), "j": pa.array(j.astype(np.int32)), "f1": labels.take(pa.array(i)), "f2": labels.take(pa.array(j)), "r": pa.array(value)})
+
+    rows = df.select(F.array(*centred).cast("array<double>").alias("x"))
+    kind = "bi int, bj int, sums binary"
+    tiles = rows.mapInArrow(multiply, kind)
+    if salts > 1:
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts))
+        tiles = tiles.withColumn("salt", salt).groupBy("bi", "bj", "salt").applyInArrow(lambda t: add(t), kind)
+    return tiles.groupBy("bi", "bj").applyInArrow(lay_out, "i int, j int, f1 string, f2 string, r double")
 
 
 def strong_pairs(pairs: DataFrame, low: float = 0.5, high: float = 1.0) -> DataFrame:
@@ -141,41 +175,52 @@ def sweep(pairs: DataFrame, thresholds: Sequence[float], n_features: int) -> Dat
     ).withColumn("n_kept", F.lit(n_features) - F.col("n_dropped"))
 
 
-def _incremental(df: DataFrame, columns: Sequence[str], threshold: float, group: str, block: int) -> list[tuple]:
-    """Greedy filter against kept columns only, block of columns by block; values median-imputed.
+def greedy_drops(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
+    """(j): the columns that the greedy rule drops, given strong pairs (i, j), i < j: one with a kept earlier partner.
 
-    Each block costs one pass over the data for the Gram matrix of (kept + block) columns; the choice inside a block
-    is made on that matrix.
+    In each round the columns without an earlier partner left are kept, and all their partners are dropped with their own
+    pairs. When few pairs are left, one task takes the columns in turn; the result is the same.
     """
+    most = LOCAL_EDGES if local_edges is None else local_edges
+
+    def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partners: dict[int, list[int]] = {}
+        for batch in batches:
+            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                partners.setdefault(j, []).append(i)
+        gone: set[int] = set()
+        for j in sorted(partners):
+            if any(i not in gone for i in partners[j]):
+                gone.add(j)
+        yield pa.RecordBatch.from_pydict({"j": pa.array(sorted(gone), pa.int32())})
+
+    left = cut_lineage(edges.select("i", "j"))
+    rounds = []
+    while left.count() > most:
+        heads = left.select("i").distinct().join(left.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
+        gone = cut_lineage(left.join(heads, "i", "left_semi").select("j").distinct())
+        rounds.append(gone)
+        left = left.join(gone, "j", "left_anti").join(gone.select(F.col("j").alias("i")), "i", "left_anti")
+        left = cut_lineage(left.select("i", "j"))
+    dropped = left.coalesce(1).mapInArrow(in_turn, "j int")
+    for gone in rounds:
+        dropped = dropped.unionByName(gone)
+    return dropped
+
+
+def _greedy_table(df: DataFrame, columns: Sequence[str], threshold: float, group: str, tile: int) -> DataFrame:
+    """Greedy filter against kept columns only; missing values filled with medians."""
     medians = column_quantiles(df, columns, {"m": 0.5})
     filled = df.select(*[F.coalesce(S.to_number(c), F.lit(float(medians[c]["m"] or 0.0))).alias(c) for c in columns])
-    means = column_moments(filled, columns)["mean"]
-    centred = {c: F.col(c) - F.lit(float(means[c])) for c in columns}
-    kept: list[str] = []
-    dropped: list[tuple] = []
-    for at in range(0, len(columns), block):
-        names = [*kept, *columns[at : at + block]]
-        position = {c: k for k, c in enumerate(names)}
-        gram = gram_matrix(filled, [centred[c] for c in names])
-        norms = np.sqrt(np.diag(gram))
-        for c in columns[at : at + block]:
-            k = position[c]
-            usable = [position[x] for x in kept if norms[position[x]] >= TINY]
-            if norms[k] < TINY or not usable:
-                kept.append(c)
-                continue
-            r = np.abs(gram[usable, k]) / (norms[usable] * norms[k])
-            best = int(np.argmax(r))
-            if r[best] > threshold:
-                dropped.append((group, c, names[usable[best]], float(r[best]), float(threshold), "incremental_against_kept"))
-            else:
-                kept.append(c)
-    return dropped
+    edges = cut_lineage(correlation_pairs(filled, columns, tile=tile).where(F.abs("r") > threshold))
+    dropped = cut_lineage(greedy_drops(edges))
+    against_kept = edges.join(dropped, "j", "left_semi").join(dropped.select(F.col("j").alias("i")), "i", "left_anti")
+    return drop_table(against_kept, threshold, group).withColumn("method", F.lit("incremental_against_kept"))
 
 
 def drop_collinear(
     df: DataFrame, columns: Sequence[str], threshold: float, group: str = "expression",
-    method: str = "full", block: int = 500,
+    method: str = "full", tile: int = TILE,
 ) -> tuple[list[str], DataFrame, dict]:
     """Collinearity filter with its screens: returns kept columns, drop table and summary.
 
@@ -198,14 +243,14 @@ def drop_collinear(
         rows: list[tuple] = []
         name = "none" if not columns else "insufficient_numeric_features"
     elif method == "full":
-        pairs = correlation_pairs(df, evaluated, moments)
-        rows = [tuple(r) for r in drop_table(pairs, threshold, group).collect()]  # one row per dropped feature
-        pairs_above = pairs.where(F.abs("r") > threshold).count()
+        strong = cut_lineage(correlation_pairs(df, evaluated, moments, tile).where(F.abs("r") > threshold))
+        rows = [tuple(r) for r in drop_table(strong, threshold, group).collect()]  # one row per dropped feature
+        pairs_above = strong.count()
         name = "full_correlation_matrix"
     elif method != "incremental":
         raise ValueError(f"unknown method {method}")
     else:
-        rows = _incremental(df, evaluated, threshold, group, block)
+        rows = [tuple(r) for r in _greedy_table(df, evaluated, threshold, group, tile).collect()]  # one row per dropped feature
         name = "incremental_against_kept"
     dropped = {r[1] for r in rows}
     kept = [c for c in columns if c not in dropped]

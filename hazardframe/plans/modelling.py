@@ -127,24 +127,23 @@ def threshold_sweep(
 ) -> DataFrame:
     """One model run per collinearity threshold, side by side with the run at the largest threshold.
 
-    The correlation matrix of the training rows is computed once; every threshold only filters its pairs.
+    The correlations of the training rows are computed once; every threshold only filters its pairs.
     """
     clinical = [c for c in clinical if c in rows.columns]
     expression = clean.prefixed_columns(rows, EXPR, ordered=True)
     train = rows.where(F.col("split") == "train")
     moments = collinearity.column_moments(train, expression)
     usable = [c for c in expression if moments.loc[c, "n"] >= 2 and moments.loc[c, "std"] >= collinearity.TINY]
-    r = np.abs(collinearity.correlation_matrix(train, usable, moments))
-    r[np.tril_indices(len(usable))] = np.nan
+    strong = cut_lineage(collinearity.correlation_pairs(train, usable, moments).where(F.abs("r") > min(thresholds)))
     results = []
     for threshold in thresholds:
-        above = np.nan_to_num(r, nan=-1.0) > threshold
-        gone = {usable[j] for j in np.flatnonzero(above.any(axis=0))}
+        hits = strong.where(F.abs("r") > threshold).groupBy("f2").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each dropped column
+        gone, above = {h["f2"] for h in hits}, sum(h["n"] for h in hits)
         left = [c for c in expression if c not in gone]
         run = train_and_calibrate(rows, clinical, left, threshold=None, penalty=penalty, maxiter=maxiter, horizon_tables=False)
         month = run.metrics["conformal_month_interval"]
         results.append((
-            float(threshold), len(expression), len(left), len(gone), int(above.sum()), run.metrics["c_index_train"],
+            float(threshold), len(expression), len(left), len(gone), above, run.metrics["c_index_train"],
             run.metrics["c_index_calibration"], run.metrics["c_index_test"], month["coverage_test_events_only"],
             month["mean_interval_width_months_test"], "completed",
         ))

@@ -195,7 +195,36 @@ def collinear_frame(spark, n=60, p=8, seed=5, gaps=True):
 def test_pairwise_complete_correlation(spark):
     df, pdf = collinear_frame(spark)
     columns = [c for c in pdf.columns if c != "EXPR_6"]
-    assert collinearity.correlation_matrix(df, columns) == pytest.approx(pdf[columns].corr().to_numpy(), abs=1e-9)
+    want = pdf[columns].corr().to_numpy()
+    for tile in (2, 3, 50):
+        found = collinearity.correlation_pairs(df.repartition(3), columns, tile=tile).collect()
+        assert len(found) == 21 and all(r["r"] == pytest.approx(want[r["i"], r["j"]], abs=1e-9) for r in found)
+    whole = [c for c in columns if c != "EXPR_3"]
+    assert {(r["f1"], r["f2"]): r["r"] for r in collinearity.correlation_pairs(df, whole, tile=4).collect()} == pytest.approx(
+        {(a, b): pdf[a].corr(pdf[b]) for k, a in enumerate(whole) for b in whole[k + 1 :]}, abs=1e-9
+    )
+
+
+def test_many_chunks_are_added_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(collinearity, "CHUNK_CELLS", 14)  # two rows
+    monkeypatch.setattr(collinearity, "CHUNKS_PER_TASK", 4)
+    df, pdf = collinear_frame(spark)
+    columns = [c for c in pdf.columns if c != "EXPR_6"]
+    want = pdf[columns].corr().to_numpy()
+    assert all(r["r"] == pytest.approx(want[r["i"], r["j"]], abs=1e-9) for r in collinearity.correlation_pairs(df, columns, tile=3).collect())
+
+
+def test_greedy_rounds_drop_what_turns_drop(spark):
+    rng = np.random.default_rng(12)
+    for n, m in ((40, 60), (30, 200), (12, 0)):
+        edges = {tuple(sorted(rng.choice(n, 2, replace=False).tolist())) for _ in range(m)} | {(k, k + 1) for k in range(0, n - 1, 2) if m}
+        gone = set()
+        for j in range(n):
+            if any((i, j) in edges and i not in gone for i in range(j)):
+                gone.add(j)
+        df = spark.createDataFrame(sorted(edges), "i int, j int")
+        for local in (0, 10**6):
+            assert {r["j"] for r in collinearity.greedy_drops(df, local).collect()} == gone
 
 
 def test_collinearity_rules(spark):
@@ -211,8 +240,8 @@ def test_collinearity_rules(spark):
     assert {r["feature_dropped"]: r["anchor_feature"] for r in table.collect()} == want
     assert summary["skipped_constant_or_near_constant"] == ["EXPR_6"] and "EXPR_6" in kept
     assert collinearity.drop_collinear(df, columns, 1.0)[0] == columns
-    for block in (2, 3, 50):
-        kept, table, _ = collinearity.drop_collinear(df, columns, 0.8, method="incremental", block=block)
+    for tile in (2, 3, 50):
+        kept, table, _ = collinearity.drop_collinear(df, columns, 0.8, method="incremental", tile=tile)
         filled = pdf.fillna(pdf.median())
         mine = []
         for c in columns:
