@@ -9,6 +9,7 @@ from hazardframe.catalog.clinical import rounded_all
 from hazardframe.catalog.registry import Tables, query
 from hazardframe.functions import scalars as S
 from hazardframe.operators import clean, cohort, genes, intervals, profile
+from hazardframe.operators.ordered import join_on
 from hazardframe.plans import feature_tables
 from hazardframe.schema import CNA, EXPR
 
@@ -185,11 +186,7 @@ def burden_two_level(t: Tables) -> DataFrame:
 SELECT "CANCER_TYPE", r6(quantile_cont(c, 0.5);) AS median_burden, r6(avg(c);) AS mean_burden, max(c) AS max_burden
 FROM (SELECT "Tumor_Sample_Barcode", "CANCER_TYPE", count(*) AS c FROM mutation GROUP BY 1, 2) z GROUP BY 1"""))
 def burden_stats(t: Tables) -> DataFrame:
-    from hazardframe.operators.ordered import exact_quantiles
-
-    burden = cohort.mutation_burden(V.mutation(t))
-    basic = burden.groupBy("CANCER_TYPE").agg(F.avg("MUTATION_COUNT").alias("mean_burden"), F.max("MUTATION_COUNT").alias("max_burden"))
-    return rounded_all(basic.join(exact_quantiles(burden, "MUTATION_COUNT", {"median_burden": 0.5}, ["CANCER_TYPE"]), "CANCER_TYPE"))
+    return rounded_all(cohort.burden_summary(V.mutation(t)))
 
 
 @query(V.sql("mutation", """
@@ -271,7 +268,26 @@ SELECT m.sample_id, m.cohort, r6(median_value;) AS median_value, r6(o.overall;)
 FROM m JOIN (SELECT cohort, quantile_cont(median_value, 0.5) AS overall FROM m GROUP BY 1) o ON m.cohort = o.cohort"""))
 def sample_median_expr(t: Tables) -> DataFrame:
     logged = V.expression_long(t).withColumn("value", S.log2_plus_one("value"))
-    return rounded_all(genes.sample_medians(logged).join(genes.median_of_medians(logged), "cohort"))
+    return rounded_all(join_on(genes.sample_medians(logged), genes.median_of_medians(logged), ["cohort"]))
+
+
+@query(V.sql("expression_long", """with logged AS (SELECT sample_id, cohort, gene, log2(value + 1) AS v FROM expression_long),
+top AS (SELECT cohort, gene FROM logged GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cohort ORDER BY var_samp(v) DESC, gene) <= 50),
+listed AS (SELECT l.* FROM logged l JOIN top ON l.cohort = top.cohort AND l.gene = top.gene)
+SELECT a.cohort, a.gene AS gene_a, b.gene AS gene_b, r6(corr(a.v, b.v);) AS r
+FROM listed a JOIN listed b ON a.sample_id = b.sample_id AND a.cohort = b.cohort AND a.gene < b.gene GROUP BY 1, 2, 3"""))
+def cohort_gene_corr(t: Tables) -> DataFrame:
+    """Correlations within each cohort of its own 50 most variable genes."""
+    logged = V.expression_long(t).withColumn("value", S.log2_plus_one("value"))
+    return rounded_all(genes.cohort_correlations(logged))
+
+
+@query(V.sql("expression_long", """with logged AS (SELECT cohort, gene, log2(value + 1) AS v FROM expression_long)
+SELECT cohort, gene, r6(var_samp(v);) AS variance, CAST(row_number() OVER (PARTITION BY cohort ORDER BY var_samp(v) DESC, gene) AS INTEGER) AS gene_rank
+FROM logged GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cohort ORDER BY var_samp(v) DESC, gene) <= 10"""))
+def cohort_variable_genes(t: Tables) -> DataFrame:
+    logged = V.expression_long(t).withColumn("value", S.log2_plus_one("value"))
+    return rounded_all(genes.top_variable_genes_by_cohort(logged, 10).drop("mean"))
 
 
 @query(V.sql("expression_long", """

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardframe.functions import scalars as S
+from hazardframe.operators.ordered import exact_quantiles, join_on
 from hazardframe.schema import PRIMARY_CODE
 
 
@@ -111,6 +112,13 @@ def mutation_burden(calls: DataFrame, keys: Sequence[str] = ("Tumor_Sample_Barco
     return calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("MUTATION_COUNT"))
 
 
+def burden_summary(calls: DataFrame, group: str = "CANCER_TYPE") -> DataFrame:
+    """Mean, largest and median burden of each cohort's samples."""
+    burden = mutation_burden(calls)
+    basic = burden.groupBy(group).agg(F.avg("MUTATION_COUNT").alias("mean_burden"), F.max("MUTATION_COUNT").alias("max_burden"))
+    return join_on(basic, exact_quantiles(burden, "MUTATION_COUNT", {"median_burden": 0.5}, [group]), [group])
+
+
 def burden_by_normalised_sample(calls: DataFrame) -> DataFrame:
     """Mutation rows per normalised sample id and cohort, summed over the barcodes that share one."""
     per_barcode = mutation_burden(calls)

@@ -57,7 +57,7 @@ def column_moments(df: DataFrame, columns: Sequence[str]) -> pd.DataFrame:
     return out
 
 
-def _tile_sums(x: np.ndarray, i: slice, j: slice, complete: bool) -> list[np.ndarray]:
+def tile_sums(x: np.ndarray, i: slice, j: slice, complete: bool) -> list[np.ndarray]:
     """n, sums of x and y, of their squares, and of their products, over the rows where both are known."""
     if complete:
         a, b = x[:, i], x[:, j]
@@ -68,7 +68,8 @@ def _tile_sums(x: np.ndarray, i: slice, j: slice, complete: bool) -> list[np.nda
     return [m.T @ n, a.T @ n, m.T @ b, (a * a).T @ n, m.T @ (b * b), a.T @ b]
 
 
-def _correlations(sums: Sequence[np.ndarray]) -> np.ndarray:
+def correlations(sums: Sequence[np.ndarray]) -> np.ndarray:
+    """Correlations of a tile, NaN where undefined."""
     n, x, y, xx, yy, xy = sums
     with np.errstate(invalid="ignore", divide="ignore"):
         r = (xy - x * y / n) / (np.sqrt(np.clip(xx - x * x / n, 0, None)) * np.sqrt(np.clip(yy - y * y / n, 0, None)))
@@ -98,7 +99,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], moments: pd.DataFra
                 held, count, number = [], 0, number + 1
                 for k, i in enumerate(blocks):
                     for n, j in enumerate(blocks[k:], start=k):
-                        raw = b"".join(v.tobytes() for v in _tile_sums(x, i, j, complete))
+                        raw = b"".join(v.tobytes() for v in tile_sums(x, i, j, complete))
                         yield pa.RecordBatch.from_pydict({"bi": pa.array([k], pa.int32()), "bj": pa.array([n], pa.int32()), "sums": pa.array([raw], pa.binary())})
 
     def opened(bi: int, bj: int, raw: np.ndarray) -> list[np.ndarray]:
@@ -118,7 +119,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], moments: pd.DataFra
 
     def lay_out(tiles: pa.Table) -> pa.Table:
         bi, bj = tiles["bi"][0].as_py(), tiles["bj"][0].as_py()
-        r = _correlations(opened(bi, bj, added(tiles)))
+        r = correlations(opened(bi, bj, added(tiles)))
         i, j = np.nonzero(np.isfinite(r))
         value = r[i, j]
         i, j = i + blocks[bi].start, j + blocks[bj].start

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hazardframe.functions import scalars as S
+from hazardframe.operators import collinearity
 from hazardframe.operators.cohort import first_row
-from hazardframe.operators.ordered import exact_quantiles
+from hazardframe.operators.ordered import exact_quantiles, join_on
 
 
 def matrix_to_long(matrix: DataFrame, gene: str = "Hugo_Symbol", drop: Sequence[str] = ("Entrez_Gene_Id",)) -> DataFrame:
@@ -54,6 +58,53 @@ def variance_profile(rows: DataFrame, value: str = "value") -> DataFrame:
     return gene_variance(rows, value).withColumn("gene_rank", F.row_number().over(order))
 
 
+def top_variable_genes_by_cohort(rows: DataFrame, n: int = 50, value: str = "value", cohort: str = "cohort") -> DataFrame:
+    """(cohort, gene, variance, mean, gene_rank): the n genes that vary most within each cohort, ties by name."""
+    known = rows.groupBy(cohort, "gene").agg(F.var_samp(value).alias("variance"), F.avg(value).alias("mean"))
+    order = Window.partitionBy(cohort).orderBy(F.desc_nulls_last("variance"), "gene")  # rows are genes of a cohort
+    return known.withColumn("gene_rank", F.row_number().over(order)).where(F.col("gene_rank") <= n)
+
+
+def cohort_correlations(rows: DataFrame, n: int = 50, value: str = "value", cohort: str = "cohort") -> DataFrame:
+    """(cohort, gene_a, gene_b, r): correlations of the n genes that vary most within each cohort, over its samples.
+
+    Every cohort has its own list of genes. A sample becomes one vector in the order of its cohort's list; tasks add up
+    an n x n matrix of sums for each cohort they meet, missing values left out pair by pair, and the matrices of a
+    cohort meet in one task. Undefined correlations are left out; rows without a cohort form one.
+    """
+    top = top_variable_genes_by_cohort(rows, n, value, cohort).select(cohort, "gene", "mean", (F.col("gene_rank") - 1).alias("_at"))
+    listed = join_on(rows.select("sample_id", cohort, "gene", F.col(value).cast("double").alias("_v")), top, [cohort, "gene"])
+    cells = listed.where(F.col("_v").isNotNull()).select("sample_id", cohort, F.struct("_at", (F.col("_v") - F.col("mean")).alias("_v")).alias("_c"))
+    samples = cells.groupBy("sample_id", cohort).agg(F.collect_list("_c").alias("_c")).select(cohort, "_c")  # at most n cells
+    kind, arrow = samples.schema[cohort].dataType.simpleString(), to_arrow_type(samples.schema[cohort].dataType)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            listed, size = batch.column(1).flatten(), batch.column(1).value_lengths().to_numpy()
+            x = np.full((batch.num_rows, n), np.nan)
+            x[np.repeat(np.arange(batch.num_rows), size), listed.field(0).to_numpy()] = listed.field(1).to_numpy()
+            names = np.array(batch.column(0).to_pylist(), dtype=object)
+            for c in set(names.tolist()):
+                own = np.array([k == c for k in names])
+                sums = np.stack(collinearity.tile_sums(x[own], slice(0, n), slice(0, n), False))
+                total[c] = total.get(c, 0) + sums
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), arrow), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=[cohort, "sums"])
+
+    def lay_out(parts: pa.Table) -> pa.Table:
+        r = collinearity.correlations(sum(np.frombuffer(v, float).reshape(6, n, n) for v in parts["sums"].to_pylist()))
+        a, b = np.nonzero(np.isfinite(r) & np.triu(np.ones((n, n), bool), 1))
+        key = pa.concat_arrays([parts[cohort].combine_chunks().slice(0, 1)] * len(a)) if len(a) else parts[cohort].combine_chunks().slice(0, 0)
+        return pa.table({cohort: key, "_a": pa.array(a.astype(np.int32)), "_b": pa.array(b.astype(np.int32)), "r": pa.array(r[a, b])})
+
+    found = samples.mapInArrow(add, f"`{cohort}` {kind}, sums binary").groupBy(cohort).applyInArrow(lay_out, f"`{cohort}` {kind}, _a int, _b int, r double")
+    for side in ("a", "b"):
+        names = top.select(cohort, F.col("_at").alias(f"_{side}"), F.col("gene").alias(f"gene_{side}"))
+        found = join_on(found, names, [cohort, f"_{side}"])
+    ordered = F.col("gene_a") < F.col("gene_b")
+    return found.select(cohort, F.when(ordered, F.col("gene_a")).otherwise(F.col("gene_b")).alias("gene_a"), F.when(ordered, F.col("gene_b")).otherwise(F.col("gene_a")).alias("gene_b"), "r")
+
+
 def top_values(rows: DataFrame, value: str, n: int, group: str | None = "CANCER_TYPE") -> DataFrame:
     """The n most frequent values of each group (or of all rows), ties by name."""
     keys = [group] if group else []
@@ -71,7 +122,7 @@ def mutation_frequency(calls: DataFrame, top: int = 20) -> DataFrame:
     cohorts = calls.select("CANCER_TYPE", barcode).distinct().groupBy("CANCER_TYPE").agg(F.count(barcode).alias("n_samples"))
     pairs = calls.join(genes, "Hugo_Symbol", "left_semi").select("CANCER_TYPE", "Hugo_Symbol", barcode).distinct()
     hits = pairs.groupBy("Hugo_Symbol", "CANCER_TYPE").agg(F.count(barcode).alias("n_mutated"))
-    return hits.join(cohorts, "CANCER_TYPE").select(
+    return join_on(hits, cohorts, ["CANCER_TYPE"]).select(
         "Hugo_Symbol", "CANCER_TYPE", (F.col("n_mutated") / F.col("n_samples") * 100).alias("frequency_pct")
     )
 
