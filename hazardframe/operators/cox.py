@@ -62,6 +62,7 @@ class Fit:
     objective: float
     n_iter: int
     converged: bool
+    error: str = ""  # type of the error that ended this model, while the others went on
 
 
 @dataclass
@@ -393,6 +394,7 @@ class _Optimiser:
         self.pairs: deque = deque(maxlen=memory)
         self.n_iter, self.tries, self.step = 0, 0, 1.0
         self.done = self.converged = False
+        self.error = ""
 
     def _direction(self) -> np.ndarray:
         start = self.metric + np.diag(self.problem.curvature(self.x) + 1e-6 + (1 - self.used))
@@ -454,9 +456,10 @@ class _Optimiser:
 
 
 def fit_models(
-    data: CoxData, problems: Sequence[Problem], maxiter: int = 400, clip: float = 40.0, ftol: float = 2.2e-9, gtol: float = 1e-5
+    data: CoxData, problems: Sequence[Problem], maxiter: int = 400, clip: float = 40.0, ftol: float = 2.2e-9, gtol: float = 1e-5, strict: bool = True
 ) -> list[Fit]:
-    """Fit all problems together; groups without rows of events shrink to zero through their penalty."""
+    """Fit all problems together; groups without rows of events shrink to zero through their penalty. Without ``strict`` a
+    model that cannot be fitted carries the type of its error, and the others are fitted as if it were not there."""
     states = [_Optimiser(p, data.metrics[p.group], maxiter, ftol, gtol) for p in problems]
     while True:
         active = [s for s in states if not s.done]
@@ -466,11 +469,18 @@ def fit_models(
         for s in active:
             by_group.setdefault(s.problem.group, []).append(s)
         betas = {g: np.column_stack([s.trial for s in members]) for g, members in by_group.items()}
-        found = partial_likelihood(data, betas, clip, strict=any(s.f is None for s in active))
+        found = partial_likelihood(data, betas, clip, strict=strict and any(s.f is None for s in active))
         for g, members in by_group.items():
             for k, s in enumerate(members):
-                s.tell(float(found[g][0][k]), found[g][1][:, k])
-    return [Fit(s.problem, s.x, float(s.f), s.n_iter, s.converged) for s in states]
+                try:
+                    if s.f is None and np.isnan(found[g][0][k]):
+                        raise ValueError("an event time has no weight at risk")
+                    s.tell(float(found[g][0][k]), found[g][1][:, k])
+                except (ValueError, ArithmeticError, np.linalg.LinAlgError) as error:
+                    if strict:
+                        raise
+                    s.done, s.error = True, type(error).__name__
+    return [Fit(s.problem, s.x, math.nan if s.f is None else float(s.f), s.n_iter, s.converged, s.error) for s in states]
 
 
 def fit_one(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazardframe.functions import scalars as S
 from hazardframe.operators import clean, cohort, collinearity, conformal, cox, features, splits
@@ -14,6 +13,7 @@ from hazardframe.operators.concordance import concordance
 from hazardframe.plans import tuning
 from hazardframe.schema import CLINICAL_COVARIATES, EXPR, SWEEP_THRESHOLDS, TARGET_COLUMNS
 from hazardframe.session import cut_lineage, kept
+from hazardframe.sources.readers import path_exists
 
 
 @dataclass
@@ -121,38 +121,83 @@ def train_and_calibrate(
     )
 
 
+SWEEP_SCHEMA = (
+    "threshold double, expr_before int, expr_after int, expr_dropped int, clinical_before int, clinical_after int, clinical_dropped int, "
+    "collinearity_pairs_above_threshold bigint, c_index_train double, c_index_calibration double, c_index_test double, "
+    "coverage_test_events_only double, mean_interval_width_months_test double, status string, error string"
+)
+
+
+def _strong_pairs(train: DataFrame, columns: Sequence[str], low: float) -> DataFrame:
+    """Pairs of columns that hold numbers with some spread, above the lowest threshold; written once for all of them."""
+    moments = collinearity.column_moments(train, columns) if columns else None
+    usable = [c for c in columns if moments.loc[c, "n"] >= 2 and moments.loc[c, "std"] >= collinearity.TINY]
+    if len(usable) < 2:
+        return train.sparkSession.createDataFrame([], "i int, j int, f1 string, f2 string, r double")
+    return cut_lineage(collinearity.correlation_pairs(train, usable, moments).where(F.abs("r") > low))
+
+
+def _dropped_above(strong: DataFrame, threshold: float) -> dict[str, int]:
+    """Columns with an earlier partner above the threshold, and the number of those."""
+    found = strong.where(F.abs("r") > threshold).groupBy("f2").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each dropped column
+    return {r["f2"]: r["n"] for r in found}
+
+
+def sweep_branches(
+    spark: SparkSession, thresholds: Sequence[float], run: Callable[[float], dict], folder: str | None = None, rerun: bool = False,
+) -> DataFrame:
+    """One row for each threshold, whatever becomes of its run: an error is a row with status ``failed`` and its text while
+    the others go on. With ``folder`` a finished row is kept there, and read back as ``skipped_existing`` on the next call
+    unless ``rerun`` is set; failed ones are tried again."""
+    names = [f.split(" ")[0] for f in SWEEP_SCHEMA.split(", ")]
+    rows = []
+    for threshold in thresholds:
+        path = folder and f"{folder}/threshold-{threshold:g}"
+        if path and not rerun and path_exists(spark, f"{path}/_SUCCESS"):
+            rows.append(spark.read.parquet(path).first().asDict() | {"status": "skipped_existing"})
+            continue
+        row = dict.fromkeys(names) | {"threshold": float(threshold), "status": "completed", "error": ""}
+        try:
+            row |= run(threshold)
+        except Exception as error:  # one branch must not take the others with it
+            row |= {"status": "failed", "error": f"{type(error).__name__}: {error}"[:2_000]}
+        else:
+            if path:
+                spark.createDataFrame([tuple(row[n] for n in names)], SWEEP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+        rows.append(row)
+    table = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], SWEEP_SCHEMA)
+    done = against_baseline(table)
+    left = table.join(done.select("threshold"), "threshold", "left_anti")
+    return done.unionByName(left, allowMissingColumns=True).orderBy(F.desc("threshold"))
+
+
 def threshold_sweep(
     rows: DataFrame, clinical: Sequence[str] = tuple(CLINICAL_COVARIATES), thresholds: Sequence[float] = tuple(SWEEP_THRESHOLDS),
-    penalty: tuple[float, float] | None = (3.0, 0.7), maxiter: int = 400,
+    penalty: tuple[float, float] | None = (3.0, 0.7), maxiter: int = 400, folder: str | None = None, rerun: bool = False,
 ) -> DataFrame:
-    """One model run per collinearity threshold, side by side with the run at the largest threshold.
+    """One model run per collinearity threshold, side by side with the run at the largest threshold; see ``sweep_branches``.
 
-    The correlations of the training rows are computed once; every threshold only filters its pairs.
+    Expression columns and clinical columns that hold numbers are filtered. The correlations of the training rows are
+    computed once; every threshold only filters their pairs.
     """
     clinical = [c for c in clinical if c in rows.columns]
     expression = clean.prefixed_columns(rows, EXPR, ordered=True)
     train = rows.where(F.col("split") == "train")
-    moments = collinearity.column_moments(train, expression)
-    usable = [c for c in expression if moments.loc[c, "n"] >= 2 and moments.loc[c, "std"] >= collinearity.TINY]
-    strong = cut_lineage(collinearity.correlation_pairs(train, usable, moments).where(F.abs("r") > min(thresholds)))
-    results = []
-    for threshold in thresholds:
-        hits = strong.where(F.abs("r") > threshold).groupBy("f2").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each dropped column
-        gone, above = {h["f2"] for h in hits}, sum(h["n"] for h in hits)
-        left = [c for c in expression if c not in gone]
-        run = train_and_calibrate(rows, clinical, left, threshold=None, penalty=penalty, maxiter=maxiter, horizon_tables=False)
-        month = run.metrics["conformal_month_interval"]
-        results.append((
-            float(threshold), len(expression), len(left), len(gone), above, run.metrics["c_index_train"],
-            run.metrics["c_index_calibration"], run.metrics["c_index_test"], month["coverage_test_events_only"],
-            month["mean_interval_width_months_test"], "completed",
-        ))
-    schema = (
-        "threshold double, expr_before int, expr_after int, expr_dropped int, collinearity_pairs_above_threshold bigint, "
-        "c_index_train double, c_index_calibration double, c_index_test double, coverage_test_events_only double, "
-        "mean_interval_width_months_test double, status string"
-    )
-    return against_baseline(rows.sparkSession.createDataFrame(results, schema)).orderBy(F.desc("threshold"))
+    strong, strong_clinical = (_strong_pairs(train, c, min(thresholds)) for c in (expression, clinical))
+
+    def run(threshold: float) -> dict:
+        gone, gone_clinical = _dropped_above(strong, threshold), _dropped_above(strong_clinical, threshold)
+        left, left_clinical = [c for c in expression if c not in gone], [c for c in clinical if c not in gone_clinical]
+        found = train_and_calibrate(rows, left_clinical, left, threshold=None, penalty=penalty, maxiter=maxiter, horizon_tables=False).metrics
+        month = found["conformal_month_interval"]
+        return {
+            "expr_before": len(expression), "expr_after": len(left), "expr_dropped": len(gone),
+            "clinical_before": len(clinical), "clinical_after": len(left_clinical), "clinical_dropped": len(gone_clinical),
+            "collinearity_pairs_above_threshold": sum(gone.values()), **{f"c_index_{s}": found[f"c_index_{s}"] for s in ("train", "calibration", "test")},
+            **{k: month[k] for k in ("coverage_test_events_only", "mean_interval_width_months_test")},
+        }
+
+    return sweep_branches(rows.sparkSession, thresholds, run, folder, rerun)
 
 
 def against_baseline(runs: DataFrame) -> DataFrame:

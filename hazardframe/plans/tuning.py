@@ -49,7 +49,9 @@ def _results(fits: Sequence[cox.Fit], indices: dict[int, float | None], strict:
     rows = []
     for i, f in enumerate(fits):
         value, note = indices.get(i), ""
-        if strict and not f.converged:
+        if f.error:
+            value, note = None, f"fold_{f.problem.group + 1}:{f.error}"
+        elif strict and not f.converged:
             value, note = None, f"fold_{f.problem.group + 1}:not_converged"
         elif value is None:
             note = f"fold_{f.problem.group + 1}:non_finite_ci"
@@ -88,7 +90,7 @@ def cross_validate(
         problems = [cox.Problem(g, a, r, label=f"{a}|{r}") for a in alphas for r in l1_ratios for g in range(k)]
         data = cox.cox_data(features.training_rows(folded, layout, spaces), time, event, group="g", width=len(spaces[0].names))
         try:
-            fits = cox.fit_models(data, problems, maxiter)
+            fits = cox.fit_models(data, problems, maxiter, strict=False)
         finally:
             data.close()
         held = features.held_out_rows(folded, layout, spaces).select("g", time, event, "features")
@@ -118,7 +120,7 @@ def _ablate(folded: DataFrame, layout: features.Layout, k: int, maxiter: int, cl
         problems += [cox.Problem(g, alpha, 0.0, active, name) for g in range(k)]
     data = cox.cox_data(features.training_rows(folded, layout, spaces), group="g", width=len(blocks), **cox_columns)
     try:
-        fits = cox.fit_models(data, problems, maxiter, clip)
+        fits = cox.fit_models(data, problems, maxiter, clip, strict=False)
     finally:
         data.close()
     wanted = list(dict.fromkeys(["PATIENT_ID", "g", *(["T_STOP"] if patient_level else []), time, event, "features"]))

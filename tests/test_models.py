@@ -101,6 +101,42 @@ def test_an_event_without_weight_at_risk_is_an_error(spark):
         data.close()
 
 
+def test_a_model_that_fails_leaves_the_others(spark):
+    """Group 1 holds a row that ends before it starts; its models carry the error, group 0 is fitted as alone."""
+    x, t, e, st = survival_rows(80)
+    good = frame(spark, x, t, e, st).withColumn("g", F.lit(0))
+    bad = spark.createDataFrame([(5.0, 1, 7.0, [0.1, 0.2, 0.3], 1)], "OS_MONTHS double, OS_EVENT int, st double, features array<double>, g int")
+    data = cox.cox_data(good.select("OS_MONTHS", "OS_EVENT", "st", "features", "g").unionByName(bad), start="st", group="g")
+    try:
+        fits = cox.fit_models(data, [cox.Problem(0), cox.Problem(1)], strict=False)
+    finally:
+        data.close()
+    assert (fits[0].error, fits[1].error) == ("", "ValueError") and fits[0].converged and not fits[1].converged
+    assert fits[0].coef == pytest.approx(cox.fit_one(good, start="st").coef, abs=1e-4)
+    notes = tuning._results(fits, {0: 0.7, 1: 0.5}, strict=True)
+    assert notes["note"].tolist() == ["", "fold_2:ValueError"] and notes["c_index"].isna().tolist() == [False, True]
+
+
+def test_sweep_goes_on_after_a_failed_threshold(spark, tmp_path):
+    calls = []
+
+    def run(threshold):
+        calls.append(threshold)
+        if threshold == 0.9:
+            raise ValueError("no viable penalty")
+        return {"c_index_test": threshold, "coverage_test_events_only": 0.9, "mean_interval_width_months_test": 10 * threshold}
+
+    levels = [1.0, 0.95, 0.9, 0.85, 0.75]
+    rows = modelling.sweep_branches(spark, levels, run, str(tmp_path / "sweep")).collect()
+    assert [r["status"] for r in rows] == ["completed", "completed", "failed", "completed", "completed"]
+    assert rows[2]["error"] == "ValueError: no viable penalty" and rows[2]["delta_test_c_index_vs_no_drop"] is None
+    assert rows[4]["delta_width_vs_no_drop"] == pytest.approx(-2.5)
+    again = modelling.sweep_branches(spark, levels, run, str(tmp_path / "sweep")).collect()
+    assert [r["status"] for r in again] == ["skipped_existing", "skipped_existing", "failed", "skipped_existing", "skipped_existing"]
+    assert calls == [*levels, 0.9] and again[1]["c_index_test"] == 0.95
+    assert all(r["status"] == "failed" for r in modelling.sweep_branches(spark, [0.9], run).collect())
+
+
 def test_no_events_shrinks_to_zero(spark):
     x, t, _, st = survival_rows(60)
     fit = cox.fit_one(frame(spark, x, t, np.zeros(60, int), st))
