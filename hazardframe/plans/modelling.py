@@ -29,6 +29,10 @@ class ModelRun:
     horizon_predictions: DataFrame | None
     fit: cox.Fit
     metrics: dict
+    layout: features.Layout
+    space: features.FeatureSpace
+    interval: conformal.IntervalResult
+    calibrators: dict
 
 
 def prepare_rows(df: DataFrame, outliers: bool = True) -> tuple[DataFrame, dict]:
@@ -117,7 +121,7 @@ def train_and_calibrate(
     coefficients = cox.coefficient_table(rows, [fit], space.names)
     return ModelRun(
         predictions, coefficients, grid, dropped, horizon and horizon.metrics, horizon and horizon.classification,
-        horizon and horizon.predictions, fit, metrics,
+        horizon and horizon.predictions, fit, metrics, layout, space, result, horizon.calibrators if horizon else {},
     )
 
 
