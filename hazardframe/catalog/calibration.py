@@ -127,6 +127,28 @@ def cqr_interval(t: Tables) -> DataFrame:
     return rounded_all(conformal.cqr_interval(rows).predictions.drop("features"))
 
 
+@query(V.sql("scored", """with b AS (SELECT *, greatest(60 - 10 * risk, 0) AS l, greatest(60 - 10 * risk, 0) + 5 + "AGE" / 10 AS h FROM scored),
+c AS (SELECT greatest(l - "OS_MONTHS", "OS_MONTHS" - h) AS s, h - l AS w FROM b WHERE split = 'calibration' AND "OS_EVENT" = 1),
+z AS (SELECT count(*) AS n, ceil((count(*) + 1) * CAST(0.9 AS DOUBLE)) / count(*) AS level FROM c),
+q AS (SELECT max(s) FILTER (WHERE k = floor(pos)) + (max(s) FILTER (WHERE k = ceil(pos)) - max(s) FILTER (WHERE k = floor(pos))) * (max(pos) - floor(max(pos))) AS qhat
+      FROM (SELECT s, row_number() OVER (ORDER BY s) - 1 AS k FROM c) r, (SELECT level * (n - 1) AS pos FROM z) p),
+f AS (SELECT b.*, greatest(l - qhat, 0) AS lo, greatest(greatest(l - qhat, 0), h + qhat) AS hi FROM b, q WHERE split = 'test')
+SELECT (SELECT count(*) FROM c) AS n_cal_events, r6((SELECT min(s) FROM c);) AS calibration_score_min, r6((SELECT quantile_cont(s, 0.5) FROM c);) AS calibration_score_median,
+       r6((SELECT quantile_cont(s, 0.9) FROM c);) AS calibration_score_p90, r6((SELECT max(s) FROM c);) AS calibration_score_max, r6((SELECT avg(s) FROM c);) AS calibration_score_mean,
+       r6((SELECT avg(w) FROM c);) AS raw_qr_interval_width_mean_cal, r6((SELECT qhat FROM q);) AS qhat_months,
+       r6(avg(hi - lo);) AS mean_interval_width_months_all_test, r6(quantile_cont(hi - lo, 0.5);) AS median_interval_width_months_all_test,
+       r6(avg(hi - lo) FILTER (WHERE "OS_EVENT" = 1);) AS mean_interval_width_months_test_events,
+       r6(quantile_cont(hi - lo, 0.5) FILTER (WHERE "OS_EVENT" = 1);) AS median_interval_width_months_test_events,
+       count(*) FILTER (WHERE "OS_EVENT" = 1) AS n_test_events,
+       r6(avg(CASE WHEN "OS_MONTHS" BETWEEN lo AND hi THEN 1 ELSE 0 END) FILTER (WHERE "OS_EVENT" = 1);) AS coverage_test_events_only FROM f"""))
+def cqr_details(t: Tables) -> DataFrame:
+    """The calibration of given quantile bounds and every figure that a quantile run reports."""
+    low = F.greatest(60 - 10 * F.col("risk"), F.lit(0.0))
+    rows = V.scored(t).withColumns({"l": low, "h": low + 5 + F.col("AGE") / 10})
+    _, details = conformal.conformal_bounds(rows, "l", "h")
+    return rounded_all(t.spark.createDataFrame([tuple(details.values())], ", ".join(f"{k} {'bigint' if k.startswith('n_') else 'double'}" for k in details)))
+
+
 @query()
 def horizon_conformal(t: Tables) -> DataFrame:
     return rounded_all(conformal.horizon_conformal(V.scored(t), horizon_list=[24, 48, 60, 72]).metrics)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
@@ -74,12 +74,14 @@ def apply_isotonic(model: IsotonicRegressionModel, df: DataFrame, x: str) -> Dat
 
 @dataclass
 class IntervalResult:
-    """Predictions with the two bound columns, the fitted quantile, a status and the fitted models."""
+    """Predictions with the two bound columns, the fitted quantile, a status, the fitted models, and the figures of a quantile
+    run (see ``interval_details``)."""
 
     predictions: DataFrame
     qhat: float | None
     status: str
     models: list
+    details: dict = field(default_factory=dict)
 
 
 def _without_bounds(df: DataFrame) -> DataFrame:
@@ -135,18 +137,40 @@ def cqr_interval(
     # Written once: the bounds are read for the calibration scores and again for the result.
     predicted = cut_lineage(predicted)
     predicted = predicted.withColumns(boosting.interval_columns(("_l", "_h"), "_lo", "_hi", swap_crossed)).drop("_lo", "_hi")
-    calibration = predicted.where((F.col(split) == "calibration") & (F.col(event) == 1))
-    scores = calibration.select(F.greatest(F.col("_l") - F.col(time), F.col(time) - F.col("_h")).alias("score"))
-    qhat = interpolated_quantile(scores, alpha=alpha).first()["qhat"]
-    if qhat == float("inf"):
-        return IntervalResult(_without_bounds(rows), None, f"skipped: qhat is +inf (n_cal_events={counts['cal']})", models)
-    lo = F.greatest(F.col("_l") - qhat, F.lit(0.0))
-    hi = F.greatest(lo, F.col("_h") + qhat)
+    bounded, details = conformal_bounds(predicted, "_l", "_h", alpha, time, event, split)
+    details = {"n_train_events": counts["train"], **details}
+    if details["qhat_months"] == float("inf"):
+        status = f"skipped: qhat is +inf (n_cal_events={counts['cal']})"
+        return IntervalResult(_without_bounds(rows), None, status, models, {**details, "status": status})
+    return IntervalResult(bounded.drop("_l", "_h"), details["qhat_months"], "ok", models, {**details, "status": "ok"})
+
+
+def conformal_bounds(
+    rows: DataFrame, low: str, high: str, alpha: float = ALPHA, time: str = "OS_MONTHS", event: str = "OS_EVENT", split: str = "split",
+) -> tuple[DataFrame, dict]:
+    """Raw quantile bounds widened by the conformal quantile of their scores on calibration events, for test rows; and the
+    details: events, score figures (least, median, 90 %, largest, mean), mean raw width, the quantile, and width and coverage on
+    all test rows and on test events."""
+    calibration = rows.where((F.col(split) == "calibration") & (F.col(event) == 1)).select(
+        F.greatest(F.col(low) - F.col(time), F.col(time) - F.col(high)).alias("score"), (F.col(high) - F.col(low)).alias("raw")
+    )
+    audit = score_audit(calibration).withColumnsRenamed({f"score_{k}": f"calibration_score_{k}" for k in ("min", "max", "mean", "median", "p90")}).first().asDict()
+    raw = calibration.agg(F.count(F.lit(1)).alias("n_cal_events"), F.avg("raw").alias("raw_qr_interval_width_mean_cal")).first().asDict()
+    qhat = interpolated_quantile(calibration, alpha=alpha).first()["qhat"]
+    details = {**raw, **audit, "qhat_months": qhat}
+    lo = F.greatest(F.col(low) - qhat, F.lit(0.0))
+    hi = F.greatest(lo, F.col(high) + qhat)
     test = F.col(split) == "test"
-    out = predicted.withColumns(
-        {"pred_survival_lo_months_90": F.when(test, lo), "pred_survival_hi_months_90": F.when(test, hi)}
-    ).drop("_l", "_h")
-    return IntervalResult(out, qhat, "ok", models)
+    out = rows.withColumns({"pred_survival_lo_months_90": F.when(test, lo), "pred_survival_hi_months_90": F.when(test, hi)})
+    if qhat == float("inf"):
+        return out, details
+    report = coverage_report(out.where(test), "pred_survival_lo_months_90", "pred_survival_hi_months_90", time, F.col(event) == 1).collect()  # two rows
+    covered = {r["rows_of"]: r for r in report}
+    for part, name in (("all", "all_test"), ("events", "test_events")):
+        found = covered.get(part)
+        details |= {f"{k}_interval_width_months_{name}": found and found[f"{k}_width"] for k in ("mean", "median")}
+    events = covered.get("events")
+    return out, {**details, "n_test_events": events["n"] if events else 0, "coverage_test_events_only": events and events["coverage"]}
 
 
 @dataclass

@@ -114,7 +114,7 @@ def train_and_calibrate(
             "status": result.status, "qhat": result.qhat,
             "coverage_test_events_only": covered["events"]["coverage"] if "events" in covered else None,
             "mean_interval_width_months_test": covered["all"]["mean_width"] if "all" in covered else None,
-            "median_interval_width_months_test": covered["all"]["median_width"] if "all" in covered else None,
+            "median_interval_width_months_test": covered["all"]["median_width"] if "all" in covered else None, **result.details,
         },
         "feature_checks": space.checks, "collinearity": summary,
     }

@@ -350,6 +350,7 @@ def test_quantile_boosting_and_cqr(spark):
     fitted = model.transform(events, "q").toPandas()
     assert 0.8 <= (fitted.OS_MONTHS <= fitted.q).mean() <= 0.98
     result = conformal.cqr_interval(df, rounds=3, rate=0.3)
+    assert result.details["status"] == "ok" and result.details["qhat_months"] == result.qhat and result.details["n_test_events"] > 0
     assert result.status == "ok" and result.predictions.where("split = 'test' AND pred_survival_hi_months_90 IS NULL").count() == 0
     assert "training events" in conformal.cqr_interval(df.limit(10), rounds=1).status
 
