@@ -24,6 +24,7 @@ PIECE = "_piece"
 MIN_PIECES = 8
 MAX_PIECES = 1024
 ROWS_PER_PIECE = 500_000
+LITERAL_KEYS = 64
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "inner") -> DataFrame:
@@ -34,6 +35,26 @@ def join_on(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "
     return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def look_up(rows: DataFrame, table: DataFrame, keys: Iterable[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the columns of ``table``, which has one row per key, and the table itself.
+
+    A table of at most LITERAL_KEYS rows is read once and becomes literals: a join on a handful of keys would bring all rows of
+    a key together. A larger one is joined; what is found is the same.
+    """
+    keys = list(keys)
+    name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    found = table.withColumn("_name", name).limit(LITERAL_KEYS + 1).collect()
+    if len(found) > LITERAL_KEYS:
+        return join_on(rows, table, keys), table
+    fields = [f for f in table.schema if f.name not in keys]
+    small = table.sparkSession.createDataFrame([tuple(r)[:-1] for r in found], table.schema)
+    if not found:
+        return rows.where(F.lit(False)).withColumns({f.name: F.lit(None).cast(f.dataType) for f in fields}), small
+    entries = [x for r in found for x in (F.lit(r["_name"]), F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]))]
+    value = F.element_at(F.create_map(*entries), name)
+    return rows.where(value.isNotNull()).withColumns({f.name: value[f.name] for f in fields}), small
+
+
 def cut_points(df: DataFrame, column: str, pieces: int | None = None) -> list[float]:
     """Approximate quantiles of ``column``: at most ``MAX_PIECES - 1`` numbers, found in one pass."""
     return cut_points_of(df, [column], pieces)[column].cuts

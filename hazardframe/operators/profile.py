@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from hazardframe.functions import scalars as S
-from hazardframe.operators.ordered import exact_quantiles, join_on, unpivot_numbers, value_counts
+from hazardframe.operators.ordered import exact_quantiles, join_on, look_up, unpivot_numbers, value_counts
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -82,20 +82,18 @@ def zero_variance_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
 def histogram(df: DataFrame, value: str, bins: int, keys: Iterable[str] = ()) -> DataFrame:
     """Equal-width histogram over the range of each key; the last bin is closed. Empty bins have count 0."""
     keys = list(keys)
-    rows = df if keys else df.withColumn("_all", F.lit(0))
-    by = keys or ["_all"]
     lo, hi = F.min(value), F.max(value)
     same = lo == hi
-    bounds = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(
+    bounds = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
         F.when(same, lo - 0.5).otherwise(lo).cast("double").alias("lo"),
         F.when(same, hi + 0.5).otherwise(hi).cast("double").alias("hi"),
-    )
+    ).where(F.col("lo").isNotNull())
     bin_number = F.least(F.expr(f"width_bucket(cast({value} as double), lo, hi, {bins})"), F.lit(bins)).cast("int")
-    joined = join_on(value_counts(rows, value, by), bounds, by)
-    filled = joined.withColumn("bin", bin_number).groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    bounded, bounds = look_up(value_counts(df, value, keys), bounds, keys)
+    filled = bounded.withColumn("bin", bin_number).groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     frame = bounds.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     width = (F.col("hi") - F.col("lo")) / bins
-    return join_on(frame, filled, [*by, "bin"], "left").select(
+    return join_on(frame, filled, [*keys, "bin"], "left").select(  # a row for each bin on both sides
         *keys, "bin", (F.col("lo") + (F.col("bin") - 1) * width).alias("left_edge"), F.coalesce("n", F.lit(0)).alias("n")
     )
 
@@ -107,12 +105,13 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str], k: float = 1.5) ->
     fences = quartiles.withColumns({"lower_fence": F.col("q25") - k * iqr, "upper_fence": F.col("q75") + k * iqr})
     counts = value_counts(df, value, keys)
     inside = F.col(value).between(F.col("lower_fence"), F.col("upper_fence"))
-    whiskers = join_on(counts, fences.select(*keys, "lower_fence", "upper_fence"), keys).groupBy(*keys).agg(
+    fenced, fences = look_up(counts, fences, keys)
+    whiskers = fenced.groupBy(*keys).agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
         F.sum(F.when(~inside, F.col("n")).otherwise(0)).alias("outliers"),
     )
-    return join_on(quartiles, whiskers, keys)
+    return join_on(fences.select(*quartiles.columns), whiskers, keys)  # a row for each key on both sides
 
 
 def density_grid(df: DataFrame, value: str, keys: Sequence[str], points: int = 64, cut: float = 3.0) -> DataFrame:
@@ -125,7 +124,8 @@ def density_grid(df: DataFrame, value: str, keys: Sequence[str], points: int = 6
         F.count(value).alias("_n"), F.stddev_samp(value).alias("_sd"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
     ).withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).where(F.col("_h") > 0)
     start, stop = F.col("_lo") - cut * F.col("_h"), F.col("_hi") + cut * F.col("_h")
-    rows = join_on(counts, spread, keys).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    spread_out, _ = look_up(counts, spread, keys)
+    rows = spread_out.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     at = start + F.col("point") * (stop - start) / (points - 1)
     z = (F.col("_x") - F.col(value)) / F.col("_h")
     weight = F.col("n") * F.exp(-0.5 * z * z) / (F.col("_n") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))

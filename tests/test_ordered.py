@@ -84,3 +84,15 @@ def test_patient_folds_keep_rows_together(spark):
     out = splits.group_folds(df, "PATIENT_ID", ["CANCER_TYPE", "OS_EVENT"], 5)
     assert out.count() == 90
     assert out.groupBy("PATIENT_ID").agg(F.count_distinct("fold").alias("d")).where("d > 1").count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 64])
+def test_look_up_by_literals_and_by_join(spark, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "LITERAL_KEYS", limit)
+    rows = spark.createDataFrame([("a", 1, 5), ("a", None, 6), (None, 1, 7), ("b", 2, 8), ("c", 1, 9)], "g string, h int, v int")
+    table = spark.createDataFrame([("a", 1, 0.5, None), ("a", None, 1.5, "x"), (None, 1, 2.5, "y"), ("b", 2, float("inf"), "z")], "g string, h int, w double, s string")
+    found, small = ordered.look_up(rows, table, ["g", "h"])
+    assert sorted((r["v"], r["w"], r["s"]) for r in found.collect()) == [(5, 0.5, None), (6, 1.5, "x"), (7, 2.5, "y"), (8, float("inf"), "z")]
+    assert small.count() == 4 and found.columns == ["g", "h", "v", "w", "s"]
+    empty, _ = ordered.look_up(rows, table.where("g = 'none'"), ["g", "h"])
+    assert empty.count() == 0 and empty.columns == found.columns
