@@ -8,9 +8,11 @@ required similarity, and verified pairs are joined to classes.
 
 In a first round each bucket compares its members with one pivot, which joins most copies. Where a bucket still holds
 members of several classes, every pair of theirs that could reach the similarity is tested or found to be in one class:
-such a pair shares one of the rarest k-mers of both texts (prefix filter), so the members that share such a k-mer form a
-group, and each group is compared with growing sets of new pivots until all its members have been pivots or are of one
-class. Pairs of one class are not tested; the most typical texts are pivots first, so that a text and its copies join at once.
+such a pair shares a k-mer of the prefixes of both texts, in an order of all k-mers that puts those of a single class first
+and then rare before common ones. The members that share such a k-mer form a group, and each group is compared with growing
+sets of new pivots until all its members have been pivots or are of one class. Pairs of one class are not tested, nor pairs
+whose places in the prefixes leave too few k-mers behind; the most typical texts are pivots first, so that a text and its
+copies join at once. New links are merged into the classes on the graph of the classes that they join.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hazardframe.llm import textblocks as tb
 from hazardframe.llm.storage import delete_table, write_table
@@ -28,9 +30,8 @@ from hazardframe.llm.storage import delete_table, write_table
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 16
-COUNTERS = 1 << 21  # hashed counts of k-mers, which order them from rare to common
-COUNTER_CHUNK = 1 << 15
-MORE_PIVOTS = 4  # growth of the number of pivots of a group from round to round
+PIVOTS = 8  # of a group in the first round of groups
+MORE_PIVOTS = 16  # growth of that number from round to round
 
 
 def labelled_kmers(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -139,31 +140,33 @@ def _sketches(rows: DataFrame) -> DataFrame:
 
 
 def _kmer_table(texts: DataFrame) -> DataFrame:
-    """key and the text's labelled k-mers as 32-bit fingerprints, in order."""
+    """node and the text's labelled k-mers in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in tb.slices(batch.column(1)):
                 kmers, begin = labelled_kmers(batch.column(1).slice(lo, hi - lo))
-                raw = (kmers >> np.uint64(32)).astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([raw[s:e].tobytes() for s, e in zip(begin, begin[1:])], pa.binary())], names=["key", "kmers"]
-                )
+                values = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(kmers.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), values], names=["node", "kmers"])
 
-    return texts.mapInArrow(run, "key string, kmers binary")
+    return texts.mapInArrow(run, "node bigint, kmers array<bigint>")
 
 
 def _verify(pairs: DataFrame, kmers: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts align."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
-            ok = [aligned_similarity(np.frombuffer(x[i].as_py(), "<u4"), np.frombuffer(y[i].as_py(), "<u4"), similarity) > 0 for i in range(len(x))]
+            xs, ys = x.values.to_numpy(), y.values.to_numpy()
+            xo, yo = x.offsets.to_numpy(), y.offsets.to_numpy()
+            ok = [aligned_similarity(xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]], similarity) > 0 for i in range(len(x))]
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    left = kmers.select(F.col("key").alias("a"), F.col("kmers").alias("x"))
-    right = kmers.select(F.col("key").alias("b"), F.col("kmers").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+    left = kmers.select(F.col("node").alias("a"), F.col("kmers").alias("x"))
+    right = kmers.select(F.col("node").alias("b"), F.col("kmers").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -196,74 +199,40 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _ordered_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-
-
-def _pivot_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b): each member of a bucket with the bucket's pivot. Pivots are minima of one hash in all
-    buckets, so a group of copies that shares many buckets gives few pairs for each copy, and no bucket is gathered anywhere."""
-    member = members.select("bucket", F.col("key").alias("rep"))
-    pivots = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep")).alias("p")).select("bucket", F.col("p.rep").alias("other"))
-    return _ordered_pairs(member.join(pivots, "bucket").where("rep <> other"))
-
-
-def _counted(kmers: DataFrame) -> np.ndarray:
-    """In how many texts the k-mers of each counter occur (COUNTERS numbers, added up in chunks on the executors)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for raw in batch.column(0):
-                np.add.at(total, np.frombuffer(raw.as_py(), "<u4") & np.uint32(COUNTERS - 1), 1)
-        for c in range(COUNTERS // COUNTER_CHUNK):
-            part = total[c * COUNTER_CHUNK : (c + 1) * COUNTER_CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "counts"])
-
-    def add(rows):
-        total = sum(np.frombuffer(c, np.int64) for c in rows["counts"])
-        return rows[["chunk"]].head(1).assign(counts=[total.tobytes()])
-
-    out = np.zeros(COUNTERS, np.uint32)
-    for c, counts in kmers.select("kmers").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
-        out[c * COUNTER_CHUNK : (c + 1) * COUNTER_CHUNK] = np.minimum(np.frombuffer(counts, np.int64), 0xFFFFFFFF)
-    return out
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Roots after further ``links``: only the classes that these join are worked on again, as nodes of a smaller graph."""
+    if roots is None:
+        return components(links)
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias("r_" + end)), end, "left").withColumn("r_" + end, F.coalesce("r_" + end, end))
+    joined = components(ends.select(F.col("r_a").alias("a"), F.col("r_b").alias("b")))
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return moved.unionByName(joined.join(roots, "node", "left_anti"))
 
 
-def _shared_tokens(kmers: DataFrame, similarity: float) -> DataFrame:
-    """token, key, n (k-mers of the text) and o (less for a more typical text): the k-mers of each text's prefix.
+def _prefixes(open_kmers: DataFrame, similarity: float) -> DataFrame:
+    """token, node, n (k-mers of the text), at (place of the token among them), o (less for a more typical text): the k-mers
+    of each text's prefix that occur in several classes.
 
     Texts of similarity s share at least s of the k-mers of either. Whatever order of all k-mers is used, they then share
-    one of the first n - ceil(s n) + 1 of both texts. Rare ones come first here, so that a common passage is in few
-    prefixes. Counters are upper bounds, and a k-mer whose counter is 1 is shared by nobody.
+    one of the first n - ceil(s n) + 1 of both texts. Here k-mers that occur in one class only come first: they can meet
+    no text of another class and give no row. The others follow from rare to common. Counts are exact, and rows grow with
+    the k-mers that classes share.
     """
-    counts = _counted(kmers)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, tokens, sizes, order = [], [], [], []
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                k = np.frombuffer(raw.as_py(), "<u4")
-                n = counts[k & np.uint32(COUNTERS - 1)]
-                first = np.lexsort((k, n))[: len(k) - int(np.ceil(similarity * len(k) - 1e-9)) + 1]
-                shared = np.unique(k[first][n[first] > 1])
-                keys += [key] * len(shared)
-                tokens.append(shared.astype(np.int64))
-                sizes += [len(k)] * len(shared)
-                order += [-float(np.log(np.maximum(n, 1)).mean())] * len(shared)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])), pa.array(keys, pa.string()), pa.array(sizes, pa.int32()), pa.array(order, pa.float64())],
-                names=["token", "key", "n", "o"],
-            )
-
-    return kmers.select("key", "kmers").mapInArrow(run, "token bigint, key string, n int, o double")
+    tokens = open_kmers.select("node", "c", F.size("kmers").alias("n"), F.explode("kmers").alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("texts")).where("c1 <> c2").select("token", "texts")
+    met = tokens.select("node", "n", "token").join(shared, "token")
+    by_text = Window.partitionBy("node")
+    met = met.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(by_text)).withColumn("o", -F.avg(F.log("texts")).over(by_text))
+    met = met.withColumn("at", F.col("alone") + F.row_number().over(by_text.orderBy("texts", "token")) - 1)
+    return met.where(F.col("at") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9)).select("token", "node", "n", "at", "o")
 
 
 def _with_class(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
-        return rows.withColumn("c", F.col("key"))
-    return rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("c", F.coalesce("root", "key")).drop("root")
+        return rows.withColumn("c", F.col("node"))
+    return rows.join(roots, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
 
 
 def _undecided(rows: DataFrame, group: str) -> DataFrame:
@@ -282,21 +251,6 @@ def near_duplicate_classes(documents: DataFrame, id_column: str = "doc_id", text
     the named columns are read.
     """
     spark: SparkSession = documents.sparkSession
-    text_column = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(F.col(id_column).cast("long").alias("id"), F.md5(text_column.cast("binary")).alias("key"), text_column.alias("text"))
-    sketches, sketch_path = write_table(_sketches(rows), "sketches")
-
-    # Equal texts are one member from here on; which of their rows supplies the text does not matter.
-    distinct = sketches.groupBy("key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
-    slots = distinct.select("key", F.posexplode("sketch").alias("slot", "value")).select("key", F.xxhash64("slot", "value").alias("bucket"))
-    shared = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members, member_path = write_table(slots.join(shared, "bucket"), "members")
-    needed = members.select("key").distinct()
-    one_row = sketches.join(needed, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
-    texts = rows.join(one_row.select("key", F.col("id").alias("want")), "key").where(F.col("id").eqNullSafe(F.col("want")))
-    kmers, kmer_path = write_table(_kmer_table(texts.select("key", "text")).dropDuplicates(["key"]), "kmers")
-
-    links, tried, roots = None, None, None
     paths = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -304,42 +258,59 @@ def near_duplicate_classes(documents: DataFrame, id_column: str = "doc_id", text
         paths.append(path)
         return table
 
+    text_column = F.coalesce(F.col(text), F.lit(""))
+    rows = documents.select(F.col(id_column).cast("long").alias("id"), F.md5(text_column.cast("binary")).alias("key"), text_column.alias("text"))
+    sketches = kept(_sketches(rows), "sketches")
+
+    # Equal texts are one node from here on; nodes are numbered, and the written table fixes the numbers.
+    distinct = sketches.groupBy("key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
+    nodes = kept(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    slots = nodes.select("node", F.posexplode("sketch").alias("slot", "value")).select("node", F.xxhash64("slot", "value").alias("bucket"))
+    # The pivot of a bucket is its smallest node: a group of copies that shares many buckets gives few pairs for each copy.
+    pivots = slots.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last")
+    members = kept(slots.join(pivots, "bucket"), "members")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "key", F.xxhash64("id").alias("tag"))
+    # Which of the rows of a text supplies it does not matter: one with its smallest id.
+    texts = rows.withColumn("tag", F.xxhash64("id")).join(wanted, ["key", "tag"]).dropDuplicates(["key", "tag"])
+    kmers = kept(_kmer_table(texts.select("node", "text")), "kmers")
+
+    roots, tried = None, []
+
     def test(pairs: DataFrame) -> None:
-        nonlocal links, tried, roots
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        nonlocal roots
+        if tried:
+            pairs = pairs.join(spark.read.schema("a bigint, b bigint").parquet(*tried), ["a", "b"], "left_anti")
         pairs = kept(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried.append(paths[-1])
         verified = kept(_verify(pairs, kmers, similarity), "links")
         if not verified.isEmpty():
-            links = verified if links is None else links.unionByName(verified)
-            roots = kept(components(links), "roots")
-
-    test(_pivot_pairs(members))
-    open_keys = _undecided(_with_class(members, roots), "bucket").select("key").distinct()
-    open_kmers = kept(kmers.join(open_keys, "key", "left_semi"), "open")
-    if not open_kmers.isEmpty():
-        group, pivots_of_group = kept(_shared_tokens(open_kmers, similarity), "tokens"), 1
-        while True:
-            group = kept(_undecided(_with_class(group.drop("c"), roots), "token"), "groups")
-            if group.isEmpty():
-                break
-            # One pivot for each share of the group: minima again, whatever the size of the group.
-            share = F.pmod(F.xxhash64("key"), F.lit(pivots_of_group)).alias("share")
-            first = F.min(F.struct("o", F.xxhash64("key").alias("h"), "key", "n", "c")).alias("p")
-            chosen = group.groupBy("token", share).agg(first)
-            chosen = kept(chosen.select("token", F.col("p.key").alias("other"), F.col("p.n").alias("m"), F.col("p.c").alias("d")), "pivots")
-            near = (F.col("c") != F.col("d")) & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - 1e-9)
-            met = group.alias("g").join(chosen.alias("p"), (F.col("g.token") == F.col("p.token")) & near)
-            test(_ordered_pairs(met.select(F.col("key").alias("rep"), "other")))
-            group = group.join(chosen.select("token", F.col("other").alias("key")), ["token", "key"], "left_anti")
-            pivots_of_group *= MORE_PIVOTS
+            roots = kept(_merged(roots, verified), "roots")
+
+    test(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    open_nodes = _undecided(_with_class(members.select("bucket", "node"), roots), "bucket").select("node", "c").distinct()
+    group, shares = kept(_prefixes(kmers.join(open_nodes, "node"), similarity), "prefixes"), PIVOTS
+    while True:
+        group = kept(_undecided(_with_class(group.drop("c"), roots), "token"), "groups")
+        if group.isEmpty():
+            break
+        # One pivot for each share of the group: minima again, whatever the size of the group.
+        share = F.pmod(F.xxhash64("node"), F.lit(shares)).alias("share")
+        chosen = group.groupBy("token", share).agg(F.min(F.struct("o", "node", "n", "at", "c")).alias("p"))
+        chosen = kept(chosen.select("token", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.at").alias("to"), F.col("p.c").alias("d")), "pivots")
+        # At the first k-mer that two texts share, what follows in the common order must hold all the others they need.
+        left_over = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to"))
+        enough = left_over >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-9
+        met = group.join(chosen, "token").where((F.col("c") != F.col("d")) & enough)
+        test(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+        group = group.join(chosen.select("token", F.col("other").alias("node")), ["token", "node"], "left_anti")
+        shares *= MORE_PIVOTS
     if roots is None:
-        roots = spark.createDataFrame([], "node string, root string")
-    classed = sketches.select("id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("id", "key", F.coalesce("root", "key").alias("root"))
-    classes = classed.groupBy("root").agg(F.min("id").alias("class_id"))
-    out, _ = write_table(classed.join(classes, "root").select("id", "key", "root", "class_id"), "classes")
-    for path in (sketch_path, member_path, kmer_path, *paths):
+        roots = spark.createDataFrame([], "node bigint, root bigint")
+    numbered = _with_class(nodes.select("node", "key", "id"), roots)
+    classes = numbered.groupBy("c").agg(F.min("id").alias("class_id"), F.min("key").alias("root"))
+    of_text = numbered.join(classes, "c").select("key", "root", "class_id")
+    out, _ = write_table(sketches.select("id", "key").join(of_text, "key").select("id", "key", "root", "class_id"), "classes")
+    for path in paths:
         delete_table(spark, path)
     return out
 
@@ -351,10 +322,11 @@ def drop_near_duplicates(documents: DataFrame, id_column: str = "doc_id", text:
     kept = classes.where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("root", "key", "class_id").agg(F.count(F.lit(1)).alias("n"))
     # Several rows of a class may carry its smallest id: the smallest text digest decides.
     chosen = kept.groupBy("root").agg(F.min(F.struct("key", "class_id", "n")).alias("c"))
-    chosen = chosen.select(F.col("c.class_id").alias("_om_id"), F.col("c.key").alias("_om_key"), F.col("c.n").alias("_om_n"))
-    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    keyed = documents.withColumn("_om_digest", digest)
-    found = keyed.join(chosen, (F.col("_om_digest") == F.col("_om_key")) & F.col(id_column).cast("long").eqNullSafe(F.col("_om_id")))
-    single, repeated = found.where("_om_n = 1"), found.where("_om_n > 1")
-    repeated = repeated.dropDuplicates(["_om_digest", "_om_id"])
-    return single.unionByName(repeated).select(*documents.columns)
+    chosen = chosen.select(F.col("c.class_id").alias("class_id"), F.col("c.key").alias("key"), F.col("c.n").alias("n"))
+    # The row travels as one struct, so that no name of its columns can clash.
+    carried = documents.select(
+        F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col(id_column).cast("long").alias("id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("digest")
+    )
+    found = carried.join(chosen, (F.col("digest") == F.col("key")) & F.col("id").eqNullSafe(F.col("class_id")))
+    single, repeated = found.where("n = 1"), found.where("n > 1").dropDuplicates(["digest", "id"])
+    return single.select("row").unionByName(repeated.select("row")).select("row.*")
