@@ -30,8 +30,9 @@ from hazardframe.llm.storage import delete_table, write_table
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 16
-PIVOTS = 8  # of a group in the first round of groups
-MORE_PIVOTS = 16  # growth of that number from round to round
+ONE_TASK = 10_000  # links
+PIVOTS = 2  # of a group in the first round of groups
+MORE_PIVOTS = 8  # growth of that number from round to round
 
 
 def labelled_kmers(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +172,8 @@ def _verify(pairs: DataFrame, kmers: DataFrame, similarity: float) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for the nodes of ``links`` (a, b), by alternating large-star and
-    small-star steps; every step is a grouped minimum and a join, so a node with very many links is pre-aggregated."""
+    small-star steps; every step is a grouped minimum and a join, so a node with very many links is pre-aggregated. What is
+    at most ONE_TASK links is worked on in one task, without shuffles."""
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, path = write_table(edges, "edges")
@@ -179,14 +181,17 @@ def components(links: DataFrame) -> DataFrame:
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
+    def together(e: DataFrame) -> DataFrame:
+        return e.coalesce(1) if before[0] <= ONE_TASK else e
+
     before = mark(edges)
     while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = together(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v")))
+        small = together(small.unionByName(least.select("u", F.col("m").alias("v"))))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         following, new_path = write_table(small, "edges")
         delete_table(spark, path)
@@ -241,6 +246,14 @@ def _undecided(rows: DataFrame, group: str) -> DataFrame:
     return rows.join(several, group)
 
 
+def _left_to_meet(group: DataFrame, similarity: float) -> DataFrame:
+    """The rows of the tokens with members of several classes from which on a text holds enough k-mers for a partner as short
+    as the shortest of its group."""
+    several = group.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("n").alias("least")).where("c1 <> c2").select("token", "least")
+    need = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("least")) - 1e-9
+    return group.join(several, "token").where(F.col("n") - F.col("at") >= need).drop("least")
+
+
 def near_duplicate_classes(documents: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """id, key (digest of the text), root (the class's smallest digest) and class_id, one row per row of ``documents``.
     The class id is the smallest id of the class; a text without a near duplicate is a class of its own, equal texts
@@ -282,6 +295,8 @@ def near_duplicate_classes(documents: DataFrame, id_column: str = "doc_id", text
             pairs = pairs.join(spark.read.schema("a bigint, b bigint").parquet(*tried), ["a", "b"], "left_anti")
         pairs = kept(pairs, "pairs")
         tried.append(paths[-1])
+        if pairs.isEmpty():
+            return
         verified = kept(_verify(pairs, kmers, similarity), "links")
         if not verified.isEmpty():
             roots = kept(_merged(roots, verified), "roots")
@@ -290,7 +305,7 @@ def near_duplicate_classes(documents: DataFrame, id_column: str = "doc_id", text
     open_nodes = _undecided(_with_class(members.select("bucket", "node"), roots), "bucket").select("node", "c").distinct()
     group, shares = kept(_prefixes(kmers.join(open_nodes, "node"), similarity), "prefixes"), PIVOTS
     while True:
-        group = kept(_undecided(_with_class(group.drop("c"), roots), "token"), "groups")
+        group = kept(_left_to_meet(_with_class(group.drop("c"), roots), similarity), "groups")
         if group.isEmpty():
             break
         # One pivot for each share of the group: minima again, whatever the size of the group.
