@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out).select("doc_id", "toxic")
     model = toxicity.fit_toxicity(docs, labels)
-    name = "_toxicity"
-    while name in docs.columns:
+    name, taken = "_toxicity", {c.lower() for c in docs.columns}
+    while name in taken:
         name += "_"
     return toxicity.score_toxicity(docs, model, name=name).where(F.col(name) < MAX_TOXICITY).select(*docs.columns)
 
@@ -38,10 +38,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found. Documents that share an id, also a NULL one, go together."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    """Documents in which no benchmark item is found. Documents that share an id, also a NULL one, are judged each by its own
+    text: they are known by a hash of id and text. The row travels as a struct, so that no name of its columns can clash.
+    NULL and empty texts stay; an empty table gives an empty table."""
+    tag = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    found = decontaminate.contaminated(docs.select(tag.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), tag.alias("tag"))
+    return carried.join(found.select(F.col("doc_id").alias("tag")).distinct(), "tag", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
