@@ -11,6 +11,7 @@ document, in time linear in its candidate tokens.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -128,14 +129,14 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[Candidate]:
         if "@" not in word and sum(map(str.isdigit, word)) < 7:
             continue
         s, e = m.start() + len(word) - len(word.lstrip(_EDGE)), m.end() - len(word) + len(word.rstrip(_EDGE))
-        k = int(np.searchsorted(starts, e)) - 1
+        k = bisect_left(starts, e) - 1
         if s < e and not (k >= 0 and stops[k] > s):
             out.append(Candidate(s, e, text[s:e], None))
     known = {p for c in out for p in (c.start, c.end - 1)}
     for m in _SPACED.finditer(text):
         s, e = m.span()
         if " " in m.group() and e - s <= 60 and 7 <= sum(map(str.isdigit, m.group())) <= 19 and known.isdisjoint(range(s, e)):
-            k = int(np.searchsorted(starts, e)) - 1
+            k = bisect_left(starts, e) - 1
             if not (k >= 0 and stops[k] > s):
                 out.append(Candidate(s, e, text[s:e], None))
     return sorted(out, key=lambda c: c.start)
@@ -157,7 +158,7 @@ def shape(word: str) -> int:
         else:
             out.append(run)
     h = 2166136261
-    for b in "".join(out[:25]).encode():
+    for b in "".join(out).encode():
         h = (h ^ b) * 16777619 & 0xFFFFFFFF
     return h % SHAPES
 
