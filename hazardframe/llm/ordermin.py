@@ -30,7 +30,7 @@ from hazardframe.llm.storage import delete_table, write_table
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 16
-ONE_TASK = 10_000  # links
+ONE_TASK = 100_000  # links
 PIVOTS = 2  # of a group in the first round of groups
 MORE_PIVOTS = 8  # growth of that number from round to round
 
@@ -170,10 +170,30 @@ def _verify(pairs: DataFrame, kmers: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _smallest_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and root of a whole graph of at most ONE_TASK links: links hook the larger of two roots to the smaller one, and
+    nodes follow their roots, until every link lies below one root."""
+    held = list(batches)
+    if not held:
+        return
+    links = pa.Table.from_batches(held)
+    ends = [links.column(i).to_numpy() for i in (0, 1)]
+    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+    u, v = at[: links.num_rows], at[links.num_rows :]
+    root = np.arange(len(nodes))
+    while (root[u] != root[v]).any():
+        low = np.minimum(root[u], root[v])
+        for end in (u, v):
+            np.minimum.at(root, root[end], low)
+        while (root != root[root]).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for the nodes of ``links`` (a, b), by alternating large-star and
-    small-star steps; every step is a grouped minimum and a join, so a node with very many links is pre-aggregated. What is
-    at most ONE_TASK links is worked on in one task, without shuffles."""
+    small-star steps; every step is a grouped minimum and a join, so a node with very many links is pre-aggregated. As soon
+    as at most ONE_TASK links are left, one task finishes them; the result is the same."""
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, path = write_table(edges, "edges")
@@ -181,17 +201,14 @@ def components(links: DataFrame) -> DataFrame:
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    def together(e: DataFrame) -> DataFrame:
-        return e.coalesce(1) if before[0] <= ONE_TASK else e
-
     before = mark(edges)
-    while before[0]:
-        both = together(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    while before[0] > ONE_TASK:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = together(small.unionByName(least.select("u", F.col("m").alias("v"))))
+        small = small.unionByName(least.select("u", F.col("m").alias("v")))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         following, new_path = write_table(small, "edges")
         delete_table(spark, path)
@@ -200,6 +217,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    if before[0] <= ONE_TASK:
+        return edges.coalesce(1).mapInArrow(_smallest_linked, "node bigint, root bigint")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 

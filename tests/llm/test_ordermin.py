@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from hazardframe.llm import backoff, decontaminate, ordermin
 
@@ -131,10 +132,13 @@ def test_empty(empty):
     assert ordermin.drop_near_duplicates(empty).columns == empty.columns
 
 
-def test_components_of_a_chain_and_a_star(spark):
-    links = [(f"c{k:03d}", f"c{k + 1:03d}") for k in range(40)] + [("s000", f"s{k:03d}") for k in range(1, 60)] + [("t1", "t1")]
-    got = dict(map(tuple, ordermin.components(spark.createDataFrame(links, "a string, b string")).collect()))
-    assert len(got) == 101 and set(got.values()) == {"c000", "s000"} and all(r[0] == n[0] for n, r in got.items())
+@pytest.mark.parametrize("one_task", [0, 50, 100_000])
+def test_components_of_a_chain_a_star_and_a_loop(spark, monkeypatch, one_task):
+    monkeypatch.setattr(ordermin, "ONE_TASK", one_task)
+    links = [(100 + k, 101 + k) for k in range(40)] + [(900, 900 - k) for k in range(1, 60)] + [(7, 7), (300, 301), (301, 302), (302, 300), (300, 301)]
+    got = dict(map(tuple, ordermin.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
+    assert got == {k: 100 for k in range(100, 141)} | {k: 841 for k in range(841, 901)} | {300: 300, 301: 300, 302: 300}
+    assert ordermin.components(spark.createDataFrame([(7, 7)], "a bigint, b bigint")).count() == 0
 
 
 def test_edits_of_one_text_that_are_far_from_each_other(spark):
