@@ -11,6 +11,7 @@ from hazardframe.catalog.clinical import rounded_all
 from hazardframe.catalog.registry import Tables, query
 from hazardframe.operators import cohort, concordance, cox, intervals, ordered
 from hazardframe.plans import tuning
+from hazardframe.schema import INTERVAL_COVARIATES
 from hazardframe.session import cut_lineage
 
 
@@ -145,13 +146,57 @@ def ablation(t: Tables) -> DataFrame:
     return rounded_all(tuning.static_ablation(model_rows(t)))
 
 
-@query()
-def interval_ablation(t: Tables) -> DataFrame:
-    """Seven feature sets on survival intervals."""
+def _omic_intervals(t: Tables, site: bool = False) -> DataFrame:
+    """Intervals with the omic blocks; ``site`` adds a covariate that the cleaned re-run leaves out."""
     patients, _ = SM.interval_inputs(t)
+    covariates = ["AGE", "SEX"]
+    if site:
+        patients, covariates = _with_site(patients), [*covariates, "TUMOR_SITE"]
     long = SM.sample_omics(t, top_n=10)
     payload = [c for c in long.columns if c.startswith(("EXPR_", "CNA_"))]
-    table = intervals.survival_intervals(patients, cohort.drop_post_outcome(long.drop("OS_DAYS").join(
-        patients.select("PATIENT_ID", "OS_DAYS"), "PATIENT_ID")), ["AGE", "SEX"], payload)
-    return rounded_all(tuning.interval_ablation(table))
+    return intervals.survival_intervals(patients, cohort.drop_post_outcome(long.drop("OS_DAYS").join(
+        patients.select("PATIENT_ID", "OS_DAYS"), "PATIENT_ID")), covariates, payload)
+
 
+def _with_site(patients: DataFrame) -> DataFrame:
+    return patients.withColumn("TUMOR_SITE", F.concat(F.lit("site-"), (F.col("PATIENT_ID") % 4).cast("string")))
+
+
+@query()
+def interval_ablation(t: Tables) -> DataFrame:
+    """Seven feature sets on survival intervals."""
+    return rounded_all(tuning.interval_ablation(_omic_intervals(t)))
+
+
+@query()
+def cleaned_rerun(t: Tables) -> DataFrame:
+    """Seven feature sets with and without the low-value columns on the same patient folds."""
+    covariates = [*INTERVAL_COVARIATES, "TUMOR_SITE"]
+    return rounded_all(tuning.paired_summary(tuning.cleaned_rerun(cut_lineage(_omic_intervals(t, site=True)), covariates=covariates)))
+
+
+@query(V.sql("sample endpoint", f"""with {SM._PATIENT_SQL},
+people AS (SELECT "PATIENT_ID", min("CANCER_TYPE") AS c, min("OS_EVENT") AS e, count(*) AS n FROM spans WHERE coalesce(nxt, "OS_DAYS") > d GROUP BY 1),
+folded AS (SELECT *, (row_number() OVER (PARTITION BY c, e ORDER BY md5('42|' || CAST("PATIENT_ID" AS VARCHAR)), "PATIENT_ID") - 1) % 5 AS f FROM people)
+SELECT CAST(f AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS "rows", count(*) AS patients, CAST(sum(e) AS BIGINT) AS events,
+       CAST(17 AS INTEGER) AS columns_before, CAST(16 AS INTEGER) AS columns_after, 'TUMOR_SITE' AS dropped FROM folded GROUP BY 1"""))
+def cleaned_rerun_counts(t: Tables) -> DataFrame:
+    """What the re-run works on, by fold."""
+    patients, samples = SM.interval_inputs(t)
+    table = intervals.survival_intervals(_with_site(patients), samples, covariates=["AGE", "SEX", "TUMOR_SITE"])
+    return tuning.rerun_counts(table).drop("absent")
+
+
+@query(V.sql("scored", """with x AS (SELECT fold, "OS_MONTHS" AS tm, "OS_EVENT" AS e, risk - CAST(0.5 AS DOUBLE) * CAST("SEX" AS DOUBLE) AS r_old, risk AS r_new FROM scored),
+found AS (SELECT a.fold, (count(*) FILTER (WHERE a.r_old > b.r_old) + 0.5 * count(*) FILTER (WHERE a.r_old = b.r_old)) / count(*) AS o,
+                 (count(*) FILTER (WHERE a.r_new > b.r_new) + 0.5 * count(*) FILTER (WHERE a.r_new = b.r_new)) / count(*) AS c
+          FROM x a JOIN x b ON a.fold = b.fold AND a.tm < b.tm AND a.e = 1 GROUP BY 1)
+SELECT 'fixed coefficients' AS experiment, r6(avg(o);) AS mean_c_index_old, r6(avg(c);) AS mean_c_index_cleaned, count(*) AS paired_folds,
+       r6(avg(c - o);) AS mean_paired_delta, r6(stddev_pop(c - o);) AS std_paired_delta, count(*) FILTER (WHERE c > o) AS folds_better,
+       count(*) FILTER (WHERE c < o) AS folds_worse, r6(avg(c) - avg(o);) AS delta_mean_c_index FROM found"""))
+def cleaned_rerun_deltas(t: Tables) -> DataFrame:
+    """The paired comparison on folds of scored patients, at fixed coefficients with and without SEX."""
+    risks = F.array(F.col("risk") - F.lit(0.5) * F.col("SEX").cast("double"), F.col("risk"))
+    found = concordance.concordances(V.scored_folds(t).withColumn("risks", risks), "risks", keys=["fold"])
+    scores = found.select(F.lit("fixed coefficients").alias("label"), "fold", F.col("model").alias("variant"), "c_index", F.lit("").alias("note"))
+    return rounded_all(tuning.paired_summary(tuning.pair_folds(scores)))

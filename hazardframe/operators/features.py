@@ -59,6 +59,7 @@ class FeatureSpace:
     names: list[str]
     blocks: list[str]
     checks: dict
+    sources: list[str] = field(default_factory=list)  # the column behind each feature; empty for omic components
 
 
 def discover_layout(
@@ -84,15 +85,16 @@ def _space(layout: Layout, gram: np.ndarray, medians: dict[str, float], componen
     n = gram[0, 0]
     mean, second = gram[0, 1:] / n, np.diag(gram)[1:] / n
     p = layout.width
-    columns, offsets, names, blocks = [], [], [], []
+    columns, offsets, names, blocks, sources = [], [], [], [], []
 
-    def add(vector: np.ndarray, constant: float, m: float, sd: float, name: str, block: str) -> None:
+    def add(vector: np.ndarray, constant: float, m: float, sd: float, name: str, block: str, source: str = "") -> None:
         """A feature raw @ vector + constant, standardised; one without spread carries no weight."""
         scale = 1.0 / sd if sd > 1e-12 else 0.0
         columns.append(vector * scale)
         offsets.append((constant - m) * scale)
         names.append(name)
         blocks.append(block)
+        sources.append(source)
 
     at = 0
     for block, c in layout.numeric:
@@ -101,7 +103,7 @@ def _space(layout: Layout, gram: np.ndarray, medians: dict[str, float], componen
         vector[at], vector[at + 1] = 1.0, fill
         m = mean[at] + mean[at + 1] * fill
         sd = np.sqrt(max(0.0, second[at] + mean[at + 1] * fill * fill - m * m))
-        add(vector, 0.0, m, sd, c, block)
+        add(vector, 0.0, m, sd, c, block, c)
         at += 2
     for c, values in layout.categorical:
         missing = at + len(values)
@@ -112,7 +114,7 @@ def _space(layout: Layout, gram: np.ndarray, medians: dict[str, float], componen
             if at + k == mode:
                 vector[missing] = 1.0
             m = vector @ mean
-            add(vector, 0.0, m, np.sqrt(max(0.0, m - m * m)), f"{c}={v}", "clinical")
+            add(vector, 0.0, m, np.sqrt(max(0.0, m - m * m)), f"{c}={v}", "clinical", c)
         at = missing + 1
     kept_components = {}
     for block, columns_of in layout.omics.items():
@@ -145,7 +147,7 @@ def _space(layout: Layout, gram: np.ndarray, medians: dict[str, float], componen
         "final_constant_feature_count": int((spread < 1e-12).sum()),
         **{f"{b}_components": k for b, k in kept_components.items()},
     }
-    return FeatureSpace(weights, offset, names, blocks, checks)
+    return FeatureSpace(weights, offset, names, blocks, checks, sources)
 
 
 def fit_spaces(

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from hazardframe.functions import scalars as S
 from hazardframe.operators import cox, features, splits
-from hazardframe.operators.clean import prefixed_columns
+from hazardframe.operators.clean import drop_listed, prefixed_columns
 from hazardframe.operators.concordance import concordances
 from hazardframe.session import kept
 from hazardframe.schema import (
     ALPHA_GRID, CLINICAL_COVARIATES, CNA, EXPR, FEATURE_BLOCKS, INTERVAL_COVARIATES, L1_GRID,
+    LOW_VALUE_COLUMNS,
 )
 
 
@@ -107,17 +108,20 @@ def select_best(grid: DataFrame) -> DataFrame:
     return viable.orderBy(F.desc("n_valid_folds"), F.desc("mean_c_index"), "std_c_index", "alpha", "l1_ratio").limit(1)
 
 
-def _ablate(folded: DataFrame, layout: features.Layout, k: int, maxiter: int, clip: float, cox_columns: dict, patient_level: bool,
-            time: str, event: str, alpha: float, components: int) -> DataFrame:
+def _ablation_scores(folded: DataFrame, layout: features.Layout, k: int, maxiter: int, clip: float, cox_columns: dict, patient_level: bool,
+                     time: str, event: str, alpha: float, components: int, without: Sequence[Sequence[str]] = ((),)) -> pd.DataFrame:
+    """One row for each feature set, fold and entry of ``without``: label, fold, c_index, note, and ``variant``, the place in
+    ``without``. A variant fits without the features made of the columns that it names; all of them advance together on
+    one design, as every other feature depends on its own column only."""
     spaces = features.fit_spaces(folded, layout, "fold", k, components, spare_one=True)
-    blocks = spaces[0].blocks
-    present = set(blocks)
-    problems = []
+    blocks, sources = spaces[0].blocks, spaces[0].sources
+    problems, variants = [], []
     for name, wanted in FEATURE_BLOCKS.items():
-        if not present & set(wanted):
-            continue
-        active = tuple(b in wanted for b in blocks)
-        problems += [cox.Problem(g, alpha, 0.0, active, name) for g in range(k)]
+        for v, gone in enumerate(without):
+            active = tuple(b in wanted and s not in gone for b, s in zip(blocks, sources))
+            if any(active):
+                problems += [cox.Problem(g, alpha, 0.0, active, name) for g in range(k)]
+                variants += [v] * k
     data = cox.cox_data(features.training_rows(folded, layout, spaces), group="g", width=len(blocks), **cox_columns)
     try:
         fits = cox.fit_models(data, problems, maxiter, clip, strict=False)
@@ -131,6 +135,11 @@ def _ablate(folded: DataFrame, layout: features.Layout, k: int, maxiter: int, cl
         )
     found = concordances(scored, "risks", time, event, ["g"]).collect()  # one row per experiment and fold
     table = _results(fits, {places[r["g"], r["model"]]: r["c_index"] for r in found}, strict=False)
+    return table.assign(variant=variants)
+
+
+def _ablate(folded: DataFrame, *settings) -> DataFrame:
+    table = _ablation_scores(folded, *settings).drop(columns="variant")
     summary = _fold_summary(folded.sparkSession.createDataFrame(table, _FOLD_SCHEMA), ["label"])
     return summary.select(
         F.col("label").alias("experiment"), "mean_c_index", "std_c_index", "fold_scores"
@@ -150,14 +159,81 @@ def static_ablation(
                        "OS_MONTHS", "OS_EVENT", alpha, components)
 
 
+_INTERVAL_COLUMNS = {"stop": "T_STOP", "event": "EVENT", "start": "T_START"}
+
+
+def _interval_layout(folded: DataFrame, covariates: Sequence[str]) -> features.Layout:
+    return features.discover_layout(folded, covariates, ["MUTATION_BURDEN"], prefixed_columns(folded, EXPR), prefixed_columns(folded, CNA))
+
+
 def interval_ablation(intervals: DataFrame, folds: int = 5, maxiter: int = 250, alpha: float = 1.0, components: int = 30) -> DataFrame:
     """The same feature sets on (start, stop] rows; folds are drawn over patients, risk is that of the last interval."""
-    columns = {"stop": "T_STOP", "event": "EVENT", "start": "T_START"}
     with kept(splits.group_folds(intervals, "PATIENT_ID", ["CANCER_TYPE", "OS_EVENT"], folds)) as folded:
-        layout = features.discover_layout(
-            folded, INTERVAL_COVARIATES, ["MUTATION_BURDEN"], prefixed_columns(intervals, EXPR), prefixed_columns(intervals, CNA)
-        )
-        return _ablate(folded, layout, folds, maxiter, 40.0, columns, True, "OS_DAYS", "OS_EVENT", alpha, components)
+        layout = _interval_layout(folded, INTERVAL_COVARIATES)
+        return _ablate(folded, layout, folds, maxiter, 40.0, _INTERVAL_COLUMNS, True, "OS_DAYS", "OS_EVENT", alpha, components)
+
+
+def rerun_counts(intervals: DataFrame, drop: Sequence[str] = tuple(LOW_VALUE_COLUMNS), folds: int = 5) -> DataFrame:
+    """What a cleaned re-run works on, a row for each fold: rows, patients, patients with an event, columns before and after."""
+    pruned, dropped, absent = drop_listed(intervals, drop)
+    folded = splits.group_folds(intervals.select("PATIENT_ID", "CANCER_TYPE", "OS_EVENT"), "PATIENT_ID", ["CANCER_TYPE", "OS_EVENT"], folds)
+    patients = folded.groupBy("fold", "PATIENT_ID").agg(F.count(F.lit(1)).alias("n"), F.max("OS_EVENT").alias("e"))
+    counts = patients.groupBy("fold").agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("patients"), F.sum(F.col("e").cast("bigint")).alias("events")
+    )
+    return counts.withColumns({
+        "columns_before": F.lit(len(intervals.columns)), "columns_after": F.lit(len(pruned.columns)),
+        "dropped": F.lit(",".join(dropped)), "absent": F.lit(",".join(absent)),
+    })
+
+
+def cleaned_rerun(
+    intervals: DataFrame, drop: Sequence[str] = tuple(LOW_VALUE_COLUMNS), folds: int = 5, maxiter: int = 250, alpha: float = 1.0,
+    components: int = 30, covariates: Sequence[str] = tuple(INTERVAL_COVARIATES),
+) -> DataFrame:
+    """The interval ablation with all columns and without those of ``drop``, under one set of patient folds: a row for each
+    experiment and fold with both concordance indices and their difference; see ``paired_summary``.
+
+    Without covariates the models of both runs are fitted together on one design. Where a column of the expression or
+    copy-number blocks goes, their components change, so the cleaned run gets a design of its own, on the same folds. An
+    experiment without a column left has no cleaned index.
+    """
+    pruned, dropped, _ = drop_listed(intervals, drop)
+    rest = [maxiter, 40.0, _INTERVAL_COLUMNS, True, "OS_DAYS", "OS_EVENT", alpha, components]
+    with kept(splits.group_folds(intervals, "PATIENT_ID", ["CANCER_TYPE", "OS_EVENT"], folds)) as folded:
+        layout = _interval_layout(folded, covariates)
+        if any(c.startswith((EXPR, CNA)) for c in dropped):
+            cleaned = folded.drop(*dropped)
+            scores = pd.concat([
+                _ablation_scores(folded, layout, folds, *rest),
+                _ablation_scores(cleaned, _interval_layout(cleaned, covariates), folds, *rest).assign(variant=1),
+            ])
+        else:
+            scores = _ablation_scores(folded, layout, folds, *rest, without=((), tuple(dropped)))
+    return pair_folds(intervals.sparkSession.createDataFrame(scores, _FOLD_SCHEMA + ", variant int"))
+
+
+def pair_folds(scores: DataFrame) -> DataFrame:
+    """Scores of two runs on the same folds (label, fold, variant 0 or 1, c_index, note) as a row for each label and fold."""
+    def of(variant: int, column: str):
+        return F.max(F.when(F.col("variant") == variant, F.col(column)))
+
+    paired = scores.groupBy(F.col("label").alias("experiment"), "fold").agg(
+        of(0, "c_index").alias("c_index_old"), of(1, "c_index").alias("c_index_cleaned"),
+        of(0, "note").alias("note_old"), F.coalesce(of(1, "note"), F.lit("no_columns_left")).alias("note_cleaned"),
+    )
+    return paired.withColumn("delta", F.col("c_index_cleaned") - F.col("c_index_old"))
+
+
+def paired_summary(paired: DataFrame) -> DataFrame:
+    """A row for each experiment: means of both runs over their own folds, and the differences over the folds valid in both."""
+    grouped = paired.groupBy("experiment").agg(
+        F.avg("c_index_old").alias("mean_c_index_old"), F.avg("c_index_cleaned").alias("mean_c_index_cleaned"),
+        F.count("delta").alias("paired_folds"), F.avg("delta").alias("mean_paired_delta"), F.stddev_pop("delta").alias("std_paired_delta"),
+        F.count_if(F.col("delta") > 0).alias("folds_better"), F.count_if(F.col("delta") < 0).alias("folds_worse"),
+    )
+    delta = F.col("mean_c_index_cleaned") - F.col("mean_c_index_old")
+    return grouped.withColumn("delta_mean_c_index", delta).orderBy(F.desc_nulls_last("mean_c_index_cleaned"), "experiment")
 
 
 def compare_runs(old: DataFrame, new: DataFrame, key: str = "experiment") -> DataFrame:

@@ -31,6 +31,12 @@ FEATURE_BLOCKS = {
     "Omics only (Mutation + Expr + CNA)": ["mutation", "expression", "cna"],
 }
 EXPR, CNA = "EXPR_", "CNA_"
+# Columns that the cleaned re-run leaves out.
+LOW_VALUE_COLUMNS = [
+    "HISTORY_LGG_DX_OF_BRAIN_TISSUE", "PERFORMANCE_STATUS_TIMING", "PHARMACEUTICAL_TX_ADJUVANT", "FAMILY_HISTORY_OF_CANCER",
+    "HISTORY_HEPATO_CARCINOMA_RISK_FACTORS", "DEFINITIVE_SURGICAL_PROCEDURE", "PRIMARY_MELANOMA_KNOWN_DX", "PRIMARY_MULTIPLE_AT_DX",
+    "SUBMITTED_TUMOR_DX_DAYS_TO", "TUMOR_SITE", "PRIMARY_MELANOMA_SKIN_TYPE", "DAYS_TO_SPECIMEN_COLLECTION",
+]
 
 # Texts that tabular readers treat as missing by default.
 DEFAULT_NA = [
