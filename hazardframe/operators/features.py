@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from hazardframe.functions import scalars as S
 from hazardframe.operators import profile
 from hazardframe.operators.collinearity import gram_matrix
-from hazardframe.operators.ordered import exact_quantiles, unpivot_numbers
+from hazardframe.operators.ordered import exact_medians, leave_out_medians
 
 ALL = -1  # the training set that leaves no fold out
 
@@ -168,15 +168,15 @@ def fit_spaces(
     names = [c for _, c in layout.numeric]
     medians: dict[int, dict[str, float]] = {g: {} for g in groups}
     if names:
-        trained = F.array(*[F.lit(g) for g in groups])
-        if fold is not None:
-            trained = F.filter(trained, lambda g: g != F.col(fold))
         typed = df.select(
-            F.explode(trained).alias("g"), *[F.col(c).cast("double").alias(c) if c in layout.flags else S.to_number(c).alias(c) for c in names]
+            *([fold] if fold else []), *[F.col(c).cast("double").alias(c) if c in layout.flags else S.to_number(c).alias(c) for c in names]
         )
-        rows = exact_quantiles(unpivot_numbers(typed, names, ["g"]), "value", {"m": 0.5}, ["g", "feature"]).collect()
-        for r in rows:  # one row per training set and column
-            medians[r["g"]][r["feature"]] = r["m"]
+        if fold is None:
+            rows = exact_medians(typed, names).withColumn("g", F.lit(ALL))
+        else:
+            rows = leave_out_medians(typed, names, fold, groups)
+        for r in rows.collect():  # one row per training set and column
+            medians[r["g"]][r["feature"]] = r["median"]
     return {g: _space(layout, grams[g], medians[g], components, spare_one) for g in groups}
 
 

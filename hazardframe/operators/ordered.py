@@ -232,6 +232,34 @@ def exact_medians(df: DataFrame, columns: Sequence[str], keys: Iterable[str] = (
     return exact_quantiles(unpivot_numbers(df, columns, keys), "value", {"median": 0.5}, [*keys, "feature"])
 
 
+def leave_out_medians(df: DataFrame, columns: Sequence[str], group: str, groups: Sequence[int], cuts: Sequence[float] | None = None) -> DataFrame:
+    """Exact medians of several columns over "all rows but those of group g", for every g of ``groups`` at once: g, feature,
+    median (NULL without a value).
+
+    Rows are counted once by (column, value) and group. What a training set holds of a value is all of its rows less those
+    of the group left out, so the running sums of these differences place the medians of all sets in one ordering, and no
+    row is copied for the sets that it belongs to.
+    """
+    values = unpivot_numbers(df, columns, [group]).where(F.col("value").isNotNull())
+    cuts = cut_points(values, "value") if cuts is None else cuts
+    counts = values.groupBy("feature", "value").agg(*[F.count_if(F.col(group) != g).alias(f"n{i}") for i, g in enumerate(groups)])
+    ranked = ordered_columns(
+        with_piece(counts, "value", cuts), ["value"], ["feature"],
+        sums={f"upto{i}": f"n{i}" for i in range(len(groups))}, totals={f"size{i}": f"n{i}" for i in range(len(groups))},
+    )
+    sets = []
+    for i, g in enumerate(groups):
+        start, middle = F.col(f"upto{i}") - F.col(f"n{i}"), (F.col(f"size{i}") - 1) / F.lit(2.0)
+
+        def value_at(position: Column) -> Column:
+            return F.max(F.when((start <= position) & (position < F.col(f"upto{i}")), F.col("value")))
+
+        low, high = value_at(F.floor(middle)), value_at(F.ceil(middle))
+        sets.append(F.struct(F.lit(g).alias("g"), (low + (high - low) * F.lit(0.5)).alias("median")))
+    picked = ranked.groupBy("feature").agg(F.array(*sets).alias("sets"))
+    return picked.select("feature", F.explode("sets").alias("s")).select("s.g", "feature", "s.median")
+
+
 def unpivot_numbers(df: DataFrame, columns: Sequence[str], ids: Iterable[str] = ()) -> DataFrame:
     """Wide numeric columns to (ids, feature, value)."""
     ids = list(ids)

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,20 @@ def test_look_up_by_literals_and_by_join(spark, monkeypatch, limit):
     assert small.count() == 4 and found.columns == ["g", "h", "v", "w", "s"]
     empty, _ = ordered.look_up(rows, table.where("g = 'none'"), ["g", "h"])
     assert empty.count() == 0 and empty.columns == found.columns
+
+
+@pytest.mark.parametrize("cuts", [None, [], [-1.0, 0.0, 0.5, 2.0, 3.0]])
+def test_medians_of_all_but_one_group(spark, cuts):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"fold": rng.integers(0, 4, 301), "a": rng.normal(size=301), "b": rng.integers(0, 4, 301).astype(float)})
+    pdf.loc[::5, "a"], pdf.loc[pdf.fold != 2, "c"] = np.nan, np.nan
+    pdf.loc[pdf.fold == 2, "c"] = 7.5
+    cells = [(int(r.fold), *[None if np.isnan(v) else float(v) for v in (r.a, r.b, r.c)], None) for r in pdf.itertuples()]
+    df = spark.createDataFrame(cells, "fold int, a double, b double, c double, d double")
+    found = {(r["g"], r["feature"]): r["median"] for r in ordered.leave_out_medians(df, ["a", "b", "c", "d"], "fold", [0, 1, 2, 3, 9], cuts).collect()}
+    for g in (0, 1, 2, 3, 9):
+        for c in "abc":
+            want = pdf.loc[pdf.fold != g, c].median()
+            assert found[g, c] == (pytest.approx(want) if want == want else None)
+        assert (g, "d") not in found  # a column without any value has no row
+    assert ordered.leave_out_medians(df.limit(0), ["a"], "fold", [0, 1]).count() == 0
