@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -75,8 +76,18 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence, names: Sequ
 
 
 def zero_variance_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    row = df.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in columns]).first()
-    return [c for c in columns if not (row[c] is not None and row[c] > 0)]
+    """Columns without two different finite numbers; NaN counts as missing.
+
+    The extremes decide: a standard deviation joined over partitions is not exactly 0 for every constant.
+    """
+    aggs = []
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double")
+        known = F.when(~F.isnan(x), x)
+        aggs += [F.min(known).alias(f"lo{i}"), F.max(known).alias(f"hi{i}")]
+    row = df.agg(*aggs).first()
+    bounds = [(c, row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)]
+    return [c for c, lo, hi in bounds if lo is None or not (math.isfinite(lo) and math.isfinite(hi) and lo < hi)]
 
 
 def histogram(df: DataFrame, value: str, bins: int, keys: Iterable[str] = ()) -> DataFrame:
@@ -122,7 +133,7 @@ def density_grid(df: DataFrame, value: str, keys: Sequence[str], points: int = 6
     counts = value_counts(df, value, keys)
     spread = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
         F.count(value).alias("_n"), F.stddev_samp(value).alias("_sd"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
-    ).withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).where(F.col("_h") > 0)
+    ).withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).where((F.col("_h") > 0) & (F.col("_lo") < F.col("_hi")))
     start, stop = F.col("_lo") - cut * F.col("_h"), F.col("_hi") + cut * F.col("_h")
     spread_out, _ = look_up(counts, spread, keys)
     rows = spread_out.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))

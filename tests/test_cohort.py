@@ -142,3 +142,13 @@ def test_cleaning_chain(spark):
     assert "NOTE" not in out.columns and out.count() == 10
     first = out.where("PATIENT_ID = '0'").first()
     assert (first["AGE"], first["SEX"], first["OS_EVENT"], first["Status"]) == (30.0, "Unknown", 0, "Living")
+
+
+def test_constant_columns_over_many_partitions(spark):
+    """The standard deviation of 0.1 over 200 partitions is 7e-19, not 0."""
+    rows = spark.range(0, 15_000, 1, 200).select(
+        F.lit(0.1).alias("flat"), F.col("id").cast("double").alias("x"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") == 7, float("nan")).otherwise(2.0).alias("gaps"), (F.col("id") == 14_999).alias("flag").cast("int"),
+    )
+    assert profile.zero_variance_columns(rows, ["flat", "x", "none", "gaps", "flag"]) == ["flat", "none", "gaps"]
+    assert profile.density_grid(rows, "flat", []).count() == 0
