@@ -172,7 +172,7 @@ def interval_ablation(t: Tables) -> DataFrame:
 def cleaned_rerun(t: Tables) -> DataFrame:
     """Seven feature sets with and without the low-value columns on the same patient folds."""
     covariates = [*INTERVAL_COVARIATES, "TUMOR_SITE"]
-    return rounded_all(tuning.paired_summary(tuning.cleaned_rerun(cut_lineage(_omic_intervals(t, site=True)), covariates=covariates)))
+    return rounded_all(tuning.paired_summary(tuning.cleaned_rerun(_omic_intervals(t, site=True), covariates=covariates)))
 
 
 @query(V.sql("sample endpoint", f"""with {SM._PATIENT_SQL},

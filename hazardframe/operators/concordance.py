@@ -1,12 +1,12 @@
 """Concordance index of one or many risk columns without a pair join.
 
-A pair (i, j) counts if t_i < t_j and i had the event. Rows travel in packed blocks that carry the risks of all models as
-a matrix; no row is repeated for a model. A group (key) of at most GROUP_ROWS rows is counted in one task, by merge
-counting over rank bits. A larger group is cut into time pieces, and for each model into risk pieces:
+A pair (i, j) counts if t_i < t_j and i had the event. Rows travel in packed blocks of one model and key, so that a task counts
+one model. Such a group of at most GROUP_ROWS rows is counted in one task, by merge counting over rank bits. A larger group is
+cut into time pieces and into risk pieces:
 
 * pairs in different time pieces and different risk pieces follow from the counts of the cells, added up over tasks;
-* pairs inside a time piece are a smaller group with all of its models;
-* pairs in different time pieces and the same risk piece are a smaller group for each model, with the piece as time.
+* pairs inside a time piece are a smaller group;
+* pairs in different time pieces and the same risk piece are a smaller group, with the piece as time.
 
 Smaller groups are treated alike, so no task holds more than GROUP_ROWS rows at any size of the input. A time or risk shared by very
 many rows gets a piece of its own, in which nothing is left to count. Cut points come from a sample and decide balance only.
@@ -103,7 +103,9 @@ def _packed(rows: DataFrame) -> DataFrame:
                 m = size[own].max(initial=0)  # a shorter vector lacks the models behind its end
                 at = begin[own][:, None] + np.arange(m)
                 risks = np.where(np.arange(m) < size[own][:, None], s[np.minimum(at, max(0, len(s) - 1))] if len(s) else np.nan, np.nan)
-                out.append(_block(names.dictionary[c].as_py(), names.dictionary[c].as_py(), True, 0, t[own], d[own], risks))
+                name = names.dictionary[c].as_py()
+                # A group for each model, so that a task counts one of them.
+                out += [_block(f"{name}#{i}", name, True, i, t[own], d[own], risks[:, i : i + 1]) for i in range(m)]
             yield _blocks(out)
 
     return rows.mapInArrow(run, BLOCK)
@@ -215,6 +217,12 @@ def _split(blocks: DataFrame, sizes: dict[str, int], pieces: int) -> tuple[DataF
     return counted, blocks.mapInArrow(smaller, BLOCK)
 
 
+def _large(blocks: DataFrame, most: int) -> tuple[DataFrame, dict[str, int]]:
+    """The blocks, written because several jobs read them, and the groups of more than ``most`` rows."""
+    blocks = cut_lineage(blocks)
+    return blocks, {r["k"]: r["n"] for r in blocks.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()}
+
+
 def concordances(
     df: DataFrame, risks: str, time: str = "OS_MONTHS", event: str = "OS_EVENT", keys: Iterable[str] = (), pieces: int = PIECES, group_rows: int | None = None,
 ) -> DataFrame:
@@ -228,16 +236,15 @@ def concordances(
     known = df.where(F.col(time).isNotNull() & F.col(event).isNotNull() & F.col(risks).isNotNull())
     rows = known.select(*keys, name.alias("_k"), F.col(time).cast("double").alias("_t"), (F.col(event) == 1).cast("int").alias("_d"), F.col(risks).cast("array<double>").alias("_s"))
     blocks = _packed(rows.select("_k", "_t", "_d", "_s"))
-    large = {r["_k"]: r["n"] for r in rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()}
-    counts = []
+    counts, large = [], {}
+    if not rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).isEmpty():
+        blocks, large = _large(blocks, most)
     while large:
-        blocks = cut_lineage(blocks)  # read by three jobs
         is_large = F.col("k").isin(list(large))
         counts.append(blocks.where(~is_large).groupBy("k").applyInArrow(_count_group, COUNTS))
         found, blocks = _split(blocks.where(is_large), large, pieces)
         counts.append(found)
-        blocks = cut_lineage(blocks)
-        large = {r["k"]: r["n"] for r in blocks.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()}
+        blocks, large = _large(blocks, most)
     total = blocks.groupBy("k").applyInArrow(_count_group, COUNTS)
     for part in counts:
         total = total.unionByName(part)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from hazardframe.operators.cox_folds import FoldData
 from hazardframe.session import cut_lineage
 
 CELLS_PER_TASK = 500_000  # entries times features, up to as many tasks as a shuffle has
@@ -78,6 +79,9 @@ class CoxData:
     def close(self) -> None:
         self.entries.unpersist()
 
+    def likelihood(self, betas: dict[int, np.ndarray], clip: float = 40.0, strict: bool = True) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        return partial_likelihood(self, betas, clip, strict)
+
 
 def cox_data(
     df: DataFrame, stop: str = "OS_MONTHS", event: str = "OS_EVENT", features: str = "features",
@@ -456,7 +460,7 @@ class _Optimiser:
 
 
 def fit_models(
-    data: CoxData, problems: Sequence[Problem], maxiter: int = 400, clip: float = 40.0, ftol: float = 2.2e-9, gtol: float = 1e-5, strict: bool = True
+    data: CoxData | FoldData, problems: Sequence[Problem], maxiter: int = 400, clip: float = 40.0, ftol: float = 2.2e-9, gtol: float = 1e-5, strict: bool = True
 ) -> list[Fit]:
     """Fit all problems together; groups without rows of events shrink to zero through their penalty. Without ``strict`` a
     model that cannot be fitted carries the type of its error, and the others are fitted as if it were not there."""
@@ -469,7 +473,7 @@ def fit_models(
         for s in active:
             by_group.setdefault(s.problem.group, []).append(s)
         betas = {g: np.column_stack([s.trial for s in members]) for g, members in by_group.items()}
-        found = partial_likelihood(data, betas, clip, strict=strict and any(s.f is None for s in active))
+        found = data.likelihood(betas, clip, strict=strict and any(s.f is None for s in active))
         for g, members in by_group.items():
             for k, s in enumerate(members):
                 try:

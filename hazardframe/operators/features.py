@@ -151,18 +151,19 @@ def _space(layout: Layout, gram: np.ndarray, medians: dict[str, float], componen
 
 
 def fit_spaces(
-    df: DataFrame, layout: Layout, fold: str | None = None, folds: int = 1, components: int = 50, spare_one: bool = False
+    df: DataFrame, layout: Layout, fold: str | None = None, folds: int = 1, components: int = 50, spare_one: bool = False,
+    parts: dict[int, np.ndarray] | None = None,
 ) -> dict[int, FeatureSpace]:
     """Feature space of each "all folds but g"; without a fold column, one space under the key ``ALL``.
 
-    Only matrices over columns reach the driver.
+    Only matrices over columns reach the driver. ``parts`` are the Gram matrices of (1, raw vector) by fold, if known.
     """
     vector = [F.lit(1.0), *layout.columns]
     groups = [ALL] if fold is None else list(range(folds))
     if fold is None:
-        grams = {ALL: gram_matrix(df, vector)}
+        grams = {ALL: gram_matrix(df, vector) if parts is None else sum(parts.values())}
     else:
-        parts = {g: gram_matrix(df.where(F.col(fold) == g), vector) for g in groups}
+        parts = parts or {g: gram_matrix(df.where(F.col(fold) == g), vector) for g in groups}
         whole = sum(parts.values())
         grams = {g: whole - parts[g] for g in groups}
     names = [c for _, c in layout.numeric]

@@ -10,23 +10,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hazardframe.functions import scalars as S
-from hazardframe.operators import cox, features, splits
+from hazardframe.operators import cox, cox_folds, features, splits
 from hazardframe.operators.clean import drop_listed, prefixed_columns
 from hazardframe.operators.concordance import concordances
-from hazardframe.session import kept
+from hazardframe.session import cut_lineage
 from hazardframe.schema import (
     ALPHA_GRID, CLINICAL_COVARIATES, CNA, EXPR, FEATURE_BLOCKS, INTERVAL_COVARIATES, L1_GRID,
     LOW_VALUE_COLUMNS,
 )
 
 
-def score_models(df: DataFrame, fits: Sequence[cox.Fit], group: str = "g") -> tuple[DataFrame, dict[tuple[int, int], int]]:
+def score_models(
+    df: DataFrame, fits: Sequence[cox.Fit], group: str = "g", spaces: dict[int, features.FeatureSpace] | None = None
+) -> tuple[DataFrame, dict[tuple[int, int], int]]:
     """Each row with ``risks``, the scores by all models of its group, in place of its features; and for each (group,
-    position in risks) the model's place in ``fits``."""
+    position in risks) the model's place in ``fits``. With ``spaces`` the features are raw vectors."""
     by_group: dict[int, list[int]] = {}
     for i, f in enumerate(fits):
         by_group.setdefault(f.problem.group, []).append(i)
     weights = {g: np.column_stack([fits[i].coef for i in at]) for g, at in by_group.items()}
+    shifts = {g: spaces[g].offset @ w if spaces else 0.0 for g, w in weights.items()}
+    weights = {g: spaces[g].weights @ w if spaces else w for g, w in weights.items()}
     out = df.select(*[c for c in df.columns if c != "features"], F.lit(None).cast("array<double>").alias("risks")).schema
     at_group, at_features = df.columns.index(group), df.columns.index("features")
 
@@ -39,7 +43,7 @@ def score_models(df: DataFrame, fits: Sequence[cox.Fit], group: str = "g") -> tu
             scores = np.empty(begin[-1])
             for k, w in weights.items():
                 own = np.flatnonzero(g == k)
-                scores[begin[own][:, None] + np.arange(w.shape[1])] = x[own] @ w
+                scores[begin[own][:, None] + np.arange(w.shape[1])] = x[own] @ w + shifts[k]
             columns = [c for i, c in enumerate(batch.columns) if i != at_features]
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(scores))], names=out.names)
 
@@ -75,6 +79,24 @@ def _fold_summary(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
     return grouped.withColumns({"fold_scores": S.join_scores(scores), "failure_notes": F.array_join(notes, "; ")}).drop("_f")
 
 
+def _fold_data(
+    folded: DataFrame, layout: features.Layout, k: int, components: int, spare_one: bool, columns: dict[str, str]
+) -> tuple[dict[int, features.FeatureSpace], cox.CoxData | cox_folds.FoldData]:
+    """Feature spaces of all training sets and the data of their models; ``folded`` is read several times."""
+    blocks = cox_folds.raw_blocks(folded, layout.columns, "fold", k, **columns)
+    spaces = features.fit_spaces(folded, layout, "fold", k, components, spare_one, blocks.grams)
+    if blocks.times is not None:
+        return spaces, cox_folds.FoldData(blocks, {g: (s.weights, s.offset) for g, s in spaces.items()})
+    return spaces, cox.cox_data(features.training_rows(folded, layout, spaces), group="g", width=len(spaces[0].names), **columns)
+
+
+def _held_out_scores(
+    folded: DataFrame, layout: features.Layout, spaces: dict[int, features.FeatureSpace], fits: Sequence[cox.Fit], columns: Sequence[str]
+) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    raw = folded.select(F.col("fold").alias("g"), *columns, F.array(*layout.columns).alias("features"))
+    return score_models(raw, fits, spaces=spaces)
+
+
 def cross_validate(
     df: DataFrame, clinical: Sequence[str], expression: Sequence[str], alphas: Sequence[float] = ALPHA_GRID,
     l1_ratios: Sequence[float] = L1_GRID, folds: int = 5, maxiter: int = 400, components: int = 50,
@@ -85,18 +107,16 @@ def cross_validate(
     Features depend on the fold only and are fitted once per fold; all grid cells of all folds are optimised in step.
     """
     k = splits.fold_count(df, event, folds)
-    with kept(splits.stratified_folds(df, id_column, [event], k)) as folded:
-        layout = features.discover_layout(folded, clinical, expression=expression)
-        spaces = features.fit_spaces(folded, layout, "fold", k, components)
-        problems = [cox.Problem(g, a, r, label=f"{a}|{r}") for a in alphas for r in l1_ratios for g in range(k)]
-        data = cox.cox_data(features.training_rows(folded, layout, spaces), time, event, group="g", width=len(spaces[0].names))
-        try:
-            fits = cox.fit_models(data, problems, maxiter, strict=False)
-        finally:
-            data.close()
-        held = features.held_out_rows(folded, layout, spaces).select("g", time, event, "features")
-        scored, places = score_models(held, fits)
-        found = concordances(scored, "risks", time, event, ["g"]).collect()  # one row per model and fold
+    folded = cut_lineage(splits.stratified_folds(df, id_column, [event], k))
+    layout = features.discover_layout(folded, clinical, expression=expression)
+    spaces, data = _fold_data(folded, layout, k, components, False, {"stop": time, "event": event})
+    problems = [cox.Problem(g, a, r, label=f"{a}|{r}") for a in alphas for r in l1_ratios for g in range(k)]
+    try:
+        fits = cox.fit_models(data, problems, maxiter, strict=False)
+    finally:
+        data.close()
+    scored, places = _held_out_scores(folded, layout, spaces, fits, [time, event])
+    found = concordances(cut_lineage(scored), "risks", time, event, ["g"]).collect()  # one row per model and fold
     table = _results(fits, {places[r["g"], r["model"]]: r["c_index"] for r in found}, strict=True)
     summary = _fold_summary(df.sparkSession.createDataFrame(table, _FOLD_SCHEMA), ["alpha", "l1_ratio"])
     return summary.orderBy(F.desc("n_valid_folds"), F.desc_nulls_last("mean_c_index"), "std_c_index", "alpha", "l1_ratio")
@@ -113,7 +133,7 @@ def _ablation_scores(folded: DataFrame, layout: features.Layout, k: int, maxiter
     """One row for each feature set, fold and entry of ``without``: label, fold, c_index, note, and ``variant``, the place in
     ``without``. A variant fits without the features made of the columns that it names; all of them advance together on
     one design, as every other feature depends on its own column only."""
-    spaces = features.fit_spaces(folded, layout, "fold", k, components, spare_one=True)
+    spaces, data = _fold_data(folded, layout, k, components, True, cox_columns)
     blocks, sources = spaces[0].blocks, spaces[0].sources
     problems, variants = [], []
     for name, wanted in FEATURE_BLOCKS.items():
@@ -122,18 +142,17 @@ def _ablation_scores(folded: DataFrame, layout: features.Layout, k: int, maxiter
             if any(active):
                 problems += [cox.Problem(g, alpha, 0.0, active, name) for g in range(k)]
                 variants += [v] * k
-    data = cox.cox_data(features.training_rows(folded, layout, spaces), group="g", width=len(blocks), **cox_columns)
     try:
         fits = cox.fit_models(data, problems, maxiter, clip, strict=False)
     finally:
         data.close()
-    wanted = list(dict.fromkeys(["PATIENT_ID", "g", *(["T_STOP"] if patient_level else []), time, event, "features"]))
-    scored, places = score_models(features.held_out_rows(folded, layout, spaces).select(*wanted), fits)
+    wanted = list(dict.fromkeys(["PATIENT_ID", *(["T_STOP"] if patient_level else []), time, event]))
+    scored, places = _held_out_scores(folded, layout, spaces, fits, wanted)
     if patient_level:
         scored = scored.groupBy("PATIENT_ID", "g").agg(
             F.max_by("risks", "T_STOP").alias("risks"), F.max(time).alias(time), F.max(event).alias(event)
         )
-    found = concordances(scored, "risks", time, event, ["g"]).collect()  # one row per experiment and fold
+    found = concordances(cut_lineage(scored), "risks", time, event, ["g"]).collect()  # one row per experiment and fold
     table = _results(fits, {places[r["g"], r["model"]]: r["c_index"] for r in found}, strict=False)
     return table.assign(variant=variants)
 
@@ -151,12 +170,12 @@ def static_ablation(
     clinical: Sequence[str] = (*CLINICAL_COVARIATES, "IS_FALLBACK"),
 ) -> DataFrame:
     """Seven feature sets under folds stratified by cohort and event; mean and std of the concordance index."""
-    with kept(splits.stratified_folds(df, "PATIENT_ID", ["CANCER_TYPE", "OS_EVENT"], folds)) as folded:
-        layout = features.discover_layout(
-            folded, clinical, ["MUTATION_BURDEN"], prefixed_columns(df, EXPR), prefixed_columns(df, CNA)
-        )
-        return _ablate(folded, layout, folds, maxiter, 50.0, {"stop": "OS_MONTHS", "event": "OS_EVENT"}, False,
-                       "OS_MONTHS", "OS_EVENT", alpha, components)
+    folded = cut_lineage(splits.stratified_folds(df, "PATIENT_ID", ["CANCER_TYPE", "OS_EVENT"], folds))
+    layout = features.discover_layout(
+        folded, clinical, ["MUTATION_BURDEN"], prefixed_columns(df, EXPR), prefixed_columns(df, CNA)
+    )
+    return _ablate(folded, layout, folds, maxiter, 50.0, {"stop": "OS_MONTHS", "event": "OS_EVENT"}, False,
+                   "OS_MONTHS", "OS_EVENT", alpha, components)
 
 
 _INTERVAL_COLUMNS = {"stop": "T_STOP", "event": "EVENT", "start": "T_START"}
@@ -166,11 +185,16 @@ def _interval_layout(folded: DataFrame, covariates: Sequence[str]) -> features.L
     return features.discover_layout(folded, covariates, ["MUTATION_BURDEN"], prefixed_columns(folded, EXPR), prefixed_columns(folded, CNA))
 
 
+def _patient_folds(intervals: DataFrame, folds: int) -> DataFrame:
+    """Intervals with the folds of their patients; both are written once, as intervals are read for the folds and again with them."""
+    return cut_lineage(splits.group_folds(cut_lineage(intervals), "PATIENT_ID", ["CANCER_TYPE", "OS_EVENT"], folds))
+
+
 def interval_ablation(intervals: DataFrame, folds: int = 5, maxiter: int = 250, alpha: float = 1.0, components: int = 30) -> DataFrame:
     """The same feature sets on (start, stop] rows; folds are drawn over patients, risk is that of the last interval."""
-    with kept(splits.group_folds(intervals, "PATIENT_ID", ["CANCER_TYPE", "OS_EVENT"], folds)) as folded:
-        layout = _interval_layout(folded, INTERVAL_COVARIATES)
-        return _ablate(folded, layout, folds, maxiter, 40.0, _INTERVAL_COLUMNS, True, "OS_DAYS", "OS_EVENT", alpha, components)
+    folded = _patient_folds(intervals, folds)
+    layout = _interval_layout(folded, INTERVAL_COVARIATES)
+    return _ablate(folded, layout, folds, maxiter, 40.0, _INTERVAL_COLUMNS, True, "OS_DAYS", "OS_EVENT", alpha, components)
 
 
 def rerun_counts(intervals: DataFrame, drop: Sequence[str] = tuple(LOW_VALUE_COLUMNS), folds: int = 5) -> DataFrame:
@@ -200,16 +224,16 @@ def cleaned_rerun(
     """
     pruned, dropped, _ = drop_listed(intervals, drop)
     rest = [maxiter, 40.0, _INTERVAL_COLUMNS, True, "OS_DAYS", "OS_EVENT", alpha, components]
-    with kept(splits.group_folds(intervals, "PATIENT_ID", ["CANCER_TYPE", "OS_EVENT"], folds)) as folded:
-        layout = _interval_layout(folded, covariates)
-        if any(c.startswith((EXPR, CNA)) for c in dropped):
-            cleaned = folded.drop(*dropped)
-            scores = pd.concat([
-                _ablation_scores(folded, layout, folds, *rest),
-                _ablation_scores(cleaned, _interval_layout(cleaned, covariates), folds, *rest).assign(variant=1),
-            ])
-        else:
-            scores = _ablation_scores(folded, layout, folds, *rest, without=((), tuple(dropped)))
+    folded = _patient_folds(intervals, folds)
+    layout = _interval_layout(folded, covariates)
+    if any(c.startswith((EXPR, CNA)) for c in dropped):
+        cleaned = folded.drop(*dropped)
+        scores = pd.concat([
+            _ablation_scores(folded, layout, folds, *rest),
+            _ablation_scores(cleaned, _interval_layout(cleaned, covariates), folds, *rest).assign(variant=1),
+        ])
+    else:
+        scores = _ablation_scores(folded, layout, folds, *rest, without=((), tuple(dropped)))
     return pair_folds(intervals.sparkSession.createDataFrame(scores, _FOLD_SCHEMA + ", variant int"))
 
 
