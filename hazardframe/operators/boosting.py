@@ -2,9 +2,10 @@
 
 Trees grow level by level from histograms. Split points are fixed once: midpoints between neighbouring values at exact
 quantiles of each feature (between all neighbours, where a feature has at most MAX_BINS values), and no row is sampled.
-Rows are then packed in blocks of bin numbers. For a level every task follows the tree so far to the node of each of its
-rows and adds up, for each (node, feature, bin), the rows and those with a positive residual; the histograms meet by
-feature, where the best split is chosen. The pinball gradient takes two values, so these sums are whole numbers and the
+Rows are then sorted by their vectors of bin numbers and packed in blocks. Rows of one vector share their node and their
+prediction, so trees are followed once for each vector of a block. For a level every task follows the tree so far to the node
+of each vector and adds up, for each (node, feature, bin), the rows and those with a positive residual; the best split is
+chosen from their sums. Histograms of a few tasks are added up by the driver, larger ones meet by feature after a shuffle. The pinball gradient takes two values, so these sums are whole numbers and the
 trees do not depend on how rows are dealt out. A leaf is set to the exact quantile of its residuals, found by narrowing
 the interval that holds it with summaries of order statistics. Several quantiles are fitted in the same passes.
 
@@ -29,7 +30,10 @@ from hazardframe.session import cut_lineage
 
 MAX_BINS = 256
 LOCAL_ROWS = 20_000
-BLOCK_ROWS = 8_192
+BLOCK_ROWS = 65_536
+ROWS_PER_TASK = 50_000  # up to as many tasks as a shuffle has
+MOST_ROWS_PER_TASK = 1_000_000  # beyond them the number of tasks grows with the rows
+DRIVER_BYTES = 32_000_000  # sums of all tasks of a pass that are joined by the driver
 SUMMARY = 512  # order statistics that a task sends for each leaf
 TREE_SCHEMA = "tree int, node int, feature int, threshold double, bin int, left int, value double"
 
@@ -149,19 +153,27 @@ def split_points(rows: DataFrame, features: str = "features", bins: int = MAX_BI
 
 @dataclass
 class _Block:
-    """Bins, targets and predictions (a column for each quantile) of some rows."""
+    """Some rows by their vectors of bins: the vectors, the rows of each, the predictions (a column for each quantile) of each,
+    and the targets in order of the vectors."""
 
     bins: np.ndarray
-    y: np.ndarray
+    times: np.ndarray
     fitted: np.ndarray
+    y: np.ndarray
 
     def advanced(self, rounds: Sequence[tuple[Sequence[Tree], float]]) -> _Block:
         """With a round of scaled trees after the other added to the predictions."""
-        fitted, rows = self.fitted.copy(), _Binned(self.bins)
+        fitted, vectors = self.fitted.copy(), _Binned(self.bins)
         for trees, scale in rounds:
             for m, tree in enumerate(trees):
-                fitted[:, m] += scale * tree.value[tree.nodes(rows)]
-        return _Block(self.bins, self.y, fitted)
+                fitted[:, m] += scale * tree.value[tree.nodes(vectors)]
+        return _Block(self.bins, self.times, fitted, self.y)
+
+    def above(self, model: int) -> np.ndarray:
+        """Rows above their prediction, of each vector."""
+        higher = np.concatenate([[0], np.cumsum(self.y > np.repeat(self.fitted[:, model], self.times))])
+        ends = np.cumsum(self.times)
+        return higher[ends] - higher[ends - self.times]
 
     def histogram(self, model: int, tree: Tree, open_: Sequence[int]) -> np.ndarray:
         """(open node, feature, bin, rows and rows above their prediction)."""
@@ -169,17 +181,17 @@ class _Block:
         place = np.full(len(tree.feature), -1)
         place[list(open_)] = np.arange(len(open_))
         some = place[at] >= 0
-        node, above = place[at][some], (self.y > self.fitted[:, model])[some]
+        node, rows, above = place[at][some], self.times[some], self.above(model)[some]
         p = self.bins.shape[1]
         out = np.zeros((len(open_), p, MAX_BINS, 2), np.int64)
         for f in range(p):
             cell = node * MAX_BINS + self.bins[some, f]
-            out[:, f, :, 0] = np.bincount(cell, minlength=len(open_) * MAX_BINS).reshape(-1, MAX_BINS)
-            out[:, f, :, 1] = np.bincount(cell[above], minlength=len(open_) * MAX_BINS).reshape(-1, MAX_BINS)
+            for i, weights in enumerate((rows, above)):  # whole numbers below 2^53 are exact
+                out[:, f, :, i] = np.bincount(cell, weights, len(open_) * MAX_BINS).reshape(-1, MAX_BINS)
         return out
 
     def residuals(self, model: int, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
-        return tree.nodes(_Binned(self.bins)), self.y - self.fitted[:, model]
+        return np.repeat(tree.nodes(_Binned(self.bins)), self.times), self.y - np.repeat(self.fitted[:, model], self.times)
 
 
 def best_split(histogram: np.ndarray, quantile: float, min_leaf: int) -> tuple[float, int]:
@@ -285,8 +297,10 @@ class _InTask:
 class _OverTasks:
     """Blocks in a table; every question is a job, and predictions are written anew after ``every`` rounds."""
 
-    def __init__(self, packed: DataFrame, width: int, models: int, every: int):
+    def __init__(self, packed: DataFrame, width: int, models: int, every: int, driver_bytes: int | None = None):
         self.packed, self.width, self.models, self.every = packed, width, models, every
+        self.driver_bytes = DRIVER_BYTES if driver_bytes is None else driver_bytes
+        self.tasks = packed.rdd.getNumPartitions()
         self.recent: list[tuple[list[Tree], float]] = []
 
     def _blocks(self):
@@ -315,8 +329,19 @@ class _OverTasks:
             gain, b = best_split(whole, quantiles[part["model"][0].as_py()], min_leaf)
             return part.slice(0, 1).drop_columns(["h"]).append_column("gain", pa.array([gain])).append_column("bin", pa.array([b], pa.int32()))
 
-        parts = self.packed.mapInArrow(sums, "model int, node int, feature int, h binary").groupBy("model", "node", "feature")
+        parts = self.packed.mapInArrow(sums, "model int, node int, feature int, h binary")
         found: dict[tuple[int, int], tuple[float, int, int]] = {}
+        cells = sum(len(open_) for _, _, open_ in wanted) * self.width
+        if self.tasks * cells * MAX_BINS * 16 <= self.driver_bytes:
+            whole: dict[tuple[int, int, int], np.ndarray] = {}
+            for r in parts.collect():  # one row for each task, open node and feature
+                key = (r["model"], r["node"], r["feature"])
+                whole[key] = whole.get(key, 0) + np.frombuffer(r["h"], np.int64)
+            for (m, k, f), h in whole.items():
+                gain, b = best_split(h.reshape(MAX_BINS, 2), quantiles[m], min_leaf)
+                found[m, k] = max(found.get((m, k), (0.0, -self.width, -1)), (gain, -f, b))
+            return {k: (g, -f, b) for k, (g, f, b) in found.items()}
+        parts = parts.groupBy("model", "node", "feature")
         for r in parts.applyInArrow(best, "model int, node int, feature int, gain double, bin int").collect():  # one row for each open node and feature
             key, new = (r["model"], r["node"]), (r["gain"], -r["feature"], r["bin"])
             found[key] = max(found.get(key, (0.0, -self.width, -1)), new)
@@ -343,24 +368,34 @@ class _OverTasks:
                 columns = [*(pa.array(c, pa.int64()) for c in numbers), *(pa.array(c, pa.binary()) for c in packed)]
                 yield pa.RecordBatch.from_arrays(columns, names=["model", "node", "n", "below", "values", "upto", "times"])
 
+            def joined(key: tuple[int, int], rows: Sequence) -> tuple[float | None, _Search]:
+                whole = lambda raw: np.frombuffer(raw, np.int64)
+                parts = [_Summary(r["n"], r["below"], np.frombuffer(r["values"]), whole(r["upto"]), whole(r["times"])) for r in rows]
+                return _narrowed(parts, asked[key], quantiles[key[0]])
+
             def narrow(part: pa.Table) -> pa.Table:
                 key = (part["model"][0].as_py(), part["node"][0].as_py())
-                whole = lambda raw: np.frombuffer(raw, np.int64)
-                parts = [_Summary(r["n"], r["below"], np.frombuffer(r["values"]), whole(r["upto"]), whole(r["times"])) for r in part.to_pylist()]
-                value, s = _narrowed(parts, asked[key], quantiles[key[0]])
+                value, s = joined(key, part.to_pylist())
                 return pa.table({"model": [key[0]], "node": [key[1]], "value": pa.array([value], pa.float64()), "rank": [s.rank], "low": [s.low], "high": [s.high], "size": [s.size]})
 
             kind = "model bigint, node bigint, n bigint, below bigint, values binary, upto binary, times binary"
-            found = self.packed.mapInArrow(summaries, kind).groupBy("model", "node").applyInArrow(
-                narrow, "model bigint, node bigint, value double, rank bigint, low double, high double, size bigint"
-            ).collect()  # one row for each leaf
-            for r in found:
-                key = (r["model"], r["node"])
-                if r["value"] is not None:
-                    out[key[0]][key[1]] = r["value"]
+            sent = self.packed.mapInArrow(summaries, kind)
+            if self.tasks * sum(s.size for s in asked.values()) * 24 <= self.driver_bytes:
+                by_leaf: dict[tuple[int, int], list] = {}
+                for r in sent.collect():  # one row for each task and leaf
+                    by_leaf.setdefault((r["model"], r["node"]), []).append(r)
+                found = [(key, *joined(key, rows)) for key, rows in by_leaf.items()]
+            else:
+                rows = sent.groupBy("model", "node").applyInArrow(
+                    narrow, "model bigint, node bigint, value double, rank bigint, low double, high double, size bigint"
+                ).collect()  # one row for each leaf
+                found = [((r["model"], r["node"]), r["value"], _Search(r["rank"], r["low"], r["high"], r["size"])) for r in rows]
+            for key, value, search in found:
+                if value is not None:
+                    out[key[0]][key[1]] = value
                     del searches[key]
                 else:
-                    searches[key] = _Search(r["rank"], r["low"], r["high"], r["size"])
+                    searches[key] = search
         return out
 
     def advance(self, trees, scale):
@@ -375,16 +410,19 @@ class _OverTasks:
             self.packed, self.recent = cut_lineage(self.packed.mapInArrow(written, _PACKED)), []
 
 
-_PACKED = "bins binary, y binary, fitted binary"
+_PACKED = "bins binary, times binary, fitted binary, y binary"
 
 
 def _pack(block: _Block) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({n: pa.array([a.tobytes()], pa.binary()) for n, a in (("bins", block.bins), ("y", block.y), ("fitted", block.fitted))})
+    arrays = {"bins": block.bins, "times": block.times, "fitted": block.fitted, "y": block.y}
+    return pa.RecordBatch.from_pydict({n: pa.array([a.tobytes()], pa.binary()) for n, a in arrays.items()})
 
 
 def _open(row: dict, width: int, models: int) -> _Block:
-    y = np.frombuffer(row["y"])
-    return _Block(np.frombuffer(row["bins"], np.uint8).reshape(len(y), width), y, np.frombuffer(row["fitted"]).reshape(len(y), models))
+    times = np.frombuffer(row["times"], np.int64)
+    return _Block(
+        np.frombuffer(row["bins"], np.uint8).reshape(len(times), width), times, np.frombuffer(row["fitted"]).reshape(len(times), models), np.frombuffer(row["y"])
+    )
 
 
 def _grow(
@@ -420,9 +458,11 @@ def _grow(
 
 def fit_quantiles(
     df: DataFrame, quantiles: Sequence[float], target: str = "OS_MONTHS", features: str = "features", rounds: int = 200, depth: int = 3,
-    rate: float = 0.05, min_leaf: int = 9, every: int = 20, local_rows: int | None = None,
+    rate: float = 0.05, min_leaf: int = 9, every: int = 20, local_rows: int | None = None, driver_bytes: int | None = None,
 ) -> list[QuantileModel]:
-    """Boost ``rounds`` trees on the pinball loss at each quantile, all in the same passes. Features must be complete."""
+    """Boost ``rounds`` trees on the pinball loss at each quantile, all in the same passes. Features must be complete.
+
+    ``every``, ``local_rows`` and ``driver_bytes`` (DRIVER_BYTES) decide where sums meet, never what is found."""
     spark: SparkSession = df.sparkSession
     rows = cut_lineage(df.select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y")).where("y IS NOT NULL"))
     shape = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p")).first()
@@ -432,28 +472,50 @@ def fit_quantiles(
     points = split_points(rows, "x")
     edges = [points.get(f, np.zeros(0)) for f in range(width)]
 
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            bins = np.column_stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)]).astype(np.uint8) if width else np.zeros((len(x), 0), np.uint8)
+            offsets = np.arange(len(x) + 1, dtype=np.int32) * width
+            vectors = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(bins))])
+            yield pa.RecordBatch.from_arrays([vectors, batch.column(1)], names=["bins", "y"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def block() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            raw = b"".join(whole["bins"].to_pylist())
+            bins, y = np.frombuffer(raw, np.uint8).reshape(whole.num_rows, width), whole["y"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (bins[1:] != bins[:-1]).any(axis=1)]))
+            return _pack(_Block(bins[first], np.diff(np.append(first, len(y))), np.zeros((len(first), models)), y))
+
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width)
-                bins = np.column_stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)]) if width else np.zeros((len(x), 0))
-                y = part.column(1).to_numpy()
-                yield _pack(_Block(bins.astype(np.uint8), y, np.zeros((len(y), models))))
-
-    packed = cut_lineage(rows.mapInArrow(pack, _PACKED))
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BLOCK_ROWS:
+                yield block()
+                held.clear()
+        if any(b.num_rows for b in held):
+            yield block()
+
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(usual, shape["n"] // ROWS_PER_TASK), shape["n"] // MOST_ROWS_PER_TASK)
+    # The row number deals a vector shared by very many rows over several tasks.
+    numbered = rows.mapInArrow(binned, "bins binary, y double").withColumn("row", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange(tasks, "bins", "row").sortWithinPartitions("bins").select("bins", "y")
+    packed = cut_lineage(ordered.mapInArrow(pack, _PACKED))
     arguments = (quantiles, points, rounds, depth, rate, min_leaf)
     if shape["n"] <= (LOCAL_ROWS if local_rows is None else local_rows):
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks = [_open(row, width, models) for batch in batches for row in batch.to_pylist()]
             if blocks:  # the one task that holds the rows
-                block = _Block(*(np.concatenate([getattr(b, n) for b in blocks]) for n in ("bins", "y", "fitted")))
+                block = _Block(*(np.concatenate([getattr(b, n) for b in blocks]) for n in ("bins", "times", "fitted", "y")))
                 yield pa.RecordBatch.from_pydict({"fit": pa.array([pickle.dumps(_grow(_InTask(block), *arguments))], pa.binary())})
 
         starts, trees = pickle.loads(packed.coalesce(1).mapInArrow(whole, "fit binary").first()["fit"])
     else:
-        starts, trees = _grow(_OverTasks(packed, width, models, every), *arguments)
+        starts, trees = _grow(_OverTasks(packed, width, models, every, driver_bytes), *arguments)
     return [QuantileModel(q, float(s), rate, t) for q, s, t in zip(quantiles, starts, trees)]
 
 

@@ -115,3 +115,15 @@ def test_odd_tables(spark):
         boosting.fit_quantile(one.where(F.lit(False)), 0.5)
     same = spark.createDataFrame([(float(i % 5), [3.0]) for i in range(40)], "OS_MONTHS double, features array<double>")
     assert {len(t.feature) for t in boosting.fit_quantile(same, 0.5, rounds=2).trees} == {1}
+
+
+def test_rows_of_one_vector_are_followed_once(spark):
+    """Trees are followed for the vectors of a block, and the sums of a few tasks need no shuffle; with one the trees are the same."""
+    x, y = table(5, 3_000)
+    x[:, 0], x[:, 2] = np.round(x[:, 0]), 0.0
+    df = frame(spark, x, y)
+    options = {**OPTIONS, "rounds": 2, "local_rows": 0}
+    a, b = (boosting.fit_quantiles(df, [0.2, 0.7], driver_bytes=n, **options) for n in (None, 0))
+    assert str([m.tree_rows() for m in a]) == str([m.tree_rows() for m in b]) and [m.start for m in a] == [m.start for m in b]
+    block = boosting._Block(np.array([[0], [2]], np.uint8), np.array([3, 1]), np.array([[1.0], [5.0]]), np.array([0.0, 1.0, 2.0, 9.0]))
+    assert block.above(0).tolist() == [1, 1] and block.histogram(0, boosting.Tree.stump(), [0])[0, 0, :3].tolist() == [[3, 1], [0, 0], [1, 1]]
