@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazardframe.functions import scalars as S
-from hazardframe.operators import clean, cohort, collinearity, conformal, cox, features, splits
+from hazardframe.operators import clean, cohort, collinearity, conformal, cox, cox_folds, features, splits
 from hazardframe.operators.concordance import concordance
 from hazardframe.plans import tuning
 from hazardframe.schema import CLINICAL_COVARIATES, EXPR, SWEEP_THRESHOLDS, TARGET_COLUMNS
@@ -80,12 +80,16 @@ def train_and_calibrate(
             raise ValueError("no viable penalty in the grid")
         penalty = (best["alpha"], best["l1_ratio"])
     layout = features.discover_layout(train, clinical, expression=expression)
-    spaces = features.fit_spaces(train, layout)
+    blocks = cox_folds.raw_blocks(train.withColumn("fold", F.lit(0)), layout.columns, "fold", 1, "OS_MONTHS", "OS_EVENT")
+    spaces = features.fit_spaces(train, layout, parts=blocks.grams)
     space = spaces[features.ALL]
     with kept(features.with_features(rows, layout, spaces)) as design:
-        data = cox.cox_data(design.where(F.col("split") == "train"), width=len(space.names))
+        if blocks.times is None:
+            group, data = 0, cox.cox_data(design.where(F.col("split") == "train"), width=len(space.names))
+        else:
+            group, data = features.ALL, cox_folds.FoldData(blocks, {features.ALL: (space.weights, space.offset)})
         try:
-            fit = cox.fit_models(data, [cox.Problem(0, *penalty, label="final")], maxiter)[0]
+            fit = cox.fit_models(data, [cox.Problem(group, *penalty, label="final")], maxiter)[0]
         finally:
             data.close()
         columns = ["PATIENT_ID", "OS_MONTHS", "OS_EVENT", "split", "features"]
@@ -182,17 +186,21 @@ def threshold_sweep(
     """One model run per collinearity threshold, side by side with the run at the largest threshold; see ``sweep_branches``.
 
     Expression columns and clinical columns that hold numbers are filtered. The correlations of the training rows are
-    computed once; every threshold only filters their pairs.
+    computed once; every threshold only filters their pairs. Thresholds that leave the same columns share a run.
     """
     clinical = [c for c in clinical if c in rows.columns]
     expression = clean.prefixed_columns(rows, EXPR, ordered=True)
     train = rows.where(F.col("split") == "train")
     strong, strong_clinical = (_strong_pairs(train, c, min(thresholds)) for c in (expression, clinical))
+    done: dict[tuple[str, ...], dict] = {}  # metrics by the columns left; a failed run is tried again
 
     def run(threshold: float) -> dict:
         gone, gone_clinical = _dropped_above(strong, threshold), _dropped_above(strong_clinical, threshold)
         left, left_clinical = [c for c in expression if c not in gone], [c for c in clinical if c not in gone_clinical]
-        found = train_and_calibrate(rows, left_clinical, left, threshold=None, penalty=penalty, maxiter=maxiter, horizon_tables=False).metrics
+        columns = (*left_clinical, *left)
+        if columns not in done:
+            done[columns] = train_and_calibrate(rows, left_clinical, left, threshold=None, penalty=penalty, maxiter=maxiter, horizon_tables=False).metrics
+        found = done[columns]
         month = found["conformal_month_interval"]
         return {
             "expr_before": len(expression), "expr_after": len(left), "expr_dropped": len(gone),

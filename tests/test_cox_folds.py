@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazardframe.operators import concordance, cox, cox_folds, features
-from hazardframe.plans import tuning
+from hazardframe.plans import modelling, tuning
 
 
 def rows(spark, n=400, seed=5):
@@ -70,3 +70,20 @@ def test_a_group_of_the_concordance_has_one_model(spark):
     df = spark.createDataFrame([(float(i % 7), i % 2, [float(i % 5), float(i % 3), None if i % 4 else 1.0]) for i in range(60)], "t double, e int, r array<double>")
     blocks = concordance._packed(df.select(F.lit("all"), F.col("t"), F.col("e"), F.col("r")))
     assert blocks.groupBy("k").agg(F.max("m").alias("m"), F.countDistinct("m0").alias("models")).select("m", "models").distinct().collect() == [(1, 1)]
+
+
+def test_thresholds_that_leave_the_same_columns_share_a_run(spark, monkeypatch):
+    g = np.random.default_rng(1)
+    a = g.normal(size=300)
+    table = pd.DataFrame({"AGE": g.normal(size=300), "EXPR_a": a, "EXPR_b": a + 0.5 * g.normal(size=300), "EXPR_c": g.normal(size=300), "split": "train"})
+    runs = []
+
+    def run(rows, clinical, expression, **_):
+        runs.append(expression)
+        month = {"coverage_test_events_only": 0.9, "mean_interval_width_months_test": 1.0}
+        return type("Run", (), {"metrics": {"conformal_month_interval": month, **{f"c_index_{s}": 0.5 for s in ("train", "calibration", "test")}}})
+
+    monkeypatch.setattr(modelling, "train_and_calibrate", run)
+    found = modelling.threshold_sweep(spark.createDataFrame(table), ["AGE"], [1.0, 0.95, 0.75]).collect()
+    assert [r["expr_after"] for r in found] == [3, 3, 2] and {r["status"] for r in found} == {"completed"}
+    assert runs == [["EXPR_a", "EXPR_b", "EXPR_c"], ["EXPR_a", "EXPR_c"]]
