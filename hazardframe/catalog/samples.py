@@ -12,6 +12,7 @@ from hazardframe.operators import clean, cohort, genes, intervals, profile
 from hazardframe.operators.ordered import join_on
 from hazardframe.plans import feature_tables
 from hazardframe.schema import CNA, EXPR
+from hazardframe.session import cut_lineage
 
 
 @query(V.sql("sample", """
@@ -314,28 +315,33 @@ def cna_top_amp_del(t: Tables) -> DataFrame:
     return rounded_all(picked.withColumn("pos", F.col("pos").cast("bigint")))
 
 
-def _omics_by_sample(t: Tables, rows: DataFrame, column: str) -> DataFrame:
-    """Omic rows of vector i belong to the sample of order i."""
-    samples = V.sample_metadata(t).select("o_orderkey", F.col(column).alias("sid"), F.col("CANCER_TYPE").alias("ct"))
-    return rows.join(samples, F.col("sample_id") == F.col("o_orderkey")).select(
-        F.col("sid").alias("sample_id"), F.col("ct").alias("cohort"), "gene", "value"
-    )
+def _vectors_by_sample(t: Tables, samples: DataFrame, column: str) -> DataFrame:
+    """Vector i belongs to the sample of order i; joined before genes become rows, and written once for both omic layers."""
+    named = samples.select("o_orderkey", F.col(column).alias("sample_id"), F.col("CANCER_TYPE").alias("cohort"))
+    vectors = t("embeddings").select("vec_id", "embedding")
+    return cut_lineage(vectors.join(named, F.col("vec_id") == F.col("o_orderkey")).select("sample_id", "cohort", "embedding"))
 
 
-def _calls_by_sample(t: Tables) -> DataFrame:
-    samples = V.sample_metadata(t).select("o_orderkey", "SAMPLE_ID", "CANCER_TYPE")
-    calls = V.mutation(t).select(F.col("Tumor_Sample_Barcode").cast("bigint").alias("o_orderkey"))
-    return calls.join(samples, "o_orderkey").select(F.col("SAMPLE_ID").alias("Tumor_Sample_Barcode"), "CANCER_TYPE")
+def _calls_by_sample(t: Tables, samples: DataFrame) -> DataFrame:
+    """Calls are counted by order before they meet the samples."""
+    named = samples.select("o_orderkey", "SAMPLE_ID", "CANCER_TYPE")
+    calls = V.mutation(t).groupBy(F.col("Tumor_Sample_Barcode").cast("bigint").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("N_CALLS"))
+    return calls.join(named, "o_orderkey").select(F.col("SAMPLE_ID").alias("Tumor_Sample_Barcode"), "CANCER_TYPE", "N_CALLS")
 
 
-def multiomic_table(t: Tables, top_n: int = 5) -> DataFrame:
-    clinical = V.patient(t).select("PATIENT_ID", "CANCER_TYPE", "AGE", "SEX", "OS_MONTHS", "OS_EVENT")
+def _patient_omics(t: Tables, clinical: DataFrame, top_n: int) -> DataFrame:
+    samples = cut_lineage(V.sample_metadata(t))
+    vectors = _vectors_by_sample(t, samples, "SAMPLE_ID")
     return feature_tables.patient_multiomic(
-        clinical, V.sample_metadata(t), _calls_by_sample(t),
-        _omics_by_sample(t, V.expression_long(t), "SAMPLE_ID"), _omics_by_sample(t, V.cna_long(t), "SAMPLE_ID"), top_n,
+        clinical, samples, _calls_by_sample(t, samples), V.expression_long(t, vectors), V.cna_long(t, vectors), top_n
     )
 
 
+def multiomic_table(t: Tables, top_n: int = 5) -> DataFrame:
+    clinical = V.patient(t).select("PATIENT_ID", "CANCER_TYPE", "AGE", "SEX", "OS_MONTHS", "OS_EVENT")
+    return _patient_omics(t, clinical, top_n)
+
+
 _OMICS = """chosen AS (SELECT "PATIENT_ID", "SAMPLE_ID", o_orderkey, "CANCER_TYPE", NOT "IS_PRIMARY" AS "IS_FALLBACK" FROM (
   SELECT *, row_number() OVER (PARTITION BY "PATIENT_ID" ORDER BY "IS_PRIMARY" DESC, "SAMPLE_ID") AS rn FROM sample_metadata) z WHERE rn = 1),
 picked AS (SELECT c."SAMPLE_ID", e.gene, log2(e.value + 1) AS v FROM expression_long e JOIN chosen c ON e.sample_id = c.o_orderkey),
@@ -352,10 +358,7 @@ FROM patient p LEFT JOIN chosen c ON p."PATIENT_ID" = c."PATIENT_ID" LEFT JOIN b
 def multiomic_join(t: Tables) -> DataFrame:
     """The patient table with its omic blocks, the blocks summed up per patient."""
     clinical = V.patient(t).select("PATIENT_ID", "CANCER_TYPE")
-    table = feature_tables.patient_multiomic(
-        clinical, V.sample_metadata(t), _calls_by_sample(t), _omics_by_sample(t, V.expression_long(t), "SAMPLE_ID"),
-        _omics_by_sample(t, V.cna_long(t), "SAMPLE_ID"), 5,
-    )
+    table = _patient_omics(t, clinical, 5)
     expr, cna = clean.prefixed_columns(table, EXPR), clean.prefixed_columns(table, CNA)
     known = sum((F.col(c).isNotNull().cast("int") for c in expr), F.lit(0)).cast("bigint")
     total = lambda names: sum((F.col(c) for c in names), F.lit(0.0))
@@ -374,10 +377,7 @@ SELECT "CANCER_TYPE", count(*) AS "rows", count(burden) AS has_burden, count(*)
 FROM layers GROUP BY 1"""))
 def omic_coverage(t: Tables) -> DataFrame:
     clinical = V.patient(t).select("PATIENT_ID", "CANCER_TYPE")
-    table = feature_tables.patient_multiomic(
-        clinical, V.sample_metadata(t), _calls_by_sample(t), _omics_by_sample(t, V.expression_long(t), "SAMPLE_ID"),
-        _omics_by_sample(t, V.cna_long(t), "SAMPLE_ID"), 5,
-    )
+    table = _patient_omics(t, clinical, 5)
     expr, cna = clean.prefixed_columns(table, EXPR)[0], clean.prefixed_columns(table, CNA)[0]
     layers = {"burden": "MUTATION_BURDEN", "expression": expr, "cna": cna}
     return rounded_all(profile.layer_coverage(table, layers, ["CANCER_TYPE"]))
@@ -385,9 +385,10 @@ def omic_coverage(t: Tables) -> DataFrame:
 
 def sample_omics(t: Tables, top_n: int = 5) -> DataFrame:
     patients = V.endpoint(t).select("PATIENT_ID", "CANCER_TYPE", "OS_DAYS", "OS_EVENT")
+    samples = cut_lineage(V.sample_metadata(t))
+    vectors = _vectors_by_sample(t, samples, "SAMPLE_ID_NORM")
     return feature_tables.sample_omic_long(
-        patients, V.sample_metadata(t), _calls_by_sample(t), _omics_by_sample(t, V.expression_long(t), "SAMPLE_ID_NORM"),
-        _omics_by_sample(t, V.cna_long(t), "SAMPLE_ID_NORM"), top_n,
+        patients, samples, _calls_by_sample(t, samples), V.expression_long(t, vectors), V.cna_long(t, vectors), top_n
     )
 
 

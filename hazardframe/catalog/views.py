@@ -76,19 +76,22 @@ def _gene(position):
     return F.format_string("G%02d", position)
 
 
-def expression_long(t: Tables) -> DataFrame:
+def _cells(t: Tables, vectors: DataFrame | None) -> DataFrame:
+    """A row for each vector and gene; ``vectors`` (sample_id, cohort, embedding) are all of the table unless given."""
+    if vectors is None:
+        vectors = t("embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").alias("cohort"), "embedding")
+    return vectors.select("sample_id", "cohort", F.posexplode("embedding").alias("pos", "x"))
+
+
+def expression_long(t: Tables, vectors: DataFrame | None = None) -> DataFrame:
     """Expression in long form: 64 genes per vector, non-negative values."""
-    return t("embeddings").select(
-        F.col("vec_id").alias("sample_id"), F.col("label").alias("cohort"), F.posexplode("embedding").alias("pos", "x")
-    ).select("sample_id", "cohort", _gene(F.col("pos")).alias("gene"), (F.abs(F.col("x").cast("double")) * 100).alias("value"))
+    return _cells(t, vectors).select("sample_id", "cohort", _gene(F.col("pos")).alias("gene"), (F.abs(F.col("x").cast("double")) * 100).alias("value"))
 
 
-def cna_long(t: Tables) -> DataFrame:
+def cna_long(t: Tables, vectors: DataFrame | None = None) -> DataFrame:
     """Copy-number states -2..2 in long form."""
     state = F.least(F.greatest(F.round(F.col("x").cast("double") * 8), F.lit(-2.0)), F.lit(2.0))
-    return t("embeddings").select(
-        F.col("vec_id").alias("sample_id"), F.col("label").alias("cohort"), F.posexplode("embedding").alias("pos", "x")
-    ).select("sample_id", "cohort", _gene(F.col("pos")).alias("gene"), state.cast("int").alias("value"))
+    return _cells(t, vectors).select("sample_id", "cohort", _gene(F.col("pos")).alias("gene"), state.cast("int").alias("value"))
 
 
 def expression_matrix(t: Tables) -> DataFrame:

@@ -108,8 +108,12 @@ def selected_samples(samples: DataFrame, patients: DataFrame) -> DataFrame:
 
 
 def mutation_burden(calls: DataFrame, keys: Sequence[str] = ("Tumor_Sample_Barcode", "CANCER_TYPE")) -> DataFrame:
-    """Mutation rows per sample."""
-    return calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("MUTATION_COUNT"))
+    """Mutation rows per sample. Rows with a column ``N_CALLS`` stand for so many."""
+    return calls.groupBy(*keys).agg(_call_count(calls).alias("MUTATION_COUNT"))
+
+
+def _call_count(calls: DataFrame) -> Column:
+    return F.sum("N_CALLS") if "N_CALLS" in calls.columns else F.count(F.lit(1))
 
 
 def burden_summary(calls: DataFrame, group: str = "CANCER_TYPE") -> DataFrame:
@@ -121,10 +125,9 @@ def burden_summary(calls: DataFrame, group: str = "CANCER_TYPE") -> DataFrame:
 
 def burden_by_normalised_sample(calls: DataFrame) -> DataFrame:
     """Mutation rows per normalised sample id and cohort, summed over the barcodes that share one."""
-    per_barcode = mutation_burden(calls)
     return (
-        per_barcode.groupBy(S.normalise_barcode("Tumor_Sample_Barcode").alias("SAMPLE_ID_NORM"), "CANCER_TYPE")
-        .agg(F.sum("MUTATION_COUNT").alias("MUTATION_BURDEN"))
+        calls.groupBy(S.normalise_barcode("Tumor_Sample_Barcode").alias("SAMPLE_ID_NORM"), "CANCER_TYPE")
+        .agg(_call_count(calls).alias("MUTATION_BURDEN"))
     )
 
 

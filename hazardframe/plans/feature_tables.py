@@ -10,6 +10,7 @@ from hazardframe.functions import scalars as S
 from hazardframe.operators import clean, cohort, genes, profile
 from hazardframe.operators.cohort import first_row
 from hazardframe.schema import CNA, EXPR
+from hazardframe.session import cut_lineage
 
 
 def clean_clinical(raw: DataFrame, impute_columns: Sequence[str] | None = None, ordinal: str = "_ordinal") -> DataFrame:
@@ -57,6 +58,7 @@ def sample_omic_long(
     """
     outcome = patients.select("PATIENT_ID", "CANCER_TYPE", "OS_DAYS", "OS_EVENT")
     kept = cohort.drop_post_outcome(samples.join(outcome, ["PATIENT_ID", "CANCER_TYPE"]))
+    kept = cut_lineage(kept)  # read for both omic layers, for the choice of genes and for the result
     on = ["SAMPLE_ID_NORM", "CANCER_TYPE"]
     wanted = kept.select(*on).distinct()
 

@@ -152,3 +152,12 @@ def test_constant_columns_over_many_partitions(spark):
     )
     assert profile.zero_variance_columns(rows, ["flat", "x", "none", "gaps", "flag"]) == ["flat", "none", "gaps"]
     assert profile.density_grid(rows, "flat", []).count() == 0
+
+
+def test_counted_calls_give_the_burden_of_single_ones(spark):
+    """Calls counted by order before they meet the samples."""
+    calls = spark.createDataFrame([("tc-1-2-01-a", "A"), ("tc-1-2-01-a", "A"), ("tc-1-2-01-b", "A"), ("tc-1-3-01-a", None)], "Tumor_Sample_Barcode string, CANCER_TYPE string")
+    counted = calls.groupBy(*calls.columns).agg(F.count(F.lit(1)).alias("N_CALLS"))
+    for found in (cohort.mutation_burden, cohort.burden_by_normalised_sample):
+        rows = [sorted(map(str, found(df).collect())) for df in (calls, counted)]
+        assert rows[0] == rows[1] and len(rows[0]) == (3 if found is cohort.mutation_burden else 2)
