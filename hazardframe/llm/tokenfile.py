@@ -13,10 +13,10 @@ import json
 import re
 import struct
 import uuid
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,10 @@ READ_IDS = 1 << 20
 
 # --- encoding -------------------------------------------------------------------------------------------------------
 
-MAX_PIECE = 64
-MAX_CACHED = 60_000  # pieces remembered in each of two generations
+MAX_PIECE = 64  # longer pieces are not remembered
+SLOT_BITS = 20  # of the table of remembered pieces
+MAX_CACHED_IDS = 6_000_000
+WORDS_AT_ONCE = 32
 
 
 def _byte_characters() -> dict[int, str]:
@@ -51,8 +53,9 @@ class Encoder:
     """Ids of whole texts, the same as ``Tokenizer.encode`` gives.
 
     With a byte-level tokenizer no token crosses a single blank or line break that stands between two visible
-    characters. Texts are cut there, and each distinct piece of a slice is encoded once; a bounded table remembers
-    pieces between slices. Any other tokenizer gets the texts as they are.
+    characters, nor the end of a word of letters before a full stop or comma. Texts are cut there, and each distinct piece
+    that a bounded table does not hold is encoded once a slice. The table has one slot for a hash: a new piece takes the
+    place of the old one. Any other tokenizer gets the texts as they are.
     """
 
     def __init__(self, path: str):
@@ -64,12 +67,44 @@ class Encoder:
         self.cuttable = (
             before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and model["type"] == "BPE"
             and not model.get("dropout") and kind.get("normalizer") is None and kind.get("post_processor") is None
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in kind["added_tokens"])
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"[\s.,]", t["content"]) for t in kind["added_tokens"])
         )
-        self.characters = _byte_characters()
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
-        self.stop_ids = [b"", *(array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ",.")]
+        self.separator = self._separator(kind) if self.cuttable else None
+        characters = _byte_characters()
+        self.characters = np.array([ord(characters[b]) for b in range(256)], "<u4")
+        self._forget()
+
+    @staticmethod
+    def _separator(kind: dict) -> tuple[int, int] | None:
+        """A control character, and its id, that no rule merges with what stands beside it: words between such characters are
+        merged as if each stood alone."""
+        model = kind["model"]
+        if any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            return None
+        rules = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        merged = {left[-1] for left, _ in rules} | {right[0] for _, right in rules}
+        characters = _byte_characters()
+        free = [b for b in (*range(32), 127) if characters[b] in model["vocab"] and characters[b] not in merged]
+        return (ord(characters[free[0]]), model["vocab"][characters[free[0]]]) if free else None
+
+    def _forget(self) -> None:
+        """An empty table: the piece in each slot, where its ids begin, and how many there are (0: none)."""
+        self.keys = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.begin, self.size = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.uint8)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _remember(self, keys: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """``ids`` go on from those of the table; what they leave without a slot is dropped from time to time."""
+        slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.keys[slot], self.begin[slot], self.size[slot], self.ids = keys, begin, size, ids
+        if len(self.ids) > MAX_CACHED_IDS:
+            live = np.flatnonzero(self.size)
+            n = self.size[live].astype(np.int64)
+            if n.sum() > MAX_CACHED_IDS * 3 // 4:
+                self._forget()
+                return
+            self.ids = self.ids[np.repeat(self.begin[live], n) + tb.segment_arange(n)]
+            self.begin[live] = np.cumsum(n) - n
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text. NULL is an empty text."""
@@ -93,55 +128,75 @@ class Encoder:
         data, offsets = tb.text_bytes(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        starts = _piece_starts(data, offsets)
+        starts = _piece_starts(data, offsets, stops=True)
         ends = np.append(starts[1:], len(data))
         key = tb.range_hash(tb.prefix_hash(data), starts, np.minimum(ends, starts + MAX_PIECE))
-        long = np.flatnonzero(ends - starts > MAX_PIECE)
-        key[long] = np.arange(len(long), dtype=np.uint64)  # never taken for another piece, and never remembered
-        keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        raw, ends, begins = data.tobytes(), ends[first], starts[first]
-        found = [self.young.get(h) or self.old.get(h) for h in keys.tolist()] if len(long) == 0 else [
-            None if h < len(long) else self.young.get(h) or self.old.get(h) for h in keys.tolist()
-        ]
-        missing = np.array([k for k, got in enumerate(found) if got is None], np.int64)
-        words, stops, rest = self._plain(data, begins, ends, missing)
-        if len(words):
-            # Blanks and letters in the byte-level alphabet, all at once; the line break only keeps them apart.
-            spelled = b"\n".join([raw[begins[k] : e] for k, e in words]).decode("latin-1").translate(self.characters).split(self.characters[10])
-            tokenize = self.tokenizer.model.tokenize
-            for (k, _), word, stop in zip(words, spelled, stops):
-                found[k] = array("I", [t.id for t in tokenize(word)]).tobytes() + self.stop_ids[stop]
-        if len(rest):
-            pieces = [raw[begins[k] : ends[k]].decode() for k in rest]
-            for k, e in zip(rest, self.tokenizer.encode_batch(pieces, add_special_tokens=False)):
-                found[k] = array("I", e.ids).tobytes()
-        if len(self.young) > MAX_CACHED:
-            self.old, self.young = self.young, {}
-        self.young.update((h, got) for h, got in zip(keys.tolist(), found) if h >= len(long))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        table = np.frombuffer(b"".join(found), np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        n = sizes[inverse]
-        ids = table[np.repeat(begin[inverse], n) + tb.segment_arange(n)]
+        slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        begin, n = self.begin[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        long = ends - starts > MAX_PIECE
+        unknown = np.flatnonzero((self.keys[slot] != key) | (n == 0) | long)
+        ids = self.ids
+        if len(unknown):
+            wanted = key[unknown]
+            longer = np.flatnonzero(long[unknown])
+            wanted[longer] = np.arange(len(longer), dtype=np.uint64)  # never taken for another piece, and never remembered
+            order = np.argsort(wanted)
+            new = np.ones(len(wanted), bool)
+            new[1:] = wanted[order[1:]] != wanted[order[:-1]]
+            one, which = unknown[order[new]], np.cumsum(new) - 1
+            found, size = self._encoded(data, starts[one], ends[one])
+            at = len(ids) + np.cumsum(size) - size
+            ids = np.concatenate([ids, found])
+            begin[unknown[order]], n[unknown[order]] = at[which], size[which]
+            kept = ~long[one]
+            out = ids[np.repeat(begin, n) + tb.segment_arange(n)]
+            self._remember(key[one[kept]], at[kept], size[kept], ids)
+        else:
+            out = ids[np.repeat(begin, n) + tb.segment_arange(n)]
         upto = np.concatenate([[0], np.cumsum(n)])
-        return ids, np.diff(upto[np.searchsorted(starts, offsets)])
-
-    def _plain(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, missing: np.ndarray):
-        """Of the missing pieces, those that are a word of letters (with a blank before it or a full stop or comma behind
-        it): such a word is a single unit of merges, so the model can be asked directly. The words with their ends, the
-        stop behind each, and the other pieces."""
+        return out, np.diff(upto[np.searchsorted(starts, offsets)])
+
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces in a row, and how many each has. A word of letters, with a blank before it or not, is a single
+        unit of merges, so the model itself is asked, for many words at once."""
+        size = ends - starts
+        of = np.cumsum(size) - size
+        data = data[np.repeat(starts, size) + tb.segment_arange(size)]
         letter = _ASCII_LETTER[data]
         pair = (data[:-1] == 0xC3) & _LETTER_BEHIND_C3[data[1:]]
         letter[:-1] |= pair
         letter[1:] |= pair
         others = np.concatenate([[0], np.cumsum(~letter)])
-        s, e = begins[missing], ends[missing]
-        inner = s + (data[s] == 32)
-        last = data[e - 1]
-        stop = np.where((last == 44) & (e - 1 > inner), 1, np.where((last == 46) & (e - 1 > inner), 2, 0))
-        to = e - (stop > 0)
-        plain = (to > inner) & (others[to] == others[np.minimum(inner, to)])
-        return list(zip(missing[plain].tolist(), to[plain].tolist())), stop[plain].tolist(), missing[~plain].tolist()
+        inner = of + ((data[of] == 32) & (size > 1))
+        plain = (others[of + size] == others[inner]) & (self.separator is not None)
+        counts, parts = np.zeros(len(size), np.int64), []
+        words, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        if len(words):
+            ids, counts[words] = self._words(data[np.repeat(plain, size)], size[words])
+            parts.append((words, ids))
+        if len(rest):
+            raw = data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(of[rest].tolist(), (of + size)[rest].tolist())]
+            got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            counts[rest] = np.fromiter(map(len, got), np.int64, len(got))
+            parts.append((rest, np.fromiter(chain.from_iterable(got), np.uint32)))
+        begin, out = np.cumsum(counts) - counts, np.zeros(int(counts.sum()), np.uint32)
+        for numbers, ids in parts:
+            n = counts[numbers]
+            out[np.repeat(begin[numbers], n) + tb.segment_arange(n)] = ids
+        return out, counts
+
+    def _words(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of letters that fill ``data``, in a row, and how many each has."""
+        character, mark = self.separator
+        spelled = np.full(len(data) + len(size), character, "<u4")  # a separator behind each word
+        spelled[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = self.characters[data]
+        text = spelled.tobytes().decode("utf-32-le")
+        cuts = [0, *(np.cumsum(size + 1)[WORDS_AT_ONCE - 1 :: WORDS_AT_ONCE]).tolist(), len(text)]
+        tokenize = self.tokenizer.model.tokenize
+        ids = np.array([t.id for a, b in zip(cuts, cuts[1:]) if a < b for t in tokenize(text[a:b])], np.uint32)
+        marks = np.flatnonzero(ids == mark)
+        return ids[ids != mark], np.diff(marks, prepend=-1) - 1
 
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -159,9 +214,10 @@ _LEAD_OF_TWO = np.zeros(256, bool)
 _LEAD_OF_TWO[0xC3:0xE0] = True
 
 
-def _piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _piece_starts(data: np.ndarray, offsets: np.ndarray, stops: bool = False) -> np.ndarray:
     """Where pieces begin: at each text, at each single blank or line break between visible characters, and behind such
-    a line break. Rare characters next to it only mean that no cut is made there."""
+    a line break; with ``stops`` also at a full stop or comma behind a letter. Rare characters next to it only mean that no
+    cut is made there."""
     before = np.zeros(len(data), bool)
     before[1:] = _VISIBLE[data[:-1]]
     if len(data) > 2:
@@ -176,6 +232,10 @@ def _piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     begin = alone & ((data == 32) | (data == 10))
     begin[1:] |= (alone & (data == 10))[:-1]
     begin[edges] = True
+    if stops:
+        at = np.flatnonzero((data[1:] == 44) | (data[1:] == 46)) + 1
+        last = data[at - 1]
+        begin[at[_ASCII_LETTER[last] | ((data[at - 2] == 0xC3) & (at > 1) & _LETTER_BEHIND_C3[last])]] = True
     return np.flatnonzero(begin)
 
 

@@ -37,6 +37,31 @@ def test_encoder_equals_the_library():
             assert ids[e - n : e].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [0], repr(text)
 
 
+def test_a_word_is_asked_for_once_whatever_stop_stands_behind_it(monkeypatch):
+    coder, asked = tokenfile.Encoder(PATH), []
+    ask = coder._encoded
+    monkeypatch.setattr(coder, "_encoded", lambda data, s, e: asked.extend(data[a:b].tobytes().decode() for a, b in zip(s, e)) or ask(data, s, e))
+    coder.encode(pa.array(["one\nstränge one. stränge, one, stränge. a.b 3.4,x. ×. 's."]), None)
+    coder.encode(pa.array(["stränge one, stränge. one"]), None)
+    assert sorted(asked) == sorted(["one", "\n", "stränge", " one", ".", " stränge", ",", " a", ".b", " 3.4,x", " ×.", " 's"])
+
+
+@pytest.mark.parametrize("bits, most_ids", [(2, 6_000_000), (20, 50), (4, 5)])
+def test_a_full_table_of_pieces_changes_nothing(monkeypatch, bits, most_ids):
+    monkeypatch.setattr(tokenfile, "SLOT_BITS", bits)
+    monkeypatch.setattr(tokenfile, "MAX_CACHED_IDS", most_ids)
+    tokenizer, coder = Tokenizer.from_file(PATH), tokenfile.Encoder(PATH)
+    random = np.random.default_rng(7)
+    alphabet = list("abcdeé×ßà.,;'s 1\n日") + [" the", " on.", ", ", "ly "]
+    for _ in range(20):
+        texts = ["".join(random.choice(alphabet, random.integers(0, 120))) for _ in range(20)]
+        ids, counts = coder.encode(pa.array(texts), None)
+        ends = np.cumsum(counts)
+        for text, n, e in zip(texts, counts, ends):
+            assert ids[e - n : e].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(coder.ids) <= most_ids
+
+
 def test_another_tokenizer_gets_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     coder, tokenizer = tokenfile.Encoder(path), Tokenizer.from_file(path)
