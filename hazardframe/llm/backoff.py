@@ -19,15 +19,24 @@ from hazardframe.llm.storage import delete_table, write_table
 
 ORDER = 3
 BACKOFF = 0.4
+BATCH_BYTES = 8 << 20  # n-grams repeat within a batch: a larger one sends fewer keys, and closer ones
 
 
 def _gram_lanes(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For n = 1 … order the hash of the n-gram that ends at each word (0 where the text has fewer words before), the
     text of each word, and the position of each word in its text."""
+    parts = [_lanes_of(texts.slice(lo, hi - lo), order, lo) for lo, hi in tb.slices(texts)]
+    if not parts:
+        return [np.zeros(0, np.uint64)] * order, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lanes, text_of, at = zip(*parts)
+    return [np.concatenate(h) for h in zip(*lanes)], np.concatenate(text_of), np.concatenate(at)
+
+
+def _lanes_of(texts: pa.Array, order: int, first_text: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     data, offsets = tb.text_bytes(texts)
     starts, ends, first = tb.word_bounds(data, offsets)
     counts = np.diff(first)
-    text_of, at = np.repeat(np.arange(len(counts)), counts), tb.segment_arange(counts)
+    text_of, at = first_text + np.repeat(np.arange(len(counts)), counts), tb.segment_arange(counts)
     if not len(starts):
         return [np.zeros(0, np.uint64)] * order, text_of, at
     words = tb.word_hashes(data, starts, ends)
@@ -81,7 +90,7 @@ def backoff_scores(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     Texts without words, NULL among them, have log_score 0 and no mean. Repeated rows are texts like any other and vouch
     for each other. A NULL id is kept. An empty table gives an empty table; only the named columns are read.
     """
-    batches, path = ex.write_batches(df, id_column, text)
+    batches, path = ex.write_batches(df, id_column, text, BATCH_BYTES)
     partitions = ex.partitions_for(batches)
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +107,7 @@ def backoff_scores(df: DataFrame, id_column: str = "doc_id", text: str = "text",
                 texts = ex.batch_texts(chunk.column(1).slice(i, 1))
                 per_word, text_of = _word_scores(texts, chunk.column(2)[i].as_py(), order, corpus_words)
                 n = np.bincount(text_of, minlength=len(texts))
-                total = np.bincount(text_of, weights=per_word, minlength=len(texts))
+                total = np.bincount(text_of, weights=per_word, minlength=len(texts)).astype(np.float64)  # whole numbers where there are no words
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([chunk.column(0).slice(i, 1).flatten(), pa.array(n, pa.int64()), pa.array(total), mean], names=["id", "n_words", "log_score", "mean_log_score"])
 

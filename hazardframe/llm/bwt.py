@@ -352,7 +352,6 @@ def remove_repeats(
     """
     batches, path = ex.write_batches(df, id_column, text)
     found, found_path = write_table(repeated_rows(batches, length, gram, hot_rows), "repeats")
-    gathered = found.groupBy("batch").agg(F.collect_list("found").alias("found"))
 
     def cut(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks:
@@ -383,5 +382,5 @@ def remove_repeats(
                     names=["id", "n_bytes", "n_removed", "spans", "kept"],
                 )
 
-    joined = batches.join(gathered, "batch", "left").select("ids", "texts", "found")
+    joined = ex.beside(batches, found, F.collect_list("found"), "found").select("ids", "texts", "found")
     return joined.mapInArrow(cut, "id bigint, n_bytes bigint, n_removed bigint, spans array<struct<begin: bigint, end: bigint>>, kept binary")

@@ -1,6 +1,7 @@
 """Counting hashed items over a whole corpus, and answering each batch of texts with the totals of its items.
 
-Texts are written once as batches of bounded size. A batch sends every distinct item (a 64-bit hash, cut to 56 bits) with
+Texts are written once, as batches of bounded size; a row of the table of batches says where its texts lie, so that steps which
+shuffle batches move no texts. A batch sends every distinct item (a 64-bit hash, cut to 56 bits) with
 its count to the partition of its hash, as sorted, packed arrays: one row for a batch and partition instead of one for an
 item. An item of every text is one entry for each batch, so no item is hot. Partitions add up the counts and answer each
 batch with the totals in the order in which it asked; the batch, computing its items again, reads them off.
@@ -8,6 +9,7 @@ batch with the totals in the order in which it asked; the batch, computing its i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,57 +18,74 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardframe.llm import textblocks as tb
-from hazardframe.llm.storage import shared_folder
+from hazardframe.llm.storage import open_store, shared_folder
 
 BATCH_BYTES = 4 << 20
 PARTITION_BYTES = 24 << 20  # of text for each hash partition
+TASK_BYTES = 16 << 20  # of text for each task over the batches
 KEY_BITS = 56
+PLACE = pa.struct([("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
 
 
 def write_batches(df: DataFrame, id_column: str, text: str, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, str]:
-    """batch, ids, texts (packed), n_bytes: texts in batches of at most ``batch_bytes`` (a longer text is a batch of its
-    own)."""
+    """batch, ids, texts (where they lie, for ``batch_texts``), n_bytes: texts in batches of at most ``batch_bytes`` (a longer
+    text is a batch of its own). A task writes the texts of its batches to one file; only files that committed rows name are
+    read. Tasks over the table have about the same share of text each."""
+    path = shared_folder(df.sparkSession, "batches")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
+        store, folder = open_store(f"{path}/texts")
+        store.create_dir(folder, recursive=True)
+        name = f"{number >> 32:06d}-{uuid.uuid4().hex}.bin"
         ids: list[pa.Array] = []
         texts: list[pa.Array] = []
-        held = 0
+        held = written = 0
 
         def row() -> pa.RecordBatch:
-            nonlocal number, held
-            i, t = pa.concat_arrays(ids), pa.concat_arrays(texts)
+            nonlocal number, held, written
+            i, data = pa.concat_arrays(ids), pack_texts(pa.concat_arrays(texts))
+            file.write(data)
             ends = pa.array([0, len(i)], pa.int32())
+            place = pa.array([{"file": f"{path}/texts/{name}", "at": written, "size": len(data)}], PLACE)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.ListArray.from_arrays(ends, i), pa.array([pack_texts(t)], pa.binary()), pa.array([held])],
-                names=["batch", "ids", "texts", "n_bytes"],
+                [pa.array([number]), pa.ListArray.from_arrays(ends, i), place, pa.array([held])], names=["batch", "ids", "texts", "n_bytes"]
             )
             number += 1
+            written += len(data)
             held = 0
             ids.clear()
             texts.clear()
             return out
 
-        for batch in batches:
-            for lo, hi in tb.slices(batch.column(1), batch_bytes // 4):
-                part = batch.column(1).slice(lo, hi - lo)
-                size = len(tb.text_bytes(part)[0])
-                if texts and held + size > batch_bytes:
-                    yield row()
-                ids.append(batch.column(0).slice(lo, hi - lo))
-                texts.append(part)
-                held += size
-        if texts:
-            yield row()
+        with store.open_output_stream(f"{folder}/{name}") as file:
+            for batch in batches:
+                for lo, hi in tb.slices(batch.column(1), batch_bytes // 4):
+                    part = batch.column(1).slice(lo, hi - lo)
+                    size = len(tb.text_bytes(part)[0])
+                    if texts and held + size > batch_bytes:
+                        yield row()
+                    ids.append(batch.column(0).slice(lo, hi - lo))
+                    texts.append(part)
+                    held += size
+            if texts:
+                yield row()
 
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    made = rows.mapInArrow(run, "batch bigint, ids array<bigint>, texts binary, n_bytes bigint")
-    path = shared_folder(df.sparkSession, "batches")
-    made.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(made.schema).parquet(path), path
+    made = rows.mapInArrow(run, "batch bigint, ids array<bigint>, texts struct<file: string, at: bigint, size: bigint>, n_bytes bigint")
+    made.write.option("compression", "zstd").parquet(f"{path}/rows")
+    written = df.sparkSession.read.schema(made.schema).parquet(f"{path}/rows")
+    return written.repartition(tasks_for(written), "batch"), path
+
+
+def tasks_for(batches: DataFrame) -> int:
+    """Tasks over the batches: the rows are small, so Spark would put those of much text into one."""
+    count, total = batches.agg(F.count("*"), F.sum("n_bytes")).first()
+    parallel = batches.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(count, max(2 * parallel, -(-(total or 0) // TASK_BYTES))))
 
 
 def partitions_for(batches: DataFrame) -> int:
@@ -76,16 +95,18 @@ def partitions_for(batches: DataFrame) -> int:
 
 
 def pack_texts(texts: pa.Array) -> bytes:
-    """Lengths and bytes of the texts, compressed: batches are written once and shuffled, and this is half of what Spark's
-    own codec leaves."""
+    """Lengths and bytes of the texts, compressed: half of what Spark's own codec leaves."""
     data, offsets = tb.text_bytes(texts)
     sizes = pack_numbers(np.diff(offsets))
     return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(data.tobytes())
 
 
 def batch_texts(column: pa.Array) -> pa.Array:
-    """The texts of a one-row slice of the ``texts`` column."""
-    raw = column[0].as_py()
+    """The texts of a one-row slice of the ``texts`` column, read from where they lie."""
+    place = column[0].as_py()
+    store, path = open_store(place["file"])
+    with store.open_input_file(path) as file:
+        raw = file.read_at(place["size"], place["at"])
     n = int.from_bytes(raw[:4], "little")
     ends = np.cumsum(unpack_numbers(raw[4 : 4 + n])).astype(np.int32)
     data = zstandard.ZstdDecompressor().decompress(raw[4 + n :])
@@ -172,10 +193,17 @@ def totals(batches: DataFrame, items_of: ItemsOf, partitions: int) -> DataFrame:
     return asked.groupBy("lane", "part").applyInPandas(add, "batch bigint, lane int, part int, totals binary")
 
 
+def beside(batches: DataFrame, rows: DataFrame, gathered: Column, name: str) -> DataFrame:
+    """The batches, each with what ``gathered`` makes of its ``rows`` (NULL without any). Both sides get the number of tasks that
+    the text of the batches asks for, so neither is shuffled again and small rows do not end up in a few tasks."""
+    tasks = tasks_for(batches)
+    found = rows.repartition(tasks, "batch").groupBy("batch").agg(gathered.alias(name))
+    return batches.repartition(tasks, "batch").join(found, "batch", "left")
+
+
 def with_totals(batches: DataFrame, answers: DataFrame) -> DataFrame:
     """The batches with their answers: array of (lane, part, totals), at most one for each lane and partition."""
-    gathered = answers.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("lane", "part", "totals"))).alias("answers"))
-    return batches.join(gathered, "batch", "left")
+    return beside(batches, answers, F.sort_array(F.collect_list(F.struct("lane", "part", "totals"))), "answers")
 
 
 def lane_totals(answers: list[dict] | None, lane: int) -> np.ndarray:
