@@ -58,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row in the packed format, and from the files: doc_id, start, n_tokens and the ids' checksum."""
     path = storage.shared_folder(spark, "pipeline-ids")
-    tokenfile.write_ids(tokenfile.encode_texts(docs, public_tokenizers.path(TOKENIZER)), path, VOCABULARY)
+    tokenfile.write_texts(docs, path, public_tokenizers.path(TOKENIZER), VOCABULARY)
     return tokenfile.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -105,8 +105,7 @@ FROM figures
 def op2_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's ids, written in the packed format in order of doc_id and read back."""
     path = storage.shared_folder(spark, "token-ids")
-    encoded = tokenfile.encode_texts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    tokenfile.write_ids(encoded, path, vocabulary=50_257)
+    tokenfile.write_texts(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50_257)
     return tokenfile.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

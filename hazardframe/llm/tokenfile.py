@@ -13,7 +13,7 @@ import json
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -244,21 +244,24 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_texts(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", end_id: int | None = 0) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers) of each text, in ascending order of the id, NULL first;
-    rows of equal id are ordered by a hash of their text. NULL texts count as empty and get the end id alone."""
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi in tb.slices(batch.column(1), 2 << 20):
+            ids, counts = encoder(tokenizer).encode(batch.column(1).slice(lo, hi - lo), end_id)
+            at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * np.int32(4)
+            packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(ids.astype("<u4"))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), packed], names=["doc_id", "ids"])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in tb.slices(batch.column(1), 2 << 20):
-                ids, counts = encoder(tokenizer).encode(batch.column(1).slice(lo, hi - lo), end_id)
-                at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * np.int32(4)
-                packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(ids.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), packed], names=["doc_id", "ids"])
 
+def _in_order(df: DataFrame, id_column: str, text: str) -> DataFrame:
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
-    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    return ordered.select("doc_id", "text").mapInArrow(encode, "doc_id bigint, ids binary")
+    return rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+
+
+def encode_texts(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", end_id: int | None = 0) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers) of each text, in ascending order of the id, NULL first;
+    rows of equal id are ordered by a hash of their text. NULL texts count as empty and get the end id alone."""
+    return _in_order(df, id_column, text).mapInArrow(lambda batches: _encoded(batches, tokenizer, end_id), "doc_id bigint, ids binary")
 
 
 # --- file format ----------------------------------------------------------------------------------------------------
@@ -455,17 +458,29 @@ class PackedIds(DataSource):
 def write_ids(encoded: DataFrame, path: str, vocabulary: int) -> None:
     """Write (doc_id, ids) rows in the order of their partitions. The tasks write and report their files, the driver writes the
     manifest; the data source does the same for ``df.write``, at the price of Python processes beside the driver."""
+    _write(encoded, path, vocabulary, lambda batches: batches)
+
+
+def write_texts(
+    df: DataFrame, path: str, tokenizer: str, vocabulary: int, id_column: str = "doc_id", text: str = "text", end_id: int | None = 0
+) -> None:
+    """``write_ids`` of ``encode_texts`` with the same files. One Python process encodes and writes, where two steps keep two
+    for each core, both with a tokenizer once they have changed places, and ids do not go through Spark's memory."""
+    _write(_in_order(df, id_column, text), path, vocabulary, lambda batches: _encoded(batches, tokenizer, end_id))
+
+
+def _write(rows: DataFrame, path: str, vocabulary: int, ids_of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> None:
     options = {"path": path, "vocabulary": str(vocabulary)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = PackedIdsWriter(options).write(batches)
+        done = PackedIdsWriter(options).write(ids_of(batches))
         yield pa.RecordBatch.from_pydict({
             "partition": pa.array([done.partition], pa.int32()), "name": [done.name], "docs": pa.array([done.n_docs], pa.int64()), "ids": pa.array([done.n_ids], pa.int64()),
         })
 
     # One row for each task.
-    rows = encoded.mapInArrow(run, "partition int, name string, docs bigint, ids bigint").collect()
-    PackedIdsWriter(options).commit([FileMessage(*row) for row in rows])
+    written = rows.mapInArrow(run, "partition int, name string, docs bigint, ids bigint").collect()
+    PackedIdsWriter(options).commit([FileMessage(*row) for row in written])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

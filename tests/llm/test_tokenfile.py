@@ -117,3 +117,14 @@ def test_empty(spark, empty):
 def test_an_id_outside_the_vocabulary_is_refused():
     writer = tokenfile.PackedIdsWriter({"path": "/nowhere", "vocabulary": "16"})
     assert writer.bits == 4
+
+
+def test_texts_go_to_files_in_one_step(spark, odd, monkeypatch):
+    plans, kept = [], type(odd).collect
+    monkeypatch.setattr(type(odd), "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    one, two = storage.shared_folder(spark, "t"), storage.shared_folder(spark, "t")
+    tokenfile.write_ids(tokenfile.encode_texts(odd, PATH), one, 50_257)
+    tokenfile.write_texts(odd, two, PATH, 50_257)
+    assert [p.count("MapInArrow") for p in plans] == [2, 1]  # each is a Python process for every core
+    rows = [sorted(map(str, kept(tokenfile.read_ids(spark, path)))) for path in (one, two)]
+    assert rows[0] and rows[0] == rows[1]
