@@ -5,7 +5,7 @@ grams of each stretch of LENGTH bytes. Equal stretches pick the same anchor at t
 meet at its anchor, and only anchors that occur twice in the corpus matter. Around such an anchor a *row* is kept: the
 bytes from the anchor on (its suffix) and the bytes before it, which are the column a Burrows-Wheeler transform keeps.
 
-A shard (a batch of texts, in the partition of an anchor's hash) holds its rows in suffix order. Shards are merged in
+A shard (rows of neighbouring batches, in the partition of an anchor's hash) holds its rows in suffix order. Shards are merged in
 pairs: the interleave of two sorted shards is refined word by word, only where rows of both shards still share a block,
 until blocks agree in all bytes; no suffix is sorted twice. Common prefixes of neighbours in the merged order give the
 intervals of rows that agree in the first 100 - x bytes, and the ranks of the column give those that agree in the x
@@ -33,6 +33,7 @@ ROWS_PER_PARTITION = 60_000
 #: An anchor with more rows is not kept together: each of its stretches is dealt out by the stretch's own hash. The rows
 #: that are found are the same either way.
 HOT_ROWS = 10_000
+SHARD_ROWS = 8_192
 
 
 # --- anchors and rows -----------------------------------------------------------------------------------------------
@@ -43,49 +44,43 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return np.zeros(0, np.uint64), none, none, none, none
-    start = np.arange(len(data) - gram + 1)
-    h = tb.range_hash(tb.prefix_hash(data), start, start + gram)
+    h = tb.gram_hashes(tb.prefix_hash(data), gram)
     width = length - gram + 1
     least = tb.windowed_minimum(h, width)
     # Stretches that lie inside one text.
-    usable = np.zeros(len(least) + 1, np.int64)
-    lo, hi = offsets[:-1], offsets[1:] - length + 1
-    fits = hi > lo
-    np.add.at(usable, lo[fits], 1)
-    np.add.at(usable, np.minimum(hi[fits], len(least)), -1)
-    inside = np.cumsum(usable)[:-1] > 0
-    p = np.flatnonzero(inside)
+    counts = np.maximum(np.diff(offsets) - length + 1, 0)
+    p = np.repeat(offsets[:-1], counts) + tb.segment_arange(counts)
     if not len(p):
         return np.zeros(0, np.uint64), none, none, none, none
     value = least[p]
-    text = np.searchsorted(offsets, p, "right") - 1
     new = np.ones(len(p), bool)
-    new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
+    new[1:] = value[1:] != value[:-1]
+    inhabited = counts[counts > 0]
+    new[np.cumsum(inhabited) - inhabited] = True
     # The same value may come from a later, equal gram: the leftmost gram of a stretch counts, so runs are cut where it drops out.
-    at = _leftmost(h, p, value, new, width)
-    new[1:] |= at[1:] != at[:-1]
-    first = np.flatnonzero(new)
+    first, at = _leftmost(h, p, value, new, width)
     last = np.append(first[1:], len(p)) - 1
-    return value[first], at[first], p[first], p[last], text[first]
+    return value[first], at, p[first], p[last], np.searchsorted(offsets, p[first], "right") - 1
 
 
-def _leftmost(h: np.ndarray, p: np.ndarray, value: np.ndarray, new: np.ndarray, width: int) -> np.ndarray:
-    """Position of the leftmost gram with the minimum for each stretch start."""
-    size = len(p)
-    first = np.flatnonzero(new)
-    at = np.full(size, -1, np.int64)
-    todo = first
+def _leftmost(h: np.ndarray, p: np.ndarray, value: np.ndarray, new: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of stretch starts with the same leftmost minimal gram begin, and the position of that gram."""
+    todo = np.flatnonzero(new)
+    end = np.append(todo[1:], len(p))
+    windows = np.lib.stride_tricks.sliding_window_view(h, width)
+    starts, found = [], []
     # For the first start of each run scan its stretch; a run's anchor stays until the starts pass it.
     while len(todo):
-        rows = np.minimum(p[todo][:, None] + np.arange(width), len(h) - 1)
-        at[todo] = p[todo] + (h[rows] == value[todo][:, None]).argmax(axis=1)
-        run_end = np.append(first[1:], size)[np.searchsorted(first, todo, "right") - 1]
+        ahead = (windows[p[todo]] == value[todo][:, None]).argmax(axis=1)
+        starts.append(todo)
+        found.append(p[todo] + ahead)
         # Starts of the run up to the anchor keep it; behind it the next equal gram is looked up.
-        stop = np.minimum(run_end, todo + (at[todo] - p[todo]) + 1)
-        counts = stop - todo
-        at[np.repeat(todo, counts) + tb.segment_arange(counts)] = np.repeat(at[todo], counts)
-        todo = stop[stop < run_end]
-    return at
+        stop = todo + ahead + 1
+        more = stop < end
+        todo, end = stop[more], end[more]
+    first = np.concatenate(starts)
+    order = np.argsort(first, kind="stable")
+    return first[order], np.concatenate(found)[order]
 
 
 def anchor_items(texts: pa.Array, length: int, gram: int) -> list[ex.Items]:
@@ -125,16 +120,20 @@ def merge_shards(a: Shard, b: Shard) -> Shard:
     In each round the rows of blocks that hold rows of both shards are split by their next word."""
     ka, kb = _joint_ranks([a.block], [b.block])
     for k in range(a.words.shape[1]):
-        both = np.intersect1d(ka, kb)
-        if not len(both):
+        blocks = int(max(ka[-1], kb[-1])) + 1
+        both = (np.bincount(ka, minlength=blocks) > 0) & (np.bincount(kb, minlength=blocks) > 0)
+        if not both.any():
             break
-        ia, ib = np.flatnonzero(np.isin(ka, both)), np.flatnonzero(np.isin(kb, both))
+        ia, ib = np.flatnonzero(both[ka]), np.flatnonzero(both[kb])
         # Sub-blocks of the shared blocks, numbered behind their block; other blocks only move apart to make room.
         sa, sb = _joint_ranks([ka[ia], a.words[ia, k]], [kb[ib], b.words[ib, k]])
-        na, nb = ka * (len(ia) + len(ib) + 1), kb * (len(ia) + len(ib) + 1)
-        na[ia] += sa
-        nb[ib] += sb
-        ka, kb = _joint_ranks([na], [nb])
+        of = np.zeros(int(max(sa[-1], sb[-1])) + 1, np.int64)  # the block of each sub-block
+        of[sa], of[sb] = ka[ia], kb[ib]
+        parts = np.where(both, np.bincount(of, minlength=blocks), 1)
+        begin = np.cumsum(parts) - parts
+        within = np.arange(len(of)) - np.searchsorted(of, of) + begin[of]
+        ka, kb = begin[ka], begin[kb]
+        ka[ia], kb[ib] = within[sa], within[sb]
     order = np.argsort(np.concatenate([ka, kb]), kind="stable")
     return Shard(np.concatenate([a.block, b.block])[order], np.concatenate([a.words, b.words])[order], np.concatenate([a.row, b.row])[order])
 
@@ -189,18 +188,65 @@ def repeated_starts(
     shared = common_prefix(queue[0].block, suffix[order])
     back_order = _byte_order(before)
     back_shared = common_prefix(np.zeros(n, np.int64), before[back_order])
+    # A row meets others only as far as its neighbours in both orders do.
+    low, high = np.empty(n, np.int64), np.empty(n, np.int64)
+    low[order] = length - np.maximum(shared, np.append(shared[1:], 0))
+    high[back_order] = np.maximum(back_shared, np.append(back_shared[1:], 0))
+    low, high = np.maximum(low, x_low), np.minimum(high, x_high)
+    place, back_place = np.empty(n, np.int64), np.empty(n, np.int64)
+    place[order] = back_place[back_order] = np.arange(n)
+    eldest = np.argsort(age, kind="stable")
+    eldest = eldest[low[eldest] <= high[eldest]]
+    low, high = low[eldest], high[eldest]
+    bits = np.uint64(n.bit_length())
     for x in range(reach + 1):
-        rows = np.flatnonzero((x_low <= x) & (x <= x_high))
-        if len(rows) < 2:
+        older = np.flatnonzero((low <= x) & (x <= high))
+        if len(older) < 2:
             continue
-        right = np.empty(n, np.int64)
-        right[order] = np.cumsum(shared < length - x)
-        left = np.empty(n, np.int64)
-        left[back_order] = np.cumsum(back_shared < x) if x else 0
-        key = right[rows] * (n + 1) + left[rows]
-        by = np.lexsort((age[rows], key))
-        again = key[by][1:] == key[by][:-1]
-        out[rows[by][1:][again], x] = True
+        rows = eldest[older]
+        right = np.cumsum(shared < length - x)[place[rows]]
+        left = np.cumsum(back_shared < x)[back_place[rows]] if x else np.zeros(len(rows), np.int64)
+        if n < 1 << 21:  # both ranks and the age in one number
+            key = np.sort((((right.astype(np.uint64) << bits) | left.astype(np.uint64)) << bits) | older.astype(np.uint64))
+            again = (key[1:] >> bits) == (key[:-1] >> bits)
+            out[eldest[(key[1:][again] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)], x] = True
+        else:
+            key = right * (n + 1) + left
+            by = np.argsort(key, kind="stable")
+            again = key[by][1:] == key[by][:-1]
+            out[rows[by][1:][again], x] = True
+    return out
+
+
+def earlier_rows(hashes: np.ndarray, suffix: np.ndarray, before: np.ndarray, x_low: np.ndarray, x_high: np.ndarray, age: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows equal to an earlier one in all their bytes, which have no stretch of their own; and the rows that are left with
+    another row at their anchor. What the earliest of equal rows does to others, the rest would do too."""
+    n = len(hashes)
+    wide = np.zeros((n, -(-(suffix.shape[1] + before.shape[1]) // 8) * 8), np.uint8)
+    wide[:, : suffix.shape[1]] = suffix
+    wide[:, suffix.shape[1] : suffix.shape[1] + before.shape[1]] = before
+    key = hashes + (x_low * 256 + x_high).astype(np.uint64)
+    for k, word in enumerate(wide.view("<u8").T):
+        key = tb.mixed(key + word * np.uint64(pow(tb.BASE, 2 * k + 3, 1 << 64)))
+    eldest = np.argsort(age, kind="stable")
+    _, first = np.unique(key[eldest], return_index=True)
+    copy = np.ones(n, bool)
+    copy[eldest[first]] = False
+    _, block, rows = np.unique(hashes[~copy], return_inverse=True, return_counts=True)
+    return np.flatnonzero(copy), np.flatnonzero(~copy)[rows[block] > 1]
+
+
+def all_repeated_starts(
+    hashes: np.ndarray, suffix: np.ndarray, before: np.ndarray, x_low: np.ndarray, x_high: np.ndarray, age: np.ndarray, length: int
+) -> np.ndarray:
+    """``repeated_starts`` of a whole partition. Equal rows are settled first; the rest is cut into shards of a fixed size, so that
+    merges grow with the rows of a partition and not with the batches of the corpus."""
+    x = np.arange(before.shape[1] + 1)
+    copies, rest = earlier_rows(hashes, suffix, before, x_low, x_high, age)
+    out = np.zeros((len(hashes), len(x)), bool)
+    out[copies] = (x_low[copies][:, None] <= x) & (x <= x_high[copies][:, None])
+    shard = np.arange(len(rest)) // SHARD_ROWS
+    out[rest] = repeated_starts(hashes[rest], suffix[rest], before[rest], x_low[rest], x_high[rest], age[rest], shard, length)
     return out
 
 
@@ -315,15 +361,17 @@ def repeated_rows(batches: DataFrame, length: int, gram: int, hot_rows: int) ->
         batch = np.repeat(group["batch"].to_numpy(), group["n"].to_numpy())
         age = np.empty(len(batch), np.int64)
         age[np.lexsort((c["place"], c["text"], batch, c["doc"], c["has_doc"]))] = np.arange(len(batch))
-        again = repeated_starts(c["hash"], c["suffix"], c["before"], c["low"].astype(np.int64), c["high"].astype(np.int64), age, batch, length)
+        again = all_repeated_starts(c["hash"], c["suffix"], c["before"], c["low"].astype(np.int64), c["high"].astype(np.int64), age, length)
         # Runs of removable starts: x counts back from the anchor.
         edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         r, begin = np.nonzero(edge == 1)
         _, stop = np.nonzero(edge == -1)
         place = c["place"][r]
-        found = pd.DataFrame({"batch": batch[r], "text": c["text"][r], "low": place - (stop - 1), "high": place - begin})
-        for b, rows_of_batch in found.groupby("batch"):
-            out.append((b, _pack_rows({k: rows_of_batch[k].to_numpy("<i8") for k in ("text", "low", "high")})))
+        columns = {"text": c["text"][r].astype("<i8"), "low": place - (stop - 1), "high": place - begin}
+        of = batch[r]  # ascending, as rows are
+        cuts = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
+        for lo, hi in zip(cuts, cuts[1:]):
+            out.append((of[lo], _pack_rows({k: v[lo:hi] for k, v in columns.items()})))
         return pd.DataFrame(out, columns=["batch", "found"])
 
     return dealt.groupBy("part").applyInPandas(index, "batch long, found binary")

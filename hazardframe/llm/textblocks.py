@@ -101,6 +101,14 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mixed(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def gram_hashes(sums: np.ndarray, length: int) -> np.ndarray:
+    """``range_hash`` of the ``length`` bytes from each position on."""
+    h = sums[length:] - sums[:-length]
+    h *= powers(len(h), inverse=True)
+    h += np.uint64(length * 0xD6E8FEB86659FD93 & _MASK)
+    return mixed(h)
+
+
 WORD_PIECE = 512
 
 

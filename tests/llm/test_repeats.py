@@ -76,3 +76,43 @@ def test_merge_is_the_sorted_order():
     keys = [(int(b), *map(int, w)) for b, w in zip(merged.block, merged.words)]
     assert keys == sorted((int(b), *map(int, w)) for b, w in zip(block, words)) and sorted(merged.row.tolist()) == rows.tolist()
     assert all((words[i] == w).all() and block[i] == b for i, w, b in zip(merged.row, merged.words, merged.block))
+
+
+def test_equal_rows_are_settled_before_merging(monkeypatch):
+    r, n, length, reach = np.random.default_rng(3), 900, 20, 12
+    hashes = r.integers(0, 4, n).astype(np.uint64)
+    suffix, before = r.integers(0, 2, (n, length)).astype(np.uint8), r.integers(0, 2, (n, reach)).astype(np.uint8)
+    suffix[:, :8], low, high = hashes[:, None], r.integers(0, 4, n), r.integers(4, reach + 1, n)
+    for k in range(300):  # copies, whole and changed
+        i, j = r.integers(0, n, 2)
+        for c in (hashes, suffix, before, low, high):
+            c[j] = c[i]
+        if k % 3 == 0:
+            suffix[j, r.integers(8, length)] ^= 1
+    suffix[np.arange(length) >= (length - low)[:, None]] = 0
+    before[np.arange(reach) >= high[:, None]] = 0
+    age, merged, merge = r.permutation(n), [], bwt.merge_shards
+    monkeypatch.setattr(bwt, "merge_shards", lambda a, b: merged.append(len(a.row) + len(b.row)) or merge(a, b))
+    monkeypatch.setattr(bwt, "SHARD_ROWS", 100)
+    got, seen = bwt.all_repeated_starts(hashes, suffix, before, low, high, age, length), set()
+    assert len(merged) < n // 100 and max(merged) < n  # batches do not count, and copies are not merged
+    for i in np.argsort(age):
+        for x in range(reach + 1):
+            stretch = (x, int(hashes[i]), bytes(before[i, :x]), bytes(suffix[i, : length - x]))
+            inside = low[i] <= x <= high[i]
+            assert got[i, x] == (inside and stretch in seen), (i, x)
+            if inside:
+                seen.add(stretch)
+    assert got.any()
+
+
+@pytest.mark.parametrize("alphabet", ["a", "ab", "abcdefgh"])
+def test_anchors_are_the_leftmost_smallest_grams(alphabet):
+    r = random.Random(2)
+    texts = ["".join(r.choice(alphabet) for _ in range(k)) for k in (0, 19, 20, 21, 90, 0, 200)]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    starts = np.arange(len(data) - 7)
+    h = bwt.tb.range_hash(bwt.tb.prefix_hash(data), starts, starts + 8)
+    want = [(int(h[p : p + 13].min()), p + int(h[p : p + 13].argmin()), p, k) for k in range(len(texts)) for p in range(offsets[k], offsets[k + 1] - 19)]
+    got = [(int(v), int(a), p, int(k)) for v, a, f, l, k in zip(*bwt.anchors(data, offsets, 20, 8)) for p in range(f, l + 1)]
+    assert got == want
