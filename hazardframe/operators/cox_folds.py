@@ -7,6 +7,9 @@ model, the weights that enter and leave between neighbouring event times; from t
 hazard at each event time, and a second pass weighs every row by the hazard between its start and its stop. Both passes are
 matrix products over all models of all sets at once; their sums meet in tasks, by stretches of event times and by training set.
 
+Blocks hold at most BLOCK_CELLS numbers and are compressed before they leave Python, so that a task holds no more of them in
+memory than the file has bytes, however well they compress, and opens one at a time.
+
 Tables with more than GRID_TIMES distinct event times go through ``cox.cox_data``, which sorts rows by time instead.
 """
 
@@ -23,6 +26,13 @@ from hazardframe.session import cut_lineage
 
 GRID_TIMES = 20_000
 TIMES_PER_ROW = 256
+BLOCK_CELLS = 1 << 18  # rows times features
+CODEC = "lz4"
+# A reader holds a row group at once. Sizes are looked at after every row, of which Parquet waits for 100 otherwise.
+_WRITING = {
+    "compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 22), "parquet.page.size": str(1 << 20),
+    "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
+}
 _BLOCK = "n int, fold binary, stop binary, start binary, event binary, x binary"
 _SUMS = "fold int, gram binary, events binary"
 
@@ -31,15 +41,21 @@ def _binary(*arrays: np.ndarray) -> list[pa.Array]:
     return [pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in arrays]
 
 
+def _compressed(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([pa.compress(np.ascontiguousarray(a), CODEC, asbytes=True) if a.size else b""], pa.binary()) for a in arrays]
+
+
 def _open(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
     """Of each block: folds, stops, starts (None without), events and raw vectors."""
     for batch in batches:
-        for r in batch.to_pylist():
-            start = np.frombuffer(r["start"])
-            yield (
-                np.frombuffer(r["fold"], np.int32), np.frombuffer(r["stop"]), start if len(start) else None,
-                np.frombuffer(r["event"], np.uint8), np.frombuffer(r["x"]).reshape(width, r["n"]).T,
-            )
+        for i, n in enumerate(batch.column(0).to_pylist()):
+
+            def values(column: int, kind: type, count: int = n) -> np.ndarray:
+                raw = batch.column(column)[i].as_buffer()
+                return np.frombuffer(pa.decompress(raw, count * np.dtype(kind).itemsize, CODEC) if raw.size else b"", kind)
+
+            start = values(3, float)
+            yield values(1, np.int32), values(2, float), start if len(start) else None, values(4, np.uint8), values(5, float, n * width).reshape(width, n).T
 
 
 def _added(keys: Sequence[str], sums: Sequence[str]):
@@ -71,6 +87,7 @@ class RawBlocks:
 def raw_blocks(df: DataFrame, columns: Sequence[Column], fold: str, folds: int, stop: str, event: str, start: str | None = None) -> RawBlocks:
     """Pack the vectors of ``columns`` (no missing values). ``df`` is read twice."""
     width = len(columns)
+    most = max(1, BLOCK_CELLS // max(1, width))
     rows = df.select(
         F.col(fold).cast("int").alias("fold"), F.col(stop).cast("double").alias("stop"),
         (F.col(start).cast("double") if start else F.lit(None).cast("double")).alias("start"),
@@ -78,15 +95,16 @@ def raw_blocks(df: DataFrame, columns: Sequence[Column], fold: str, folds: int,
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, most):
+                batch = whole.slice(at, most)
                 x = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, width)
                 begin = batch.column(2).to_numpy(zero_copy_only=False) if start else np.zeros(0)
                 arrays = (batch.column(0).to_numpy().astype(np.int32), batch.column(1).to_numpy(zero_copy_only=False), begin,
                           batch.column(3).to_numpy().astype(np.uint8), x.T)  # a feature after the other, which compresses well
-                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32()), *_binary(*arrays)], names=["n", "fold", "stop", "start", "event", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32()), *_compressed(*arrays)], names=["n", "fold", "stop", "start", "event", "x"])
 
-    packed = cut_lineage(rows.mapInArrow(pack, _BLOCK))
+    packed = cut_lineage(rows.mapInArrow(pack, _BLOCK), **_WRITING)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list[np.ndarray]] = {}

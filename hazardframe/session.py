@@ -65,13 +65,13 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back. ``options`` are those of the writer.
 
     What follows starts from files that outlive any executor, reads only the columns it needs, and does not repeat the
     work behind ``df`` for each of its branches.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/hazardframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,22 @@ def test_thresholds_that_leave_the_same_columns_share_a_run(spark, monkeypatch):
     found = modelling.threshold_sweep(spark.createDataFrame(table), ["AGE"], [1.0, 0.95, 0.75]).collect()
     assert [r["expr_after"] for r in found] == [3, 3, 2] and {r["status"] for r in found} == {"completed"}
     assert runs == [["EXPR_a", "EXPR_b", "EXPR_c"], ["EXPR_a", "EXPR_c"]]
+
+
+@pytest.mark.parametrize("compressible", [True, False])
+def test_a_task_holds_few_blocks_at_once(spark, compressible):
+    """A reader opens a row group at once: its bytes in memory are limited, and those of the file however well rows compress."""
+    n, width = 40_000, 40
+    value = (F.lit(1.5) if compressible else F.rand(3)).alias("a")
+    df = spark.range(0, n, 1, 1).select("id", (F.col("id") % 3).alias("fold"), (F.col("id") % 50 + 1.0).alias("stop"), F.lit(1).alias("e"), value)
+    blocks = cox_folds.raw_blocks(df, [F.col("a") + i for i in range(width)], "fold", 3, "stop", "e")
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in blocks.packed.inputFiles()]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert len(files) == 1 and max(g.total_byte_size for g in groups) < 8_000_000
+    assert blocks.packed.agg(F.sum("n"), F.max("n")).first()[:] == (n, cox_folds.BLOCK_CELLS // width)
+    if compressible:
+        assert blocks.packed.agg(F.sum(F.length("x"))).first()[0] < n * width * 8 // 20
+    gram = sum(blocks.grams.values())
+    sums = df.agg(F.sum("a"), F.sum(F.col("a") * F.col("a"))).first()
+    assert gram[0, 0] == n and gram[0, 1] == pytest.approx(sums[0]) and gram[1, 1] == pytest.approx(sums[1])
+    assert gram[0, width] == pytest.approx(sums[0] + n * (width - 1))
